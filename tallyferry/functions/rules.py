@@ -1,13 +1,14 @@
 """Row rules as Column expressions (2.K).
 
-A rule gives a struct<row, field, message> when the row breaks it and null when it does not. The
-standard rules come from `cell_rules`; an entity adds its own with `RowRule`.
+A `Finding` says what is wrong with a field and when. The standard findings come from `required_rules`
+and `cell_rules`; an entity adds its own with `RowRule`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, functions as F, types as T
 
@@ -38,13 +39,20 @@ AMOUNT_POSITIVE = "Amount must be greater than zero"
 DUE_BEFORE_DATE = "Due date cannot be before the bill date"
 
 
-def error(row: Column, field: str, message: str | Column, when: Column) -> Column:
-    """The error struct if `when` holds, else null (also when `when` is null)."""
-    said = F.lit(message) if isinstance(message, str) else message
-    return F.when(
-        when,
-        F.struct(row.cast("long").alias("row"), F.lit(field).alias("field"), said.alias("message")),
-    )
+@dataclass(frozen=True)
+class Finding:
+    """One possible error of a row; `when` may be null, which means no."""
+
+    field: str
+    message: Column
+    when: Column
+
+    def gated(self, gate: Column) -> Finding:
+        return Finding(self.field, self.message, gate & self.when)
+
+
+def finding(field: str, message: str | Column, when: Column) -> Finding:
+    return Finding(field, F.lit(message) if isinstance(message, str) else message, when)
 
 
 @dataclass(frozen=True)
@@ -59,10 +67,10 @@ class RowRule:
     needs: tuple[str, ...]
     fails: Callable[[Mapping[str, Column]], Column]
 
-    def compile(self, row: Column, cells: Mapping[str, Column]) -> Column | None:
+    def compile(self, cells: Mapping[str, Column]) -> Finding | None:
         if any(name not in cells for name in self.needs):
             return None
-        return error(row, self.field, self.message, self.fails(cells))
+        return finding(self.field, self.message, self.fails(cells))
 
 
 def _amount_not_positive(cells: Mapping[str, Column]) -> Column:
@@ -78,44 +86,89 @@ AMOUNT_IS_POSITIVE = RowRule("amount", AMOUNT_POSITIVE, ("amount",), _amount_not
 DUE_NOT_BEFORE_DATE = RowRule("due_date", DUE_BEFORE_DATE, ("date", "due_date"), _due_before_date)
 
 
-def required_rules(row: Column, cells: Mapping[str, Column], required: tuple[str, ...]) -> list[Column]:
+def required_rules(cells: Mapping[str, Column], required: tuple[str, ...]) -> list[Finding]:
     """K1, in the declared order; a required column the file lacks is a file-level error instead."""
     return [
-        error(row, name, REQUIRED.format(field=name), text.is_blank(cells[name].cast("string")))
+        finding(name, REQUIRED.format(field=name), text.is_blank(cells[name].cast("string")))
         for name in required
         if name in cells
     ]
 
 
-def cell_rules(
-    row: Column, name: str, cell: Column, dtype: T.DataType, strict: bool = False
-) -> list[Column]:
-    """K2-K6 for one column. Typed JSON cells skip the text scans.
+def type_rule(name: str, cell: Column, dtype: T.DataType, strict: bool = False) -> Finding | None:
+    """K4-K6: the format rule of one column, if it has one.
 
     `strict` also refuses NaN, Infinity and days that do not exist.
     """
-    if not isinstance(dtype, T.StringType):
-        numeric = isinstance(dtype, (T.NumericType, T.BooleanType))
-        if name == "amount" and not numeric:
-            return [error(row, name, NOT_A_NUMBER.format(field=name), cell.isNotNull())]
-        return []
-    given = cell != ""
-    rules = [
-        error(row, name, SQL_CONTENT.format(field=name), given & text.contains_any(cell, text.SQL_MARKERS)),
-        error(row, name, SCRIPT_CONTENT.format(field=name), given & text.contains_any(cell, text.SCRIPT_MARKERS)),
-    ]
+    is_text = isinstance(dtype, T.StringType)
     if name == "amount":
+        message = NOT_A_NUMBER.format(field=name)
+        if not is_text:
+            numeric = isinstance(dtype, (T.NumericType, T.BooleanType))
+            return None if numeric else finding(name, message, cell.isNotNull())
         number = numbers.parse_number(cell)
         bad = number.isNull()
         if strict:
             bad = bad | F.isnan(number) | number.isin(float("inf"), float("-inf"))
-        rules.append(error(row, name, NOT_A_NUMBER.format(field=name), given & bad))
-    elif name == "date":
+        return finding(name, message, (cell != "") & bad)
+    if name == "date" and is_text:
         bad = ~dates.has_iso_date_shape(cell)
         if strict:
             bad = bad | dates.parse_day(cell).isNull()
-        rules.append(error(row, name, NOT_A_DATE.format(field=name), given & bad))
-    return rules
+        return finding(name, NOT_A_DATE.format(field=name), (cell != "") & bad)
+    return None
+
+
+def marked(cells: Mapping[str, Column]) -> Column:
+    """True when any cell holds a marker of K2 or K3.
+
+    One search over all cells joined together, so a good row pays for it once however many columns it
+    has. The separator is part of no marker, so none can span two cells.
+    """
+    joined = F.concat_ws("\u0000", *cells.values())
+    return text.contains_any(joined, (*text.SQL_MARKERS, *text.SCRIPT_MARKERS))
+
+
+def marker_rules(name: str, cell: Column) -> list[Finding]:
+    """K2, K3 for one text cell; at most one error of each kind."""
+    return [
+        finding(name, SQL_CONTENT.format(field=name), text.matches_any(cell, text.SQL_MARKERS)),
+        finding(name, SCRIPT_CONTENT.format(field=name), text.matches_any(cell, text.SCRIPT_MARKERS)),
+    ]
+
+
+def any_of(tests: list[Column]) -> Column:
+    """True when a test holds; nulls count as no, so the answer is never null."""
+    return reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in tests], F.lit(False))
+
+
+def failed_places(findings: list[Finding]) -> Column:
+    """array<int>: the places of the findings that hold, in order.
+
+    Whole numbers instead of structs keep the generated code small, and no lambda is involved: lambdas
+    run outside generated code and would take every rule with them.
+    """
+    places = [F.when(f.when, F.lit(i)) for i, f in enumerate(findings)]
+    return F.array_except(F.array(*places), F.array(F.lit(None).cast("int")))
+
+
+def errors_at(places: Column, row: Column, findings: list[Finding], spoken: Mapping[int, Column]) -> Column:
+    """array<struct<row, field, message>> for failed places. `spoken` holds messages that quote the row."""
+    table = F.array(*[F.struct(F.lit(f.field).alias("field"), f.message.alias("message")) if i not in spoken
+                      else F.struct(F.lit(f.field).alias("field"), F.lit(None).cast("string").alias("message"))
+                      for i, f in enumerate(findings)])
+
+    def describe(i: Column) -> Column:
+        message = table[i]["message"]
+        for place, said in spoken.items():
+            message = F.when(i == place, said).otherwise(message)
+        return F.struct(
+            row.cast("long").alias("row"), table[i]["field"].alias("field"), message.alias("message")
+        )
+
+    return F.when(F.size(places) > 0, F.transform(places, describe)).otherwise(
+        F.array().cast(T.ArrayType(ERROR_TYPE))
+    )
 
 
 def bad_action_message(raw: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -40,7 +41,16 @@ def normalise_action(col: Column) -> Column:
 
 
 def contains_any(col: Column, markers: Iterable[str]) -> Column:
-    """Case-insensitive "contains at least one of these substrings", one regex pass per cell."""
+    """Case-insensitive "contains at least one of these substrings".
+
+    Byte searches on one lower-cased copy were measured about twice as fast as one regex.
+    """
+    lowered = F.lower(col)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(m.lower())) for m in markers])
+
+
+def matches_any(col: Column, markers: Iterable[str]) -> Column:
+    """The same test as one regex: slower per cell, but far less generated code."""
     return F.lower(col).rlike("|".join(re.escape(m.lower()) for m in markers))
 
 

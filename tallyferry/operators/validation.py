@@ -7,43 +7,78 @@ row come in a fixed order: required fields, then the cells in file order, then t
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tallyferry.functions import rules, text
+from tallyferry.functions.rules import Finding
 from tallyferry.plans.registry import EntityDef
 from tallyferry.sources.files import ACTION, ROW
 
 ERRORS, VALID = "errors", "is_valid"
-_NO_ERRORS = T.ArrayType(rules.ERROR_TYPE)
+_MARKED = "__marked"
 
 
 def _cells(df: DataFrame, row: str, aside: tuple[str, ...]) -> dict[str, T.DataType]:
     return {f.name: f.dataType for f in df.schema.fields if f.name not in (row, ACTION, *aside)}
 
 
-def row_errors(
-    df: DataFrame, entity: EntityDef, row: str = ROW, strict: bool = False, aside: tuple[str, ...] = ()
-) -> list[Column]:
-    """K1-K9 for rows that are not deletions, in reporting order. `aside` names columns to leave alone."""
-    types = _cells(df, row, aside)
+@dataclass(frozen=True)
+class _Checks:
+    """The findings of a row in reporting order, and the short test that a good row pays for."""
+
+    findings: list[Finding]
+    broken: Column
+
+    def gated(self, gate: Column) -> _Checks:
+        return _Checks([f.gated(gate) for f in self.findings], gate & self.broken)
+
+
+def _row_checks(df: DataFrame, entity: EntityDef, row: str, strict: bool, aside: tuple[str, ...]) -> _Checks:
+    """K1-K9 for rows that are not deletions; `df` has the column `__marked`."""
+    types = _cells(df, row, (*aside, _MARKED))
     cells: Mapping[str, Column] = {name: F.col(f"`{name}`") for name in types}
-    number = F.col(row)
-    found = rules.required_rules(number, cells, entity.required)
+    findings = rules.required_rules(cells, entity.required)
+    plain = list(findings)
     for name, dtype in types.items():
-        found += rules.cell_rules(number, name, cells[name], dtype, strict)
-    own = (rule.compile(number, cells) for rule in entity.rules)
-    return found + [rule for rule in own if rule is not None]
+        if isinstance(dtype, T.StringType):
+            findings += [f.gated(F.col(_MARKED)) for f in rules.marker_rules(name, cells[name])]
+        shape = rules.type_rule(name, cells[name], dtype, strict)
+        if shape is not None:
+            findings.append(shape)
+            plain.append(shape)
+    own = [rule.compile(cells) for rule in entity.rules]
+    own = [rule for rule in own if rule is not None]
+    return _Checks(findings + own, rules.any_of([f.when for f in plain + own] + [F.col(_MARKED)]))
 
 
-def _error_array(found: list[Column]) -> Column:
-    return F.array_compact(F.array(*found)) if found else F.array().cast(_NO_ERRORS)
+def _with_marks(df: DataFrame, row: str, aside: tuple[str, ...]) -> DataFrame:
+    texts = {n: F.col(f"`{n}`") for n, t in _cells(df, row, aside).items() if isinstance(t, T.StringType)}
+    return df.withColumn(_MARKED, rules.marked(texts) if texts else F.lit(False))
 
 
-def _delete_errors(df: DataFrame, row: str) -> Column:
+def _key_finding(df: DataFrame) -> Finding:
     key = F.col("external_id").cast("string") if "external_id" in df.columns else F.lit(None).cast("string")
-    no_key = key.isNull() | (key == "")
-    return rules.error(F.col(row), "external_id", rules.DELETE_NEEDS_KEY, no_key)
+    return rules.finding("external_id", rules.DELETE_NEEDS_KEY, key.isNull() | (key == ""))
+
+
+def _action_columns() -> tuple[Column, Column, Column, Finding]:
+    """(normal action, something was given, the row is a deletion, unknown-action finding)."""
+    raw = F.col(ACTION)
+    action = text.normalise_action(raw)
+    given = F.coalesce(raw != "", F.lit(False))
+    deleting = F.coalesce(action == "delete", F.lit(False))
+    return action, given, deleting, rules.finding(ACTION, rules.bad_action_message(raw), given & action.isNull())
+
+
+def _with_errors(df: DataFrame, row: str, checks: _Checks) -> DataFrame:
+    """Add `errors` and `is_valid`. The failed places are their own step: they are read twice, so Spark
+    keeps them out of the lambda that turns them into structs."""
+    spoken = {i: f.message for i, f in enumerate(checks.findings) if f.field == ACTION}
+    placed = df.withColumn("__failed", rules.failed_places(checks.findings))
+    errors = rules.errors_at(F.col("__failed"), F.col(row), checks.findings, spoken)
+    return placed.withColumns({ERRORS: errors, VALID: ~checks.broken}).drop("__failed", _MARKED)
 
 
 def validate(
@@ -54,57 +89,52 @@ def validate(
     With an action column, a deletion needs only its key (K12) and a row with an unknown action reports
     just that (K13). `strict` also refuses NaN, Infinity and days that do not exist.
     """
-    errors = _error_array(row_errors(df, entity, row, strict, aside))
+    marked = _with_marks(df, row, aside)
+    checks = _row_checks(marked, entity, row, strict, aside)
     if ACTION in df.columns:
-        raw = F.col(ACTION)
-        action = text.normalise_action(raw)
-        given = raw.isNotNull() & (raw != "")
-        bad = rules.error(F.col(row), ACTION, rules.bad_action_message(raw), given & action.isNull())
-        errors = (
-            F.when(action == "delete", _error_array([_delete_errors(df, row)]))
-            .when(bad.isNotNull(), F.array(bad))
-            .otherwise(errors)
+        _, _, deleting, unknown = _action_columns()
+        no_key = _key_finding(df).gated(deleting)
+        ordinary = checks.gated(~deleting & ~unknown.when)
+        checks = _Checks(
+            [no_key, unknown, *ordinary.findings], rules.any_of([no_key.when, unknown.when, ordinary.broken])
         )
-    return df.withColumn(ERRORS, errors).withColumn(VALID, F.size(ERRORS) == 0)
+    return _with_errors(marked, row, checks)
 
 
 def preview(
     df: DataFrame, entity: EntityDef, row: str = ROW, kind: str = "column", aside: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Row, data, is_valid, errors (field and message), and action when there is one.
+    """Row, data, is_valid, errors (row, field, message), and action when there is one.
 
     Unlike `validate`, a bad or blank action is reported after the row's other errors. `kind` is
     'column' for CSV and 'field' for JSON wording.
     """
-    errors = _error_array(row_errors(df, entity, row, False, aside))
-    columns = _cells(df, row, aside)
+    marked = _with_marks(df, row, aside)
+    checks = _row_checks(marked, entity, row, False, aside)
     extra: list[Column] = []
     if ACTION in df.columns:
-        raw = F.col(ACTION)
-        action = text.normalise_action(raw)
-        given = raw.isNotNull() & (raw != "")
-        bad = rules.error(F.col(row), ACTION, rules.bad_action_message(raw), given & action.isNull())
-        blank = rules.error(F.col(row), ACTION, rules.ACTION_REQUIRED.format(kind=kind), ~given)
-        own = F.when(action == "delete", _error_array([_delete_errors(df, row)])).otherwise(errors)
-        errors = F.concat(own, _error_array([bad, blank]))
+        action, given, deleting, unknown = _action_columns()
+        no_key = _key_finding(df).gated(deleting)
+        blank = rules.finding(ACTION, rules.ACTION_REQUIRED.format(kind=kind), ~given)
+        ordinary = checks.gated(~deleting)
+        checks = _Checks(
+            [no_key, *ordinary.findings, unknown, blank],
+            rules.any_of([no_key.when, ordinary.broken, unknown.when, blank.when]),
+        )
         extra = [action.alias("action")]
-    checked = df.withColumn("__errors", errors)
-    shown = F.transform(
-        F.filter("__errors", lambda e: e["field"].isNotNull()),
-        lambda e: F.struct(e["field"].alias("field"), e["message"].alias("message")),
-    )
-    return checked.select(
+    return _with_errors(marked, row, checks).select(
         F.col(row).alias(ROW),
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("data"),
-        (F.size(shown) == 0).alias(VALID),
-        shown.alias(ERRORS),
+        F.struct(*[F.col(f"`{c}`") for c in _cells(df, row, aside)]).alias("data"),
+        VALID,
+        ERRORS,
         *extra,
     )
 
 
 def error_rows(validated: DataFrame) -> DataFrame:
     """B4 input: one row per error object."""
-    return validated.select(F.explode(ERRORS).alias("e")).select("e.*")
+    # A plain explode would add its own "array is not empty" test and build the array twice.
+    return validated.filter(~F.col(VALID)).select(F.explode_outer(ERRORS).alias("e")).select("e.*")
 
 
 def summary(validated: DataFrame, header_errors: int = 0) -> DataFrame:
