@@ -34,10 +34,8 @@ def is_blank(col: Column) -> Column:
 def normalise_action(col: Column) -> Column:
     """Create / update / upsert / delete, or null for a blank or unknown word."""
     word = F.upper(F.trim(col))
-    result = F.lit(None).cast("string")
-    for action, words in ACTION_CODES.items():
-        result = F.when(word.isin(*words), F.lit(action)).otherwise(result)
-    return result
+    codes = F.create_map(*[F.lit(x) for action, words in ACTION_CODES.items() for w in words for x in (w, action)])
+    return F.try_element_at(codes, word)
 
 
 def contains_any(col: Column, markers: Iterable[str]) -> Column:

@@ -66,13 +66,16 @@ def merge(
     row: str = ROW,
     hot_rows: int | None = HOT_ROWS,
     unique_keys: bool = False,
+    both_results: bool = True,
     hold: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Merge:
     """M1-M18. `target` is the stored table (all tenants), `changes` the renamed import rows.
 
     `unique_keys` promises at most one row per key and replaces the window by a plain lookup.
     `hot_rows=None` promises that no key is hot and saves the pass that looks for hot keys.
-    `hold` may keep the applied rows (persist or checkpoint), since both results are read from them.
+    `both_results=False` says that only one of the two results will be used.
+    `hold` may write intermediate rows down (`session.keep`): the classified rows are read by several
+    passes and the applied rows by both results. Without it each pass reads the changes again.
     """
     key = match_key or entity.match_key
     if mode not in IMPORT_MODES:
@@ -80,10 +83,12 @@ def merge(
     if key != entity.id_field and key not in {m.name for m in entity.merge_columns}:
         raise ValueError(f"'{key}' is not a match key of entity '{entity.name}'")
 
-    staged = _classify(_with_foreign_keys(changes, entity, tables or {}, registry, tenant), entity, mode, key, row)
+    staged = hold(_classify(_with_foreign_keys(changes, entity, tables or {}, registry, tenant), entity, mode, key, row))
     known = _table_keys(target, entity, key, tenant)
     keyed = _exists_by_lookup(staged, known) if unique_keys else _exists_in_order(staged, known, hot_rows)
-    applied = hold(_apply(keyed, entity, key, as_of))
+    applied = _apply(keyed, entity, key, as_of)
+    if both_results:
+        applied = hold(applied)
     table = _new_table(target, applied, entity, key, as_of, tenant, run_id)
     return Merge(table, applied.select(F.col("__row").alias(ROW), "outcome", "field", "message"))
 
@@ -139,48 +144,64 @@ def _key_text(df: DataFrame, entity: EntityDef, key: str) -> Column:
 
 def _classify(changes: DataFrame, entity: EntityDef, mode: str, key: str, row: str) -> DataFrame:
     raw_key = text.blank_to_null(_as_text(changes, key)) if key in changes.columns else F.lit(None).cast("string")
+    has_action = ACTION in changes.columns
+    staged = changes.withColumns(
+        {
+            "__row": F.col(row).cast("long"),
+            "__action": text.normalise_action(F.col(ACTION)) if has_action else F.lit(mode),
+            "__raw_key": raw_key,
+        }
+    )
+    action, given_key = F.col("__action"), F.col("__raw_key")
+    deleting = action == "delete"
+    # (test, field, message) in the order in which they are looked at; the first that holds counts.
     failures: list[tuple[Column, str, Column]] = []
-    if ACTION in changes.columns:
-        action = text.normalise_action(F.col(ACTION))
+    if has_action:
         shown = F.coalesce(text.blank_to_null(F.col(ACTION)), F.lit("None"))
         failures.append((action.isNull(), ACTION, F.concat(F.lit(INVALID_ACTION), shown, F.lit("'"))))
-    else:
-        action = F.lit(mode)
-    deleting = action == "delete"
-    failures.append((deleting & raw_key.isNull(), key, F.lit(KEY_FOR_DELETE.format(key=key))))
+    failures.append((deleting & given_key.isNull(), key, F.lit(KEY_FOR_DELETE.format(key=key))))
     for name in entity.required:
         lacking = text.is_blank(_as_text(changes, name)) if name in changes.columns else F.lit(True)
         failures.append((~deleting & lacking, name, F.lit(REQUIRED.format(field=name))))
-    failures.append(((action == "update") & text.is_blank(raw_key), key, F.lit(KEY_FOR_UPDATE.format(key=key))))
+    failures.append(((action == "update") & text.is_blank(given_key), key, F.lit(KEY_FOR_UPDATE.format(key=key))))
 
-    field, message = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for test, name, said in reversed(failures):
-        field = F.when(test, F.lit(name)).otherwise(field)
-        message = F.when(test, said).otherwise(message)
-
-    bad_field = F.lit(None).cast("string")
-    for column in reversed(entity.merge_columns):
+    bad_values = []
+    for column in entity.merge_columns:
         if column.type in ("number", "integer"):
-            given = _first_given(changes, column.inputs)
-            bad_field = F.when(given.isNotNull() & _parse(given, column).isNull(), F.lit(column.name)).otherwise(bad_field)
-
-    staged = changes.withColumns(
+            raw = _first_given(changes, column.inputs)
+            bad_values.append((~deleting & raw.isNotNull() & _parse(raw, column).isNull(), F.lit(column.name)))
+    # Each step reads the one before it several times, so Spark computes it once and keeps it apart.
+    staged = staged.withColumns(
         {
-            "__row": F.col(row).cast("long"),
-            "__action": action,
-            "__raw_key": raw_key,
-            "__fail_field": field,
-            "__fail_message": message,
-            "__bad_field": F.when(~deleting, bad_field),
-            "__key": F.when(message.isNull(), _key_text(changes, entity, key)),
+            "__fail": _first_of([(test, F.lit(i)) for i, (test, _, _) in enumerate(failures)], "int"),
+            "__bad_field": _first_of(bad_values, "string"),
         }
     )
+    fail = F.col("__fail")
+    staged = staged.withColumns(
+        {
+            "__fail_field": _first_of([(fail == i, F.lit(name)) for i, (_, name, _) in enumerate(failures)], "string"),
+            "__fail_message": _first_of([(fail == i, said) for i, (_, _, said) in enumerate(failures)], "string"),
+            "__key": F.when(fail.isNull(), _key_text(changes, entity, key)),
+        }
+    ).drop("__fail")
     # With the id as key a created row gets a fresh id, so it does not make the given value exist.
-    creates = F.lit(False) if key == entity.id_field else F.col("__action").isin("create", "upsert")
-    signal = F.when(F.col("__action") == "delete", False).when(creates & F.col("__bad_field").isNull(), True)
+    creates = F.lit(False) if key == entity.id_field else action.isin("create", "upsert")
+    signal = F.when(deleting, False).when(creates & F.col("__bad_field").isNull(), True)
     return staged.withColumn("__signal", F.when(F.col("__key").isNotNull(), signal))
 
 
+def _first_of(choices: list[tuple[Column, Column]], kind: str) -> Column:
+    """The value of the first test that holds, as one flat CASE."""
+    if not choices:
+        return F.lit(None).cast(kind)
+    (test, value), *rest = choices
+    chain = F.when(test, value)
+    for test, value in rest:
+        chain = chain.when(test, value)
+    return chain
+
+
 # -- step 2: does the key exist when the row is applied -----------------------------------------------
 
 
@@ -260,26 +281,26 @@ def _parse(raw: Column, column: MergeColumn) -> Column:
 def _apply(rows: DataFrame, entity: EntityDef, key: str, as_of: datetime) -> DataFrame:
     """Outcome of every row, and per table column a struct<v> or null when not given."""
     action, exists = F.col("__action"), F.col("__exists")
-    writes = F.when(exists, F.lit(UPDATED)).otherwise(F.lit(CREATED))
-    plain = (
-        F.when(action == "delete", F.when(exists, F.lit(DELETED)).otherwise(F.lit(SKIPPED)))
+    rows = rows.withColumn(
+        "__plain",
+        F.when(F.col("__fail_message").isNotNull(), F.lit(FAILED))
+        .when(action == "delete", F.when(exists, F.lit(DELETED)).otherwise(F.lit(SKIPPED)))
         .when(action == "create", F.when(exists, F.lit(FAILED)).otherwise(F.lit(CREATED)))
         .when(action == "update", F.when(exists, F.lit(UPDATED)).otherwise(F.lit(SKIPPED)))
-        .when(action == "upsert", writes)
+        .otherwise(F.when(exists, F.lit(UPDATED)).otherwise(F.lit(CREATED))),
     )
+    plain = F.col("__plain")
     bad = F.col("__bad_field").isNotNull() & plain.isin(CREATED, UPDATED)
-    refused = F.col("__fail_message").isNotNull()
-    outcome = F.when(refused | bad, F.lit(FAILED)).otherwise(plain)
     clash = F.concat(F.lit(KEY_EXISTS.format(key=key)), F.col("__raw_key"), F.lit("' already exists"))
-    bad_text = F.concat(F.lit(BAD_VALUE.split("{field}")[0]), F.col("__bad_field"), F.lit("'"))
-    message = (
-        F.when(refused, F.col("__fail_message"))
-        .when(bad, bad_text)
-        .when((action == "create") & exists, clash)
+    head, tail = BAD_VALUE.split("{field}")
+    bad_text = F.concat(F.lit(head), F.col("__bad_field"), F.lit(tail))
+    rows = rows.withColumns(
+        {
+            "outcome": F.when(bad, F.lit(FAILED)).otherwise(plain),
+            "field": F.coalesce("__fail_field", F.when(bad, F.col("__bad_field"))),
+            "message": F.coalesce("__fail_message", F.when(bad, bad_text), F.when(plain == FAILED, clash)),
+        }
     )
-    field = F.when(refused, F.col("__fail_field")).when(bad, F.col("__bad_field"))
-
-    rows = rows.withColumns({"outcome": outcome, "field": field, "message": message})
     created, updated = F.col("outcome") == CREATED, F.col("outcome") == UPDATED
     cells = []
     for column in entity.merge_columns:

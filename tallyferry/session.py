@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tallyferry", master: str | None = None, **conf: str) -> SparkSession:
@@ -37,3 +37,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="tallyferry-")
     return f"{root.rstrip('/')}/tallyferry/{purpose}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
+    """Write rows once to the shared scratch folder and read them back.
+
+    Later passes read only the columns they need, and a lost executor costs no recomputation. The files
+    are in the scratch folder of the cluster, which owns their removal.
+    """
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1,66 @@
+"""A table kept as parquet folders by key bucket, so a merge rewrites only what it touches.
+
+Layout: `version=<n>/bucket=<b>/` holds the rows version n wrote for bucket b; `manifest/<n>` lists, for
+every bucket, the versions that together hold its rows. Writing the manifest commits the version: a
+version that failed half-way is invisible, and writing it again replaces it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+
+@dataclass(frozen=True)
+class BucketedTable:
+    spark: SparkSession
+    root: str
+    schema: T.StructType
+    key: str = "external_id"
+    spread: str = "id"
+    buckets: int = 64
+
+    def bucket(self, key: Column) -> Column:
+        """The bucket of a key value."""
+        return F.pmod(F.xxhash64(key.cast("string")), F.lit(self.buckets)).cast("int")
+
+    def row_bucket(self) -> Column:
+        """The bucket of a stored row; rows without a key are spread by their id."""
+        return self.bucket(F.coalesce(F.col(self.key).cast("string"), F.col(self.spread).cast("string")))
+
+    def touched(self, keys: DataFrame) -> list[int]:
+        """Buckets the given key values (column `key`) fall into: at most `buckets` numbers."""
+        found = keys.filter(F.col(self.key).isNotNull()).select(self.bucket(F.col(self.key)).alias("b")).distinct()
+        return sorted(r.b for r in found.collect())
+
+    def live(self, version: int) -> dict[int, list[int]]:
+        """bucket -> versions that hold its rows."""
+        lines = self.spark.read.schema("bucket int, versions array<int>").json(f"{self.root}/manifest/{version}")
+        return {r.bucket: list(r.versions) for r in lines.collect()}
+
+    def read(self, version: int, only: Iterable[int] | None = None) -> DataFrame:
+        """The rows as of a version, of all buckets or of some."""
+        live = self.live(version)
+        wanted = live if only is None else [b for b in only if b in live]
+        paths = [f"{self.root}/version={v}/bucket={b}" for b in wanted for v in live[b]]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).select(*self.schema.names)
+
+    def create(self, rows: DataFrame) -> None:
+        self.commit(rows, version=0, replaced=[], live={})
+
+    def commit(self, rows: DataFrame, version: int, replaced: Iterable[int], live: dict[int, list[int]]) -> None:
+        """Write `rows` as a version. They replace the buckets in `replaced` and are added to all others."""
+        path = f"{self.root}/version={version}"
+        rows.withColumn("bucket", self.row_bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        stored = T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])
+        present = {r.bucket for r in self.spark.read.schema(stored).parquet(path).select("bucket").distinct().collect()}
+        replaced = set(replaced)
+        after = {b: v for b, v in live.items() if b not in replaced}
+        for b in present:
+            after[b] = after.get(b, []) + [version]
+        lines = self.spark.createDataFrame(sorted(after.items()), "bucket int, versions array<int>")
+        lines.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/{version}")

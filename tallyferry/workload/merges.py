@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyferry.operators import merge as M
 from tallyferry.plans.registry import EntityDef, FieldDef, ForeignKey, MergeColumn, Registry
+from tallyferry.session import keep
 from tallyferry.sources.files import ACTION
 from tallyferry.workload import Tables, register
 
@@ -98,7 +99,8 @@ def run(
     tables = {"nation": Tables(spark, sf_dir)["nation"]}
     return M.merge(
         accounts(spark, sf_dir), changes(spark, sf_dir, action, last_only), account(overlay), AS_OF, tenant=1, mode=mode,
-        tables=tables, registry=Registry((NATION,)), run_id="r1", **kw,
+        tables=tables, registry=Registry((NATION,)), run_id="r1",
+        both_results=False, hold=keep, **kw,
     )
 
 
