@@ -73,12 +73,16 @@ def _action_columns() -> tuple[Column, Column, Column, Finding]:
 
 
 def _with_errors(df: DataFrame, row: str, checks: _Checks) -> DataFrame:
-    """Add `errors` and `is_valid`. The failed places are their own step: they are read twice, so Spark
-    keeps them out of the lambda that turns them into structs."""
+    """Add `errors` and `is_valid`.
+
+    Places and flag are one step: they share their conditions, which Spark then puts into methods of
+    their own, small enough to be compiled. The lambda that turns places into structs comes after it;
+    it reads the places twice, so Spark leaves them where they are.
+    """
     spoken = {i: f.message for i, f in enumerate(checks.findings) if f.field == ACTION}
-    placed = df.withColumn("__failed", rules.failed_places(checks.findings))
+    placed = df.withColumns({"__failed": rules.failed_places(checks.findings), VALID: ~checks.broken})
     errors = rules.errors_at(F.col("__failed"), F.col(row), checks.findings, spoken)
-    return placed.withColumns({ERRORS: errors, VALID: ~checks.broken}).drop("__failed", _MARKED)
+    return placed.withColumn(ERRORS, errors).drop("__failed", _MARKED)
 
 
 def validate(

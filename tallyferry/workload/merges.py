@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyferry.operators import merge as M
 from tallyferry.plans.registry import EntityDef, FieldDef, ForeignKey, MergeColumn, Registry
-from tallyferry.session import keep
+from tallyferry.session import keep, spread
 from tallyferry.sources.files import ACTION
 from tallyferry.workload import Tables, register
 
@@ -86,7 +86,7 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str, action: bool = True, last_only: bool = False) -> DataFrame:
-    orders = Tables(spark, sf_dir)["order"]
+    orders = spread(Tables(spark, sf_dir)["order"], "o_orderkey")
     if last_only:
         orders = orders.groupBy("o_custkey").agg(F.max_by(F.struct(*orders.columns), "o_orderkey").alias("o")).select("o.*")
     return orders.select(*[F.expr(e).alias(n) for n, e, _ in _CHANGES if action or n != ACTION])

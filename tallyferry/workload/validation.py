@@ -8,6 +8,7 @@ from tallyferry.functions import dates, numbers
 from tallyferry.functions.text import SCRIPT_MARKERS, SQL_MARKERS, contains_any, count_marker, is_blank
 from tallyferry.operators import validation
 from tallyferry.plans.catalog import BILL
+from tallyferry.session import keep, spread
 from tallyferry.sources.files import ACTION, encoding_problems
 from tallyferry.workload import Tables, register
 
@@ -61,7 +62,8 @@ _ACTION = (
 
 def dirty_bills(spark: SparkSession, sf_dir: str, action: bool = False) -> DataFrame:
     cells = _CELLS + ((_ACTION,) if action else ())
-    return Tables(spark, sf_dir)["order"].select(*[F.expr(e).alias(name) for name, e, _ in cells])
+    orders = spread(Tables(spark, sf_dir)["order"], "o_orderkey")
+    return orders.select(*[F.expr(e).alias(name) for name, e, _ in cells])
 
 
 def _dirty_sql(action: bool = False) -> str:
@@ -128,7 +130,8 @@ _ACTION_WITH = (
 
 
 def _validated(spark: SparkSession, sf_dir: str, action: bool = False) -> DataFrame:
-    return validation.validate(dirty_bills(spark, sf_dir, action), BILL)
+    """As an import does it: checked once, written once, then read by whatever needs it."""
+    return keep(validation.validate(dirty_bills(spark, sf_dir, action), BILL), "validated")
 
 
 @register("validate_errors", _WITH + "SELECT \"row\", field, message FROM errors")
