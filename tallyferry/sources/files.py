@@ -25,8 +25,8 @@ BAD_JSON = "Invalid JSON"
 BAD_TOP_LEVEL = "JSON must be an array or object"
 BAD_RECORD = "Record must be an object"
 
-# File-block tables up to this many files are small enough to broadcast (about 200 bytes a file).
-_BROADCAST_FILES = 50_000
+# Up to this many file blocks (about 200 bytes each, 10 MB in all) the block table is broadcast.
+_BROADCAST_BLOCKS = 50_000
 
 
 def file_suffix(fmt: str) -> str:
@@ -56,7 +56,9 @@ def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, colum
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
         reader = reader.option("enforceSchema", False)
     df = reader.csv(path)
-    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
+    # Columns taken from folder names may have other types; cells are text.
+    cells = {c for c, kind in df.dtypes if kind == "string"}
+    return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns])
 
 
 def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
@@ -99,7 +101,8 @@ def number_rows(df: DataFrame, row: str = ROW, per_file: bool = True) -> DataFra
     in_file = Window.partitionBy("__file").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = F.sum("__n").over(in_file)
     offsets = blocks.select("__file", "__block", "__first", F.coalesce(earlier, F.lit(0)).alias("__before"))
-    if len(df.inputFiles()) <= _BROADCAST_FILES:
+    # A partition starts at most one block beyond those that begin with a file.
+    if len(df.inputFiles()) + df.rdd.getNumPartitions() <= _BROADCAST_BLOCKS:
         offsets = F.broadcast(offsets)
     numbered = position.join(offsets, ["__file", "__block"], "left")
     number = F.col("__before") + F.col("__id") - F.col("__first") + 1

@@ -35,16 +35,19 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "csv_row_numbers",
-    "SELECT o_orderpriority AS priority, CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS row FROM orders",
+    "SELECT o_orderkey // 10000 AS block, CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (PARTITION BY o_orderkey // 10000 ORDER BY o_orderkey) AS row FROM orders",
 )
 def csv_row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2, A10: numbers restart in each file and follow its order; files may be split over tasks."""
+    """A2, A10: one file per 10,000 order numbers. Row numbers restart in each file and follow its order,
+    also where a file is split over tasks."""
     path = scratch_dir(spark, "numbered")
-    orders = Tables(spark, sf_dir)["order"].select("o_orderpriority", F.col("o_orderkey").alias("id"))
-    by_file = orders.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "id")
-    by_file.write.partitionBy("o_orderpriority").option("header", True).csv(path)
+    orders = Tables(spark, sf_dir)["order"].select(
+        F.floor(F.col("o_orderkey") / 10000).alias("block"), F.col("o_orderkey").alias("id")
+    )
+    by_file = orders.repartition("block").sortWithinPartitions("block", "id")
+    by_file.write.partitionBy("block").option("header", True).csv(path)
     numbered = files.number_rows(files.scan_csv(spark, path, quoted_newlines=False))
-    return numbered.select(F.col("o_orderpriority").alias("priority"), "id", "row")
+    return numbered.select(F.col("block").cast("long").alias("block"), "id", "row")
 
 
 @register("json_round_trip", "SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, c_custkey % 2 = 0 AS even FROM customer")
@@ -96,9 +99,9 @@ def columns_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
        FROM customer, (VALUES ('csv'), ('txt')) k(kind) GROUP BY ALL""",
 )
 def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8 over one file per customer segment and format; contents are not read."""
+    """A8 over the files of each customer segment and format; contents are not read."""
     path = scratch_dir(spark, "gate")
-    rows = Tables(spark, sf_dir)["customer"].select("c_mktsegment", F.col("c_name").alias("value")).repartition("c_mktsegment")
+    rows = Tables(spark, sf_dir)["customer"].select("c_mktsegment", F.col("c_name").alias("value"))
     rows.write.partitionBy("c_mktsegment").csv(f"{path}/kind=csv")
     rows.write.partitionBy("c_mktsegment").text(f"{path}/kind=txt")
     listed = files.list_files(spark, path).filter(~F.col("path").rlike("/[_.][^/]*$"))
@@ -156,7 +159,7 @@ def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dirty bills arrive as CSV files."""
     root = scratch_dir(spark, "stream-validation")
     bills = dirty_bills(spark, sf_dir)
-    bills.repartition(4, "row").write.option("header", True).option("quote", '"').option("escape", '"').option(
+    bills.write.option("header", True).option("quote", '"').option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False
     ).option("ignoreTrailingWhiteSpace", False).csv(f"{root}/in")
     arriving = stream_csv(spark, f"{root}/in", bills.columns, files_per_batch=2)
@@ -189,7 +192,7 @@ def _clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
        UNION ALL SELECT external_id, name, amount, status FROM ch WHERE external_id IS NULL""",
 )
 def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three waves of files, merged one micro-batch after the other."""
+    """Three waves of files. After each the stream is started again from its checkpoint."""
     root = scratch_dir(spark, "stream-import")
     base = merges.accounts(spark, sf_dir)
     table = BucketedTable(spark, f"{root}/table", base.schema, buckets=8)
@@ -198,11 +201,10 @@ def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = change.agg(F.max("row")).head()[0] or 0
     edges = [last * i // 3 for i in range(4)]
     for low, high in zip(edges, edges[1:]):
-        wave = change.filter((F.col("row") > low) & (F.col("row") <= high)).coalesce(1)
+        wave = change.filter((F.col("row") > low) & (F.col("row") <= high))
         wave.write.mode("append").option("header", True).csv(f"{root}/in")
-    entity = merges.account()
-    arriving = stream_csv(spark, f"{root}/in", change.columns, files_per_batch=1)
-    _finish(jobs.stream_import(arriving, entity, table, f"{root}/log", f"{root}/checkpoint", merges.AS_OF, 1, "upsert"))
+        arriving = stream_csv(spark, f"{root}/in", change.columns)
+        _finish(jobs.stream_import(arriving, merges.account(), table, f"{root}/log", f"{root}/checkpoint", merges.AS_OF, 1, "upsert"))
     return table.read(3).select("external_id", "name", "amount", "status")
 
 
