@@ -10,12 +10,16 @@ import warnings
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from tallyferry.functions.numbers import ceil_div
+from tallyferry.session import keep
 
 SortKeys = Sequence[tuple[str, str]]
 
+# Beyond this many skipped rows, keeping the first rows of every task costs more than sorting the keys.
+SHALLOW_OFFSET = 100_000
+
 
 def sort_columns(sort: SortKeys, unique: Iterable[str] = ()) -> list[Column]:
     """H1-H3: ascending puts nulls last, descending puts them first; then the unique columns."""
@@ -64,8 +68,8 @@ def after_row(df: DataFrame, sort: SortKeys, last: Sequence[object]) -> DataFram
     return df.filter(reduce(lambda a, b: a | b, past))
 
 
-def skip_rows(df: DataFrame, sort: SortKeys, offset: int) -> DataFrame:
-    """H6 with an offset and no limit.
+def skip_rows(df: DataFrame, sort: SortKeys, offset: int, shallow: int = SHALLOW_OFFSET) -> DataFrame:
+    """H6 for an offset without a limit, or a deep one.
 
     A bare offset would send the whole result through one task. The last skipped row is looked up
     first (one row comes back) and what follows it is kept by a filter. `sort` ends in unique columns.
@@ -73,13 +77,31 @@ def skip_rows(df: DataFrame, sort: SortKeys, offset: int) -> DataFrame:
     order = sort_columns(sort)
     if offset == 0:
         return df.orderBy(*order)
-    names = [name for name, _ in sort]
-    edge = df.select(*[F.col(f"`{n}`") for n in names]).orderBy(*order).offset(offset - 1).limit(1).head()
+    edge = _row_at(df.select(*[F.col(f"`{name}`") for name, _ in sort]), order, offset, shallow)
     if edge is None:
         return df.filter(F.lit(False))
     return after_row(df, sort, list(edge)).orderBy(*order)
 
 
+def _row_at(keys: DataFrame, order: list[Column], n: int, shallow: int) -> Row | None:
+    """The n-th row (from 1) of the sorted keys.
+
+    Up to `shallow` Spark keeps the first n rows of each task. Beyond that the keys are written in
+    range-partitioned order, one file per range in file-name order; the row counts of the files say
+    which file holds the row, and only that file is searched.
+    """
+    if n <= shallow:
+        return keys.orderBy(*order).offset(n - 1).limit(1).head()
+    ranges = keep(keys.repartitionByRange(*order), "sorted-keys")
+    sizes = ranges.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    for part in sizes.orderBy("file").collect():
+        if n <= part.n:
+            inside = ranges.filter(F.col("_metadata.file_path") == part.file)
+            return inside.orderBy(*order).offset(n - 1).limit(1).head()
+        n -= part.n
+    return None
+
+
 def page_number(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
     """H9: 1-based page."""
     if page < 1 or page_size < 1:

@@ -43,7 +43,8 @@ def export(
     """Plan one export: tenant, needed joins, filters, sort, slice, projection.
 
     The entity's default order (H10) is used only when a slice needs an order. Pass
-    `sorted_output=False` for a bulk export whose sort does not matter: it then has no shuffle.
+    `sorted_output=False` for a bulk export whose sort does not matter: it then has no shuffle. An offset
+    that is deep or has no limit runs a lookup of one row while the plan is made.
     """
     entity = registry.get(spec.entity)
     spec.check(entity)
@@ -65,10 +66,12 @@ def export(
     if sliced or (sort and sorted_output):
         named = [name for name, _ in sort]
         full = sort + [(name, "asc") for name in entity.unique_sort if name not in named]
-        if spec.limit is not None:
-            rows = paging.page_rows(matching, paging.sort_columns(full), spec.limit, spec.offset)
-        else:
+        if spec.limit is None:
             rows = paging.skip_rows(matching, full, spec.offset)
+        elif spec.offset > paging.SHALLOW_OFFSET:
+            rows = paging.skip_rows(matching, full, spec.offset).limit(spec.limit)
+        else:
+            rows = paging.page_rows(matching, paging.sort_columns(full), spec.limit, spec.offset)
     projected = rows.select(*[F.col(f"`{f.field}`").alias(f.output) for f in spec.fields])
     return Export(spec, matching, projected)
 

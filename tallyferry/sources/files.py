@@ -159,28 +159,32 @@ def gate_files(files: DataFrame, expected: DataFrame | None = None, max_bytes: i
 
 def json_problems(spark: SparkSession, path: str) -> DataFrame:
     """File, row, message for unreadable JSON, a wrong top level, or a record that is no object."""
-    text = spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("doc")
+    text = spark.read.option("wholetext", True).text(path)
+    return json_document_problems(text.select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def json_document_problems(documents: DataFrame, text: str = "value") -> DataFrame:
+    """K15 for JSON documents held in a text column; the other columns identify the document."""
+    names = [c for c in documents.columns if c != text]
+    parsed = documents.select(*names, F.try_parse_json(text).alias("__doc"))
+    kind = F.expr("schema_of_variant(__doc)")
+    is_array = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    whole = (
+        F.when(F.col("__doc").isNull(), F.lit(BAD_JSON))
+        .when(~is_array & ~kind.startswith("OBJECT"), F.lit(BAD_TOP_LEVEL))
     )
-    kind = F.expr("schema_of_variant(doc)")
-    is_array, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
-    whole = text.select(
-        "file",
-        F.lit(0).cast("long").alias(ROW),
-        F.when(F.col("doc").isNull(), F.lit(BAD_JSON))
-        .when(~is_array & ~is_object, F.lit(BAD_TOP_LEVEL))
-        .alias("message"),
-    )
-    records = (
-        text.filter(is_array)
-        .select("file", F.posexplode(F.expr("cast(doc as array<variant>)")).alias("at", "record"))
+    record = F.expr("schema_of_variant(record)")
+    of_documents = parsed.select(*names, F.lit(0).cast("long").alias(ROW), whole.alias("message"))
+    of_records = (
+        parsed.filter(is_array)
+        .select(*names, F.posexplode(F.expr("cast(__doc as array<variant>)")).alias("at", "record"))
         .select(
-            "file",
+            *names,
             (F.col("at") + 1).cast("long").alias(ROW),
-            F.when(~F.coalesce(F.expr("schema_of_variant(record)"), F.lit("")).startswith("OBJECT"), F.lit(BAD_RECORD)).alias("message"),
+            F.when(~F.coalesce(record.startswith("OBJECT"), F.lit(False)), F.lit(BAD_RECORD)).alias("message"),
         )
     )
-    return whole.unionByName(records).filter(F.col("message").isNotNull())
+    return of_documents.unionByName(of_records).filter(F.col("message").isNotNull())
 
 
 def encoding_problems(df: DataFrame) -> Column:

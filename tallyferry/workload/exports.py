@@ -8,6 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyferry.functions.dates import iso_z, relative_age
+from tallyferry.functions.ids import parse_uuid, stable_uuid
 from tallyferry.functions.text import capitalise
 from tallyferry.operators import filters, paging, relations
 from tallyferry.plans.bindings import ORDER, star_registry
@@ -417,6 +418,20 @@ _sliced(
 )
 
 
+@register(
+    "page_deep_offset",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, row_number() OVER
+         (ORDER BY l_returnflag DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS n FROM lineitem)
+       SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_extendedprice AS amount FROM s WHERE n > 40000""",
+)
+def page_deep_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 beyond the shallow limit: the edge row is found in the sorted keys, file by file."""
+    line = REGISTRY.get("line")
+    rows = scan_entity(Tables(spark, sf_dir)["line"], line)
+    sort = [("flag", "desc"), *[(name, "asc") for name in line.unique_sort]]
+    return paging.skip_rows(rows, sort, 40_000, shallow=1_000).select("order_id", "line_no", "amount")
+
+
 @register(
     "preview_topk",
     """SELECT o_orderkey AS id, o_totalprice AS amount FROM orders WHERE o_orderstatus = 'O'
@@ -542,3 +557,29 @@ def relative_age_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def capitalise_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir)["part"].select("p_partkey", capitalise(F.col("p_name")).alias("name"))
+
+
+@register(
+    "stable_ids",
+    """WITH h AS (SELECT o_orderkey, md5('t' || chr(1) || 'order' || chr(1) || o_orderkey) AS h FROM orders)
+       SELECT o_orderkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) AS id FROM h""",
+)
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that come out the same on every run."""
+    orders = Tables(spark, sf_dir)["order"]
+    return orders.select("o_orderkey", stable_uuid(F.lit("t"), F.lit("order"), F.col("o_orderkey")).alias("id"))
+
+
+@register(
+    "parse_uuids",
+    """WITH h AS (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS h FROM orders)
+       SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 2 THEN
+         substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21) END AS id FROM h""",
+)
+def parse_uuids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare, upper-case in braces, and cut short."""
+    raw = F.expr(
+        "CASE o_orderkey % 3 WHEN 0 THEN md5(CAST(o_orderkey AS STRING)) "
+        "WHEN 1 THEN concat('{', upper(md5(CAST(o_orderkey AS STRING))), '}') ELSE left(md5(CAST(o_orderkey AS STRING)), 20) END"
+    )
+    return Tables(spark, sf_dir)["order"].select("o_orderkey", parse_uuid(raw).alias("id"))

@@ -81,6 +81,25 @@ def jsonl_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("row long, field string, message string").json(path)
 
 
+@register(
+    "json_record_problems",
+    """SELECT conv_id, turn, CAST(2 AS BIGINT) AS row, 'Record must be an object' AS message FROM conversations
+       WHERE conv_id % 10 > 1 AND role <> 'user'
+       UNION ALL SELECT conv_id, turn, 0, CASE conv_id % 10 WHEN 0 THEN 'Invalid JSON' ELSE 'JSON must be an array or object' END
+       FROM conversations WHERE conv_id % 10 <= 1""",
+)
+def json_record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a JSON array of two records, of which the second is an object for user turns only.
+    One document in ten is cut short, one is a bare text."""
+    value = F.expr(
+        "CASE conv_id % 10 WHEN 0 THEN concat('[', to_json(named_struct('text', text))) WHEN 1 THEN '\"text\"' "
+        "ELSE concat('[', to_json(named_struct('text', text)), ', ', "
+        "CASE WHEN role = 'user' THEN '{}' ELSE concat('\"', role, '\"') END, ']') END"
+    )
+    documents = Tables(spark, sf_dir).raw("conversations").select("conv_id", "turn", value.alias("value"))
+    return files.json_document_problems(documents)
+
+
 @register("columns_discovered", "SELECT count(*) AS rows, 3 AS columns, false AS has_action FROM customer")
 def columns_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A7."""

@@ -274,3 +274,26 @@ def merge_table_to_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     merged = M.merge(accounts(spark, sf_dir), source, account(), AS_OF, tenant=1, mode="upsert", unique_keys=True)
     return merged.table.select("external_id", "name")
+
+
+@register(
+    "merge_by_id",
+    f"""WITH target AS (SELECT {', '.join(f'{d} AS "{n}"' for n, _, d in _TABLE)} FROM customer WHERE c_custkey % 3 <> 0),
+        ch AS (SELECT 'id-' || o_custkey AS id, o_orderkey AS r, 'name ' || o_orderkey AS name, nullif(CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END, '') AS status
+               FROM orders WHERE o_orderkey % 17 <> 0),
+        last AS (SELECT id, arg_max(name, r) AS name, arg_max(status, r) FILTER (status IS NOT NULL) AS status FROM ch GROUP BY id)
+        SELECT t.id, t.external_id, coalesce(l.name, t.name) AS name, coalesce(l.status, t.status) AS status
+        FROM target t LEFT JOIN last l ON l.id = t.id AND t.client_id = 1""",
+)
+def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row id as match key."""
+    orders = spread(Tables(spark, sf_dir)["order"], "o_orderkey")
+    rows = orders.selectExpr(
+        "o_orderkey + 1 AS row", "concat('id-', o_custkey) AS id",
+        "CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE concat('name ', o_orderkey) END AS name",
+        "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS status",
+    )
+    merged = M.merge(
+        accounts(spark, sf_dir), rows, account(), AS_OF, tenant=1, mode="update", match_key="id", both_results=False, hold=keep
+    )
+    return merged.table.select("id", "external_id", "name", "status")

@@ -166,6 +166,39 @@ def test_unused_relations_are_not_joined_and_filters_reach_the_scan(spark, tmp_p
     assert "EqualTo(client_id,T1)" in text and "description" not in text
 
 
+def test_a_hot_foreign_key_is_split_at_run_time(spark):
+    """A third of all bills share one vendor; the shuffled join cuts that partition into several."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        many = spark.range(200_000).selectExpr(
+            "concat('b', id) AS id", "CASE WHEN id % 3 = 0 THEN 'v0' ELSE concat('v', id % 5000) END AS vendor_id", "md5(cast(id as string)) AS description"
+        ).repartition(8)
+        vendors = spark.range(5000).selectExpr("concat('v', id) AS id", "concat('name ', id) AS name")
+        spec = ExportSpec.parse({"entity": "bill", "fields": ["id", "description", "vendor.name"]})
+        rows = export(spec, {"bill": many, "vendor": vendors}, REGISTRY).rows
+        assert rows.filter("`vendor.name` IS NOT NULL").count() == 200_000
+        rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_deep_offset_uses_the_sorted_keys(bills):
+    sort = [("description", "desc"), ("id", "asc")]
+    df = bills["bill"]
+    want = [r.id for r in df.orderBy(*paging.sort_columns(sort)).collect()]
+    for n in range(7):
+        assert [r.id for r in paging.skip_rows(df, sort, n, shallow=0).collect()] == want[n:]
+
+
 def test_fields_without_a_stored_column_are_typed_nulls(spark):
     invoices = spark.createDataFrame([("i1", "T1", 5.0)], "id string, client_id string, total_amount double")
     spec = ExportSpec.parse({"entity": "invoice", "fields": ["id", "amount", "customer_id", "project.code"]})
