@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from tallyferry.sources.files import file_suffix
+from tallyferry.sources.tables import serialise
 
 
 def export_path(root: str, tenant: object, job: str, run: str, fmt: str = "csv") -> str:
@@ -20,9 +21,11 @@ def import_error_path(root: str, tenant: object, job: str, run: str, phase: str)
 def write_export(rows: DataFrame, path: str, fmt: str = "csv") -> int:
     """Write the rows and return how many were written, counted by the write itself.
 
-    Columns keep their order and aliases. An empty CSV export still gets its header. JSON is one
-    object per line, nulls included, so parts can be written and read in parallel.
+    Columns keep their order and aliases; decimals are written as doubles and timestamps as ISO text
+    with Z (C7). An empty CSV export still gets its header. JSON is one object per line, nulls included,
+    so parts can be written and read in parallel.
     """
+    rows = serialise(rows)
     written = Observation("written")
     counted = rows.observe(written, F.count(F.lit(1)).alias("n"))
     if fmt == "csv":

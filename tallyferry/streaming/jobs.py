@@ -22,9 +22,14 @@ from tallyferry.sources.files import ROW, rename
 from tallyferry.streaming.sources import with_event_time
 
 
-def start(df: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
-    """Run all that is available now, then stop; drop the trigger for an endless run."""
-    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+# Work through what is there, then stop. For an endless run pass e.g. {"processingTime": "30 seconds"}.
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def start(
+    df: DataFrame, checkpoint: str, mode: str, each: Callable[[DataFrame, int], None], trigger: Mapping
+) -> StreamingQuery:
+    writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(**trigger)
     return writer.foreachBatch(each).start()
 
 
@@ -37,7 +42,8 @@ def to_batches(sink: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def stream_validation(df: DataFrame, entity: EntityDef, good: str, errors: str, checkpoint: str, row: str = ROW) -> StreamingQuery:
+def stream_validation(df: DataFrame, entity: EntityDef, good: str, errors: str, checkpoint: str, row: str = ROW,
+                      trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """Valid rows to parquet, one error line per broken rule to JSON lines."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -49,7 +55,7 @@ def stream_validation(df: DataFrame, entity: EntityDef, good: str, errors: str,
         finally:
             checked.unpersist()
 
-    return start(validation.validate(df, entity, row), checkpoint, "append", write)
+    return start(validation.validate(df, entity, row), checkpoint, "append", write, trigger)
 
 
 def stream_import(
@@ -65,6 +71,7 @@ def stream_import(
     tables: Mapping[str, DataFrame] | None = None,
     registry: Registry | None = None,
     row: str = ROW,
+    trigger: Mapping = AVAILABLE_NOW,
 ) -> StreamingQuery:
     """Validate arriving rows, log broken ones, merge the others into the bucketed table.
 
@@ -86,11 +93,11 @@ def stream_import(
         merged.outcomes.write.mode("overwrite").parquet(f"{sink}/outcomes/batch={number}")
         table.commit(merged.table, number + 1, touched, table.live(number))
 
-    return start(df, checkpoint, "append", write)
+    return start(df, checkpoint, "append", write, trigger)
 
 
 def stream_rates(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
-                 span: str = "60 seconds", slide: str = "10 seconds") -> StreamingQuery:
+                 span: str = "60 seconds", slide: str = "10 seconds", trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """Requests per key in sliding windows, each window written once it is closed."""
     counts = (
         with_event_time(df, ts)
@@ -101,10 +108,11 @@ def stream_rates(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
             F.col("window.end").cast("timestamp_ntz").alias("end"), key, "requests",
         )
     )
-    return start(counts, checkpoint, "append", to_batches(sink))
+    return start(counts, checkpoint, "append", to_batches(sink), trigger)
 
 
-def stream_progress(df: DataFrame, ts: str, flag: str, sink: str, checkpoint: str, every: str = "5 seconds") -> StreamingQuery:
+def stream_progress(df: DataFrame, ts: str, flag: str, sink: str, checkpoint: str, every: str = "5 seconds",
+                    trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """P5: at most one progress line per interval: rows seen and rows with `flag` set."""
     progress = (
         with_event_time(df, ts)
@@ -112,18 +120,20 @@ def stream_progress(df: DataFrame, ts: str, flag: str, sink: str, checkpoint: st
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("flagged"))
         .select(F.col("window.end").cast("timestamp_ntz").alias("at"), "rows", "flagged")
     )
-    return start(progress, checkpoint, "append", to_batches(sink))
+    return start(progress, checkpoint, "append", to_batches(sink), trigger)
 
 
-def stream_dedup(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str) -> StreamingQuery:
+def stream_dedup(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
+                 trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """Each message once, however often it is delivered within the watermark."""
     once = with_event_time(df, ts).dropDuplicatesWithinWatermark([key])
-    return start(once.withColumn(ts, F.col(ts).cast("timestamp_ntz")), checkpoint, "append", to_batches(sink))
+    return start(once.withColumn(ts, F.col(ts).cast("timestamp_ntz")), checkpoint, "append", to_batches(sink), trigger)
 
 
-def stream_latest_state(log: DataFrame, order: list[str], sink: str, checkpoint: str) -> StreamingQuery:
+def stream_latest_state(log: DataFrame, order: list[str], sink: str, checkpoint: str,
+                        trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
     """The folded state of every run that changed, per micro-batch. `read_latest_state` joins them up."""
-    return start(fold_status(log, order), checkpoint, "update", to_batches(sink))
+    return start(fold_status(log, order), checkpoint, "update", to_batches(sink), trigger)
 
 
 def read_latest_state(df: DataFrame, key: str = "run_id", batch: str = "batch") -> DataFrame:

@@ -82,6 +82,9 @@ def test_export_sinks(spark, tmp_path):
     assert sinks.write_export(df, f"{tmp_path}/json", "json") == 2
     lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()]
     assert {"Bill ID": 1, "name": "é", "note": None} in lines
+    typed = spark.sql("SELECT TIMESTAMP_NTZ '2024-01-15 10:00:00' AS at, CAST(500 AS DECIMAL(15,2)) AS amount")
+    sinks.write_export(typed, f"{tmp_path}/typed")
+    assert tuple(files.scan_csv(spark, f"{tmp_path}/typed").head()) == ("2024-01-15T10:00:00Z", "500.0")
     with pytest.raises(ValueError):
         sinks.write_export(df, "x", "pdf")
     assert sinks.export_path("r", "t", "j", "u", "json") == "r/exports/t/j/u.json"
