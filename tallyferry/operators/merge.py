@@ -66,16 +66,17 @@ def merge(
     row: str = ROW,
     hot_rows: int | None = HOT_ROWS,
     unique_keys: bool = False,
-    both_results: bool = True,
+    outcomes_only: bool = False,
     hold: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Merge:
     """M1-M18. `target` is the stored table (all tenants), `changes` the renamed import rows.
 
     `unique_keys` promises at most one row per key and replaces the window by a plain lookup.
     `hot_rows=None` promises that no key is hot and saves the pass that looks for hot keys.
-    `both_results=False` says that only one of the two results will be used.
+    `outcomes_only` says that the new table will not be used.
     `hold` may write intermediate rows down (`session.keep`): the classified rows are read by several
-    passes and the applied rows by both results. Without it each pass reads the changes again.
+    passes, the applied rows by the outcomes and three times by the new table. Without it each pass
+    reads the changes again.
     """
     key = match_key or entity.match_key
     if mode not in IMPORT_MODES:
@@ -87,7 +88,7 @@ def merge(
     known = _table_keys(target, entity, key, tenant)
     keyed = _exists_by_lookup(staged, known) if unique_keys else _exists_in_order(staged, known, hot_rows)
     applied = _apply(keyed, entity, key, as_of)
-    if both_results:
+    if not outcomes_only:
         applied = hold(applied)
     table = _new_table(target, applied, entity, key, as_of, tenant, run_id)
     return Merge(table, applied.select(F.col("__row").alias(ROW), "outcome", "field", "message"))

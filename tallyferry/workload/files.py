@@ -156,7 +156,7 @@ def snapshot_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     touched = table.touched(change.select("external_id"))
     merged = merges.M.merge(
         table.read(0, touched), change, merges.account(), merges.AS_OF, tenant=1, registry=merges.Registry((merges.NATION,)),
-        tables={"nation": Tables(spark, sf_dir)["nation"]}, run_id="r1", both_results=False, hold=merges.keep,
+        tables={"nation": Tables(spark, sf_dir)["nation"]}, run_id="r1", hold=merges.keep,
     )
     table.commit(merged.table, 1, touched, table.live(0))
     return table.read(1).select("external_id", "client_id", "name", "amount", "status", "nation_id")

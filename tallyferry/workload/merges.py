@@ -100,7 +100,7 @@ def run(
     return M.merge(
         accounts(spark, sf_dir), changes(spark, sf_dir, action, last_only), account(overlay), AS_OF, tenant=1, mode=mode,
         tables=tables, registry=Registry((NATION,)), run_id="r1",
-        both_results=False, hold=keep, **kw,
+        hold=keep, **kw,
     )
 
 
@@ -185,13 +185,13 @@ def merge_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("merge_in_file_order", _sql() + 'SELECT "row", outcome, field, message FROM outcomes')
 def merge_in_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The outcome of every row."""
-    return run(spark, sf_dir).outcomes
+    return run(spark, sf_dir, outcomes_only=True).outcomes
 
 
 @register("merge_hot_keys", _sql() + 'SELECT "row", outcome, field, message FROM outcomes')
 def merge_hot_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G4 with every key of more than 3 rows treated as hot: chunked, with the state carried over."""
-    return run(spark, sf_dir, hot_rows=3).outcomes
+    return run(spark, sf_dir, hot_rows=3, outcomes_only=True).outcomes
 
 
 @register("merge_replace_overlay", _sql(overlay="replace") + _MERGED)
@@ -203,7 +203,7 @@ def merge_replace_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("merge_create", _sql("create", last_only=True) + 'SELECT "row", outcome, field, message FROM outcomes')
 def merge_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1 on the fast path: at most one row per key."""
-    return run(spark, sf_dir, "create", action=False, last_only=True, unique_keys=True).outcomes
+    return run(spark, sf_dir, "create", action=False, last_only=True, unique_keys=True, outcomes_only=True).outcomes
 
 
 @register("merge_update", _sql("update") + _MERGED)
@@ -245,7 +245,7 @@ def merge_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def merge_outcome_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F3, F9, F10, B8."""
-    return M.run_status(M.outcome_counts(run(spark, sf_dir).outcomes))
+    return M.run_status(M.outcome_counts(run(spark, sf_dir, outcomes_only=True).outcomes))
 
 
 @register(
@@ -294,6 +294,6 @@ def merge_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderstatus END AS status",
     )
     merged = M.merge(
-        accounts(spark, sf_dir), rows, account(), AS_OF, tenant=1, mode="update", match_key="id", both_results=False, hold=keep
+        accounts(spark, sf_dir), rows, account(), AS_OF, tenant=1, mode="update", match_key="id", hold=keep
     )
     return merged.table.select("id", "external_id", "name", "status")
