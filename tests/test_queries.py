@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry_module
 from oracle_check import compare, connect
+from tallyferry import workload
 
 SF_DIR = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 SAMPLE = (
@@ -15,7 +16,7 @@ SAMPLE = (
     "validate_error_order", "merge_actions", "merge_hot_keys", "history_last_run", "rate_hot_key", "csv_row_numbers",
     "stream_rate_window",
 )
-QUERIES = entry_module.queries()
+QUERIES = workload.QUERIES
 NAMES = list(QUERIES) if os.environ.get("ALL_QUERIES") else SAMPLE
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
@@ -33,7 +34,7 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry_module.oracle_sql()) == set(QUERIES)
+    assert set(workload.ORACLES) == set(workload.QUERIES)
 
 
 def test_entry(spark):
