@@ -8,15 +8,16 @@ frequent tokens of one pool. Pools cut the frequent tokens by hash, finer for la
 partners differ in size by at most 1 / t, a set is indexed in the pools of its own size band and of the next lower one.
 
 Equal sets are one node. The sketch bounds the count of every rare shingle by its bucket, so groups of rare tokens
-are small by construction. Groups of any size are joined in steps: each set with one partner that shares most with
-it; then, within each group, only sets outside the group's main component with the rest. Sets that are linked
-already are not compared again, so a large group of copies costs about its size, and no link that would join two
-components is left out.
+are small by construction; its width follows the number of shingles. No group is expanded into pairs: every set points
+to the partner that shares most keys with it, which makes clusters; all sets of a cluster are compared over an inverted
+index, in blocks of bounded size; then what shares a key across two clusters, and is in different components still, is
+compared pair by pair. Only links that join two components are ever returned.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 
 from tallyferry.llm.arrays import SOLID, Words, mixed, pieces
 from tallyferry.llm.graph import components
-from tallyferry.llm.store import stored, wanted_only
+from tallyferry.llm.store import stored, wanted_only, without
 
 WORDS = 5
 PERCENT = 75
-SKETCH_BUCKETS = 1 << 20
-_CHUNK = 1 << 12
+SKETCH_BUCKETS = 1 << 24  # at most; a sketch of fewer shingles is folded to about SKETCH_LOAD a bucket
+SKETCH_LOAD = 8
+BLOCK_SHINGLES = 1 << 20  # a block of a cluster has about so many; a task holds two
+_CHUNK = 1 << 14
 _POOL_TOKENS = 4  # frequent tokens a pool of the prefix holds, about
 _NO_SET = "doc_id {t}, n_shingles long, set_id long, chunk int, counts binary"
 
@@ -66,7 +69,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
             ids = batch.column(0)
             sizes, digests = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for at, values, bounds in _sets(batch.column(1), n):
-                sketch += np.bincount((values & np.uint64(SKETCH_BUCKETS - 1)).astype(np.int64), minlength=SKETCH_BUCKETS).astype(np.int32)
+                np.add.at(sketch, (values & np.uint64(SKETCH_BUCKETS - 1)).astype(np.int64), 1)
                 sizes[at : at + len(bounds) - 1] = np.diff(bounds)
                 digests[at : at + len(bounds) - 1] = _set_id(values, bounds)
             schema = pa.schema([("doc_id", ids.type), ("n_shingles", pa.int64()), ("set_id", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
@@ -75,7 +78,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 schema=schema,
             )
         parts = [(k, sketch[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(SKETCH_BUCKETS // _CHUNK)]
-        parts = [(k, x.tobytes()) for k, x in parts if x.any()]
+        parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
         if schema is not None and parts:
             none = len(parts)
             yield pa.RecordBatch.from_arrays(
@@ -87,30 +90,30 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(task, _NO_SET.format(t=id_type))
 
 
-def _summed(parts: DataFrame) -> np.ndarray:
-    """The sketch of all tasks; at most SKETCH_BUCKETS counts reach the driver."""
+def frequent_buckets(parts: DataFrame, shingles: int) -> np.ndarray:
+    """Packed bits of the buckets of frequent shingles: three deviations of an even spread, and five, above the mean.
+
+    Chunks of all tasks are added up by Spark; only the bits reach the driver, 2 MB at most.
+    """
+    width = _CHUNK
+    while width < SKETCH_BUCKETS and shingles > SKETCH_LOAD * width:
+        width *= 2
+    mean = shingles / width
+    limit = mean + 3 * math.sqrt(mean) + 5
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(x.as_py(), np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())],
-            names=["chunk", "counts"],
-        )
-
-    chunks = parts.repartition("chunk").mapInArrow(task, "chunk int, counts binary")
-    sketch = np.zeros(SKETCH_BUCKETS, np.int64)
-    for row in chunks.collect():
-        sketch[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.frombuffer(bytes(row.counts), np.int64)
-    return sketch
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64)
+        bits = [np.packbits(x > limit).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
-
-def frequent_buckets(sketch: np.ndarray) -> np.ndarray:
-    """Which buckets hold frequent shingles: three deviations of an even spread, and five, above the mean."""
-    mean = sketch.mean()
-    return sketch > mean + 3 * math.sqrt(mean) + 5
+    folded = parts.select(F.expr(f"chunk % {width // _CHUNK}").alias("chunk"), "counts")
+    out = np.zeros(width // 8, np.uint8)
+    for row in folded.repartition("chunk").mapInArrow(task, "chunk int, bits binary").collect():
+        out[row.chunk * _CHUNK // 8 : (row.chunk + 1) * _CHUNK // 8] = np.frombuffer(bytes(row.bits), np.uint8)
+    return out
 
 
 def _signatures(values: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +170,9 @@ def _pairs(common: np.ndarray, left: int, pools: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _keys(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
+def _keys(docs: DataFrame, frequent_bits: np.ndarray, n: int, percent: int) -> DataFrame:
     """(sig, set_id, info) of every distinct set, equal sets of an Arrow batch once; info = 8 * size + role."""
-    common = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent_buckets(sketch)))  # SKETCH_BUCKETS bits
+    common = docs.sparkSession.sparkContext.broadcast(frequent_bits)  # SKETCH_BUCKETS bits at most
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         is_common = np.unpackbits(common.value).view(bool)
@@ -177,7 +180,7 @@ def _keys(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFram
             seen: set[int] = set()
             for _, values, bounds in _sets(batch.column(0), n):
                 digests, sigs, infos, owners = _set_id(values, bounds), [], [], []
-                frequent = is_common[(values & np.uint64(SKETCH_BUCKETS - 1)).astype(np.int64)]
+                frequent = is_common[(values & np.uint64(len(is_common) - 1)).astype(np.int64)]
                 for i in np.flatnonzero(np.diff(bounds)):
                     if (digest := int(digests[i])) in seen:
                         continue
@@ -233,45 +236,109 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of sets, those over the threshold, compared in full on the texts of one document of each."""
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    texts = (
-        members.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+def _texts(ends: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(set_id, text) for the sets of `ends`, a text of one document each; other texts are not shuffled."""
+    one = members.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
+    return wanted_only(docs, "doc_id", one).join(one, "doc_id").select("set_id", "text")
+
+
+def _own_sets(texts: pa.Array, ids: np.ndarray, n: int) -> list[np.ndarray | None]:
+    """The set of each text; None if it isn't the one of that id (a repeated doc_id with another text)."""
+    out: list[np.ndarray | None] = []
+    for at, values, bounds in _sets(texts, n):
+        right = _set_id(values, bounds) == ids[at : at + len(bounds) - 1]
+        out += [values[x:y] if r else None for x, y, r in zip(bounds[:-1], bounds[1:], right, strict=True)]
+    return out
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def _joined(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between the sets that make their components, found over an inverted index of their shingles."""
+    if len(sets) == 2:
+        return [(0, 1)] if _similar(*sets, percent) else []
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    posting = owner[np.argsort(token, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(token))])
+    at = np.concatenate([[0], np.cumsum(size)])
+    label, out = np.arange(len(sets)), []
+    for k in range(len(sets)):
+        own = token[at[k] : at[k + 1]]
+        common = np.bincount(np.concatenate([posting[start[t] : start[t + 1]] for t in own]), minlength=len(sets))
+        hits = np.flatnonzero(100 * common >= percent * (size + size[k] - common))
+        for other in hits.tolist():
+            if label[other] != label[k]:
+                out.append((k, other))
+                label[label == label[other]] = label[k]
+    return out
+
+
+def _within(clusters: DataFrame, docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) inside clusters (set_id, cluster, n), each set compared with all of its cluster.
+
+    A cluster of more than a block is dealt in blocks by hash, and every two blocks meet in one task.
+    """
+    blocks = clusters.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("blocks"), F.count("*").alias("c")).where("c > 1")
+    dealt = (
+        clusters.join(blocks, "cluster")
+        .withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("blocks")))
+        .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+        .select("set_id", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
     )
-    texts = wanted_only(docs.select("doc_id", "text"), "doc_id", texts).join(texts, "doc_id").select("set_id", "text")
+    rows = (
+        dealt.join(_texts(dealt.select("set_id").distinct(), docs, members), "set_id")
+        .repartition("unit").sortWithinPartitions("unit", "set_id").select("unit", "set_id", "text")
+    )
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, sets, ids = None, [], []
+        links: list[tuple[int, int]] = []
+
+        def close() -> None:
+            if len(sets) > 1:
+                links.extend((ids[x], ids[y]) for x, y in _joined(sets, percent))
+
+        for batch in batches:
+            units, owners = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for u, s, x in zip(units, owners.tolist(), _own_sets(batch.column(2), owners, n), strict=True):
+                if u != unit:
+                    close()
+                    unit, sets, ids = u, [], []
+                if x is not None and (not ids or ids[-1] != s):
+                    sets.append(x)
+                    ids.append(s)
+        close()
+        a, b = np.array(links, np.int64).reshape(-1, 2).T
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return rows.mapInArrow(task, "a long, b long")
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of sets, those over the threshold."""
+    texts = _texts(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), docs, members)
     both = (
         pairs.select("a", "b")
         .join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
         .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+        .select("a", "b", "text_a", "text_b")
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = []
-                for column, digest in (("text_a", "a"), ("text_b", "b")):
-                    own = []
-                    for _, values, bounds in _sets(part.column(part.schema.get_field_index(column)), n):
-                        right = _set_id(values, bounds)
-                        own += [(values[x:y], d) for x, y, d in zip(bounds[:-1], bounds[1:], right.tolist(), strict=True)]
-                    due = part.column(part.schema.get_field_index(digest)).to_pylist()
-                    sets.append([v if d == due_d else None for (v, d), due_d in zip(own, due, strict=True)])
-                for x, y in zip(*sets, strict=True):
-                    if x is None or y is None:
-                        keep.append(False)
-                        continue
-                    union_size = len(x) + len(y)
-                    merged = np.concatenate([x, y])
-                    merged.sort()
-                    common = int((merged[1:] == merged[:-1]).sum())
-                    keep.append(100 * common >= percent * (union_size - common))
-            got = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays(
-                [got.column(got.schema.get_field_index("a")), got.column(got.schema.get_field_index("b"))], names=["a", "b"]
-            )
+                a, b = part.column(0), part.column(1)
+                sets = zip(_own_sets(part.column(2), a.to_numpy(), n), _own_sets(part.column(3), b.to_numpy(), n), strict=True)
+                keep = pa.array([x is not None and y is not None and _similar(x, y, percent) for x, y in sets], pa.bool_())
+                yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(task, "a long, b long")
 
@@ -286,54 +353,53 @@ def similarity_components(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
     both = stored(shingle_sets(docs, n), "shingle-sets")
     sets = both.where("chunk IS NULL").select("doc_id", "n_shingles", "set_id")
     members = sets.where("doc_id IS NOT NULL AND set_id IS NOT NULL").select("doc_id", "set_id")
-    sketch = _summed(both.where("chunk IS NOT NULL").select("chunk", "counts"))
+    shingles = sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    frequent = frequent_buckets(both.where("chunk IS NOT NULL").select("chunk", "counts"), shingles)
 
-    keys = stored(_shared(_keys(docs.where("doc_id IS NOT NULL"), sketch, n, percent)), "shared-keys")
+    keys = stored(_shared(_keys(docs.where("doc_id IS NOT NULL"), frequent, n, percent)), "shared-keys")
     sized = keys.select("sig", "set_id", F.shiftright("info", 3).alias("n"), F.col("info").bitwiseAND(3).alias("role"))
 
-    # each set with the pivot it shares most keys with
-    pivots = sized.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("p"))
+    # each set with the partner it shares most keys with
+    pivots = sized.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     votes = (
-        sized.join(pivots, "sig").where("set_id <> p.set_id").where(_fits("n", "p.n", percent))
+        sized.join(pivots.select("sig", "p"), "sig").where("set_id <> p.set_id").where(_fits("n", "p.n", percent))
         .groupBy("set_id", F.col("p.set_id").alias("pivot")).agg(F.count("*").alias("c"))
     )
-    stars = votes.groupBy(F.col("set_id").alias("a")).agg(F.max(F.struct("c", "pivot")).alias("m")).select("a", F.col("m.pivot").alias("b"))
-    first = stored(_linked(stored(stars, "stars"), docs, members, n, percent), "links")
-
-    # in each key's group, the sets outside its main component with all others of another component
-    labelled = sized.join(components(first, "a", "b").withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
-        "component", F.coalesce("component", "set_id")
+    stars = votes.groupBy("set_id").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("set_id").alias("a"), F.col("m.pivot").alias("b"))
+    sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("n_shingles").alias("n"))
+    clusters = stored(
+        components(stars, "a", "b").select(F.col("node").alias("set_id"), F.col("component").alias("cluster")).join(sizes, "set_id"),
+        "clusters",
     )
-    labelled = stored(labelled, "labelled")
-    main = (
-        labelled.groupBy("sig", "component").agg(F.count("*").alias("c"))
-        .groupBy("sig").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts"))
-        .where("parts > 1").select("sig", F.col("m.component").alias("main"))
+    inside = stored(_within(clusters, docs, members, n, percent), "links")
+
+    # what shares a key, but neither cluster nor component
+    labelled = stored(
+        sized.join(clusters.select("set_id", "cluster"), "set_id", "left")
+        .join(components(inside, "a", "b").withColumnRenamed("node", "set_id"), "set_id", "left")
+        .withColumns({"cluster": F.coalesce("cluster", "set_id"), "component": F.coalesce("component", "set_id")}),
+        "labelled",
     )
-    mixed_groups = labelled.join(main, "sig")
-    rest = mixed_groups.where("component <> main")
-    x, y = rest.alias("x"), mixed_groups.alias("y")
-    smaller = "(x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id))"
+    several = labelled.groupBy("sig").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("sig")
+    open_groups = labelled.join(several, "sig")
+    fits = f"({_fits('x.n', 'y.n', percent)})"
+    roles = "IF(x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id), (x.role & 2) > 0 AND (y.role & 1) > 0, (y.role & 2) > 0 AND (x.role & 1) > 0)"
     more = (
-        x.join(y, F.expr("x.sig = y.sig AND x.component <> y.component AND (y.component = y.main OR x.set_id < y.set_id)"))
-        .where(_fits("x.n", "y.n", percent))
-        .where(f"CASE WHEN {smaller} THEN (x.role & 2) > 0 AND (y.role & 1) > 0 ELSE (y.role & 2) > 0 AND (x.role & 1) > 0 END")
+        open_groups.alias("x")
+        .join(open_groups.alias("y"), F.expr(f"x.sig = y.sig AND x.cluster < y.cluster AND x.component <> y.component AND {fits} AND {roles}"))
         .select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
     )
-    second = _linked(stored(more, "pairs"), docs, members, n, percent)
-    found = components(stored(first.unionByName(second), "links"), "a", "b")
+    across = _linked(stored(more, "pairs"), docs, members, n, percent)
+    found = components(stored(inside.unionByName(across), "links"), "a", "b")
 
     # the smallest id of each component
     owned = members.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn(
         "component", F.coalesce("component", "set_id")
     )
     least = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    by_set = (
-        owned.select("set_id", "component").distinct().join(least, "component").select("set_id", "component_id")
-    )
-    return (
-        sets.join(by_set, "set_id", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    by_set = owned.select("set_id", "component").distinct().join(least, "component").select("set_id", "component_id")
+    return sets.join(by_set, "set_id", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
@@ -342,7 +408,6 @@ def _fits(a: str, b: str, percent: int) -> str:
 
 
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their component, with their own columns."""
+    """The documents whose id is the smallest of their component, with their own columns; null ids stay."""
     found = similarity_components(docs, n, percent)
-    drop = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return without(docs, "doc_id", stored(found.where("component_id <> doc_id").select("doc_id"), "dropped"))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import exact_dedup, jaccard_join
+from tallyferry.llm import exact_dedup, jaccard_join, piece_sampling, toxicity
+from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @register(
     r"""
     WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256
@@ -40,13 +48,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
 )
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.duplicate_groups(docs, "doc_id", "text").select(
-        "doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"), F.col("_kept").alias("kept"),
-        F.sha2(exact_dedup.normalised(F.col("text")), 256).alias("text_sha256"),
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn(
+        "text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256)
+    )
+    return exact_dedup.duplicate_groups(docs).select(
+        "_row.doc_id", F.col("_keep_id").alias("keep_id"), F.col("_group_size").alias("group_size"),
+        F.col("_kept").alias("kept"), "_row.text_sha256",
     )
 
 
 @register()
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(table(spark, sf_dir, "documents"))
+
+
+@register()
+def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_sampling.sampled_pieces(docs, vocabulary(piece_sampling.MODEL), with_pieces=False).select(
+        "doc_id", F.col("_n_pieces").alias("n_pieces"), F.col("_pieces_sha256").alias("pieces_sha256"),
+        F.col("_lossless").alias("lossless"),
+    )
+
+
+@register()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )

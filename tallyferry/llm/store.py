@@ -35,28 +35,36 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _slot(key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(bits))
+def marked(rows: DataFrame, name: str, key: Column, wanted: DataFrame, log2_bits: int = 22) -> DataFrame:
+    """`rows` with a boolean column: whether the row's key, a hash, may be among those of `wanted`'s only column.
 
-
-def wanted_only(rows: DataFrame, key: str, wanted: DataFrame, log2_bits: int = 22) -> DataFrame:
-    """Rows whose key may be among `wanted[key]`, decided before any shuffle; the caller joins exactly afterwards.
-
-    The wanted keys become a bitmap of 2**log2_bits bits, a table of at most 2**log2_bits / 64 rows whatever
-    the input, so its broadcast has a proven bound (16 bytes a row: 1 MB at 22). Keys that share a bit pass.
+    The wanted keys become a bitmap of 2**log2_bits bits, a table of at most 2**log2_bits / 64 rows whatever the input,
+    so its broadcast has a proven bound (16 bytes a row: 1 MB at 22). False is certain; where it is true, keys may only
+    share a bit, and the caller decides exactly. Nothing is shuffled but the bitmap.
     """
     bits = 1 << log2_bits
+    slot = F.pmod(F.col(wanted.columns[0]), F.lit(bits))
     words = (
-        wanted.where(F.col(key).isNotNull())
-        .select(_slot(F.col(key), bits).alias("slot"))
-        .groupBy(F.shiftright("slot", 6).alias("_word"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("_bits"))
+        wanted.select(slot.alias("_slot"))
+        .groupBy(F.shiftright("_slot", 6).alias("_word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(_slot & 63 AS INT)))").alias("_bits"))
     )
-    slot = _slot(F.col(key), bits)
     return (
-        rows.withColumn("_slot", slot)
+        rows.withColumn("_slot", F.pmod(key, F.lit(bits)))
         .withColumn("_word", F.shiftright("_slot", 6))
-        .join(F.broadcast(words), "_word")
-        .where(F.expr("getbit(_bits, CAST(_slot & 63 AS INT)) = 1"))
+        .join(F.broadcast(words), "_word", "left")
+        .withColumn(name, F.expr("coalesce(getbit(_bits, CAST(_slot & 63 AS INT)) = 1, false)"))
         .drop("_slot", "_word", "_bits")
     )
+
+
+def wanted_only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows whose key may be among `wanted[key]`, decided before any shuffle; the caller joins exactly afterwards."""
+    return marked(rows, "_may", F.xxhash64(key), wanted.where(F.col(key).isNotNull()).select(F.xxhash64(key))).where("_may").drop("_may")
+
+
+def without(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose key is not among `dropped[key]`; only those that may be are shuffled. Null keys stay."""
+    seen = marked(rows, "_may", F.xxhash64(key), dropped.where(F.col(key).isNotNull()).select(F.xxhash64(key)))
+    maybe = seen.where("_may").drop("_may").join(dropped.select(key).distinct(), key, "left_anti")
+    return seen.where("NOT _may").drop("_may").select(*rows.columns).unionByName(maybe.select(*rows.columns))
