@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import exact_dedup, jaccard_join, piece_sampling, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, piece_sampling, toxicity
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -78,3 +78,35 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"),
         (F.col("_score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@register(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+    wins AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+             FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p
+                   FROM i WHERE len(w) > 0)),
+    sizes AS (SELECT DISTINCT n FROM wins),
+    places AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS g
+               FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, sizes WHERE len(w) >= n)),
+    hits AS (SELECT doc_id, p, n, item_id FROM places JOIN wins USING (n, g)),
+    words AS (SELECT doc_id, count(DISTINCT q) AS n_hit
+              FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+              FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+    """
+)
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.matches(docs, table(spark, sf_dir, "benchmark")).select(
+        "doc_id", F.col("_n_words").alias("n_words"), decontamination.n_hit().alias("n_hit"),
+        F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
+        (F.size("_spans") > 0).alias("contaminated"),
+    )
