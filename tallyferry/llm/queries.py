@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, piece_sampling, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, piece_sampling, token_counts, toxicity
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -110,3 +110,24 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
         (F.size("_spans") > 0).alias("contaminated"),
     )
+
+
+@register()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, vocabulary(token_counts.MODEL)).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_tokens").alias("n_tokens"), F.col("_over_limit").alias("over_limit")
+    )
+
+
+@register()
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    base, more = F.col("_base.label"), F.col("_matches.label")
+    return licenses.license_scan(docs).select(
+        "doc_id", F.col("_n_words").alias("n_words"), F.size("_base").cast("long").alias("n_base"),
+        F.array_min("_base.word").alias("first_word"), F.array_max("_base.word").alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
+        F.col("_score").alias("score"), F.col("_matches").alias("matches"),
+    )
