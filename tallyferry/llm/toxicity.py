@@ -1,19 +1,21 @@
-"""Toxicity by class-conditional Kneser-Ney bigram models.
-
-Two models of the same vocabulary, one of toxic and one of ordinary documents, back off from bigrams to the class's
-continuation counts and from there to continuation counts that both classes share, so that a word one class has hardly
-seen is smoothed by what all documents say about it. The difference of the two log-likelihoods, divided by the number of
-words, becomes a probability by a logistic fit on one fold that the counts leave out.
-
-Counts cover all texts of the labelled rows (labels.MAX_LABELLED at most). The vocabulary is the `vocabulary` most
-frequent words, all others are one class of rare words; of the bigrams the `bigrams` most frequent have an entry of their
-own, the mass of the others goes to the backoff. So the model has a bounded size and is broadcast; scoring needs no
-shuffle.
+"""Toxicity by class-conditional Kneser-Ney models.
+
+Two models of the same vocabulary, one of toxic and one of ordinary documents. Each backs off from bigrams (order 2) to
+the class's continuation counts (the number of different words before a word), and from there to continuation counts
+that both classes share. The discount takes the same share of either class's mass, so an expression that neither
+class has seen often is left to the shared counts and speaks for neither. The difference of the log-likelihoods, divided
+by the number of words, and the part of it that words with a difference of more than STRONG make, become a probability
+by a logistic fit on one fold that the counts leave out; order and discount are those that fit this fold best.
+
+Counts cover all texts of the labelled rows (labels.MAX_LABELLED at most). The vocabulary is the most frequent words, at
+most `vocabulary` of them, all others are one class of rare words; bigrams have an entry of their own from the least
+count on that leaves at most `bigrams` of them, the mass of the others goes to the backoff. So the model has a bounded
+size and is broadcast; scoring needs no shuffle.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,36 +31,42 @@ VOCABULARY = 1 << 15
 BIGRAMS = 1 << 19
 TUNE_FOLD = 4
 THRESHOLD = 0.5
+STRONG = 1.0  # in nats
+CANDIDATES = ((1, 1.0), (1, 2.0), (1, 5.0), (1, 10.0), (1, 20.0), (2, 2.0), (2, 10.0))  # order, discount
+RIDGE = 1e-3
 _ROW = 1 << 16  # more than the vocabulary: a bigram is first * _ROW + second
 
 
 @dataclass
 class Model:
     """words: sorted hashes, of which word k has number k + 1; number 0 is every other word, and the last the start of a
-    text. gain: per number the difference of the classes' continuation log-probabilities parts.
+    text. Arrays of two rows hold the ordinary class first.
     """
 
     words: np.ndarray
-    unigram: np.ndarray  # class, number: continuation probability
+    unigram: np.ndarray  # class, number: probability from continuation counts
     backoff: np.ndarray  # class, number: mass left to it behind that word
-    bigrams: np.ndarray  # sorted keys
+    bigrams: np.ndarray  # sorted keys; empty for order 1
     direct: np.ndarray  # class, bigram: discounted probability
 
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 1, 0)
-
     def word_scores(self, keys: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of each bigram's second word."""
         first, second = keys // _ROW, keys % _ROW
-        at = np.minimum(np.searchsorted(self.bigrams, keys), max(len(self.bigrams) - 1, 0))
-        known = self.bigrams[at] == keys if len(self.bigrams) else np.zeros(len(keys), bool)
-        p = [self.backoff[c][first] * self.unigram[c][second] + (np.where(known, self.direct[c][at], 0.0) if len(self.bigrams) else 0.0) for c in (0, 1)]
+        if not len(self.bigrams):
+            return (np.log(self.unigram[1]) - np.log(self.unigram[0]))[second]
+        at = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
+        known = self.bigrams[at] == keys
+        p = [self.backoff[c][first] * self.unigram[c][second] + np.where(known, self.direct[c][at], 0.0) for c in (0, 1)]
         return np.log(p[1]) - np.log(p[0])
 
 
+def numbered(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
+    return np.where(vocabulary[at] == hashes, at + 1, 0)
+
+
 def bigram_keys(words: Words, numbers: np.ndarray, start: int) -> np.ndarray:
     before = np.empty(len(numbers), np.int64)
     before[1:] = numbers[:-1]
@@ -66,7 +74,7 @@ def bigram_keys(words: Words, numbers: np.ndarray, start: int) -> np.ndarray:
     return before * _ROW + numbers
 
 
-def _counted(rows: DataFrame, key_type: str, keys_of) -> DataFrame:
+def _counted(rows: DataFrame, keys_of: Callable[[Words], np.ndarray]) -> DataFrame:
     """(label, key, n): keys of all words of the rows' texts, counted in each Arrow batch and then by Spark."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,114 +95,137 @@ def _counted(rows: DataFrame, key_type: str, keys_of) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys), pa.array(total)], names=["label", "key", "n"])
 
     return (
-        rows.select("text", F.col("label").cast("long")).mapInArrow(task, f"label long, key {key_type}, n long")
+        rows.select("text", F.col("label").cast("long")).mapInArrow(task, "label long, key long, n long")
         .groupBy("label", "key").agg(F.sum("n").alias("n"))
     )
 
 
-def fit(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Model:
-    """The models of docs' texts; `known` has doc_id and label, and is small enough to broadcast."""
-    session = docs.sparkSession
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """Rows of (.., n) with at least the least n that at most `most` rows reach; no rows are gathered for it."""
+    reached, least = 0, 1 << 62
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("c")).collect(), key=lambda r: -r.n):
+        if reached + r.c > most:
+            break
+        reached, least = reached + r.c, r.n
+    return counts.where(F.col("n") >= least)
+
+
+@dataclass
+class Counts:
+    """What the models are made of; arrays of two rows hold the ordinary class first."""
+
+    words: np.ndarray
+    before: np.ndarray  # class, number: different words before it
+    shared: np.ndarray  # number: the same over both classes
+    behind: np.ndarray  # class, number: how often a word follows it
+    bigrams: np.ndarray
+    n: np.ndarray  # class, bigram
+
+    def model(self, order: int, discount: float) -> Model:
+        """`discount` is in counts of the smaller class; the other's is larger by the ratio of their sizes."""
+        size = len(self.shared)
+        base = (self.shared + 1) / (self.shared.sum() + size)
+        total = np.maximum(self.before.sum(1), 1)
+        kept = np.maximum(self.before - (discount * total / total.min())[:, None], 0) / total[:, None]
+        unigram = kept + np.maximum(1 - kept.sum(1), 1e-9)[:, None] * base
+        if order == 1:
+            return Model(self.words, unigram, np.empty(0), np.empty(0, np.int64), np.empty(0))
+        first = self.bigrams // _ROW
+        tokens = np.maximum(self.behind.sum(1), 1)
+        direct = np.maximum(self.n - (discount * tokens / tokens.min())[:, None], 0) / np.maximum(self.behind[:, first], 1)
+        left = np.stack([1 - np.bincount(first, direct[c], size) for c in (0, 1)])
+        return Model(self.words, unigram, np.maximum(left, 1e-9), self.bigrams, direct)
+
+
+def count(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Counts:
+    """Counts of the texts of `docs`; `known` has doc_id and label, and is small enough to broadcast."""
     rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "label")), "doc_id")
-    frequent = (
-        _counted(rows, "long", lambda words: words.hash.view(np.int64))
-        .groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(min(vocabulary, _ROW - 2))
+    seen = stored(
+        _counted(rows, lambda words: words.hash.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n")), "words"
     )
-    words = np.sort(np.array([r.key for r in frequent.select("key").collect()], np.int64).view(np.uint64))
-    model = Model(words, *[np.empty(0)] * 4)
-    shared_words, start = session.sparkContext.broadcast(words), len(words) + 1
+    words = np.sort(_frequent(seen, min(vocabulary, _ROW - 2)).select("key").toArrow()["key"].to_numpy().view(np.uint64))
+    shared, start = docs.sparkSession.sparkContext.broadcast(words), len(words) + 1
+    counts = stored(
+        _counted(rows, lambda w: bigram_keys(w, numbered(shared.value, w.hash), start)), "bigrams"
+    ).withColumns({"first": F.expr(f"key DIV {_ROW}"), "second": F.expr(f"key % {_ROW}")})
+    size = len(words) + 2
 
-    def keys_of(w: Words) -> np.ndarray:
-        return bigram_keys(w, Model(shared_words.value, *[np.empty(0)] * 4).numbers(w.hash), start)
+    def filled(per: DataFrame, place: str) -> np.ndarray:  # at most two rows for each word of the vocabulary
+        got, out = per.toArrow(), np.zeros((2, size))
+        out[got["label"].to_numpy(), got[place].to_numpy()] = got["c"].to_numpy()
+        return out
 
-    counts = stored(_counted(rows, "long", keys_of), "bigrams").withColumns(
-        {"first": F.expr(f"key DIV {_ROW}"), "second": F.expr(f"key % {_ROW}")}
+    both = counts.groupBy("key").agg(
+        F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
     )
-    # discounts from the counts of counts, and of continuation counts
-    of_counts = {(r.label, r.n): r.c for r in counts.where("n <= 2").groupBy("label", "n").agg(F.count("*").alias("c")).collect()}
-    discount = np.array([_discount(of_counts.get((c, 1), 0), of_counts.get((c, 2), 0)) for c in (0, 1)])
-    size = len(words) + 2
-    followers, context, total = (np.zeros((2, size)) for _ in range(3))
-    for r in counts.groupBy("label", "second").agg(F.count("*").alias("d")).collect():  # at most 2 * vocabulary rows
-        followers[r.label, r.second] = r.d
-    shared = np.zeros(size)
-    for r in counts.groupBy("second").agg(F.countDistinct("first").alias("d")).collect():
-        shared[r.second] = r.d
-    held = counts.groupBy("key").agg(
-        *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
-    ).orderBy(F.expr("n0 + n1").desc(), "key").limit(bigrams).toPandas().sort_values("key")
-    for r in counts.groupBy("label", "first").agg(F.sum("n").alias("n")).collect():
-        total[r.label, r.first] = r.n
-    model.bigrams = held["key"].to_numpy(np.int64)
-    first = model.bigrams // _ROW
-    model.direct = np.zeros((2, len(held)))
-    for c in (0, 1):
-        own = np.maximum(held[f"n{c}"].to_numpy(float) - discount[c], 0)
-        model.direct[c] = own / np.maximum(total[c][first], 1)
-        context[c] = np.bincount(first, model.direct[c], size)
-    model.backoff = np.maximum(1 - context, 1e-9)
-    base = (shared + 1) / (shared.sum() + size)
-    model.unigram = np.empty((2, size))
-    for c in (0, 1):
-        types, all_types = (followers[c] > 0).sum(), max(followers[c].sum(), 1)
-        d = _discount((followers[c] == 1).sum(), (followers[c] == 2).sum())
-        model.unigram[c] = np.maximum(followers[c] - d, 0) / all_types + max(d * types / all_types, 1e-9) * base
-    return model
-
-
-def _discount(ones: float, twos: float) -> float:
-    return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
-
-
-def likelihood_ratios(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of `docs` and _ratio: toxic minus ordinary log-likelihood a word; 0 without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    held = _frequent(both, bigrams).select("key", "n0", "n1").toArrow().sort_by("key")
+    different = counts.select("first", "second").distinct().groupBy("second").agg(F.count("*").alias("c")).withColumn("label", F.lit(0))
+    return Counts(
+        words,
+        filled(counts.groupBy("label", "second").agg(F.count("*").alias("c")), "second"),
+        filled(different, "second")[0],
+        filled(counts.groupBy("label", "first").agg(F.sum("n").alias("c")), "first"),
+        held["key"].to_numpy(),
+        np.stack([held["n0"].to_numpy(), held["n1"].to_numpy()]).astype(float),
+    )
+
+
+def ratios(docs: DataFrame, models: list[Model]) -> DataFrame:
+    """All columns of `docs`, and for model k: _all_k, toxic minus ordinary log-likelihood a word, and _strong_k, the part
+    of it above STRONG of each word; both 0 without words."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    added = [f"_{kind}_{k}" for k in range(len(models)) for kind in ("all", "strong")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        start = len(model.words) + 1
+        models = shared.value
         for batch in batches:
-            ratio = np.zeros(batch.num_rows)
+            out = np.zeros((len(added), batch.num_rows))
             for at, to, data, bounds in pieces(batch.column(batch.schema.names.index("text"))):
                 words = Words(data, bounds)
-                score = model.word_scores(bigram_keys(words, model.numbers(words.hash), start))
-                ratio[at:to] = np.bincount(words.owner(), score, to - at) / np.maximum(words.count, 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ratio)], names=[*batch.schema.names, "_ratio"])
-
-    return docs.mapInArrow(task, f"{own}, _ratio double")
-
-
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and intercept of a logistic fit of one variable, by Newton's steps with a slight ridge."""
-    spread = float(x.std()) or 1.0
-    z = np.stack([x / spread, np.ones(len(x))], 1)
-    w = np.zeros(2)
+                keys = bigram_keys(words, numbered(models[0].words, words.hash), len(models[0].words) + 1)
+                owner, some = words.owner(), np.maximum(words.count, 1)
+                for k, model in enumerate(models):
+                    score = model.word_scores(keys)
+                    out[2 * k, at:to] = np.bincount(owner, score, to - at) / some
+                    out[2 * k + 1, at:to] = np.bincount(owner, np.maximum(score - STRONG, 0), to - at) / some
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *added])
+
+    return docs.mapInArrow(task, ", ".join([own, *[f"{c} double" for c in added]]))
+
+
+def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Slopes and intercept of a logistic fit by Newton's steps with a slight ridge, and its mean loss."""
+    spread = np.append(np.where(x.std(0) > 0, x.std(0), 1), 1)
+    z = np.append(x, np.ones((len(x), 1)), 1) / spread
+    w = np.zeros(z.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        slope = z.T @ (p - y) + 1e-2 * w
-        w -= np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), slope)
-    return float(w[0] / spread), float(w[1])
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w)), z.T @ (p - y) + RIDGE * w)
+        w -= step * min(1, 5 / max(np.abs(step).max(), 1e-12))
+    p = np.clip(1 / (1 + np.exp(-np.clip(z @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return w / spread, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
 def scored(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
     """All columns of `docs` and _score, the probability of label 1, from the text alone.
 
-    A text without words gets the probability of a ratio of 0. If the labels to learn from are all alike, every score
-    is that label, and 0 if there are none.
+    A text without words gets the probability of no difference. If the labels to learn from are all alike, every score
+    is that label, and 0 if there are none; if only those of the tuning fold are, the difference is taken as it is.
     """
     known = stored(to_learn_from(labels, target, most), "labelled")
     seen = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return docs.withColumn("_score", F.lit(float(1 in seen)))
-    counted, tuning = known.where(F.col("fold") != TUNE_FOLD), known.where(F.col("fold") == TUNE_FOLD)
-    model = fit(docs, counted)
-    tuned = likelihood_ratios(
-        docs.select("doc_id", "text").join(F.broadcast(tuning.select("doc_id", "label")), "doc_id"), model
-    ).select("_ratio", "label").toPandas()  # at most `most` rows
-    if tuned["label"].nunique() < 2:
-        slope, intercept = 1.0, float(np.log(seen[1] / seen[0]))
-    else:
-        slope, intercept = logistic(tuned["_ratio"].to_numpy(), tuned["label"].to_numpy(float))
-    score = 1 / (1 + F.exp(-(F.col("_ratio") * slope + intercept)))
-    return likelihood_ratios(docs, model).withColumn("_score", score).drop("_ratio")
+    counts = count(docs, known.where(F.col("fold") != TUNE_FOLD))
+    models = [counts.model(order, discount) for order, discount in CANDIDATES]
+    tuning = docs.select("doc_id", "text").join(F.broadcast(known.where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")), "doc_id")
+    tuned = ratios(tuning, models).drop("doc_id", "text").toArrow()  # of at most `most` rows
+    y = tuned["label"].to_numpy().astype(float)
+    best, weights = 0, np.array([1.0, 0.0, np.log(seen[1] / seen[0])])
+    if len(set(y.tolist())) == 2:
+        fits = [logistic(np.stack([tuned[f"_all_{k}"].to_numpy(), tuned[f"_strong_{k}"].to_numpy()], 1), y) for k in range(len(models))]
+        best = min(range(len(fits)), key=lambda k: fits[k][1])
+        weights = fits[best][0]
+    total = F.col("_all_0") * float(weights[0]) + F.col("_strong_0") * float(weights[1]) + float(weights[2])
+    return ratios(docs, [models[best]]).withColumn("_score", 1 / (1 + F.exp(-total))).drop("_all_0", "_strong_0")
