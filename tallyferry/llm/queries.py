@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, piece_sampling, token_counts, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, piece_sampling, quality, token_counts, toxicity
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -131,3 +131,12 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
         F.col("_score").alias("score"), F.col("_matches").alias("matches"),
     )
+
+
+@register()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.scored(docs, table(spark, sf_dir, "labels")).select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("_score").alias("score"),
+        (F.col("_score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
