@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, piece_sampling, quality, suffix_dedup, token_counts, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, piece_sampling, quality, suffix_dedup, token_counts, toxicity
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -149,3 +149,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"),
         F.col("_kept_sha256").alias("kept_sha256"),
     )
+
+
+@register()
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
