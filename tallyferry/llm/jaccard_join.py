@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyferry.llm.arrays import SOLID, Words, mixed, pieces
@@ -202,8 +202,8 @@ def _keys(docs: DataFrame, frequent_bits: np.ndarray, n: int, percent: int) -> D
 def _shared(keys: DataFrame) -> DataFrame:
     """Rows of keys that may belong to several sets.
 
-    Groups of rare keys, whose size the sketch bounds, meet in one task, and those of one set end here. Keys of
-    frequent tokens are dealt by their set too, and pass once each.
+    Groups of rare keys, whose size the sketch bounds, meet in one task; those of one set end here, and the others get
+    their least set as pivot. Keys of frequent tokens are dealt by their set too, and pass once each, without a pivot.
     """
     frequent_salt = F.when(F.col("info").bitwiseAND(4) == 0, F.pmod("set_id", F.lit(64))).otherwise(-1)
     dealt = keys.repartition("sig", frequent_salt).sortWithinPartitions("sig", "set_id", F.desc("info"))
@@ -226,9 +226,17 @@ def _shared(keys: DataFrame) -> DataFrame:
             beside[1:] = sig[1:] == sig[:-1]
             beside[:-1] |= beside[1:]
             go = beside | (info & 4 == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x[go]) for x in (sig, owner, info)], names=["sig", "set_id", "info"])
+            head = np.ones(len(sig), bool)
+            head[1:] = sig[1:] != sig[:-1]
+            least = np.flatnonzero(head)[np.cumsum(head) - 1]  # the group's first row has its least set
+            whole = info & 4 == 0
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(x[go]) for x in (sig, owner, info)],
+                 *[pa.array(x[go], mask=whole[go]) for x in (owner[least], info[least] >> 3)]],
+                names=["sig", "set_id", "info", "pivot", "pivot_n"],
+            )
 
-    return dealt.mapInArrow(task, keys.schema)
+    return dealt.mapInArrow(task, "sig long, set_id long, info long, pivot long, pivot_n long")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -357,13 +365,16 @@ def similarity_components(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
     frequent = frequent_buckets(both.where("chunk IS NOT NULL").select("chunk", "counts"), shingles)
 
     keys = stored(_shared(_keys(docs.where("doc_id IS NOT NULL"), frequent, n, percent)), "shared-keys")
-    sized = keys.select("sig", "set_id", F.shiftright("info", 3).alias("n"), F.col("info").bitwiseAND(3).alias("role"))
+    keys = keys.withColumns({"n": F.shiftright("info", 3), "role": F.col("info").bitwiseAND(3)})
 
     # each set with the partner it shares most keys with
-    pivots = sized.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
+    open_keys = keys.where("pivot IS NULL").select("sig", "set_id", "n")
+    pivots = open_keys.groupBy("sig").agg(F.min(F.struct("set_id", "n")).alias("p"), F.count("*").alias("c")).where("c > 1")
     votes = (
-        sized.join(pivots.select("sig", "p"), "sig").where("set_id <> p.set_id").where(_fits("n", "p.n", percent))
-        .groupBy("set_id", F.col("p.set_id").alias("pivot")).agg(F.count("*").alias("c"))
+        keys.where("pivot IS NOT NULL").select("set_id", "n", "pivot", "pivot_n")
+        .unionByName(open_keys.join(pivots, "sig").select("set_id", "n", F.col("p.set_id").alias("pivot"), F.col("p.n").alias("pivot_n")))
+        .where("set_id <> pivot").where(_fits("n", "pivot_n", percent))
+        .groupBy("set_id", "pivot").agg(F.count("*").alias("c"))
     )
     stars = votes.groupBy("set_id").agg(F.max(F.struct("c", "pivot")).alias("m")).select(F.col("set_id").alias("a"), F.col("m.pivot").alias("b"))
     sizes = sets.where("set_id IS NOT NULL").groupBy("set_id").agg(F.min("n_shingles").alias("n"))
@@ -374,14 +385,17 @@ def similarity_components(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
     inside = stored(_within(clusters, docs, members, n, percent), "links")
 
     # what shares a key, but neither cluster nor component
-    labelled = stored(
-        sized.join(clusters.select("set_id", "cluster"), "set_id", "left")
-        .join(components(inside, "a", "b").withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumns({"cluster": F.coalesce("cluster", "set_id"), "component": F.coalesce("component", "set_id")}),
-        "labelled",
+    placed = clusters.select("set_id", "cluster").join(
+        components(inside, "a", "b").withColumnRenamed("node", "set_id"), "set_id", "full"
+    )
+    beside = Window.partitionBy("sig")
+    open_groups = stored(
+        keys.select("sig", "set_id", "info", "n", "role").join(placed, "set_id", "left")
+        .withColumns({"cluster": F.coalesce("cluster", "set_id"), "component": F.coalesce("component", "set_id")})
+        .withColumns({"low": F.min("cluster").over(beside), "high": F.max("cluster").over(beside)})
+        .where("low <> high").drop("low", "high", "info"),
+        "open-groups",
     )
-    several = labelled.groupBy("sig").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("sig")
-    open_groups = labelled.join(several, "sig")
     fits = f"({_fits('x.n', 'y.n', percent)})"
     roles = "IF(x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id), (x.role & 2) > 0 AND (y.role & 1) > 0, (y.role & 2) > 0 AND (x.role & 1) > 0)"
     more = (
