@@ -21,6 +21,10 @@ SQL_MARKERS = ("';", "' ;", "--", "/*", "*/", "xp_", "sp_")
 SCRIPT_MARKERS = ("<script", "javascript:", "onerror=", "onclick=")
 
 
+# White space in any script, and the four ASCII separators.
+WHITE = r"(?U:[\s\x1c-\x1f])"
+
+
 def blank_to_null(col: Column) -> Column:
     """The empty string becomes null; any other text is kept."""
     return F.nullif(col, F.lit(""))
@@ -28,12 +32,12 @@ def blank_to_null(col: Column) -> Column:
 
 def is_blank(col: Column) -> Column:
     """Null, empty or whitespace only. Never null itself."""
-    return col.isNull() | col.rlike(r"^\s*$")
+    return col.isNull() | col.rlike(rf"^{WHITE}*$")
 
 
 def normalise_action(col: Column) -> Column:
     """Create / update / upsert / delete, or null for a blank or unknown word."""
-    word = F.upper(F.trim(col))
+    word = F.upper(F.regexp_replace(col, rf"^{WHITE}+|{WHITE}+$", ""))
     codes = F.create_map(*[F.lit(x) for action, words in ACTION_CODES.items() for w in words for x in (w, action)])
     return F.try_element_at(codes, word)
 

@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tallyferry.functions.numbers import number_text
 from tallyferry.functions.dates import as_ntz, is_relative, iso_z, naive_utc, resolve_relative
 from tallyferry.plans.specs import Group, Where
 
@@ -88,9 +89,11 @@ def predicate(column: Column, dtype: T.DataType, where: Where, as_of: datetime)
 
 
 def _text_predicate(column: Column, dtype: T.DataType, op: str, value: str) -> Column:
-    """Text tests see the exported form of a value: doubles for decimals, ISO text for timestamps."""
-    if isinstance(dtype, T.DecimalType):
-        column = column.cast("double").cast("string")
+    """Text tests see the exported form of a value: plain numbers, ISO text for timestamps, True and False."""
+    if isinstance(dtype, T.NumericType):
+        column = number_text(column, dtype)
+    elif isinstance(dtype, T.BooleanType):
+        column = F.initcap(column.cast("string"))
     elif isinstance(dtype, (T.TimestampNTZType, T.TimestampType)):
         column = iso_z(column)
     elif not isinstance(dtype, T.StringType):

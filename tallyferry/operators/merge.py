@@ -213,7 +213,7 @@ def _table_keys(target: DataFrame, entity: EntityDef, key: str, tenant: object)
 
 
 def _exists_by_lookup(staged: DataFrame, known: DataFrame) -> DataFrame:
-    found = known.withColumn("__exists", F.lit(True))
+    found = known.distinct().withColumn("__exists", F.lit(True))
     return staged.join(found, "__key", "left").withColumn("__exists", F.coalesce("__exists", F.lit(False)))
 
 
@@ -233,7 +233,7 @@ def _exists_in_order(staged: DataFrame, known: DataFrame, hot_rows: int | None)
         hot = touched.filter(F.col("__n") > hot_rows).select(
             "__key", "__low", "__high", F.ceil(F.col("__n") / hot_rows).alias("__parts")
         )
-        rows = rows.join(F.broadcast(hot), "__key", "left")
+        rows = rows.join(hot, "__key", "left")
         span = F.col("__high") - F.col("__low") + 1
         part = F.floor((F.col("__row") - F.col("__low")) * F.col("__parts") / span)
         chunk = F.coalesce(F.greatest(part, F.lit(0)), F.lit(0)).cast("long")
@@ -246,8 +246,7 @@ def _exists_in_order(staged: DataFrame, known: DataFrame, hot_rows: int | None)
     rows_with = rows.withColumn("__local", F.last("__signal", ignorenulls=True).over(before))
     state = [F.col("__local")]
     if hot_rows is not None:
-        # One line per (hot key, chunk): a hot key has ceil(n / hot_rows) chunks, so there are fewer than
-        # 2 * rows / hot_rows lines and the table is small enough to broadcast.
+        # One line per (hot key, chunk); Spark picks the join by the size it finds.
         ends = (
             rows.filter(F.col("__parts").isNotNull())
             .groupBy("__key", "__chunk")
@@ -255,7 +254,7 @@ def _exists_in_order(staged: DataFrame, known: DataFrame, hot_rows: int | None)
         )
         earlier = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
         carry = ends.select("__key", "__chunk", F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
-        rows_with = rows_with.join(F.broadcast(carry), ["__key", "__chunk"], "left")
+        rows_with = rows_with.join(carry, ["__key", "__chunk"], "left")
         state.append(F.col("__carry"))
     return rows_with.filter(~F.col("__base")).withColumn("__exists", F.coalesce(*state, F.lit(False)))
 

@@ -80,7 +80,14 @@ def skip_rows(df: DataFrame, sort: SortKeys, offset: int, shallow: int = SHALLOW
     edge = _row_at(df.select(*[F.col(f"`{name}`") for name, _ in sort]), order, offset, shallow)
     if edge is None:
         return df.filter(F.lit(False))
-    return after_row(df, sort, list(edge)).orderBy(*order)
+    beyond = after_row(df, sort, list(edge))
+    # Rows that tie with the edge row: as many stay as are not skipped.
+    same = df.filter(reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for (n, _), v in zip(sort, edge)]))
+    ties = same.count()
+    if ties > 1:
+        left = df.count() - beyond.count() - offset
+        beyond = beyond.unionByName(same.limit(left)) if left else beyond
+    return beyond.orderBy(*order)
 
 
 def _row_at(keys: DataFrame, order: list[Column], n: int, shallow: int) -> Row | None:

@@ -70,14 +70,22 @@ def nest_relations(df: DataFrame, used: Mapping[str, list[str]]) -> DataFrame:
     return df
 
 
-def existing(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """The keys that are present in the tenant's table."""
-    return keys.join(table.select(*on), on, "left_semi")
+def existing(
+    keys: DataFrame, table: DataFrame, on: list[str], entity: EntityDef | None = None, tenant: object = None
+) -> DataFrame:
+    """The keys that are present in the table, or in the tenant's rows of an entity's table."""
+    return keys.join(_mine(table, entity, tenant).select(*on), on, "left_semi")
 
 
-def missing(keys: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+def missing(
+    keys: DataFrame, table: DataFrame, on: list[str], entity: EntityDef | None = None, tenant: object = None
+) -> DataFrame:
     """The keys that are not present."""
-    return keys.join(table.select(*on), on, "left_anti")
+    return keys.join(_mine(table, entity, tenant).select(*on), on, "left_anti")
+
+
+def _mine(table: DataFrame, entity: EntityDef | None, tenant: object) -> DataFrame:
+    return table if entity is None else tenant_rows(table, entity, tenant)
 
 
 def resolve_foreign_key(
@@ -101,7 +109,7 @@ def resolve_foreign_key(
         found = table.select(
             field_column(table, target, "external_id").alias("__external"),
             field_column(table, target, "id").cast("string").alias("__found"),
-        ).filter(F.col("__external").isNotNull())
+        ).filter(F.col("__external").isNotNull()).groupBy("__external").agg(F.min("__found").alias("__found"))
         rows = rows.join(found, F.col(key.external) == F.col("__external"), "left").drop("__external")
         candidates.append(F.col("__found"))
     value = F.coalesce(*candidates) if candidates else F.lit(None).cast("string")

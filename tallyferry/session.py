@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -35,7 +36,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tallyferry-")
+        root = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{root.rstrip('/')}/tallyferry/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -48,13 +49,3 @@ def keep(df: DataFrame, purpose: str = "kept") -> DataFrame:
     path = scratch_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame, by: str) -> DataFrame:
-    """Give a plain scan at least one partition per core, by a hash of a unique column.
-
-    A small or unsplittable file arrives as one partition, and work per row is what takes the time. An
-    input that already has enough partitions is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, by) if df.rdd.getNumPartitions() < cores else df

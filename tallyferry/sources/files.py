@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 
@@ -51,6 +52,8 @@ def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, colum
         .option("escape", '"')
         .option("encoding", "UTF-8")
         .option("mode", "PERMISSIVE")
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
     if columns:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
@@ -61,9 +64,24 @@ def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, colum
     return df.select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) if c in cells else F.col(f"`{c}`") for c in df.columns])
 
 
-def scan_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool = False) -> DataFrame:
-    """A3: an array of objects, a single object, or JSON lines. Without a schema the columns are the
-    union of the keys of all records."""
+def is_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is an object by itself. Only that line is looked at."""
+    head = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).head()
+    if head is None:
+        return True
+    try:
+        return isinstance(json.loads(head.value), dict)
+    except ValueError:
+        return False
+
+
+def scan_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None
+) -> DataFrame:
+    """A3: an array of objects, a single object, or JSON lines; the first line tells which unless `lines` does.
+    Without a schema the columns are the union of the keys of all records."""
+    if lines is None:
+        lines = is_json_lines(spark, path)
     reader = spark.read.option("multiLine", not lines)
     return (reader.schema(schema) if schema else reader).json(path)
 

@@ -21,15 +21,18 @@ def import_error_path(root: str, tenant: object, job: str, run: str, phase: str)
 def write_export(rows: DataFrame, path: str, fmt: str = "csv") -> int:
     """Write the rows and return how many were written, counted by the write itself.
 
-    Columns keep their order and aliases; decimals are written as doubles and timestamps as ISO text
-    with Z (C7). An empty CSV export still gets its header. JSON is one object per line, nulls included,
+    Columns keep their order and aliases; decimals are written as numbers without exponent and timestamps as
+    ISO text with Z (C7); cells keep their blanks. An empty CSV export still gets its header. JSON is one object per line, nulls included,
     so parts can be written and read in parallel.
     """
-    rows = serialise(rows)
+    rows = serialise(rows, as_text=fmt == "csv")
     written = Observation("written")
     counted = rows.observe(written, F.count(F.lit(1)).alias("n"))
     if fmt == "csv":
-        counted.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+        # Without the two space options the writer trims every cell.
+        counted.write.mode("overwrite").options(
+            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        ).csv(path)
     elif fmt == "json":
         counted.write.mode("overwrite").option("ignoreNullFields", False).json(path)
     else:
@@ -54,22 +57,11 @@ def export_result(spark: SparkSession, count: int, matched: int, fmt: str, field
     )
 
 
-def write_snapshot(table: DataFrame, root: str, version: int, bucket_key: str | None = None, buckets: int = 64) -> str:
+def write_snapshot(table: DataFrame, root: str, version: int) -> str:
     """Write a whole new version of a table next to the old one and return its folder.
 
     Readers of the old version are not disturbed, and a failed write leaves no half-changed table.
-    With `bucket_key` rows are grouped into folders by key hash, so a later merge reads and rewrites
-    only the buckets its changes touch.
     """
     path = f"{root}/version={version}"
-    if bucket_key:
-        table = table.withColumn("bucket", bucket_of(bucket_key, buckets))
-        table.write.mode("overwrite").partitionBy("bucket").parquet(path)
-    else:
-        table.write.mode("overwrite").parquet(path)
+    table.write.mode("overwrite").parquet(path)
     return path
-
-
-def bucket_of(key: str, buckets: int):
-    """Bucket number of a key; rows without a key are spread by their id instead of sharing one."""
-    return F.pmod(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.col("id").cast("string"))), F.lit(buckets)).cast("int")

@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tallyferry.functions.numbers import number_text
 from tallyferry.functions.dates import iso_z
 from tallyferry.plans.registry import EntityDef, FieldDef
 
@@ -55,12 +56,19 @@ def with_synonyms(df: DataFrame, entity: EntityDef | None = None) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
-def serialise(df: DataFrame) -> DataFrame:
-    """Decimals become doubles and timestamps ISO text with Z; other columns stay as they are."""
+def serialise(df: DataFrame, as_text: bool = False) -> DataFrame:
+    """Decimals become doubles and timestamps ISO text with Z; other columns stay as they are.
+
+    `as_text` gives the cells of a CSV file: numbers without exponent, True and False.
+    """
 
     def edge(f: T.StructField) -> Column:
         column = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, T.DecimalType):
+        if as_text and isinstance(f.dataType, (T.DecimalType, T.FractionalType)):
+            column = number_text(column, f.dataType)
+        elif as_text and isinstance(f.dataType, T.BooleanType):
+            column = F.initcap(column.cast("string"))
+        elif isinstance(f.dataType, T.DecimalType):
             column = column.cast("double")
         elif isinstance(f.dataType, (T.TimestampNTZType, T.TimestampType)):
             column = iso_z(column)

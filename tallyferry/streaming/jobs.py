@@ -24,6 +24,8 @@ from tallyferry.streaming.sources import with_event_time
 
 # Work through what is there, then stop. For an endless run pass e.g. {"processingTime": "30 seconds"}.
 AVAILABLE_NOW = {"availableNow": True}
+# How far behind the newest event a row may be; later ones are dropped, as state cannot be kept for ever.
+DELAY = "10 minutes"
 
 
 def start(
@@ -97,10 +99,11 @@ def stream_import(
 
 
 def stream_rates(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
-                 span: str = "60 seconds", slide: str = "10 seconds", trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
+                 span: str = "60 seconds", slide: str = "10 seconds", trigger: Mapping = AVAILABLE_NOW,
+                 delay: str = DELAY) -> StreamingQuery:
     """Requests per key in sliding windows, each window written once it is closed."""
     counts = (
-        with_event_time(df, ts)
+        with_event_time(df, ts, delay)
         .groupBy(F.window(ts, span, slide), F.col(key))
         .agg(F.count(F.lit(1)).alias("requests"))
         .select(
@@ -112,10 +115,10 @@ def stream_rates(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
 
 
 def stream_progress(df: DataFrame, ts: str, flag: str, sink: str, checkpoint: str, every: str = "5 seconds",
-                    trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
+                    trigger: Mapping = AVAILABLE_NOW, delay: str = DELAY) -> StreamingQuery:
     """P5: at most one progress line per interval: rows seen and rows with `flag` set."""
     progress = (
-        with_event_time(df, ts)
+        with_event_time(df, ts, delay)
         .groupBy(F.window(ts, every))
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(flag).alias("flagged"))
         .select(F.col("window.end").cast("timestamp_ntz").alias("at"), "rows", "flagged")
@@ -124,9 +127,9 @@ def stream_progress(df: DataFrame, ts: str, flag: str, sink: str, checkpoint: st
 
 
 def stream_dedup(df: DataFrame, key: str, ts: str, sink: str, checkpoint: str,
-                 trigger: Mapping = AVAILABLE_NOW) -> StreamingQuery:
+                 trigger: Mapping = AVAILABLE_NOW, delay: str = DELAY) -> StreamingQuery:
     """Each message once, however often it is delivered within the watermark."""
-    once = with_event_time(df, ts).dropDuplicatesWithinWatermark([key])
+    once = with_event_time(df, ts, delay).dropDuplicatesWithinWatermark([key])
     return start(once.withColumn(ts, F.col(ts).cast("timestamp_ntz")), checkpoint, "append", to_batches(sink), trigger)
 
 

@@ -12,11 +12,12 @@ from tallyferry.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "4g",
-           "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "2000"},
+           "spark.ui.showConsoleProgress": "false", "spark.sql.maxMetadataStringLength": "2000",
+           "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
@@ -24,22 +25,21 @@ def spark():
 
 @pytest.fixture(scope="session")
 def bills(spark):
-    """Five bills of two vendors and three projects."""
+    """Five bills of one tenant and one of another, with vendors and projects; own invented rows."""
     vendors = spark.createDataFrame(
-        [("v1", "Acme Corporation", "a@acme.test"), ("v2", "Tech Solutions", "t@tech.test"), ("v3", "Services Inc", None)],
+        [("v1", "Lindqvist Papier", "desk@lindqvist.test"), ("v2", "Blue Harbour Data", "ar@harbour.test"), ("v3", "Ortega & Sons", None)],
         "id string, name string, email_address string",
     )
     projects = spark.createDataFrame(
-        [("p1", "PROJ-001", "One"), ("p2", "PROJ-002", "Two"), ("p3", "PROJ-003", "Three")],
-        "id string, code string, name string",
+        [("p1", "KX-1", "Archive"), ("p2", "KX-2", "Basement"), ("p3", "KX-3", "Canteen")], "id string, code string, name string"
     )
     rows = [
-        ("bill-001", "T1", 500.00, datetime(2024, 1, 15, 10), "pending", "Office supplies and equipment", "v1", "p1"),
-        ("bill-002", "T1", 1000.50, datetime(2024, 1, 16, 10), "paid", "Software licenses", "v2", "p2"),
-        ("bill-003", "T1", 2500.00, datetime(2024, 1, 17, 10), "pending", "Consulting services", "v1", "p1"),
-        ("bill-004", "T1", 750.25, datetime(2024, 1, 14, 10), "overdue", "Office maintenance", "v3", "p3"),
-        ("bill-005", "T1", 3000.00, datetime(2024, 1, 18, 10), "paid", None, None, None),
-        ("bill-006", "T2", 9000.00, datetime(2024, 1, 19, 10), "paid", "Other tenant", "v2", "p2"),
+        ("doc-1", "T1", 80.00, datetime(2024, 1, 9, 8), "open", "Paper and ink for the copier", "v1", "p1"),
+        ("doc-2", "T1", 1200.75, datetime(2024, 1, 11, 8), "settled", "Annual database licence", "v2", "p2"),
+        ("doc-3", "T1", 4100.00, datetime(2024, 1, 12, 8), "open", "Audit of the ledgers", "v1", "p1"),
+        ("doc-4", "T1", 310.40, datetime(2024, 1, 8, 8), "late", "Copier repair", "v3", "p3"),
+        ("doc-5", "T1", 56000000.50, datetime(2024, 1, 13, 8), "settled", None, None, None),
+        ("doc-6", "T2", 77.00, datetime(2024, 1, 10, 8), "open", "Other tenant", "v2", "p2"),
     ]
     table = spark.createDataFrame(
         rows,
