@@ -17,7 +17,7 @@ gives the same rows again.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -84,7 +84,9 @@ def merge(
     if key != entity.id_field and key not in {m.name for m in entity.merge_columns}:
         raise ValueError(f"'{key}' is not a match key of entity '{entity.name}'")
 
-    staged = hold(_classify(_with_foreign_keys(changes, entity, tables or {}, registry, tenant), entity, mode, key, row))
+    staged = hold(_classify(
+        _with_foreign_keys(changes, entity, tables or {}, registry, tenant), entity, mode, key, row, _uuid_links(entity, registry)
+    ))
     known = _table_keys(target, entity, key, tenant)
     keyed = _exists_by_lookup(staged, known) if unique_keys else _exists_in_order(staged, known, hot_rows)
     applied = _apply(keyed, entity, key, as_of)
@@ -143,7 +145,17 @@ def _key_text(df: DataFrame, entity: EntityDef, key: str) -> Column:
     return ids.parse_uuid(raw) if field is not None and field.type == "uuid" else raw
 
 
-def _classify(changes: DataFrame, entity: EntityDef, mode: str, key: str, row: str) -> DataFrame:
+def _uuid_links(entity: EntityDef, registry: Registry | None) -> list[str]:
+    """Foreign key columns whose direct value must be a uuid, because the other entity's id is one."""
+    if registry is None:
+        return []
+    others = [(fk.column, registry.get(fk.entity)) for fk in entity.foreign_keys]
+    return [column for column, other in others if (own := other.field(other.id_field)) is not None and own.type == "uuid"]
+
+
+def _classify(
+    changes: DataFrame, entity: EntityDef, mode: str, key: str, row: str, uuid_links: Iterable[str] = ()
+) -> DataFrame:
     raw_key = text.blank_to_null(_as_text(changes, key)) if key in changes.columns else F.lit(None).cast("string")
     has_action = ACTION in changes.columns
     staged = changes.withColumns(
@@ -171,6 +183,10 @@ def _classify(changes: DataFrame, entity: EntityDef, mode: str, key: str, row: s
         if column.type in ("number", "integer"):
             raw = _first_given(changes, column.inputs)
             bad_values.append((~deleting & raw.isNotNull() & _parse(raw, column).isNull(), F.lit(column.name)))
+    for name in uuid_links:
+        if name in changes.columns:
+            raw = text.blank_to_null(_as_text(changes, name))
+            bad_values.append((~deleting & raw.isNotNull() & ids.parse_uuid(raw).isNull(), F.lit(name)))
     # Each step reads the one before it several times, so Spark computes it once and keeps it apart.
     staged = staged.withColumns(
         {

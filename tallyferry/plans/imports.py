@@ -9,6 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from tallyferry.functions.rules import NO_ROWS
 from tallyferry.operators import merge as merging, validation
 from tallyferry.plans.registry import Registry
 from tallyferry.plans.specs import ImportSpec
@@ -65,7 +66,9 @@ def run_import(
     counts: dict[str, Any] = {"total_rows": found.total, "valid_count": found.valid, "invalid_count": found.invalid}
 
     error_file = None
-    if found.invalid:
+    if found.total == 0:
+        header = [*header, {"row": 1, "field": None, "message": NO_ROWS}]
+    if found.invalid or header:
         error_file = import_error_path(root, tenant, job, run, "validation")
         lines = validation.error_rows(checked)
         if header:

@@ -158,6 +158,17 @@ def test_invoice_and_bill_columns(spark):
     assert (rows["B2"].vendor_id, rows["B2"].date) == (None, AS_OF)  # other tenant's vendor; unreadable date
 
 
+def test_direct_ids_and_repeated_lookups(spark):
+    vendors = spark.createDataFrame([("v-1", "T", "EXT"), ("v-2", "T", "EXT")], "id string, client_id string, external_id string")
+    good = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    bills = numbered(spark, ["external_id", "amount", "date", "vendor_id", "vendor_external_id"], [
+        ("B1", "1", "2025-01-01", "not-a-uuid", None), ("B2", "2", "2025-01-01", good, "EXT"), ("B3", "3", "2025-01-01", None, "EXT")])
+    merged = M.merge(empty(spark, BILL), bills, BILL, AS_OF, "T", "upsert", tables={"vendor": vendors}, registry=standard_registry())
+    lines = [(r.row, r.outcome, r.field) for r in merged.outcomes.orderBy("row").collect()]
+    assert lines == [(1, "failed", "vendor_id"), (2, "created", None), (3, "created", None)]
+    assert {r.external_id: r.vendor_id for r in merged.table.collect()} == {"B2": good, "B3": "v-1"}
+
+
 def test_config_checks(spark):
     rows = numbered(spark, ["external_id", "name"], [("a", "b")])
     with pytest.raises(ValueError, match="not a match key"):
@@ -184,6 +195,9 @@ def test_whole_import(spark, tmp_path):
     assert spark.read.json(done.error_file).head().row == 3
     no_code = run_import(rows.drop("Project Code"), skip, **kw)
     assert no_code.table is None and no_code.counts["invalid_count"] == 2
+    nothing = run_import(rows.limit(0), skip, run="r3", **kw)
+    assert (nothing.status, nothing.table) == ("failed", None)
+    assert [(r.row, r.message) for r in spark.read.json(nothing.error_file).collect()] == [(1, "CSV file has no data rows")]
 
 
 def test_nothing_is_random(spark):
