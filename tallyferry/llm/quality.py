@@ -159,12 +159,13 @@ def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", most: in
     """The columns of `docs` but the text, and _score, the probability of label 1, from the text alone.
 
     An empty or null text has statistics of 0 and is scored like any other. If the labels to learn from are all alike,
-    every score is that label, and 0 if there are none.
+    every score is that label, and 0 if there are none (of documents that are here).
     """
     known = stored(to_learn_from(labels, target, most), "labelled")
-    seen = {r.label for r in known.select("label").distinct().collect()}
+    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "label")), "doc_id")
+    learned = stored(with_statistics(rows).orderBy("doc_id"), "statistics")
+    seen = {r.label for r in learned.select("label").distinct().collect()}
     if len(seen) < 2:
         return docs.drop("text").withColumn("_score", F.lit(float(1 in seen)))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "label")), "doc_id")
-    weights, intercept = fit(stored(with_statistics(rows).orderBy("doc_id"), "statistics"))
+    weights, intercept = fit(learned)
     return with_statistics(docs).withColumn("_score", compiled(weights, intercept)).drop(*[f"_s_{s}" for s in STATISTICS])
