@@ -7,7 +7,6 @@ import sys
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -16,7 +15,7 @@ from tallyferry.llm import exact_dedup, graph, jaccard_join, line_dedup, suffix_
 
 SCHEMA = "doc_id long, text string"
 # columns whose names the operators use themselves
-CLASH = {"_row": F.lit(1), "set_id": F.lit("x"), "key": F.lit(2.5), "line": F.lit("l"), "_full": F.lit("f")}
+CLASH = ("*", "1 AS _row", "'x' AS set_id", "2.5 AS key", "'l' AS line", "'f' AS _full")
 
 
 def corpus(seed: int = 5, n: int = 60) -> list[tuple[int, str | None]]:
@@ -45,7 +44,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_exact(spark):
     rows = [(3, "a  b"), (1, "a\tb"), (2, "a b"), (4, None), (5, ""), (6, "c"), (6, "c"), (None, "c"), (7, " a b")]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns(CLASH)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(*CLASH)
     got = sorted((r._row.doc_id or -1, r._keep_id, r._group_size, r._kept) for r in exact_dedup.duplicate_groups(docs).collect())
     assert got == [
         (-1, 6, 3, False), (1, 1, 3, True), (2, 1, 3, False), (3, 1, 3, False), (4, 4, 2, True), (5, 4, 2, False),
@@ -62,7 +61,7 @@ def test_near(spark, monkeypatch, frequent):
     rows = corpus()
     if frequent:  # every shingle counts as frequent, so that only combinations are indexed
         monkeypatch.setattr(jaccard_join, "frequent_buckets", lambda parts, n: jaccard_join.np.full(1 << 11, 255, "uint8"))
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns(CLASH)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(*CLASH)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(docs).collect()}
     assert got == brute.jaccard(rows)
     assert len({c for _, c in got.values()}) < len(rows)
@@ -95,7 +94,7 @@ def test_banded_distance(spark):
             b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
         if abs(len(a) - len(b := "".join(b))) <= 2 and len(b) > 2:
             rows.append((a, b))
-    pairs = spark.createDataFrame(rows, "a string, b string").withColumns({"x": F.col("a"), "y": F.col("b")})
+    pairs = spark.createDataFrame(rows, "a string, b string").selectExpr("*", "a AS x", "b AS y")
     got = line_dedup.trimmed(pairs, "x", "y", 2).withColumn("d", line_dedup.banded_distance("x", "y", 2)).collect()
     assert all(min(r.d, 3) == min(brute.distance(r.a, r.b), 3) for r in got)
 
@@ -113,7 +112,7 @@ def test_lines(spark):
             lines.append("".join(line))
         rows.append((i, "\n".join(lines)))
     rows += [(30, None), (31, ""), (32, "\n\n"), (33, "short"), (34, "shirt\nshort")]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns(CLASH)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(*CLASH)
     got = sorted(tuple(r) for r in line_dedup.line_classes(docs).collect())
     assert got == brute.line_classes(rows, line_dedup.EDITS, line_dedup.MIN_CHARS)
     left = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
@@ -124,7 +123,7 @@ def test_lines(spark):
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT_REGIONS, 1])
 def test_repeats(spark, hot):
     rows = [*corpus(11), (100, "ab" * 400), (101, "ab" * 200 + "c")]
-    docs = spark.createDataFrame(rows, SCHEMA).withColumns(CLASH)
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(*CLASH)
     got = {
         r.doc_id: (r._n_bytes, r._n_removed, r._n_spans, r._kept_sha256)
         for r in suffix_dedup.without_repeats(docs, hot=hot).collect()
