@@ -57,7 +57,7 @@ def index_keys(line: Column, edits: int) -> Column:
 
 
 def probe_keys(line: Column, edits: int) -> Column:
-    """The keys under which a line of at most this length, within the bound, is found."""
+    """The keys under which a line of at most this length, within the bound, is found; null for places outside."""
     own, keys = F.length(line), []
     for less in range(edits + 1):
         for i in range(edits + 1):
@@ -66,7 +66,7 @@ def probe_keys(line: Column, edits: int) -> Column:
                 at = begin + move
                 inside = (at >= 1) & (at + size <= own + 1)
                 keys.append(F.when(inside, _key(own - less, i, F.substring(line, at, size))))
-    return F.array_compact(F.array(*keys))
+    return F.array(*keys)
 
 
 def _common(a: str, b: str, room: str, from_end: bool) -> str:
@@ -96,23 +96,22 @@ def banded_distance(a: str, b: str, edits: int) -> Column:
     mask, top = (1 << width) - 1, 1 << (2 * edits)
     chars = f"filter(split({a}, ''), c -> c <> '')"
     other = f"filter(split({b}, ''), c -> c <> '')"
-    match = " + ".join(f"IF(coalesce(get(s.p, s.j - {edits - i}) = c, false), {1 << i}L, 0L)" for i in range(width))
-    # one column of the band: x matches, d zero diagonal steps, hp and hn horizontal steps up and down
-    d = f"((((s.x & s.vp) + s.vp) ^ s.vp) | s.x | s.vn) & {mask}L"
-    hp, hn = f"(s.vn | ~(s.d | s.vp)) & {mask}L", "(s.d & s.vp)"
-    row = f"(size(s.p) - 1 - s.j + {edits})"
+    # for each character of b, the bits of the band whose characters of a match it
+    match = " + ".join(f"IF(coalesce(get(p, j - {edits - i}) = c, false), {1 << i}L, 0L)" for i in range(width))
+    bits = f"element_at(transform(array({chars}), p -> transform({other}, (c, j) -> {match})), 1)"
+    # one column of the band: d zero diagonal steps, hp and hn horizontal steps up and down
+    d = f"(((((x & s.vp) + s.vp) ^ s.vp) | x | s.vn) & {mask}L)"
+    hp, hn = f"((s.vn | ~({d} | s.vp)) & {mask}L)", f"(s.vp & {d})"
     moved = (
-        f"IF(s.j < size(s.p) - {edits}, IF((s.d & {top}L) = 0, 1, 0), "
-        f"CAST((shiftright({hp}, {row}) & 1) - (shiftright({hn}, {row}) & 1) AS INT))"
+        f"IF(s.j < s.m - {edits}, IF(({d} & {top}L) = 0, 1, 0), "
+        f"CAST((shiftright({hp}, s.m - 1 - s.j + {edits}) & 1) - (shiftright({hn}, s.m - 1 - s.j + {edits}) & 1) AS INT))"
     )
     step = (
-        f"element_at(transform(transform(transform(array(s), s -> named_struct('p', s.p, 'j', s.j, 'vp', s.vp, 'vn', s.vn, 'dist', s.dist, 'x', {match})), "
-        f"s -> named_struct('p', s.p, 'j', s.j, 'vp', s.vp, 'vn', s.vn, 'dist', s.dist, 'd', {d})), "
-        f"s -> named_struct('p', s.p, 'j', s.j + 1, "
-        f"'vp', ({hn} | ~(shiftright(s.d, 1) | ({hp}))) & {mask}L, 'vn', shiftright(s.d, 1) & ({hp}), 'dist', s.dist + {moved})), 1)"
+        f"named_struct('m', s.m, 'j', s.j + 1, 'vp', ({hn} | ~(shiftright({d}, 1) | {hp})) & {mask}L, "
+        f"'vn', shiftright({d}, 1) & {hp}, 'dist', s.dist + {moved})"
     )
-    start = f"named_struct('p', {chars}, 'j', 0, 'vp', {((1 << (edits + 1)) - 1) << edits}L, 'vn', 0L, 'dist', {edits})"
-    return F.expr(f"aggregate({other}, {start}, (s, c) -> {step}, s -> s.dist)")
+    start = f"named_struct('m', length({a}), 'j', 0, 'vp', {((1 << (edits + 1)) - 1) << edits}L, 'vn', 0L, 'dist', {edits})"
+    return F.expr(f"aggregate({bits}, {start}, (s, x) -> {step}, s -> s.dist)")
 
 
 def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -125,7 +124,7 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     distinct = once.unionByName(repeated)
 
     index = distinct.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
-    probes = distinct.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), edits)).alias("key"))
+    probes = distinct.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), edits)).alias("key")).where("key IS NOT NULL")
     pairs = stored(
         index.join(probes, "key").where("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
