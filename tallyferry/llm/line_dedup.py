@@ -136,8 +136,9 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
     )
-    distance = banded_distance("x", "y", edits)
-    return trimmed(both, "x", "y", edits).where(distance <= edits).select("a", "b")
+    # written, so that the filter is not pushed below the trimming, which would repeat it at every step
+    middle = stored(trimmed(both, "x", "y", edits), "line-middles")
+    return middle.where(banded_distance("x", "y", edits) <= edits).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
