@@ -329,44 +329,53 @@ def _border_repeats(borders: DataFrame, docs: DataFrame, window: int, hot: int)
     return dealt.mapInArrow(sort, "doc long, begin long, end long")
 
 
-def _in_order(docs: DataFrame) -> DataFrame:
-    """_ord, a number that is unique and rises with doc_id, and the columns of `docs`.
+def _in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """_ord, a number that is unique and rises with doc_id, and the columns of `docs`; and later copies of these rows, if any.
 
     That is doc_id itself if it is an integer, without nulls or repeats. Otherwise rows are numbered in the order of
-    doc_id, nulls last, then of a hash of their text; rows that repeat in both are one document and share a number.
+    doc_id, nulls last, then of a hash of their text. Of rows that repeat in both, one has the number and the others are its
+    later copies.
     """
     if docs.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         ids = docs.agg(F.count("*"), F.countDistinct("doc_id")).first()
         if ids[0] == ids[1]:
-            return docs.withColumn("_ord", F.col("doc_id").cast("long"))
+            return docs.withColumn("_ord", F.col("doc_id").cast("long")), None
     keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)))
     numbered = (
-        keyed.select("doc_id", "_hash").distinct().orderBy(F.asc_nulls_last("doc_id"), "_hash")
-        .rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1]))
+        keyed.groupBy("doc_id", "_hash").agg(F.count("*").alias("c")).orderBy(F.asc_nulls_last("doc_id"), "_hash")
+        .rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[0][2], x[1]))
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
-    numbers = stored(docs.sparkSession.createDataFrame(numbered, f"_id {kind}, _h long, _ord long"), "order")
-    joined = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h")))
-    return joined.drop("_hash", "_id", "_h")
-
-
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_REGIONS) -> tuple[DataFrame, DataFrame]:
-    """The documents with _ord, and (doc, begin, end) of repeated bytes; a document's spans may overlap."""
-    docs = _in_order(docs)
+    numbers = stored(docs.sparkSession.createDataFrame(numbered, f"_id {kind}, _h long, _copies long, _ord long"), "order")
+    joined = keyed.join(numbers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))).drop("_hash", "_id", "_h")
+    once = joined.where("_copies = 1").drop("_copies")
+    # written, so that every reader sees the same copy as the first
+    copies = stored(joined.where("_copies > 1").drop("_copies").withColumn("_at", F.monotonically_increasing_id()), "copies")
+    if copies.isEmpty():
+        return once, None
+    first = copies.groupBy("_ord").agg(F.min("_at").alias("_at")).select("_at")
+    return once.unionByName(copies.join(first, "_at", "left_semi").drop("_at")), copies.join(first, "_at", "left_anti").drop("_at", "_ord")
+
+
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_REGIONS) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The documents with _ord, later copies of the same rows (they repeat as a whole), and (doc, begin, end) of repeated
+    bytes; a document's spans may overlap."""
+    docs, copies = _in_order(docs)
     found = stored(_borders(_candidates(docs, window, gram), window), "regions")
     whole = found.where("gram IS NULL").select("doc", "begin", F.col("shape").alias("end"))
     partial = _border_repeats(found.where("gram IS NOT NULL"), docs, window, hot)
-    return docs, stored(whole.unionByName(partial), "spans")
+    return docs, copies, stored(whole.unionByName(partial), "spans")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT_REGIONS) -> DataFrame:
     """The columns of `docs`, _n_bytes, _n_removed, _n_spans, _kept (the bytes that stay) and _kept_sha256.
 
     Every byte that a repeated string of `window` bytes covers goes, unless the string starts there first: in the order
-    of documents, then of places. Null counts as empty. Matches never cross documents.
+    of documents, then of places. Null counts as empty. Matches never cross documents. A row given again with the same
+    doc_id and text is a later document.
     """
     columns = [f"`{c}`" for c in docs.columns]
-    ordered, spans = repeated_spans(docs, window, gram, hot)
+    ordered, copies, spans = repeated_spans(docs, window, gram, hot)
     own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     seen = marked(ordered, "_may", F.xxhash64("_ord"), spans.select(F.xxhash64("doc")))
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -404,4 +413,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot
             )
 
     cut = rows.mapInArrow(task, f"{own}, _n_bytes long, _n_removed long, _n_spans long, _kept binary, _kept_sha256 string")
-    return clean.unionByName(cut)
+    out = clean.unionByName(cut)
+    if copies is None:
+        return out
+    size, gone = F.octet_length(text).cast("long"), F.octet_length(text) >= window
+    left = F.when(gone, F.lit(b"")).otherwise(text)
+    return out.unionByName(
+        copies.select(
+            *columns, size.alias("_n_bytes"), F.when(gone, size).otherwise(0).alias("_n_removed"), gone.cast("long").alias("_n_spans"),
+            left.alias("_kept"), F.sha2(left, 256).alias("_kept_sha256"),
+        )
+    )

@@ -140,3 +140,15 @@ def test_repeats_odd_rows(spark, monkeypatch):
     got = sorted((r.doc_id or 9, r._n_bytes, r._n_removed) for r in suffix_dedup.without_repeats(docs).collect())
     assert got == [(1, 2000, 0), (2, 5, 0), (2, 1000, 1000), (3, 0, 0), (9, 700, 700)]
     assert suffix_dedup.without_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeats_rows_given_twice(spark):
+    rng = random.Random(4)
+    long, other = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    rows = [(1, long), (1, long), (1, long), (2, "short"), (2, "short"), (3, other + long[:150]), (3, other + long[:150]), (None, other), (None, other), (4, None), (4, "")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "rand() AS mark")
+    got = sorted((r.doc_id or 9, r._n_removed, r._n_spans, r._kept.decode()) for r in suffix_dedup.without_repeats(docs).collect())
+    assert got == [
+        (1, 0, 0, long), (1, 400, 1, ""), (1, 400, 1, ""), (2, 0, 0, "short"), (2, 0, 0, "short"), (3, 150, 1, other), (3, 550, 1, ""),
+        (4, 0, 0, ""), (4, 0, 0, ""), (9, 400, 1, ""), (9, 400, 1, ""),
+    ]
