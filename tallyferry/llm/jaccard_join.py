@@ -352,7 +352,12 @@ def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, perce
 
 
 def similarity_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    """doc_id, n_shingles, component_id of every row; see `set_components`."""
+    return set_components(docs, n, percent).drop("set_id")
+
+
+def set_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, set_id (a digest of the row's shingles), component_id of every row.
 
     A null text, or one without words, has no shingles and is linked with nothing; so is a row whose id is null
     (its component_id is null). Repeated rows give a row each. Of `docs` only doc_id and text are read.
@@ -413,7 +418,8 @@ def similarity_components(docs: DataFrame, n: int = WORDS, percent: int = PERCEN
     least = owned.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     by_set = owned.select("set_id", "component").distinct().join(least, "component").select("set_id", "component_id")
     return sets.join(by_set, "set_id", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "set_id",
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
     )
 
 
@@ -421,7 +427,35 @@ def _fits(a: str, b: str, percent: int) -> str:
     return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
+def _with_set(docs: DataFrame, n: int) -> DataFrame:
+    """All columns of `docs` and _set, the digest of the row's shingles; null without shingles."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for at, values, bounds in _sets(batch.column(batch.schema.names.index("text")), n):
+                sizes[at : at + len(bounds) - 1] = np.diff(bounds)
+                digests[at : at + len(bounds) - 1] = _set_id(values, bounds)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, mask=sizes == 0)], names=[*batch.schema.names, "_set"])
+
+    return docs.mapInArrow(task, f"{own}, _set long")
+
+
 def one_of_each(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The documents whose id is the smallest of their component, with their own columns; null ids stay."""
-    found = similarity_components(docs, n, percent)
-    return without(docs, "doc_id", stored(found.where("component_id <> doc_id").select("doc_id"), "dropped"))
+    """The documents whose id is the smallest of their component, with their own columns; null ids stay.
+
+    Where an id stands at several texts, each is judged by its own component.
+    """
+    verdicts = stored(
+        set_components(docs, n, percent).where("doc_id IS NOT NULL").select("doc_id", "set_id", (F.col("component_id") != F.col("doc_id")).alias("gone")),
+        "verdicts",
+    )
+    by_id = verdicts.groupBy("doc_id").agg(F.max("gone").alias("some"), F.min("gone").alias("all"))
+    some = stored(by_id.where("some"), "dropped")
+    left, split = without(docs, "doc_id", some), some.where("NOT all").select("doc_id")
+    if split.isEmpty():
+        return left
+    apart = _with_set(wanted_only(docs, "doc_id", split).join(split, "doc_id", "left_semi").select(docs.columns), n)
+    gone = verdicts.where("gone").select("doc_id", F.col("set_id").alias("_set")).join(split, "doc_id", "left_semi").distinct()
+    return left.unionByName(apart.join(gone, ["doc_id", "_set"], "left_anti").select(docs.columns))

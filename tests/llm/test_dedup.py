@@ -76,6 +76,15 @@ def test_near_odd_rows(spark):
     assert jaccard_join.similarity_components(docs.limit(0)).count() == 0
 
 
+def test_near_one_id_at_two_texts(spark):
+    near = [f"w{k}" for k in range(60)]
+    rows = [(1, " ".join(near)), (2, " ".join([*near, "more"])), (2, "a text of its own that nobody else has"), (2, None), (3, " ".join([*near[1:], "x"])), (4, "another")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr(*CLASH)
+    got = jaccard_join.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in got.collect()} == {rows[0], rows[2], rows[3], rows[5]}
+
+
 def test_blocks_of_a_cluster(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
     rows = corpus(7, 40)
