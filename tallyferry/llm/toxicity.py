@@ -1,103 +1,119 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models of the same vocabulary, one of toxic and one of ordinary documents. Each backs off from bigrams (order 2) to
-the class's continuation counts (the number of different words before a word), and from there to continuation counts
-that both classes share. The discount takes the same share of either class's mass, so an expression that neither
-class has seen often is left to the shared counts and speaks for neither. The difference of the log-likelihoods, divided
-by the number of words, and the part of it that words with a difference of more than STRONG make, become a probability
-by a logistic fit on one fold that the counts leave out; order and discount are those that fit this fold best.
-
-Counts cover all texts of the labelled rows (labels.MAX_LABELLED at most). The vocabulary is the most frequent words, at
-most `vocabulary` of them, all others are one class of rare words; bigrams have an entry of their own from the least
-count on that leaves at most `bigrams` of them, the mass of the others goes to the backoff. So the model has a bounded
-size and is broadcast; scoring needs no shuffle.
+the class's continuation counts (the number of different words before a word), and from there to the continuation counts
+of all documents. The discount takes the same share of either class's mass, so an expression that neither class has seen
+often is left to the shared counts and speaks for neither. The difference of the log-likelihoods, divided by the number
+of words, and the part of it that words with a difference of more than STRONG make, become a probability by a logistic
+fit on one fold that the counts leave out; order and discount are those that fit this fold best.
+
+Counts cover all words and bigrams of all labelled rows outside the held-out and the tuning fold, and stay Spark tables
+of any size, known by 64-bit hashes; bigrams so rare that each discount takes all of them are kept as sums by word only, as
+the models ask for no more. Only the fit of the three weights sees at most labels.MAX_LABELLED rows. Scores of the
+most frequent words and bigrams, and a bitmap of all that the tables hold, are broadcast with a fixed size: what is
+frequent, or certainly in no table, is scored where documents are read. All else is counted per document and joined with
+the tables, so results do not depend on these sizes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyferry.llm.arrays import Words, pieces
-from tallyferry.llm.labels import MAX_LABELLED, to_learn_from
+from tallyferry.llm.arrays import BASE, Words, mixed, pieces
+from tallyferry.llm.labels import MAX_LABELLED, learnable, to_learn_from
 from tallyferry.llm.store import stored
 
-VOCABULARY = 1 << 15
-BIGRAMS = 1 << 19
+CACHED_WORDS = 1 << 16
+CACHED_BIGRAMS = 1 << 19
+LOG2_BITS = 25
+BROADCAST_LABELS = 1_000_000  # of at most 32 bytes each; more are joined without a hint
 TUNE_FOLD = 4
 THRESHOLD = 0.5
 STRONG = 1.0  # in nats
 CANDIDATES = ((1, 1.0), (1, 2.0), (1, 5.0), (1, 10.0), (1, 20.0), (2, 2.0), (2, 10.0))  # order, discount
 RIDGE = 1e-3
-_ROW = 1 << 16  # more than the vocabulary: a bigram is first * _ROW + second
+_START = np.uint64(0x5EED5EED5EED5EED)  # the word before a text
 
 
-@dataclass
-class Model:
-    """words: sorted hashes, of which word k has number k + 1; number 0 is every other word, and the last the start of a
-    text. Arrays of two rows hold the ordinary class first.
-    """
-
-    words: np.ndarray
-    unigram: np.ndarray  # class, number: probability from continuation counts
-    backoff: np.ndarray  # class, number: mass left to it behind that word
-    bigrams: np.ndarray  # sorted keys; empty for order 1
-    direct: np.ndarray  # class, bigram: discounted probability
+def bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word: the hash of the word before it, and of both."""
+    before = np.empty(len(words.hash), np.uint64)
+    before[1:] = words.hash[:-1]
+    before[words.first[:-1][words.count > 0]] = _START
+    return before, mixed(before * BASE + words.hash)
 
-    def word_scores(self, keys: np.ndarray) -> np.ndarray:
-        """Toxic minus ordinary log-probability of each bigram's second word."""
-        first, second = keys // _ROW, keys % _ROW
-        if not len(self.bigrams):
-            return (np.log(self.unigram[1]) - np.log(self.unigram[0]))[second]
-        at = np.minimum(np.searchsorted(self.bigrams, keys), len(self.bigrams) - 1)
-        known = self.bigrams[at] == keys
-        p = [self.backoff[c][first] * self.unigram[c][second] + np.where(known, self.direct[c][at], 0.0) for c in (0, 1)]
-        return np.log(p[1]) - np.log(p[0])
 
+def _before(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The words before: `bigrams` turned back."""
+    x = keys ^ (keys >> np.uint64(31)) ^ (keys >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+    return (x - second) * np.uint64(pow(int(BASE), -1, 1 << 64))
 
-def numbered(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.int64)
-    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-    return np.where(vocabulary[at] == hashes, at + 1, 0)
 
+_OF_WORD = ["s", "b0", "b1", "n0", "n1", "t0", "t1"]
 
-def bigram_keys(words: Words, numbers: np.ndarray, start: int) -> np.ndarray:
-    before = np.empty(len(numbers), np.int64)
-    before[1:] = numbers[:-1]
-    before[words.first[:-1][words.count > 0]] = start
-    return before * _ROW + numbers
 
+def _counts(rows: DataFrame, few: int) -> DataFrame:
+    """Bigrams of rows (label, or 2 for none, and text) as (key, first, second, n0, n1: occurrences in either class), but
+    those of at most `few` in both; and over all bigrams partial sums by word, with key null: s different words before it,
+    b0, b1 the same in either class, n0, n1 occurrences, t0, t1 how often a word follows it.
 
-def _counted(rows: DataFrame, keys_of: Callable[[Words], np.ndarray]) -> DataFrame:
-    """(label, key, n): keys of all words of the rows' texts, counted in each Arrow batch and then by Spark."""
+    What has at most `few` occurrences falls to the backoff in every model, so only these sums of it are ever asked for.
+    """
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label = batch.column(1).to_numpy()
-            found: list[list[np.ndarray]] = [[], []]
-            for at, to, data, bounds in pieces(batch.column(0)):
+            label = batch.column(0).to_numpy()
+            for at, to, data, bounds in pieces(batch.column(1)):
                 words = Words(data, bounds)
-                keys = keys_of(words)
+                own, where, inverse = np.unique(bigrams(words)[1], return_index=True, return_inverse=True)
                 of = label[at:to][words.owner()]
-                for c in (0, 1):
-                    found[c].append(np.stack(np.unique(keys[of == c], return_counts=True)))
-            for c in (0, 1):
-                keys = np.concatenate([x[0] for x in found[c]] or [np.empty(0, np.int64)])
-                counts = np.concatenate([x[1] for x in found[c]] or [np.empty(0, np.int64)])
-                keys, where = np.unique(keys, return_inverse=True)
-                total = np.bincount(where, counts, len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys), pa.array(total)], names=["label", "key", "n"])
-
-    return (
-        rows.select("text", F.col("label").cast("long")).mapInArrow(task, "label long, key long, n long")
-        .groupBy("label", "key").agg(F.sum("n").alias("n"))
-    )
+                n = [np.bincount(inverse, of == c, len(own)).astype(np.int64) for c in (0, 1)]
+                columns = [own.view(np.int64), words.hash[where].view(np.int64), *n]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "second", "n0", "n1"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "first", "second", *_OF_WORD]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def folded() -> tuple[np.ndarray, np.ndarray]:
+            word, inverse = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+            values = np.concatenate([v for _, v in held])
+            return word, np.stack([np.bincount(inverse, values[:, k], len(word)) for k in range(len(_OF_WORD))], 1).astype(np.int64)
+
+        for batch in batches:
+            key, second, n0, n1 = (batch.column(k).to_numpy() for k in range(4))
+            first = _before(key.view(np.uint64), second.view(np.uint64)).view(np.int64)
+            kept = np.flatnonzero((n0 > few) | (n1 > few))
+            if len(kept):
+                none = [pa.nulls(len(kept), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*[pa.array(x[kept]) for x in (key, first, second)], *none * 3, pa.array(n0[kept]), pa.array(n1[kept]), *none * 2], names=names)
+            zero, one = np.zeros(len(key), np.int64), np.ones(len(key), np.int64)
+            held.append((second, np.stack([one, n0 > 0, n1 > 0, n0, n1, zero, zero], 1)))
+            held.append((first, np.stack([zero, zero, zero, zero, zero, n0, n1], 1)))
+            if sum(len(w) for w, _ in held) > 1 << 20:
+                held = [folded()]
+                if len(held[0][0]) > 1 << 19:
+                    yield of_words(*held.pop(), names)
+        if held:
+            yield of_words(*folded(), names)
+
+    def of_words(word: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
+        none = pa.nulls(len(word), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(word), *[pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(_OF_WORD))]], names=names)
+
+    found = rows.select("label", "text").mapInArrow(read, "key long, second long, n0 long, n1 long")
+    found = found.groupBy("key", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return found.mapInArrow(fold, ", ".join(f"{c} long" for c in ("key", "first", "second", *_OF_WORD)))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -110,88 +126,185 @@ def _frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.col("n") >= least)
 
 
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2**LOG2_BITS bits, those of all keys modulo that number set; at most 2**LOG2_BITS / 64 rows are gathered."""
+    slot = F.pmod("key", F.lit(1 << LOG2_BITS))
+    got = (
+        keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).toArrow()
+    )
+    out = np.zeros((1 << LOG2_BITS) // 64, np.int64)
+    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
 @dataclass
-class Counts:
-    """What the models are made of; arrays of two rows hold the ordinary class first."""
+class Cache:
+    """Scores of the frequent keys (sorted) of a table, one column a candidate, and the bitmap of all its keys."""
+
+    keys: np.ndarray
+    scores: np.ndarray
+    bits: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in `scores`; whether they are the keys'; whether the key may be in the table only."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        slot = keys & np.uint64((1 << LOG2_BITS) - 1)
+        there = (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+        return at, known, ~known & there
+
+
+def _cache(table: DataFrame, columns: list[str], most: int, bits: np.ndarray) -> Cache:
+    got = _frequent(table, most).select("key", *columns).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    scores = np.stack([got[c].to_numpy() for c in columns], 1) if columns else np.zeros((len(keys), 0))
+    return Cache(keys[order], scores[order], bits)
 
-    words: np.ndarray
-    before: np.ndarray  # class, number: different words before it
-    shared: np.ndarray  # number: the same over both classes
-    behind: np.ndarray  # class, number: how often a word follows it
-    bigrams: np.ndarray
-    n: np.ndarray  # class, bigram
 
-    def model(self, order: int, discount: float) -> Model:
+@dataclass
+class Tables:
+    """words: key, n and for candidate k u_k (toxic minus ordinary log-probability, of continuation counts) and, of order
+    2, f_k (the same of the mass left to the backoff behind the word). pairs: key, n and s_k of each bigram. unseen: u_k
+    of a word in no table; its f_k is 0."""
+
+    words: DataFrame
+    pairs: DataFrame
+    unseen: list[float]
+    word_bits: np.ndarray
+    pair_bits: np.ndarray
+
+
+def count(docs: DataFrame, known: DataFrame) -> Tables:
+    """Counts of all texts of `docs`, and by class of those that `known` (doc_id, label) has, as scores."""
+    second = [(k, d) for k, (order, d) in enumerate(CANDIDATES) if order == 2]
+    labels = known.select("doc_id", "label")
+    if labels.count() <= BROADCAST_LABELS:  # else Spark chooses, and texts may be shuffled
+        labels = F.broadcast(labels)
+    rows = docs.select("doc_id", "text").join(labels, "doc_id", "left")
+    rows = rows.select(F.coalesce(F.col("label").cast("long"), F.lit(2).cast("long")).alias("label"), "text")
+    found = stored(_counts(rows, int(min(d for _, d in second))), "bigrams")
+    counts = found.where("key IS NOT NULL").select("key", "first", "second", "n0", "n1")
+    by_word = stored(found.where("key IS NULL").groupBy(F.col("second").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD]), "words")
+    sums = by_word.agg(F.count(F.when(F.col("s") > 0, 1)) + 1, *[F.coalesce(F.sum(c), F.lit(0)) for c in ("s", "b0", "b1", "t0", "t1")]).first()
+    size, mass, total, tokens = sums[0], sums[1], np.maximum(sums[2:4], 1).tolist(), np.maximum(sums[4:], 1).tolist()
+
+    def less(value: Column, discount: float, c: int, of: list[int]) -> Column:
         """`discount` is in counts of the smaller class; the other's is larger by the ratio of their sizes."""
-        size = len(self.shared)
-        base = (self.shared + 1) / (self.shared.sum() + size)
-        total = np.maximum(self.before.sum(1), 1)
-        kept = np.maximum(self.before - (discount * total / total.min())[:, None], 0) / total[:, None]
-        unigram = kept + np.maximum(1 - kept.sum(1), 1e-9)[:, None] * base
-        if order == 1:
-            return Model(self.words, unigram, np.empty(0), np.empty(0, np.int64), np.empty(0))
-        first = self.bigrams // _ROW
-        tokens = np.maximum(self.behind.sum(1), 1)
-        direct = np.maximum(self.n - (discount * tokens / tokens.min())[:, None], 0) / np.maximum(self.behind[:, first], 1)
-        left = np.stack([1 - np.bincount(first, direct[c], size) for c in (0, 1)])
-        return Model(self.words, unigram, np.maximum(left, 1e-9), self.bigrams, direct)
-
-
-def count(docs: DataFrame, known: DataFrame, vocabulary: int = VOCABULARY, bigrams: int = BIGRAMS) -> Counts:
-    """Counts of the texts of `docs`; `known` has doc_id and label, and is small enough to broadcast."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id", "label")), "doc_id")
-    seen = stored(
-        _counted(rows, lambda words: words.hash.view(np.int64)).groupBy("key").agg(F.sum("n").alias("n")), "words"
+        return F.greatest(value - discount * of[c] / min(of), F.lit(0.0))
+
+    behind = counts.groupBy(F.col("first").alias("key")).agg(
+        *[F.sum(less(F.col(f"n{c}"), d, c, tokens)).alias(f"g{c}_{k}") for k, d in second for c in (0, 1)]
     )
-    words = np.sort(_frequent(seen, min(vocabulary, _ROW - 2)).select("key").toArrow()["key"].to_numpy().view(np.uint64))
-    shared, start = docs.sparkSession.sparkContext.broadcast(words), len(words) + 1
-    counts = stored(
-        _counted(rows, lambda w: bigram_keys(w, numbered(shared.value, w.hash), start)), "bigrams"
-    ).withColumns({"first": F.expr(f"key DIV {_ROW}"), "second": F.expr(f"key % {_ROW}")})
-    size = len(words) + 2
-
-    def filled(per: DataFrame, place: str) -> np.ndarray:  # at most two rows for each word of the vocabulary
-        got, out = per.toArrow(), np.zeros((2, size))
-        out[got["label"].to_numpy(), got[place].to_numpy()] = got["c"].to_numpy()
-        return out
-
-    both = counts.groupBy("key").agg(
-        F.sum("n").alias("n"), *[F.coalesce(F.sum(F.when(F.col("label") == c, F.col("n"))), F.lit(0)).alias(f"n{c}") for c in (0, 1)]
+    plain = stored(by_word.where("n0 + n1 + t0 + t1 > 0").join(behind, "key", "left").na.fill(0), "words")
+    kept = plain.agg(
+        *[F.coalesce(F.sum(less(F.col(f"b{c}"), d, c, total) / total[c]), F.lit(0.0)) for _, d in CANDIDATES for c in (0, 1)]
+    ).first()
+    rest = [[max(1 - kept[2 * k + c], 1e-9) for c in (0, 1)] for k in range(len(CANDIDATES))]
+    base = (F.col("s") + 1) / float(mass + size)
+    one = {
+        (k, c): less(F.col(f"b{c}"), d, c, total) / total[c] + rest[k][c] * base for k, (_, d) in enumerate(CANDIDATES) for c in (0, 1)
+    }
+    left = {(k, c): F.greatest(1 - F.col(f"g{c}_{k}") / F.greatest(F.col(f"t{c}"), F.lit(1)), F.lit(1e-9)) for k, _ in second for c in (0, 1)}
+    words = stored(
+        plain.select(
+            "key", F.greatest(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1")).alias("n"),
+            *[(F.log(one[k, 1]) - F.log(one[k, 0])).alias(f"u_{k}") for k in range(len(CANDIDATES))],
+            *[(F.log(left[k, 1]) - F.log(left[k, 0])).alias(f"f_{k}") for k, _ in second],
+            *[one[k, c].alias(f"p{c}_{k}") for k, _ in second for c in (0, 1)],
+            *[left[k, c].alias(f"l{c}_{k}") for k, _ in second for c in (0, 1)],
+            *[F.greatest(F.col(f"t{c}"), F.lit(1)).alias(f"t{c}") for c in (0, 1)],
+        ),
+        "word-scores",
     )
-    held = _frequent(both, bigrams).select("key", "n0", "n1").toArrow().sort_by("key")
-    different = counts.select("first", "second").distinct().groupBy("second").agg(F.count("*").alias("c")).withColumn("label", F.lit(0))
-    return Counts(
-        words,
-        filled(counts.groupBy("label", "second").agg(F.count("*").alias("c")), "second"),
-        filled(different, "second")[0],
-        filled(counts.groupBy("label", "first").agg(F.sum("n").alias("c")), "first"),
-        held["key"].to_numpy(),
-        np.stack([held["n0"].to_numpy(), held["n1"].to_numpy()]).astype(float),
+    firsts = words.select(F.col("key").alias("first"), "t0", "t1", *[f"l{c}_{k}" for k, _ in second for c in (0, 1)])
+    seconds = words.select(F.col("key").alias("second"), *[f"p{c}_{k}" for k, _ in second for c in (0, 1)])
+    joint = {
+        (k, c): F.col(f"l{c}_{k}") * F.col(f"p{c}_{k}") + less(F.col(f"n{c}"), d, c, tokens) / F.col(f"t{c}") for k, d in second for c in (0, 1)
+    }
+    pairs = stored(
+        counts.join(firsts, "first").join(seconds, "second").select(
+            "key", (F.col("n0") + F.col("n1")).alias("n"), *[(F.log(joint[k, 1]) - F.log(joint[k, 0])).alias(f"s_{k}") for k, _ in second]
+        ),
+        "bigram-scores",
     )
+    return Tables(words, pairs, [float(np.log(r[1]) - np.log(r[0])) for r in rest], _bitmap(words), _bitmap(pairs))
 
 
-def ratios(docs: DataFrame, models: list[Model]) -> DataFrame:
-    """All columns of `docs`, and for model k: _all_k, toxic minus ordinary log-likelihood a word, and _strong_k, the part
-    of it above STRONG of each word; both 0 without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    added = [f"_{kind}_{k}" for k in range(len(models)) for kind in ("all", "strong")]
+def ratios(docs: DataFrame, tables: Tables, chosen: list[int]) -> DataFrame:
+    """All columns of `docs`, and for the chosen candidate at place j: _all_j, toxic minus ordinary log-likelihood a word, and
+    _strong_j, the part of it above STRONG of each word; both 0 without words."""
+    deep = [k for k in chosen if CANDIDATES[k][0] == 2]
+    places = [chosen.index(k) for k in deep]
+    words = _cache(tables.words, [f"u_{k}" for k in chosen] + [f"f_{k}" for k in deep], CACHED_WORDS, tables.word_bits)
+    pairs = _cache(tables.pairs, [f"s_{k}" for k in deep], CACHED_BIGRAMS, tables.pair_bits) if deep else None
+    cache = docs.sparkSession.sparkContext.broadcast((words, pairs))
+    unseen, size = np.array([tables.unseen[k] for k in chosen]), len(chosen)
+    sums = [f"{kind}_{j}" for j in range(size) for kind in ("all", "strong")]
+    names = ["row", "key", "first", "second", "n", *sums]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
+        single, double = cache.value
         for batch in batches:
-            out = np.zeros((len(added), batch.num_rows))
-            for at, to, data, bounds in pieces(batch.column(batch.schema.names.index("text"))):
+            ids = batch.column(0).to_numpy()
+            for at, to, data, bounds in pieces(batch.column(1)):
                 words = Words(data, bounds)
-                keys = bigram_keys(words, numbered(models[0].words, words.hash), len(models[0].words) + 1)
-                owner, some = words.owner(), np.maximum(words.count, 1)
-                for k, model in enumerate(models):
-                    score = model.word_scores(keys)
-                    out[2 * k, at:to] = np.bincount(owner, score, to - at) / some
-                    out[2 * k + 1, at:to] = np.bincount(owner, np.maximum(score - STRONG, 0), to - at) / some
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, *added])
-
-    return docs.mapInArrow(task, ", ".join([own, *[f"{c} double" for c in added]]))
+                before, keys = bigrams(words)
+                owner = words.owner()
+                where, known, unsure = single.find(words.hash)
+                score = np.tile(unseen, (len(keys), 1))
+                score[known] = single.scores[where[known], :size]
+                if deep:
+                    where, known, doubt = single.find(before)
+                    behind = np.zeros((len(keys), len(deep)))
+                    behind[known] = single.scores[where[known], size:]
+                    score[:, places] += behind
+                    where, held, open_pair = double.find(keys)
+                    for i, j in enumerate(places):
+                        score[held, j] = double.scores[where[held], i]
+                    alone = len(deep) == size  # else other candidates need the word in any case
+                    unsure = open_pair | ((unsure | doubt) & ~held) | (unsure & (not alone))
+                done = ~unsure
+                local = []
+                for j in range(size):
+                    local.append(np.bincount(owner[done], score[done, j], to - at).astype(float))
+                    local.append(np.bincount(owner[done], np.maximum(score[done, j] - STRONG, 0), to - at).astype(float))
+                none = pa.nulls(to - at, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), none, none, none, pa.array(words.count.astype(np.int64)), *map(pa.array, local)], names=names)
+                if unsure.any():
+                    due = np.flatnonzero(unsure)
+                    by = keys[due] if deep else words.hash[due]
+                    order = np.lexsort((by, owner[due]))
+                    due, by = due[order], by[order]
+                    head = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (owner[due][1:] != owner[due][:-1])]))
+                    n, due = np.diff(np.append(head, len(due))), due[head]
+                    key, first, second = (x[due].view(np.int64) for x in (keys, before, words.hash))
+                    no = pa.nulls(len(due), pa.float64())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[at:to][owner[due]], key, first, second, n)), *[no] * len(sums)], names=names)
+
+    row = F.xxhash64("doc_id", "text")
+    found = stored(
+        docs.select(row.alias("row"), "text").mapInArrow(task, ", ".join(["row long, key long, first long, second long, n long", *[f"{c} double" for c in sums]])),
+        "words-scored",
+    )
+    rest = found.where("key IS NOT NULL").select("row", "key", "first", "second", "n")
+    rest = rest.join(tables.words.select(F.col("key").alias("second"), *[f"u_{k}" for k in chosen]), "second", "left")
+    if deep:
+        rest = rest.join(tables.words.select(F.col("key").alias("first"), *[f"f_{k}" for k in deep]), "first", "left")
+        rest = rest.join(tables.pairs.select("key", *[f"s_{k}" for k in deep]), "key", "left")
+    scores = []
+    for k in chosen:
+        score = F.coalesce(F.col(f"u_{k}"), F.lit(tables.unseen[k]))
+        if k in deep:
+            score = F.coalesce(F.col(f"s_{k}"), F.coalesce(F.col(f"f_{k}"), F.lit(0.0)) + score)
+        scores += [score, F.greatest(score - STRONG, F.lit(0.0))]
+    rest = rest.select("row", F.lit(0).cast("long").alias("n"), *[(F.col("n") * x).alias(c) for x, c in zip(scores, sums, strict=True)])
+    # a row given twice adds to sums and numbers of words alike
+    whole = found.where("key IS NULL").select("row", "n", *sums).unionByName(rest).groupBy(F.col("row").alias("_row_hash")).agg(
+        *[(F.sum(c) / F.greatest(F.sum("n"), F.lit(1))).alias(f"_{c}") for c in sums]
+    )
+    return docs.withColumn("_row_hash", row).join(whole, "_row_hash").drop("_row_hash")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -211,21 +324,23 @@ def scored(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int
     """All columns of `docs` and _score, the probability of label 1, from the text alone.
 
     A text without words gets the probability of no difference. If the labels to learn from are all alike, every score
-    is that label, and 0 if there are none; if only those of the tuning fold are, the difference is taken as it is.
+    is that label, and 0 if there are none; if only those of the tuning fold are, the difference is taken as it is. At most
+    `most` labelled rows take part in the logistic fit; counts take all.
     """
-    known = stored(to_learn_from(labels, target, most), "labelled")
+    known = stored(learnable(labels, target), "labelled")
     seen = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
         return docs.withColumn("_score", F.lit(float(1 in seen)))
-    counts = count(docs, known.where(F.col("fold") != TUNE_FOLD))
-    models = [counts.model(order, discount) for order, discount in CANDIDATES]
-    tuning = docs.select("doc_id", "text").join(F.broadcast(known.where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")), "doc_id")
-    tuned = ratios(tuning, models).drop("doc_id", "text").toArrow()  # of at most `most` rows
+    tables = count(docs, known.where(F.col("fold") != TUNE_FOLD))
+    every = list(range(len(CANDIDATES)))
+    tune = to_learn_from(labels, target, most).where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")
+    tuning = docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id")
+    tuned = ratios(tuning, tables, every).drop("doc_id", "text").toArrow()  # of at most `most` rows
     y = tuned["label"].to_numpy().astype(float)
     best, weights = 0, np.array([1.0, 0.0, np.log(seen[1] / seen[0])])
     if len(set(y.tolist())) == 2:
-        fits = [logistic(np.stack([tuned[f"_all_{k}"].to_numpy(), tuned[f"_strong_{k}"].to_numpy()], 1), y) for k in range(len(models))]
-        best = min(range(len(fits)), key=lambda k: fits[k][1])
+        fits = [logistic(np.stack([tuned[f"_all_{k}"].to_numpy(), tuned[f"_strong_{k}"].to_numpy()], 1), y) for k in every]
+        best = min(every, key=lambda k: fits[k][1])
         weights = fits[best][0]
     total = F.col("_all_0") * float(weights[0]) + F.col("_strong_0") * float(weights[1]) + float(weights[2])
-    return ratios(docs, [models[best]]).withColumn("_score", 1 / (1 + F.exp(-total))).drop("_all_0", "_strong_0")
+    return ratios(docs, tables, [best]).withColumn("_score", 1 / (1 + F.exp(-total))).drop("_all_0", "_strong_0")

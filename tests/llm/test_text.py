@@ -169,3 +169,51 @@ def test_classifiers(spark, module, target, threshold):
     assert len(held) > 100 and sum(held) >= 0.97 * len(held)
     assert {r._score for r in module.scored(docs, labels.limit(0)).collect()} == {0.0}
     assert module.scored(docs.limit(0), labels).count() == 0
+
+
+def brute_ratios(docs, known, order, discount):
+    """Log-likelihood ratios of all docs (id, text), with counts of all words and bigrams and none left out."""
+    pairs = {i: list(zip([None, *w], w)) for i, w in ((i, brute.words(t)) for i, t in docs)}
+    n = [Counter(p for i in pairs if known.get(i) == c for p in pairs[i]) for c in (0, 1)]
+    shared = Counter(b for _, b in {p for own in pairs.values() for p in own})
+    before = [Counter(b for _, b in n[c]) for c in (0, 1)]
+    behind = [Counter() for _ in n]
+    for c in (0, 1):
+        for (a, _), k in n[c].items():
+            behind[c][a] += k
+    total, tokens = [sum(x.values()) for x in before], [sum(x.values()) for x in n]
+    cut = [discount * t / min(total) for t in total]
+    kept = [{w: max(k - cut[c], 0) / total[c] for w, k in before[c].items()} for c in (0, 1)]
+    less = [{p: max(k - discount * tokens[c] / min(tokens), 0) / behind[c][p[0]] for p, k in n[c].items()} for c in (0, 1)]
+    left = [Counter() for _ in n]
+    for c in (0, 1):
+        for (a, _), x in less[c].items():
+            left[c][a] += x
+
+    def score(a, b):
+        base = (shared[b] + 1) / (sum(shared.values()) + len(shared) + 1)
+        p = [kept[c].get(b, 0) + max(1 - sum(kept[c].values()), 1e-9) * base for c in (0, 1)]
+        if order == 2:
+            p = [max(1 - left[c][a], 1e-9) * p[c] + less[c].get((a, b), 0) for c in (0, 1)]
+        return math.log(p[1]) - math.log(p[0])
+
+    return {i: sum(score(*p) for p in own) / max(len(own), 1) for i, own in pairs.items()}
+
+
+@pytest.mark.parametrize("cached", [0, 40])
+def test_toxicity_counts_have_no_cap(spark, monkeypatch, cached):
+    monkeypatch.setattr(toxicity, "CACHED_WORDS", cached)
+    monkeypatch.setattr(toxicity, "CACHED_BIGRAMS", cached)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    rows += [(60, None), (61, "never seen")]
+    known = {i: int(i % 3 == 0) for i in range(45)}
+    docs = spark.createDataFrame([*rows, rows[50], rows[50]], SCHEMA)
+    tables = toxicity.count(docs, spark.createDataFrame(list(known.items()), "doc_id long, label int"))
+    chosen = list(range(len(toxicity.CANDIDATES)))
+    for ask in (chosen, [1], [5]):
+        got = toxicity.ratios(docs, tables, ask).collect()
+        assert len(got) == len(rows) + 2
+        for j, k in enumerate(ask):
+            want = brute_ratios(rows, known, *toxicity.CANDIDATES[k])
+            assert all(abs(r[f"_all_{j}"] - want[r.doc_id]) < 1e-9 for r in got)
