@@ -1,37 +1,81 @@
-"""Row numbers, batch ids and running totals without a single-task window."""
+"""Row numbers, batch ids and running totals over range partitions.
+
+Rows are dealt into range partitions of their order, sorted there and written once with their place. One count or one
+set of sums per range partition is brought to the driver (as many lines as the session has shuffle partitions, whatever
+the rows), summed up and handed back. So any key will do, sparse, hashed or text, and no task holds more than its range.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyferry.session import keep
+
+# monotonically_increasing_id() has the partition in the upper bits and the row's place in the lower 33.
+_PLACE_BITS = 33
+Hold = Callable[[DataFrame], DataFrame]
+
 
 def batch_id(row: Column, size: int) -> Column:
     """0-based batch of a 1-based row number."""
     return F.floor((row - 1) / F.lit(size)).cast("long")
 
 
-def running_totals(df: DataFrame, order: str, values: Sequence[str], block: int = 100_000) -> DataFrame:
-    """Running sum of `values` by a unique integer column `order`, in two levels.
+def ordered(df: DataFrame, order: Sequence[str], hold: Hold = keep) -> DataFrame:
+    """Adds `__part` (range partition by `order`, ascending) and `__place` (from 0 inside it).
 
-    Blocks of `block` consecutive order values are summed inside their own task; only one total per
-    block goes through the final window. Adds `running_<value>` columns.
+    `order` should be unique: rows that agree in it share a partition and have no defined places among them. `hold` writes
+    the rows down, so that every later pass sees the same partitions.
     """
-    blocked = df.withColumn("__block", F.floor(F.col(order) / F.lit(block)).cast("long"))
-    totals = blocked.groupBy("__block").agg(*[F.sum(v).alias(f"__t_{v}") for v in values])
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        "__block", *[F.coalesce(F.sum(f"__t_{v}").over(earlier), F.lit(0)).alias(f"__c_{v}") for v in values]
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__spot", F.monotonically_increasing_id())
+    return hold(placed).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.shiftright("__spot", _PLACE_BITS).cast("int").alias("__part"),
+        F.col("__spot").bitwiseAND((1 << _PLACE_BITS) - 1).alias("__place"),
     )
-    inside = Window.partitionBy("__block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocked.join(carried, "__block").select(
+
+
+def carried(rows: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """Adds, for each named sum, its total over all earlier range partitions (0 before the first)."""
+    found = rows.groupBy("__part").agg(*[value.alias(name) for name, value in sums.items()])
+    parts = sorted(found.collect(), key=lambda r: r["__part"])
+    before = []
+    for name in sums:
+        given = [r[name] for r in parts if r[name] is not None]
+        zero = type(given[0])(0) if given else 0
+        before.append(list(accumulate((r[name] or zero for r in parts), initial=zero)))
+    lines = [(r["__part"], *[column[i] for column in before]) for i, r in enumerate(parts)]
+    # One short line per range partition: the broadcast is bounded by the session's shuffle partitions.
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(lines, found.schema)), "__part")
+
+
+def number_by_key(df: DataFrame, key: str | Sequence[str], row: str = "row", hold: Hold = keep) -> DataFrame:
+    """A10 for a table: 1-based row number by one or several columns that are unique together; nulls come first.
+
+    One shuffle of the rows. A row's number depends on data alone, not on how the input was split.
+    """
+    rows = carried(ordered(df, [key] if isinstance(key, str) else list(key), hold), {"__before": F.count(F.lit(1))})
+    return rows.select(
+        (F.col("__before") + F.col("__place") + 1).alias(row), *[F.col(f"`{c}`") for c in df.columns]
+    )
+
+
+def running_totals(df: DataFrame, order: str, values: Sequence[str], hold: Hold = keep) -> DataFrame:
+    """Running sum of `values` by a unique column `order` of any type. Adds `running_<value>` columns."""
+    rows = carried(ordered(df, [order], hold), {f"__c_{v}": F.sum(v) for v in values})
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(
         *[F.col(f"`{c}`") for c in df.columns],
-        *[(F.sum(v).over(inside) + F.col(f"__c_{v}")).alias(f"running_{v}") for v in values],
+        *[(F.coalesce(F.sum(v).over(inside), F.lit(0)) + F.col(f"__c_{v}")).alias(f"running_{v}") for v in values],
     )
 
 
-def running_progress(rows: DataFrame, row: str, size: int, flags: dict[str, Column] | None = None) -> DataFrame:
+def running_progress(
+    rows: DataFrame, row: str, size: int, flags: dict[str, Column] | None = None, hold: Hold = keep
+) -> DataFrame:
     """Per batch, the rows and outcome counts so far.
 
     Rows are first reduced to one line per batch (with map-side partial sums).
@@ -40,22 +84,4 @@ def running_progress(rows: DataFrame, row: str, size: int, flags: dict[str, Colu
     per_batch = rows.groupBy(batch_id(F.col(row), size).alias("batch")).agg(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in flags.items()]
     )
-    return running_totals(per_batch, "batch", ["rows", *flags])
-
-
-def number_by_key(df: DataFrame, key: str, row: str = "row", block: int = 1_000_000) -> DataFrame:
-    """A10 for a table: 1-based row number by a unique integer key.
-
-    Rows are numbered inside blocks of `block` consecutive key values and shifted by the number of
-    rows in earlier blocks, so no task sorts the whole table. A row's number depends on data alone,
-    not on how the input was split, so it survives the loss of an executor.
-    """
-    blocked = df.withColumn("__block", F.floor(F.col(key) / F.lit(block)).cast("long"))
-    sizes = blocked.groupBy("__block").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__block").orderBy(key)
-    return blocked.join(offsets, "__block").select(
-        (F.row_number().over(inside) + F.col("__before")).cast("long").alias(row),
-        *[F.col(f"`{c}`") for c in df.columns],
-    )
+    return running_totals(per_batch, "batch", ["rows", *flags], hold)

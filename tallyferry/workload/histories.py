@@ -211,12 +211,31 @@ def running_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "row_numbers_by_key",
-    "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS row FROM customer WHERE c_custkey % 3 <> 1",
+    """WITH k AS (SELECT md5('customer ' || c_custkey) AS id, c_custkey, NULL AS o_orderkey FROM customer
+                  UNION ALL SELECT md5('order ' || o_orderkey), NULL, o_orderkey FROM orders)
+       SELECT c_custkey, o_orderkey, row_number() OVER (ORDER BY id) AS row FROM k""",
 )
 def row_numbers_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A10 for a table, in blocks."""
-    customers = Tables(spark, sf_dir)["customer"].filter("c_custkey % 3 <> 1").select("c_custkey")
-    return numbering.number_by_key(customers, "c_custkey", block=200)
+    """A10 for two whole tables, by hashed ids."""
+    tables = Tables(spark, sf_dir)
+    customers = tables["customer"].select(F.md5(F.concat(F.lit("customer "), "c_custkey").cast("binary")).alias("id"), "c_custkey")
+    orders = tables["order"].select(F.md5(F.concat(F.lit("order "), "o_orderkey").cast("binary")).alias("id"), "o_orderkey")
+    return numbering.number_by_key(customers.unionByName(orders, allowMissingColumns=True), "id").drop("id")
+
+
+@register(
+    "running_totals_by_key",
+    """SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER w AS BIGINT) AS running_cents,
+              count(*) OVER w AS running_one
+       FROM orders WINDOW w AS (ORDER BY md5(CAST(o_orderkey AS VARCHAR)) ROWS UNBOUNDED PRECEDING)""",
+)
+def running_totals_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals of all orders in the order of their hashed ids."""
+    orders = Tables(spark, sf_dir)["order"].select(
+        "o_orderkey", F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("id"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.lit(1).alias("one"),
+    )
+    return numbering.running_totals(orders, "id", ["cents", "one"]).drop("id", "cents", "one")
 
 
 def _rate_sql(seconds: int) -> str:

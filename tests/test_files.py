@@ -4,6 +4,7 @@ import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,15 +133,23 @@ def test_numbers_and_dates(spark):
 
 def test_running_totals_and_row_numbers(spark):
     rng = random.Random(7)
-    keys = sorted(rng.sample(range(10_000), 500))
-    df = spark.createDataFrame([(k, k % 7) for k in keys], "k long, v long").repartition(4)
-    got = {r.k: r.running_v for r in numbering.running_totals(df, "k", ["v"], block=100).collect()}
-    total, want = 0, {}
-    for k in keys:
-        total += k % 7
-        want[k] = total
-    assert got == want
-    assert {r.k: r.row for r in numbering.number_by_key(df, "k", block=64).collect()} == {k: i for i, k in enumerate(keys, 1)}
+    keys = sorted(rng.sample(range(10**15), 500))
+    df = spark.createDataFrame([(k, k % 7, Decimal(k % 9)) for k in keys], "k long, v long, d decimal(9,2)").repartition(4)
+    totals = numbering.running_totals(df, "k", ["v", "d"])
+    assert "SinglePartition" not in totals._jdf.queryExecution().toString()
+    got = {r.k: (r.running_v, r.running_d) for r in totals.collect()}
+    assert got == {k: (sum(x % 7 for x in keys[: i + 1]), sum(x % 9 for x in keys[: i + 1])) for i, k in enumerate(keys)}
+    numbered = numbering.number_by_key(df, "k")
+    assert "SinglePartition" not in numbered._jdf.queryExecution().toString()
+    assert {r.k: r.row for r in numbered.collect()} == {k: i for i, k in enumerate(keys, 1)}
+    assert numbering.number_by_key(df.limit(0), "k").count() == numbering.running_totals(df.limit(0), "k", ["v"]).count() == 0
+
+
+def test_row_numbers_by_text_and_by_two_keys(spark):
+    rows = [(None, 2), ("b", 1), ("ab", 9), (None, 1), ("b", 0), ("", 5)]
+    df = spark.createDataFrame(rows, "a string, b long")
+    got = {(r.a, r.b): r.row for r in numbering.number_by_key(df, ["a", "b"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("", 5): 3, ("ab", 9): 4, ("b", 0): 5, ("b", 1): 6}
 
 
 def test_trailing_counts_with_a_hot_key_and_ties(spark):
