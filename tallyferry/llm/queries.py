@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, piece_sampling, quality, suffix_dedup, token_counts, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, merkle, piece_sampling, quality, suffix_dedup, token_counts, toxicity
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -154,3 +154,63 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEAF_SQL = "sha256(concat({}))".format(", ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}")
+))
+
+
+@register(
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, lang, {_LEAF_SQL.replace("{text}", "text")} AS leaf,
+             {_LEAF_SQL.replace("{text}", f"translate(text, '{_UPPER}', '{_LOWER}')")} AS other,
+             -- crc32, bit by bit
+             xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+                   lambda i: ascii(CAST(doc_id AS VARCHAR)[i])::UBIGINT),
+                 lambda c, b: list_reduce([xor(c, b)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0],
+                   lambda x, y: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END))),
+               4294967295::UBIGINT) AS crc
+      FROM documents),
+    l AS (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx,
+                 count(*) OVER (PARTITION BY lang) AS n FROM d),
+    low(tree, level, idx, h, n) AS (
+      SELECT tree, 0, idx, leaf, n FROM l
+      UNION ALL
+      SELECT tree, max(level) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), max((n + 7) // 8) FROM low WHERE n > 1 GROUP BY tree, idx // 8),
+    sub AS (SELECT tree, max(h) AS subroot, count(*) OVER () AS width FROM low WHERE n = 1 GROUP BY tree),
+    high(level, idx, h, n) AS (
+      SELECT 0, tree - 1, subroot, width FROM sub
+      UNION ALL
+      SELECT max(level) + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), max((n + 7) // 8) FROM high WHERE n > 1 GROUP BY idx // 8),
+    start AS (SELECT doc_id, tree, idx, n, CASE WHEN crc % 3 = 0 THEN other ELSE leaf END AS h FROM l),
+    fold_low(doc_id, tree, level, idx, h, n, proof) AS (
+      SELECT doc_id, tree, 0, idx, h, n, '' FROM start
+      UNION ALL
+      SELECT f.doc_id, f.tree, max(f.level) + 1, max(f.idx // 8),
+             sha256(string_agg(CASE WHEN o.idx = f.idx THEN f.h ELSE o.h END, '' ORDER BY o.idx)), max((f.n + 7) // 8),
+             max(f.proof) || coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx <> f.idx), '')
+      FROM fold_low f JOIN low o ON o.tree = f.tree AND o.level = f.level AND o.idx // 8 = f.idx // 8 WHERE f.n > 1 GROUP BY f.doc_id, f.tree),
+    fold_high(doc_id, level, idx, h, n, proof) AS (
+      SELECT doc_id, 0, tree - 1, h, width, proof FROM fold_low JOIN sub USING (tree) WHERE n = 1
+      UNION ALL
+      SELECT f.doc_id, max(f.level) + 1, max(f.idx // 8),
+             sha256(string_agg(CASE WHEN o.idx = f.idx THEN f.h ELSE o.h END, '' ORDER BY o.idx)), max((f.n + 7) // 8),
+             max(f.proof) || coalesce(string_agg(o.h, '' ORDER BY o.idx) FILTER (o.idx <> f.idx), '')
+      FROM fold_high f JOIN high o ON o.level = f.level AND o.idx // 8 = f.idx // 8 WHERE f.n > 1 GROUP BY f.doc_id)
+    SELECT l.doc_id, l.leaf, sub.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+    FROM l JOIN sub USING (tree) JOIN fold_high f ON f.doc_id = l.doc_id AND f.n = 1 CROSS JOIN (SELECT h FROM high WHERE n = 1) r
+    """
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    chosen = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0
+    tampered = F.when(chosen, merkle.leaf_hash(*fields, F.translate("text", _UPPER, _LOWER)))
+    found = merkle.manifest(docs, "doc_id", "lang", [*fields, F.col("text")], {"tampered": tampered})
+    return merkle.proofs(found).select(
+        "_row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("_row.tampered", "leaf"), F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
