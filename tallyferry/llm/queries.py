@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, merkle, piece_sampling, quality, suffix_dedup, token_counts, toxicity
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, merkle, piece_sampling, quality, suffix_dedup, token_counts, toxicity, whitening
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -214,3 +214,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_row.doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
         merkle.folded(F.coalesce("_row.tampered", "leaf"), F.col("proof")).alias("folded_root"),
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register()
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding")
+    error = whitening.identity_error(vectors, "embedding", model)
+    shares = F.array(*[F.lit(float(e / model.trace)) for e in model.values]).cast("array<double>")
+    return whitening.whitened(vectors, "embedding", model).select(
+        "_row.vec_id", F.posexplode("_whitened").alias("at", "whitened"), F.col("_deviation").alias("deviation")
+    ).select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
