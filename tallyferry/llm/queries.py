@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, merkle, piece_sampling, quality, suffix_dedup, token_counts, toxicity, whitening
+from tallyferry.llm import decontamination, exact_dedup, jaccard_join, licenses, line_dedup, merkle, neighbours, piece_sampling, quality, suffix_dedup, token_counts, toxicity, whitening
 from tallyferry.llm.labels import fold
 from tallyferry.llm.store import importable
 
@@ -228,3 +228,9 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(shares, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
     )
+
+
+@register()
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("id") % 20 == 0)
+    return found.withColumnRenamed("id", "vec_id")
