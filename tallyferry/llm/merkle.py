@@ -35,6 +35,8 @@ ROUND_LEVELS = 3
 BLOCK_BITS = ARITY_BITS * ROUND_LEVELS
 # askers of nodes near a root are dealt over so many copies of each
 SALTS = 32
+# so many trees, a short line each, are broadcast to the leaves; more are copied to SALTS parts of a shuffle
+FEW_TREES = 10_000
 # trees are named "" (null group) or "=" and the group's value; this one stands over their roots
 OVER = "*"
 NODES = "tree string, level int, idx long, hash string, n long"
@@ -113,6 +115,15 @@ def inner_nodes(leaves: DataFrame) -> DataFrame:
     return made
 
 
+def of_tree(leaves: DataFrame, trees: DataFrame, width: int) -> DataFrame:
+    """Leaves with the line of their tree. One tree may hold most leaves, so leaves never meet by tree alone."""
+    if width <= FEW_TREES:
+        return leaves.join(F.broadcast(trees), "tree")
+    salted = leaves.withColumn("salt", F.pmod(F.xxhash64("leaf", "tree"), F.lit(SALTS)).cast("int"))
+    copied = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copied, ["tree", "salt"]).drop("salt")
+
+
 def manifest(rows: DataFrame, key: str, tree: str, fields: list[Column], carry: dict[str, Column] | None = None) -> Manifest:
     """The trees of `rows`, one per value of `tree`, with leaves over `fields` ascending by `key`.
 
@@ -128,15 +139,17 @@ def manifest(rows: DataFrame, key: str, tree: str, fields: list[Column], carry:
         F.coalesce(F.concat(F.lit("="), F.col(f"`{tree}`").cast("string")), F.lit("")).alias("tree"),
         leaf_hash(*fields).alias("leaf"), F.monotonically_increasing_id().alias("spread"),
     )
+    # hashed once: dealing into ranges looks at its input twice
+    leaves = stored(leaves, "merkle-hashes")
     placed = number_by_key(leaves, ["tree", "key", "leaf", "spread"], "place", lambda df: stored(df, "merkle-leaves"))
     trees = placed.groupBy("tree").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     ranked = number_by_key(trees, "tree", "at", lambda df: stored(df, "merkle-trees"))
-    placed = placed.join(trees, "tree").select("_row", "tree", (F.col("place") - F.col("first")).alias("idx"), "n", "leaf")
+    width = ranked.count()
+    placed = of_tree(placed, ranked, width).select("_row", "tree", (F.col("place") - F.col("first")).alias("idx"), "n", "leaf")
     inner = inner_nodes(placed.withColumnRenamed("leaf", "hash"))
     tops = inner.where("n = 1").select("tree", F.col("hash").alias("subroot")).unionByName(
         placed.where("n = 1").select("tree", F.col("leaf").alias("subroot"))
     )
-    width = trees.count()
     subroots = stored(
         ranked.join(tops, "tree").select("tree", (F.col("at") - 1).alias("at"), F.lit(width).cast("long").alias("width"), "subroot"),
         "merkle-subroots",
@@ -146,7 +159,7 @@ def manifest(rows: DataFrame, key: str, tree: str, fields: list[Column], carry:
     )
     over = leaves_over.unionByName(inner_nodes(leaves_over))
     top = over.where("n = 1").head()
-    done = placed.join(subroots, "tree").withColumn("root", F.lit(top.hash if top else None).cast("string"))
+    done = of_tree(placed, subroots, width).withColumn("root", F.lit(top.hash if top else None).cast("string"))
     return Manifest(stored(done, "merkle-manifest"), inner.unionByName(over))
 
 

@@ -147,6 +147,8 @@ def orthogonal_columns(factor: np.ndarray, sweeps: int = 60) -> np.ndarray:
     """
     f = np.array(factor)
     count = f.shape[1]
+    if count < 2:
+        return f
     ring = list(range(count + count % 2))  # with an odd count, one column sits out each round
     for _ in range(sweeps):
         rotated = False
