@@ -109,15 +109,33 @@ def job_counts(jobs: DataFrame) -> DataFrame:
     )
 
 
+# Fields of a run's state; the first is set by every event, the others by events that give them.
+STATE_FIELDS = ("status", "started_at", "completed_at", "error_message", "result_metadata")
+
+
 def fold_status(log: DataFrame, order: list[str]) -> DataFrame:
     """The state of each run after all its status events. A field is set only by events that give it.
 
     `log`: run_id, status, started_at, completed_at, error_message, result_metadata, plus `order` columns.
     """
+    return state_of(partial_state(log, order))
+
+
+def partial_state(log: DataFrame, order: list[str]) -> DataFrame:
+    """Per run and field, the last value given and when: struct<at, v>. Such rows can be combined in any grouping."""
     at = F.struct(*order)
 
     def last_given(name: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), at)).alias(name)
+        given = at if name == STATE_FIELDS[0] else F.when(F.col(name).isNotNull(), at)
+        return F.max_by(F.struct(at.alias("at"), F.col(name).alias("v")), given).alias(name)
+
+    return log.groupBy("run_id").agg(*[last_given(f) for f in STATE_FIELDS])
+
+
+def combined_state(parts: DataFrame) -> DataFrame:
+    """One row per run out of several partial states."""
+    return parts.groupBy("run_id").agg(*[F.max_by(f, F.col(f)["at"]).alias(f) for f in STATE_FIELDS])
+
 
-    fields = ("started_at", "completed_at", "error_message", "result_metadata")
-    return log.groupBy("run_id").agg(F.max_by("status", at).alias("status"), *[last_given(f) for f in fields])
+def state_of(parts: DataFrame) -> DataFrame:
+    return parts.select("run_id", *[F.col(f)["v"].alias(f) for f in STATE_FIELDS])

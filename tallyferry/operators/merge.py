@@ -5,8 +5,8 @@ create fails. Each row's only state is "does the key exist now", which is the la
 signal before it. So:
 
 1. classify rows on their own (action, required fields, key present);
-2. find `exists` for each row with one window over (key, chunk); the chunk is 0 except for keys that
-   hold more than `hot_rows` rows, which are cut into chunks whose last signals are carried forward;
+2. find `exists` for each row with one window by key; keys that hold more than `hot_rows` rows are cut by
+   rank into chunks of that size instead, and the last signal of a chunk is carried forward;
 3. fold the effective rows of a key into one delta with plain aggregates (partial sums before the
    shuffle, no group is ever collected);
 4. apply deltas to the table with one left join. Rows without a key never meet the window.
@@ -26,9 +26,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tallyferry.functions import ids, numbers, text
 from tallyferry.functions.dates import as_ntz, parse_timestamp
 from tallyferry.functions.rules import REQUIRED
+from tallyferry.operators import numbering
 from tallyferry.operators.relations import resolve_foreign_key
 from tallyferry.plans.registry import EntityDef, MergeColumn, Registry
 from tallyferry.plans.specs import IMPORT_MODES
+from tallyferry.session import keep
 from tallyferry.sources.files import ACTION, ROW
 
 CREATED, UPDATED, DELETED, SKIPPED, FAILED = "created", "updated", "deleted", "skipped", "failed"
@@ -72,7 +74,7 @@ def merge(
     """M1-M18. `target` is the stored table (all tenants), `changes` the renamed import rows.
 
     `unique_keys` promises at most one row per key and replaces the window by a plain lookup.
-    `hot_rows=None` promises that no key is hot and saves the pass that looks for hot keys.
+    `hot_rows=None` promises that no key is hot and saves the pass that looks for hot keys, which runs at once.
     `outcomes_only` says that the new table will not be used.
     `hold` may write intermediate rows down (`session.keep`): the classified rows are read by several
     passes, the applied rows by the outcomes and three times by the new table. Without it each pass
@@ -234,45 +236,56 @@ def _exists_by_lookup(staged: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _exists_in_order(staged: DataFrame, known: DataFrame, hot_rows: int | None) -> DataFrame:
-    per_key = staged.filter(F.col("__key").isNotNull()).groupBy("__key")
-    touched = per_key.agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__low"), F.max("__row").alias("__high"))
+    # Rows without a key have no state and take no part in any shuffle here.
+    loose = staged.filter(F.col("__key").isNull()).withColumn("__exists", F.lit(False))
+    own = staged.filter(F.col("__key").isNotNull())
+    touched = own.groupBy("__key").agg(F.count(F.lit(1)).alias("__n"))
     # Existing keys enter as a row 0 that says "exists".
     base = known.join(touched, "__key", "left_semi").select(
         "__key", F.lit(0).cast("long").alias("__row"), F.lit(True).alias("__signal"), F.lit(True).alias("__base")
     )
-    rows = staged.withColumn("__base", F.lit(False)).unionByName(base, allowMissingColumns=True)
-
+    rows = own.withColumn("__base", F.lit(False)).unionByName(base, allowMissingColumns=True)
     if hot_rows is None:
-        chunk = F.lit(0).cast("long")
-    else:
-        # Each hot key owns more than hot_rows rows, so this table has at most rows / hot_rows lines.
-        hot = touched.filter(F.col("__n") > hot_rows).select(
-            "__key", "__low", "__high", F.ceil(F.col("__n") / hot_rows).alias("__parts")
-        )
-        rows = rows.join(hot, "__key", "left")
-        span = F.col("__high") - F.col("__low") + 1
-        part = F.floor((F.col("__row") - F.col("__low")) * F.col("__parts") / span)
-        chunk = F.coalesce(F.greatest(part, F.lit(0)), F.lit(0)).cast("long")
-    # Rows outside the state stand alone: their row number spreads them over all tasks.
-    rows = rows.withColumn("__chunk", F.when(F.col("__key").isNull(), F.col("__row")).otherwise(chunk))
-
-    before = (
-        Window.partitionBy("__key", "__chunk").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+        return _exists_in_window(rows).unionByName(loose)
+    # Each of these keys owns more than hot_rows rows, so there are fewer than rows / hot_rows of them.
+    hot = keep(touched.filter(F.col("__n") > hot_rows).select("__key"), "hot-keys")
+    if hot.isEmpty():
+        return _exists_in_window(rows).unionByName(loose)
+    cold = _exists_in_window(rows.join(hot, "__key", "left_anti"))
+    # Only key, row and signal of hot keys are dealt out; the other columns come back by row number.
+    signals = rows.join(hot, "__key", "left_semi").select("__key", "__row", "__signal", "__base")
+    states = _exists_in_chunks(_by_rank(signals, hot_rows)).filter(~F.col("__base")).select("__row", "__exists")
+    busy = own.join(hot, "__key", "left_semi").join(states, "__row")
+    return cold.unionByName(busy).unionByName(loose)
+
+
+def _exists_in_window(rows: DataFrame) -> DataFrame:
+    """One window by key: the last signal before each row."""
+    before = Window.partitionBy("__key").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    state = F.coalesce(F.last("__signal", ignorenulls=True).over(before), F.lit(False))
+    return rows.withColumn("__exists", state).filter(~F.col("__base")).drop("__base")
+
+
+def _by_rank(signals: DataFrame, size: int) -> DataFrame:
+    """Adds `__chunk`: rows of a key in runs of `size` by their rank among the key's rows, however far apart they stand."""
+    numbered = numbering.number_by_key(signals, ["__key", "__row"], "__at")
+    starts = numbered.groupBy("__key").agg(F.min("__at").alias("__first"))  # one line per hot key
+    chunk = F.floor((F.col("__at") - F.col("__first")) / F.lit(size)).cast("long")
+    return numbered.join(starts, "__key").withColumn("__chunk", chunk).drop("__at", "__first")
+
+
+def _exists_in_chunks(signals: DataFrame) -> DataFrame:
+    """A segmented scan: the last signal inside a row's chunk, else the one carried over from the key's earlier chunks."""
+    before = Window.partitionBy("__key", "__chunk").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
+    local = F.last("__signal", ignorenulls=True).over(before)
+    # One line per (hot key, chunk).
+    ends = signals.groupBy("__key", "__chunk").agg(
+        F.max_by("__signal", F.when(F.col("__signal").isNotNull(), F.col("__row"))).alias("__end")
     )
-    rows_with = rows.withColumn("__local", F.last("__signal", ignorenulls=True).over(before))
-    state = [F.col("__local")]
-    if hot_rows is not None:
-        # One line per (hot key, chunk); Spark picks the join by the size it finds.
-        ends = (
-            rows.filter(F.col("__parts").isNotNull())
-            .groupBy("__key", "__chunk")
-            .agg(F.max_by("__signal", F.when(F.col("__signal").isNotNull(), F.col("__row"))).alias("__end"))
-        )
-        earlier = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-        carry = ends.select("__key", "__chunk", F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
-        rows_with = rows_with.join(carry, ["__key", "__chunk"], "left")
-        state.append(F.col("__carry"))
-    return rows_with.filter(~F.col("__base")).withColumn("__exists", F.coalesce(*state, F.lit(False)))
+    earlier = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("__key", "__chunk", F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
+    scanned = signals.withColumn("__local", local).join(carry, ["__key", "__chunk"])
+    return scanned.withColumn("__exists", F.coalesce("__local", "__carry", F.lit(False)))
 
 
 # -- steps 3 and 4 ------------------------------------------------------------------------------------

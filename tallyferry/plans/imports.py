@@ -5,16 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyferry.functions.rules import NO_ROWS
-from tallyferry.operators import merge as merging, validation
+from tallyferry.operators import merge as merging, numbering, validation
 from tallyferry.plans.registry import Registry
 from tallyferry.plans.specs import ImportSpec
 from tallyferry.session import keep
-from tallyferry.sources.files import ROW, rename
+from tallyferry.sources import inbox
+from tallyferry.sources.files import MAX_FILE_BYTES, ROW, rename
+from tallyferry.sources.inbox import FILE
 from tallyferry.sources.sinks import import_error_path, write_errors, write_snapshot
 
 # Phases of error files and the message of a refused import.
@@ -97,3 +100,82 @@ def run_import(
 def _file_lines(rows: DataFrame, header: list[dict[str, Any]]) -> DataFrame:
     lines = [(e["row"], e["field"], e["message"]) for e in header]
     return rows.sparkSession.createDataFrame(lines, "row long, field string, message string")
+
+
+@dataclass(frozen=True)
+class FolderImport:
+    """`errors`: file, row, field, message. `outcomes`: file, row, outcome, field, message. `files`: file, rows, refused."""
+
+    files: DataFrame
+    errors: DataFrame
+    outcomes: DataFrame
+    table: DataFrame
+
+
+def import_folder(
+    spark: SparkSession,
+    folder: str,
+    spec: ImportSpec,
+    registry: Registry,
+    target: DataFrame,
+    as_of: datetime,
+    tenant: object = None,
+    run: str = "run",
+    tables: Mapping[str, DataFrame] | None = None,
+    expected: DataFrame | None = None,
+    max_bytes: int = MAX_FILE_BYTES,
+) -> FolderImport:
+    """Gate, encoding, parsing, shape, header and rows of every file below a folder, then the merge of what stands.
+
+    A file is refused on its own: a bad one does not stop those beside it. With `abort` one invalid row refuses its file,
+    with `skip` only itself. Files with the same columns are validated and merged together, in the order of their names
+    and rows; groups of files follow one another by their first names. There are as many groups as different headers.
+    """
+    entity = registry.get(spec.entity)
+    found = inbox.inspect(spark, folder, expected, max_bytes)
+    errors, outcomes, counts = [found.problems], [], []
+    table = target
+    idle = spark.createDataFrame([(p, 0, False) for p in found.idle], f"{FILE} string, rows long, refused boolean")
+    refused = [idle, found.problems.select(FILE).distinct().withColumn("rows", F.lit(0).cast("long")).withColumn("refused", F.lit(True))]
+    for number, group in enumerate(found.groups):
+        mapped = [spec.mappings.get(c, c) for c in group.columns]
+        header = validation.header_errors(mapped, entity) if group.kind == "csv" else []
+        paths = spark.createDataFrame([(p,) for p in group.paths], f"{FILE} string")
+        if header:
+            errors += [
+                paths.select(FILE, *[F.lit(e[name]).cast(kind).alias(name) for name, kind in (("row", "long"), ("field", "string"), ("message", "string"))])
+                for e in header
+            ]
+            refused.append(paths.select(FILE, F.lit(0).cast("long").alias("rows"), F.lit(True).alias("refused")))
+            continue
+        checked = keep(validation.validate(rename(group.rows, spec.mappings), entity, ROW, aside=(FILE,)), "folder-validated")
+        per_file = keep(
+            paths.join(checked.groupBy(FILE).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col(validation.VALID)).alias("bad")), FILE, "left")
+            .select(FILE, F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), F.coalesce("bad", F.lit(0)).alias("bad")),
+            "folder-counts",
+        )
+        empty = per_file.where("rows = 0").select(
+            FILE, F.lit(1).cast("long").alias("row"), F.lit(None).cast("string").alias("field"), F.lit(NO_ROWS).alias("message")
+        )
+        broken = checked.where(~F.col(validation.VALID)).select(FILE, F.explode_outer(validation.ERRORS).alias("e"))
+        errors += [empty, broken.select(FILE, "e.row", "e.field", "e.message")]
+        stops = F.col("rows") == 0 if spec.on_invalid == "skip" else (F.col("rows") == 0) | (F.col("bad") > 0)
+        counts.append(per_file.select(FILE, "rows", stops.alias("refused")))
+        good = checked.where(validation.VALID).drop(validation.ERRORS, validation.VALID)
+        good = good.join(per_file.where(stops).select(FILE), FILE, "left_anti")
+        placed = keep(numbering.number_by_key(good, [FILE, ROW], "__order"), "folder-rows")
+        merged = merging.merge(
+            table, placed.drop(FILE, ROW), entity, as_of, tenant, spec.mode, spec.match_key, tables, registry, f"{run}-{number}",
+            "__order", hold=keep,
+        )
+        told = merged.outcomes.withColumnRenamed(merging.ROW, "__order").join(placed.select("__order", FILE, ROW), "__order")
+        outcomes.append(told.select(FILE, ROW, "outcome", "field", "message"))
+        table = keep(merged.table, "folder-table")
+
+    def all_of(parts: list[DataFrame], schema: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts, spark.createDataFrame([], schema))
+
+    return FolderImport(
+        all_of(refused + counts, f"{FILE} string, rows long, refused boolean"), all_of(errors, inbox.PROBLEMS),
+        all_of(outcomes, f"{FILE} string, row long, outcome string, field string, message string"), table,
+    )

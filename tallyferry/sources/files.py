@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Mapping
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -39,7 +39,7 @@ def content_type(fmt: str) -> str:
     return CONTENT_TYPES.get(fmt.lower(), CONTENT_TYPES["csv"])
 
 
-def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, columns: list[str] | None = None) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | list[str], quoted_newlines: bool = True, columns: list[str] | None = None) -> DataFrame:
     """A1, A2: header row, UTF-8, every value text, empty text to null, blank lines skipped.
 
     `quoted_newlines=False` lets Spark split a large plain file over many tasks. `columns` gives the
@@ -65,18 +65,17 @@ def scan_csv(spark: SparkSession, path: str, quoted_newlines: bool = True, colum
 
 
 def is_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first line that is not blank is an object by itself. Only that line is looked at."""
-    head = spark.read.text(path).where(F.col("value").rlike(r"\S")).limit(1).head()
-    if head is None:
-        return True
-    try:
-        return isinstance(json.loads(head.value), dict)
-    except ValueError:
-        return False
+    """Whether the first line that is not blank is an object by itself. Two flags of that line come to the driver."""
+    first = F.substring(F.ltrim("value"), 1, 1) == "{"
+    seen = spark.read.text(path).where(F.col("value").rlike(r"\S")).select(
+        (first & F.try_parse_json(F.when(first, F.col("value"))).isNotNull()).alias("object")
+    )
+    head = seen.limit(1).head()
+    return head is None or head.object
 
 
 def scan_json(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None
+    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None, lines: bool | None = None
 ) -> DataFrame:
     """A3: an array of objects, a single object, or JSON lines; the first line tells which unless `lines` does.
     Without a schema the columns are the union of the keys of all records."""
@@ -143,7 +142,8 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
         .load(folder)
     )
     sizes = listing.select("path", "length")
-    names = spark.createDataFrame([(_plain(f),) for f in listing.inputFiles()], "path string")
+    # The index gives URIs, in which blanks and the like are escaped; the reader's own column does not.
+    names = spark.createDataFrame([(_plain(unquote(f)),) for f in listing.inputFiles()], "path string")
     sizes = sizes.withColumn("path", _plain_column(F.col("path")))
     return names.join(sizes, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"))
 
@@ -156,6 +156,11 @@ def _plain_column(uri: Column) -> Column:
     return F.regexp_replace(F.replace(uri, F.lit("file:///"), F.lit("/")), "^file:", "")
 
 
+def plain_path(uri: Column) -> Column:
+    """The path in `_metadata.file_path`, whose blanks and the like are escaped."""
+    return _plain_column(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def gate_message(path: Column, length: Column, max_bytes: int = MAX_FILE_BYTES) -> Column:
     """The first failed check of a file, or null. `length` is null when the file is missing."""
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))

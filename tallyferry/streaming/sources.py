@@ -19,10 +19,12 @@ def stream_csv(spark: SparkSession, folder: str, columns: list[str], files_per_b
     return reader.csv(folder).select(*[F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
 
-def stream_parquet(spark: SparkSession, path: str) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A parquet table as a stream. `path` is a folder, or one file (read through its folder)."""
     still = spark.read.parquet(path)
     reader = spark.readStream.schema(still.schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
     files = still.inputFiles()
     if len(files) == 1 and files[0].endswith(f"{folder}/{name}"):

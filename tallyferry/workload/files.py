@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyferry.operators import validation
 from tallyferry.plans.catalog import BILL
+from tallyferry.plans.imports import import_folder
+from tallyferry.plans.specs import ImportSpec
 from tallyferry.session import scratch_dir
-from tallyferry.sources import files, sinks
+from tallyferry.sources import files, inbox, sinks
 from tallyferry.sources.buckets import BucketedTable
 from tallyferry.streaming import jobs
 from tallyferry.streaming.sources import stream_csv, stream_parquet
@@ -100,37 +102,99 @@ def json_record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.json_document_problems(documents)
 
 
-@register("columns_discovered", "SELECT count(*) AS rows, 3 AS columns, false AS has_action FROM customer")
+@register(
+    "columns_discovered",
+    """SELECT kind, c_mktsegment AS segment, CASE kind WHEN 'csv' THEN 'external_id,full name,amount' ELSE 'address,amount,name' END AS columns,
+              kind = 'csv' AS has_action, count(DISTINCT c_mktsegment) AS files
+       FROM customer, (VALUES ('csv'), ('json')) k(kind) GROUP BY ALL""",
+)
 def columns_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7."""
+    """One CSV file and one JSON object per customer segment."""
     path = scratch_dir(spark, "columns")
-    sinks.write_export(_awkward(spark, sf_dir), path)
-    scanned = files.scan_csv(spark, path)
-    names, has_action = files.discover_columns(scanned)
-    return scanned.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(len(names)).alias("columns"), F.lit(has_action).alias("has_action")
+    customers = Tables(spark, sf_dir)["customer"].repartition(5, "c_mktsegment")
+    customers.selectExpr(
+        "c_mktsegment", "concat('C', c_custkey) AS external_id", "c_name AS `full name`", "'X' AS _action", "c_acctbal AS amount"
+    ).write.partitionBy("c_mktsegment").option("header", True).csv(f"{path}/kind=csv")
+    objects = customers.groupBy("c_mktsegment").agg(F.max("c_name").alias("name"), F.max("c_acctbal").alias("amount"), F.max("c_phone").alias("address"))
+    objects.write.partitionBy("c_mktsegment").json(f"{path}/kind=json")
+    found = inbox.discovered(spark, path).select(
+        F.regexp_extract("file", "kind=([^/]*)", 1).alias("kind"), F.regexp_extract("file", "c_mktsegment=([^/]*)", 1).alias("segment"),
+        F.array_join("columns", ",").alias("columns"), "has_action", "file",
     )
+    return found.groupBy("kind", "segment", "columns", "has_action").agg(F.count_distinct("file").alias("files"))
 
 
 @register(
     "file_gate",
-    """SELECT c_mktsegment AS segment, kind, CASE kind WHEN 'csv' THEN NULL ELSE 'Invalid file format. Allowed: .csv, .json' END AS message
-       FROM customer, (VALUES ('csv'), ('txt')) k(kind) GROUP BY ALL""",
+    """SELECT kind, c_mktsegment AS segment, CASE kind WHEN 'txt' THEN 'Invalid file format. Allowed: .csv, .json' WHEN 'big' THEN 'File too large. Maximum size: 0.19073486328125MB' WHEN 'gone' THEN 'File not found: ' END AS message
+       FROM customer, (VALUES ('csv'), ('txt'), ('big'), ('gone')) k(kind) GROUP BY ALL
+       UNION ALL SELECT 'empty', '', 'File is empty'""",
 )
 def file_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A8 over the files of each customer segment and format; contents are not read."""
+    """A8 over the files of each customer segment and kind; contents are not read."""
     path = scratch_dir(spark, "gate")
-    rows = Tables(spark, sf_dir)["customer"].select("c_mktsegment", F.col("c_name").alias("value"))
-    rows.write.partitionBy("c_mktsegment").csv(f"{path}/kind=csv")
+    rows = Tables(spark, sf_dir)["customer"].select("c_mktsegment", F.col("c_name").alias("value")).repartition(5, "c_mktsegment")
+    segments = rows.select("c_mktsegment").distinct()
+    # 1,000 rows a file at most, so that no file of this kind is too large
+    rows.write.partitionBy("c_mktsegment").option("maxRecordsPerFile", 1000).csv(f"{path}/kind=csv")
     rows.write.partitionBy("c_mktsegment").text(f"{path}/kind=txt")
-    listed = files.list_files(spark, path).filter(~F.col("path").rlike("/[_.][^/]*$"))
-    gated = files.gate_files(listed)
+    segments.withColumn("value", F.repeat(F.lit("x"), 250_000)).write.partitionBy("c_mktsegment").csv(f"{path}/kind=big")
+    segments.limit(0).write.csv(f"{path}/kind=empty")
+    gone = segments.select(F.concat(F.lit(f"{path}/kind=gone/c_mktsegment="), "c_mktsegment", F.lit("/x.csv")).alias("path"))
+    gated = inbox.inspect_names(spark, path, gone, 200_000)
     return gated.select(
-        F.regexp_extract("path", "c_mktsegment=([^/]*)", 1).alias("segment"),
-        F.regexp_extract("path", "kind=([^/]*)", 1).alias("kind"), "message",
+        F.regexp_extract("path", "kind=([^/]*)", 1).alias("kind"), F.regexp_extract("path", "c_mktsegment=([^/]*)", 1).alias("segment"),
+        F.regexp_replace("message", "found: .*", "found: ").alias("message"),
     ).distinct()
 
 
+@register(
+    "import_folder_checks",
+    """WITH c AS (SELECT c_mktsegment AS segment, count(*) AS n, count(*) FILTER (c_custkey % 10 = 0) AS bad FROM customer GROUP BY 1)
+       SELECT 'good' AS kind, segment, 'created' AS what, n FROM c
+       UNION ALL SELECT 'partly', segment, 'Required field ''name'' is missing or empty', bad FROM c WHERE bad > 0
+       UNION ALL SELECT 'latin', segment, 'File encoding error. File must be UTF-8 encoded', 1 FROM c
+       UNION ALL SELECT 'wide', segment, 'CSV parsing error: field larger than field limit (131072)', 1 FROM c
+       UNION ALL SELECT 'headless', segment, 'Missing required fields: name', 1 FROM c
+       UNION ALL SELECT 'text', segment, 'Invalid file format. Allowed: .csv, .json', 1 FROM c
+       UNION ALL SELECT 'empty', '', 'File is empty', 1
+       UNION ALL SELECT 'object', segment, 'created', 1 FROM c
+       UNION ALL SELECT 'cut', segment, 'Invalid JSON', 1 FROM c""",
+)
+def import_folder_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of every kind side by side in one import; the good ones are merged, whatever stands beside them.
+
+    `partly` has one name in ten missing, so with `abort` its files are refused whole, each with a line per bad row.
+    """
+    path = scratch_dir(spark, "inbox")
+    customers = Tables(spark, sf_dir)["customer"].repartition(5, "c_mktsegment")
+    segments = customers.select("c_mktsegment").distinct()
+
+    def put(df: DataFrame, kind: str, form: str = "csv", **options) -> None:
+        writer = df.write.partitionBy("c_mktsegment").options(**options)
+        getattr(writer, form)(f"{path}/kind={kind}")
+
+    rows = customers.selectExpr("c_mktsegment", "concat('N', c_custkey) AS external_id", "c_name AS name", "c_acctbal AS amount")
+    put(rows, "good", header=True)
+    put(rows.selectExpr("* EXCEPT (external_id, name)", "concat('P', external_id) AS external_id",
+                        "CASE WHEN substr(external_id, -1) <> '0' THEN name END AS name"), "partly", header=True)
+    put(rows.withColumn("name", F.lit("caf\u00e9")), "latin", header=True, encoding="ISO-8859-1")
+    put(segments.select("c_mktsegment", F.lit("W").alias("external_id"), F.repeat(F.lit("x"), 140_000).alias("name")), "wide", header=True)
+    put(rows.select("c_mktsegment", "external_id", "amount"), "headless", header=True)
+    put(rows.select("c_mktsegment", "name"), "text", "text")
+    segments.limit(0).write.csv(f"{path}/kind=empty")
+    one = segments.select("c_mktsegment", F.concat(F.lit("J"), "c_mktsegment").alias("external_id"), F.lit("one").alias("name"))
+    put(one, "object", "json")
+    put(one.unionByName(one).repartition(1), "cut", "json")
+    done = import_folder(
+        spark, path, ImportSpec.parse({"entity": "account"}), merges.Registry((merges.NATION, merges.account())),
+        merges.accounts(spark, sf_dir).limit(0), merges.AS_OF, tenant=1, tables={"nation": Tables(spark, sf_dir)["nation"]},
+    )
+    told = done.errors.select("file", F.col("message").alias("what")).unionByName(done.outcomes.select("file", F.col("outcome").alias("what")))
+    kind, segment = (F.regexp_extract("file", f"{c}=([^/]*)", 1) for c in ("kind", "c_mktsegment"))
+    return told.groupBy(kind.alias("kind"), segment.alias("segment"), "what").agg(F.count(F.lit(1)).alias("n"))
+
+
 @register(
     "export_written_counts",
     "SELECT 'csv' AS format, count(*) AS count, count(*) AS matched FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 4 = 3",
@@ -231,34 +295,58 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_parquet(spark, f"{sf_dir}/events.parquet")
 
 
-# Windows still open when the stream stops (their end is past the watermark) are not written.
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
-
-
 @register(
     "stream_rate_window",
-    f"""WITH w AS (SELECT user_id, time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL (10 * i) SECOND AS start FROM events, range(6) t(i))
-        SELECT start, start + INTERVAL 60 SECOND AS "end", user_id, count(*) AS requests FROM w
-        WHERE start + INTERVAL 60 SECOND <= {_CLOSED} GROUP BY ALL""",
+    """WITH w AS (SELECT user_id, time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL (10 * i) SECOND AS start FROM events, range(6) t(i))
+       SELECT start, start + INTERVAL 60 SECOND AS "end", user_id, count(*) AS requests FROM w GROUP BY ALL""",
 )
 def stream_rate_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P4."""
+    """All windows, those still open at the end of the data included."""
     root = scratch_dir(spark, "stream-rates")
-    _finish(jobs.stream_rates(_events(spark, sf_dir), "user_id", "ts", f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    _finish(jobs.stream_rates(_events(spark, sf_dir).select("ts", "user_id"), "user_id", "ts", f"{root}/out", f"{root}/checkpoint"))
+    return jobs.windows_so_far(spark, f"{root}/out", f"{root}/checkpoint", ["requests"])
+
+
+_CLASS = "CASE event_type WHEN 'purchase' THEN 'export' WHEN 'error' THEN 'upload' WHEN 'click' THEN 'import' ELSE event_type END"
+
+
+@register(
+    "stream_rate_limits",
+    f"""WITH e AS (SELECT ts, user_id % 5 AS sender, {_CLASS} AS class FROM events),
+        w AS (SELECT sender, class, 60 AS span, time_bucket(INTERVAL 10 SECOND, ts) - INTERVAL (10 * i) SECOND AS start FROM e, range(6) t(i)
+              UNION ALL
+              SELECT sender, class, 3600, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL (600 * i) SECOND FROM e, range(6) t(i)),
+        c AS (SELECT span, class, sender, start, count(*) AS requests FROM w GROUP BY ALL),
+        l(class, minute, hour) AS (VALUES ('export', 2, 10), ('import', 1, 8), ('upload', 1, 2), ('default', 3, 20))
+        SELECT span, c.class, count(*) AS windows, CAST(sum(requests) AS BIGINT) AS requests,
+               CAST(sum(greatest(requests - CASE span WHEN 60 THEN coalesce(l.minute, 3) ELSE coalesce(l.hour, 20) END, 0)) AS BIGINT) AS over
+        FROM c LEFT JOIN l ON l.class = c.class GROUP BY ALL""",
+)
+def stream_rate_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minute and hour windows of one job, and by class the requests beyond its limits (small ones, so that some are)."""
+    root = scratch_dir(spark, "stream-limits")
+    limits = {"export": (2, 10), "import": (1, 8), "upload": (1, 2), "default": (3, 20)}
+    sent = _events(spark, sf_dir).selectExpr("ts", "user_id % 5 AS sender", f"{_CLASS} AS class")
+    _finish(jobs.stream_rates(sent, ["sender", "class"], "ts", f"{root}/out", f"{root}/checkpoint", (jobs.MINUTE, jobs.HOUR)))
+    windows = jobs.beyond_limits(jobs.windows_so_far(spark, f"{root}/out", f"{root}/checkpoint", ["requests"], 2), "class", limits)
+    span = F.unix_timestamp(F.col("end").cast("timestamp")) - F.unix_timestamp(F.col("start").cast("timestamp"))
+    return windows.groupBy(span.cast("int").alias("span"), "class").agg(
+        F.count(F.lit(1)).alias("windows"), F.sum("requests").alias("requests"), F.sum("over").alias("over")
+    )
 
 
 @register(
     "stream_progress",
-    f"""WITH w AS (SELECT time_bucket(INTERVAL 5 SECOND, ts) + INTERVAL 5 SECOND AS "at", event_type FROM events)
-        SELECT "at", count(*) AS "rows", count(*) FILTER (event_type = 'error') AS flagged FROM w WHERE "at" <= {_CLOSED} GROUP BY ALL""",
+    """SELECT time_bucket(INTERVAL 5 SECOND, ts) + INTERVAL 5 SECOND AS "at", count(*) AS "rows",
+              count(*) FILTER (event_type = 'error') AS flagged FROM events GROUP BY ALL""",
 )
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P5."""
+    """P5: all intervals, the last ones included."""
     root = scratch_dir(spark, "stream-progress")
     events = _events(spark, sf_dir).withColumn("bad", F.col("event_type") == "error")
     _finish(jobs.stream_progress(events, "ts", "bad", f"{root}/out", f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/out").drop("batch")
+    lines = jobs.windows_so_far(spark, f"{root}/out", f"{root}/checkpoint", ["rows", "flagged"])
+    return lines.select(F.col("end").alias("at"), "rows", "flagged")
 
 
 @register("stream_dedup", "SELECT event_id, ts, user_id FROM events")
@@ -273,8 +361,9 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("stream_latest_state", ORACLES["status_fold"])
 def stream_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming twin of `status_fold`."""
+    """The streaming twin of `status_fold`; one whole state is read."""
     root = scratch_dir(spark, "stream-state")
     log = histories.status_log(_events(spark, sf_dir))
-    _finish(jobs.stream_latest_state(log, ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint"))
-    return jobs.read_latest_state(spark.read.parquet(f"{root}/out"))
+    _finish(jobs.stream_latest_state(log, ["ts", "event_id"], f"{root}/out", f"{root}/checkpoint", epoch=1))
+    last = spark.read.parquet(f"{root}/out/whole").agg(F.max("epoch")).head()[0] or 0
+    return jobs.read_latest_state(spark, f"{root}/out", log, ["ts", "event_id"], last)

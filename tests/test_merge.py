@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -98,6 +99,21 @@ def test_random_merge_equals_a_sequential_loop(spark, key, overlay, hot_rows, se
             assert len(r.id) == 36 and r.updated_at == AS_OF
 
 
+def test_hot_keys_are_cut_by_rank_not_by_distance(spark):
+    rng = random.Random(8)
+    at = [*range(1, 1001), 10**12]  # one row far away
+    rows = [("hot", r, rng.choice([True, False, None]), False) for r in at] + [("warm", 2 * r, True, False) for r in range(600)]
+    signals = spark.createDataFrame(rows, "__key string, __row long, __signal boolean, __base boolean").repartition(3)
+    scanned = M._exists_in_chunks(M._by_rank(signals, 100)).collect()
+    sizes = Counter((r["__key"], r["__chunk"]) for r in scanned)
+    assert max(sizes.values()) == 100 and len(sizes) == 11 + 6
+    before, now = {}, {}
+    for key, row, signal, _ in sorted(rows, key=lambda r: r[:2]):
+        before[key, row] = now.get(key, False)
+        now[key] = now.get(key, False) if signal is None else signal
+    assert {(r["__key"], r["__row"]): r["__exists"] for r in scanned} == before
+
+
 def empty(spark, entity):
     columns = ["id string", "client_id string"]
     columns += [f"{m.name} {m.stored_type.simpleString()}" for m in entity.merge_columns]
