@@ -68,7 +68,7 @@ def is_json_lines(spark: SparkSession, path: str) -> bool:
     """Whether the first line that is not blank is an object by itself. Two flags of that line come to the driver."""
     first = F.substring(F.ltrim("value"), 1, 1) == "{"
     seen = spark.read.text(path).where(F.col("value").rlike(r"\S")).select(
-        (first & F.try_parse_json(F.when(first, F.col("value"))).isNotNull()).alias("object")
+        (first & parsed_json(F.when(first, F.col("value"))).isNotNull()).alias("object")
     )
     head = seen.limit(1).head()
     return head is None or head.object
@@ -180,6 +180,17 @@ def gate_files(files: DataFrame, expected: DataFrame | None = None, max_bytes: i
     return files.select("path", "length", message.alias("message"), message.isNull().alias("ok"))
 
 
+def parsed_json(text: Column) -> Column:
+    """The document as a variant, null when it is not one JSON value.
+
+    The parser stops after the first value, so whatever follows would go unseen; inside both brackets and braces nothing
+    but one value can stand.
+    """
+    in_array = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    in_object = F.try_parse_json(F.concat(F.lit('{"d":'), text, F.lit("}")))
+    return F.when(in_array.isNotNull(), F.variant_get(in_object, "$.d", "variant"))
+
+
 def json_problems(spark: SparkSession, path: str) -> DataFrame:
     """File, row, message for unreadable JSON, a wrong top level, or a record that is no object."""
     text = spark.read.option("wholetext", True).text(path)
@@ -189,7 +200,7 @@ def json_problems(spark: SparkSession, path: str) -> DataFrame:
 def json_document_problems(documents: DataFrame, text: str = "value") -> DataFrame:
     """K15 for JSON documents held in a text column; the other columns identify the document."""
     names = [c for c in documents.columns if c != text]
-    parsed = documents.select(*names, F.try_parse_json(text).alias("__doc"))
+    parsed = documents.select(*names, parsed_json(F.col(f"`{text}`")).alias("__doc"))
     kind = F.expr("schema_of_variant(__doc)")
     is_array = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
     whole = (

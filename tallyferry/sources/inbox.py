@@ -93,7 +93,7 @@ def _documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 def _records(documents: DataFrame) -> DataFrame:
     """file, keys of every record that is an object."""
     shape = F.expr("schema_of_variant(doc)")
-    parsed = documents.select(FILE, F.try_parse_json("value").alias("doc"))
+    parsed = documents.select(FILE, files.parsed_json(F.col("value")).alias("doc"))
     record = F.explode(F.when(shape.startswith("ARRAY"), F.expr("cast(doc AS array<variant>)")).otherwise(F.array("doc")))
     objects = parsed.select(FILE, record.alias("record")).where(F.expr("schema_of_variant(record)").startswith("OBJECT"))
     return objects.select(FILE, F.map_keys(F.expr("cast(record AS map<string, variant>)")).alias("keys"))

@@ -115,7 +115,7 @@ def columns_discovered(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers.selectExpr(
         "c_mktsegment", "concat('C', c_custkey) AS external_id", "c_name AS `full name`", "'X' AS _action", "c_acctbal AS amount"
     ).write.partitionBy("c_mktsegment").option("header", True).csv(f"{path}/kind=csv")
-    objects = customers.groupBy("c_mktsegment").agg(F.max("c_name").alias("name"), F.max("c_acctbal").alias("amount"), F.max("c_phone").alias("address"))
+    objects = customers.groupBy("c_mktsegment").agg(F.max("c_name").alias("name"), F.max("c_acctbal").alias("amount"), F.max("c_nationkey").alias("address"))
     objects.write.partitionBy("c_mktsegment").json(f"{path}/kind=json")
     found = inbox.discovered(spark, path).select(
         F.regexp_extract("file", "kind=([^/]*)", 1).alias("kind"), F.regexp_extract("file", "c_mktsegment=([^/]*)", 1).alias("segment"),

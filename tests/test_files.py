@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from tallyferry.functions import dates, ids, numbers
 from tallyferry.operators import numbering, rates
-from tallyferry.sources import files, sinks
+from tallyferry.plans.catalog import PROJECT, standard_registry
+from tallyferry.plans.imports import import_folder
+from tallyferry.plans.specs import ImportSpec
+from tallyferry.sources import files, inbox, sinks
 from tallyferry.sources.buckets import BucketedTable
 from tallyferry.sources.tables import serialise
+from test_merge import empty
 
 
 def test_csv_cells(spark, tmp_path):
@@ -170,3 +174,84 @@ def test_trailing_counts_with_a_hot_key_and_ties(spark):
         return sum(1 for other in by_key[k] if t - timedelta(seconds=s) < other <= t) - 1
 
     assert got == {i: (brute(k, t, 60), brute(k, t, 200)) for i, k, t in events}
+
+
+def test_json_after_the_first_value(spark, tmp_path):
+    cases = {'{"n": 1}\n{"n": 2}': False, "[1] x": False, "1, 2": False, "5] , [6": False, '5}, {"d": 6': False, "": False, "null": True, ' {"n": [1, "]}"]} \n': True, "[]": True}
+    df = spark.createDataFrame([(c,) for c in cases], "value string")
+    got = {r.value: r.ok for r in df.select("value", files.parsed_json(F.col("value")).isNotNull().alias("ok")).collect()}
+    assert got == cases
+
+
+def put(folder, **named):
+    folder.mkdir(exist_ok=True)
+    for name, body in named.items():
+        path = folder / name.replace("__", ".").replace("_0_", " ").replace("_p_", "+%[")
+        path.write_bytes(body if isinstance(body, bytes) else body.encode())
+
+
+def test_names_with_blanks_and_signs(spark, tmp_path):
+    put(tmp_path / "in", a_0_b__csv="x\n1\n", c_p_d__csv="x\n2\n")
+    listed = {r.path.rsplit("/", 1)[1]: (r.length, r.message) for r in files.gate_files(files.list_files(spark, str(tmp_path / "in"))).collect()}
+    assert listed == {"a b.csv": (4, None), "c+%[d.csv": (4, None)}
+    found = inbox.inspect(spark, str(tmp_path / "in"))
+    assert found.problems.count() == 0 and len(found.groups) == 1
+    assert sorted((r.file.rsplit("/", 1)[1], r.row, r.x) for r in found.groups[0].rows.collect()) == [("a b.csv", 1, "1"), ("c+%[d.csv", 1, "2")]
+
+
+def test_columns_per_file(spark, tmp_path):
+    put(
+        tmp_path, a__csv='_action,"full, name","say ""hi"""\nC,x,y\n', b__csv="\n\nonly\n", c__json='[{"b": 1, "_action": "C"}, {"a": {"z": 1}, "b": null}, 7]',
+        d__json='{"k": 1}', e__json="[]", f__txt="x", g__csv=b"caf\xe9,y\n",
+    )
+    got = {r.file.rsplit("/", 1)[1]: (r.columns, r.has_action) for r in inbox.discovered(spark, str(tmp_path)).collect()}
+    assert got.pop("g.csv")[0][1] == "y"
+    assert got == {
+        "a.csv": (["full, name", 'say "hi"'], True), "b.csv": (["only"], False), "c.json": (["a", "b"], True), "d.json": (["k"], False),
+    }
+
+
+def test_a_folder_of_plain_and_quoted_files(spark, tmp_path):
+    plain = "id,t\n" + "".join(f"{i},x{i}\n" for i in range(20_000))
+    put(tmp_path, a__csv=plain, b__csv='t,id\n"two\nlines",1\n"a ""q"" b",2\n', c__csv='id,t\n1,"one, line"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        shapes = {r.file.rsplit("/", 1)[1]: (r.header, r.multiline) for r in inbox.csv_profiles(spark, [str(tmp_path / f"{n}.csv") for n in "abc"]).collect()}
+        assert shapes == {"a.csv": (["id", "t"], False), "b.csv": (["t", "id"], True), "c.csv": (["id", "t"], False)}
+        rows = inbox.scan_csv_folder(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 5  # the plain file is split
+        got = {(r.file[-5], r.row): (r.id, r.t) for r in rows.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {("a", i + 1): (str(i), f"x{i}") for i in range(20_000)}
+    assert got == want | {("b", 1): ("1", "two\nlines"), ("b", 2): ("2", 'a "q" b'), ("c", 1): ("1", "one, line")}
+
+
+@pytest.mark.parametrize("on_invalid", ["abort", "skip"])
+def test_folder_import(spark, tmp_path, on_invalid):
+    put(
+        tmp_path, a__csv="external_id,code,name\na1,A,Alpha\na2,B,\n", b__csv="name,external_id,code\nBeta,b1,B\nBeta two,b2,C\n",
+        c__csv=b"external_id,code,name\nc1,C,caf\xe9\n", d__csv="external_id,code\nd1,D\n", e__csv="external_id,code,name\n", f__csv="\n\n",
+        g__json='[{"external_id": "g1", "code": "G", "name": "Gamma"}]', h__json='[{"external_id": "h1", "code": "H", "name": "H"}, 5]', i__json="{", j__json="7",
+        k__json="[]", l__txt="x", m__csv="", n__csv="external_id,code,name\nn1,N," + "x" * 140_000 + "\n", o__csv='external_id,code,name\no1,O,"two\nlines"\na1,A,again\n',
+    )
+    gone = spark.createDataFrame([(f"{tmp_path}/z.csv",)], "path string")
+    raw = {"entity": "project", "options": {"on_invalid": on_invalid}}
+    done = import_folder(spark, str(tmp_path), ImportSpec.parse(raw), standard_registry(), empty(spark, PROJECT), datetime(2025, 1, 1), "T", expected=gone)
+    errors = sorted((r.file.rsplit("/", 1)[1], r.row, r.field, r.message) for r in done.errors.collect())
+    assert errors == [
+        ("a.csv", 2, "name", "Required field 'name' is missing or empty"), ("c.csv", 0, None, files.BAD_ENCODING),
+        ("d.csv", 0, None, "Missing required fields: name"), ("e.csv", 1, None, "CSV file has no data rows"), ("f.csv", 0, None, "CSV file has no header row"),
+        ("h.json", 2, None, "Record must be an object"), ("i.json", 0, None, "Invalid JSON"), ("j.json", 0, None, "JSON must be an array or object"),
+        ("l.txt", 0, None, files.BAD_SUFFIX), ("m.csv", 0, None, files.EMPTY), ("n.csv", 0, None, inbox.CELL_TOO_LONG), ("z.csv", 0, None, f"File not found: {tmp_path}/z.csv"),
+    ]
+    keys = {r.external_id: r.name for r in done.table.collect()}
+    want = {"b1": "Beta", "b2": "Beta two", "g1": "Gamma", "o1": "two\nlines"}
+    assert keys == want | ({"a1": "Alpha"} if on_invalid == "skip" else {"a1": "again"})
+    outcomes = {(r.file.rsplit("/", 1)[1], r.row): r.outcome for r in done.outcomes.collect()}
+    assert outcomes[("o.csv", 2)] == ("failed" if on_invalid == "skip" else "created") and ("a.csv", 2) not in outcomes
+    listed = {r.file.rsplit("/", 1)[1]: (r.rows, r.refused) for r in done.files.collect()}
+    assert listed["a.csv"] == (2, on_invalid == "abort") and listed["k.json"] == (0, False) and listed["o.csv"] == (2, False)
+    assert {f for f, (_, refused) in listed.items() if refused} == {f for f, *_ in errors} - ({"a.csv"} if on_invalid == "skip" else set())
