@@ -193,7 +193,7 @@ def parsed_json(text: Column) -> Column:
 
 def json_problems(spark: SparkSession, path: str) -> DataFrame:
     """File, row, message for unreadable JSON, a wrong top level, or a record that is no object."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return json_document_problems(text.select(F.col("_metadata.file_path").alias("file"), "value"))
 
 

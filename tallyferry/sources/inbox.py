@@ -83,7 +83,7 @@ def csv_profiles(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def _documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, utf8, value of JSON files; each is one row of at most the size the gate allows."""
-    read = spark.read.option("wholetext", True).text([literal(p) for p in paths])
+    read = spark.read.text([literal(p) for p in paths], wholetext=True)
     return read.select(
         files.plain_path(F.col("_metadata.file_path")).alias(FILE), F.is_valid_utf8("value").alias("utf8"),
         F.make_valid_utf8("value").alias("value"),

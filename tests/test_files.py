@@ -50,7 +50,7 @@ def test_row_numbers_of_split_files(spark, tmp_path):
 
 
 def test_json_shapes(spark, tmp_path):
-    cases = {"a": '[{"n": 1, "t": "x"}, {"n": 2}]', "b": '{"n": 3}', "c": '[{"n": 1}, 5, "s", {"n": 2}]', "d": "[1,", "e": "7"}
+    cases = {"a": '[{"n": 1, "t": "x"}, {"n": 2}]', "b": '{"n": 3}', "c": '[{"n": 1}, 5, "s", {"n": 2}]', "d": "[1,", "e": "7", "f": '{"n":\n 4}\n', "g": '{"n": 1}\n{"n": 2}\n'}
     for name, body in cases.items():
         (tmp_path / f"{name}.json").write_text(body)
     assert [(r.n, r.t) for r in files.scan_file(spark, str(tmp_path / "a.json")).collect()] == [(1, "x"), (2, None)]
@@ -58,6 +58,7 @@ def test_json_shapes(spark, tmp_path):
     found = files.json_problems(spark, str(tmp_path)).collect()
     assert sorted((r.file[-6], r.row, r.message) for r in found) == [
         ("c", 2, "Record must be an object"), ("c", 3, "Record must be an object"), ("d", 0, "Invalid JSON"), ("e", 0, "JSON must be an array or object"),
+        ("g", 0, "Invalid JSON"),
     ]
 
 
