@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from tallyferry.functions import ids, numbers, text
 from tallyferry.functions.dates import as_ntz, parse_timestamp
 from tallyferry.functions.rules import REQUIRED
-from tallyferry.operators import numbering
+from tallyferry.operators import numbering, uniqueness
 from tallyferry.operators.relations import resolve_foreign_key
 from tallyferry.plans.registry import EntityDef, MergeColumn, Registry
 from tallyferry.plans.specs import IMPORT_MODES
@@ -71,7 +71,7 @@ def merge(
     outcomes_only: bool = False,
     hold: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> Merge:
-    """M1-M18. `target` is the stored table (all tenants), `changes` the renamed import rows.
+    """M1-M19. `target` is the stored table (all tenants), `changes` the renamed import rows.
 
     `unique_keys` promises at most one row per key and replaces the window by a plain lookup.
     `hot_rows=None` promises that no key is hot and saves the pass that looks for hot keys, which runs at once.
@@ -92,6 +92,8 @@ def merge(
     known = _table_keys(target, entity, key, tenant)
     keyed = _exists_by_lookup(staged, known) if unique_keys else _exists_in_order(staged, known, hot_rows)
     applied = _apply(keyed, entity, key, as_of)
+    if key == entity.id_field and entity.match_key != key and entity.match_key in {m.name for m in entity.merge_columns}:
+        applied = _refuse_taken(hold(applied), target, entity, tenant, hot_rows)
     if not outcomes_only:
         applied = hold(applied)
     table = _new_table(target, applied, entity, key, as_of, tenant, run_id)
@@ -182,7 +184,8 @@ def _classify(
 
     bad_values = []
     for column in entity.merge_columns:
-        if column.type in ("number", "integer"):
+        # A date that cannot be read may stand for the time of the import; any other value has to be readable.
+        if not isinstance(column.stored_type, T.StringType) and not column.unparsed_is_now:
             raw = _first_given(changes, column.inputs)
             bad_values.append((~deleting & raw.isNotNull() & _parse(raw, column).isNull(), F.lit(column.name)))
     for name in uuid_links:
@@ -254,7 +257,10 @@ def _exists_in_order(staged: DataFrame, known: DataFrame, hot_rows: int | None)
     cold = _exists_in_window(rows.join(hot, "__key", "left_anti"))
     # Only key, row and signal of hot keys are dealt out; the other columns come back by row number.
     signals = rows.join(hot, "__key", "left_semi").select("__key", "__row", "__signal", "__base")
-    states = _exists_in_chunks(_by_rank(signals, hot_rows)).filter(~F.col("__base")).select("__row", "__exists")
+    chunks = numbering.in_chunks(signals, "__key", "__row", hot_rows)
+    states = numbering.last_before(chunks, "__key", "__row", "__signal", "__exists").filter(~F.col("__base")).select(
+        "__row", F.coalesce("__exists", F.lit(False)).alias("__exists")
+    )
     busy = own.join(hot, "__key", "left_semi").join(states, "__row")
     return cold.unionByName(busy).unionByName(loose)
 
@@ -266,28 +272,6 @@ def _exists_in_window(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__exists", state).filter(~F.col("__base")).drop("__base")
 
 
-def _by_rank(signals: DataFrame, size: int) -> DataFrame:
-    """Adds `__chunk`: rows of a key in runs of `size` by their rank among the key's rows, however far apart they stand."""
-    numbered = numbering.number_by_key(signals, ["__key", "__row"], "__at")
-    starts = numbered.groupBy("__key").agg(F.min("__at").alias("__first"))  # one line per hot key
-    chunk = F.floor((F.col("__at") - F.col("__first")) / F.lit(size)).cast("long")
-    return numbered.join(starts, "__key").withColumn("__chunk", chunk).drop("__at", "__first")
-
-
-def _exists_in_chunks(signals: DataFrame) -> DataFrame:
-    """A segmented scan: the last signal inside a row's chunk, else the one carried over from the key's earlier chunks."""
-    before = Window.partitionBy("__key", "__chunk").orderBy("__row").rowsBetween(Window.unboundedPreceding, -1)
-    local = F.last("__signal", ignorenulls=True).over(before)
-    # One line per (hot key, chunk).
-    ends = signals.groupBy("__key", "__chunk").agg(
-        F.max_by("__signal", F.when(F.col("__signal").isNotNull(), F.col("__row"))).alias("__end")
-    )
-    earlier = Window.partitionBy("__key").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select("__key", "__chunk", F.last("__end", ignorenulls=True).over(earlier).alias("__carry"))
-    scanned = signals.withColumn("__local", local).join(carry, ["__key", "__chunk"])
-    return scanned.withColumn("__exists", F.coalesce("__local", "__carry", F.lit(False)))
-
-
 # -- steps 3 and 4 ------------------------------------------------------------------------------------
 
 
@@ -347,6 +331,43 @@ def _apply(rows: DataFrame, entity: EntityDef, key: str, as_of: datetime) -> Dat
     return rows.select("__row", "__key", "outcome", "field", "message", *cells)
 
 
+def _refuse_taken(applied: DataFrame, target: DataFrame, entity: EntityDef, tenant: object, hot_rows: int | None) -> DataFrame:
+    """Merged by id, a row fails if it would take the match key of another row of the tenant's table."""
+    unique, cell = entity.match_key, F.col(f"c_{entity.match_key}")
+    outcome = F.col("outcome")
+    # A created row has a fresh id, which no later row can name.
+    who = F.when(outcome == CREATED, F.concat(F.lit("row "), F.col("__row"))).otherwise(F.concat(F.lit("id "), F.col("__key")))
+    claims = applied.filter(outcome.isin(CREATED, UPDATED) & cell.isNotNull()).select(
+        F.col("__row").alias("at"), who.alias("who"), cell["v"].cast("string").alias("value"), F.lit(True).alias("claims")
+    )
+    ends = applied.filter(outcome == DELETED).select(
+        F.col("__row").alias("at"), who.alias("who"), F.lit(None).cast("string").alias("value"), F.lit(False).alias("claims")
+    )
+    mine = target if tenant is None or entity.tenant is None else target.filter(F.expr(entity.tenant) == F.lit(tenant))
+    stored = mine.select(
+        F.lit(0).cast("long").alias("at"), F.concat(F.lit("id "), F.col(entity.id_field).cast("string")).alias("who"),
+        F.col(unique).cast("string").alias("value"), F.lit(False).alias("claims"),
+    ).filter("value IS NOT NULL")
+    changed = claims.unionByName(ends)
+    # Only stored rows that are named by a change or hold a claimed value matter.
+    wanted = claims.select("value").distinct()
+    named = stored.join(changed.select("who").distinct(), "who", "left_semi")
+    others = stored.join(changed.select("who").distinct(), "who", "left_anti").join(wanted, "value", "left_semi")
+    events = changed.unionByName(named).unionByName(others)
+    refused = uniqueness.refused_claims(events, hot_rows or uniqueness.CHUNK).select(
+        F.col("at").alias("__row"), F.lit(True).alias("__taken")
+    )
+    judged = applied.join(refused, "__row", "left")
+    taken = F.coalesce("__taken", F.lit(False))
+    said = F.concat(F.lit(KEY_EXISTS.format(key=unique)), cell["v"].cast("string"), F.lit("' already exists"))
+    cells = [c for c in applied.columns if c.startswith("c_")]
+    return judged.select(
+        "__row", "__key", F.when(taken, F.lit(FAILED)).otherwise(outcome).alias("outcome"),
+        F.when(taken, F.lit(unique)).otherwise(F.col("field")).alias("field"), F.when(taken, said).otherwise(F.col("message")).alias("message"),
+        *[F.when(~taken, F.col(c)).alias(c) for c in cells],
+    )
+
+
 def _create_value(df: DataFrame, column: MergeColumn, as_of: datetime) -> Column:
     """A default fills in only for a column the file does not have."""
     names = [n for n in column.inputs if n in df.columns]

@@ -85,3 +85,37 @@ def running_progress(
         F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in flags.items()]
     )
     return running_totals(per_batch, "batch", ["rows", *flags], hold)
+
+
+def in_chunks(df: DataFrame, key: str, order: str, size: int, hold: Hold = keep) -> DataFrame:
+    """Adds `__chunk`: the rows of a key in runs of `size` by their rank in `order`, however far apart their values are."""
+    numbered = number_by_key(df, [key, order], "__at", hold)
+    starts = numbered.groupBy(key).agg(F.min("__at").alias("__first"))
+    chunk = F.floor((F.col("__at") - F.col("__first")) / F.lit(size)).cast("long")
+    return numbered.join(starts, key).withColumn("__chunk", chunk).drop("__at", "__first")
+
+
+def _carried_on(chunks: DataFrame, key: str, order: str, inside: Column, end: Column, over_chunks: Column) -> DataFrame:
+    """A segmented scan: `__inside` over a row's chunk so far, `__carry` over the earlier chunks of its key."""
+    # One line per chunk, joined back by (key, chunk), of which neither has more rows than a chunk.
+    ends = chunks.groupBy(key, "__chunk").agg(end.alias("__end"))
+    carry = ends.select(key, "__chunk", over_chunks.alias("__carry"))
+    return chunks.withColumn("__inside", inside).join(carry, [key, "__chunk"])
+
+
+def last_before(chunks: DataFrame, key: str, order: str, signal: str, name: str) -> DataFrame:
+    """Adds `name`: the last signal that is not null among the earlier rows of a key; rows come from `in_chunks`."""
+    rows = Window.partitionBy(key, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max_by(signal, F.when(F.col(signal).isNotNull(), F.col(order)))
+    scanned = _carried_on(chunks, key, order, F.last(signal, ignorenulls=True).over(rows), end, F.last("__end", ignorenulls=True).over(parts))
+    return scanned.withColumn(name, F.coalesce("__inside", "__carry")).drop("__inside", "__carry", "__chunk")
+
+
+def sum_before(chunks: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
+    """Adds `name`: the sum of `value` over the earlier rows of a key; rows come from `in_chunks`."""
+    rows = Window.partitionBy(key, "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    parts = Window.partitionBy(key).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = _carried_on(chunks, key, order, F.sum(value).over(rows), F.sum(value), F.sum("__end").over(parts))
+    total = F.coalesce("__inside", F.lit(0)) + F.coalesce("__carry", F.lit(0))
+    return scanned.withColumn(name, total).drop("__inside", "__carry", "__chunk")

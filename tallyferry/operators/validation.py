@@ -137,8 +137,9 @@ def preview(
 
 def error_rows(validated: DataFrame) -> DataFrame:
     """B4 input: one row per error object."""
-    # A plain explode would add its own "array is not empty" test and build the array twice.
-    return validated.filter(~F.col(VALID)).select(F.explode_outer(ERRORS).alias("e")).select("e.*")
+    # Good rows have an empty array: kept as a null and dropped afterwards, so that no test of the rows moves below the step
+    # that builds the errors, where all conditions would be evaluated once more.
+    return validated.select(F.explode_outer(ERRORS).alias("e")).where("e IS NOT NULL").select("e.*")
 
 
 def summary(validated: DataFrame, header_errors: int = 0) -> DataFrame:

@@ -39,12 +39,23 @@ def content_type(fmt: str) -> str:
     return CONTENT_TYPES.get(fmt.lower(), CONTENT_TYPES["csv"])
 
 
-def scan_csv(spark: SparkSession, path: str | list[str], quoted_newlines: bool = True, columns: list[str] | None = None) -> DataFrame:
+def has_quoted_newlines(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether some line has an odd number of quotes, i.e. a cell goes on in the next line. One flag comes to the driver."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return bool(spark.read.text(path).agg(F.bool_or(quotes % 2 == 1)).head()[0])
+
+
+def scan_csv(
+    spark: SparkSession, path: str | list[str], quoted_newlines: bool | None = None, columns: list[str] | None = None
+) -> DataFrame:
     """A1, A2: header row, UTF-8, every value text, empty text to null, blank lines skipped.
 
-    `quoted_newlines=False` lets Spark split a large plain file over many tasks. `columns` gives the
+    Files are split over tasks unless a cell holds a line break; without `quoted_newlines` one pass over the lines finds
+    out. Plain and quoted files together are read each in its own way by `inbox.scan_csv_folder`. `columns` gives the
     header when it is known, which saves the look at the first file.
     """
+    if quoted_newlines is None:
+        quoted_newlines = has_quoted_newlines(spark, path)
     reader = (
         spark.read.option("header", True)
         .option("multiLine", quoted_newlines)

@@ -9,11 +9,13 @@ from datetime import datetime
 import pytest
 from pyspark.sql.types import DoubleType
 
-from tallyferry.operators import merge as M
+from tallyferry.operators import merge as M, numbering
+from tallyferry.operators.uniqueness import refused_claims
 from tallyferry.plans.catalog import BILL, INVOICE, PROJECT, VENDOR, standard_registry
 from tallyferry.plans.imports import run_import
 from tallyferry.plans.registry import EntityDef, FieldDef, MergeColumn
 from tallyferry.plans.specs import ImportSpec
+from tallyferry.session import keep
 
 AS_OF = datetime(2025, 2, 1, 12)
 OLD = datetime(2020, 1, 1)
@@ -48,6 +50,8 @@ def sequential(table, changes, key, overlay):
             outcome = "updated" if hit else "created"
         if outcome in ("created", "updated") and c["amount"] == "bad":
             outcome = "failed"
+        if outcome in ("created", "updated") and c["external_id"] and any(r["external_id"] == c["external_id"] for r in rows if r is not hit):
+            outcome = "failed"
         if outcome == "deleted":
             rows.remove(hit)
         elif outcome == "created":
@@ -99,18 +103,64 @@ def test_random_merge_equals_a_sequential_loop(spark, key, overlay, hot_rows, se
             assert len(r.id) == 36 and r.updated_at == AS_OF
 
 
+@pytest.mark.parametrize("hot_rows, overlay", [(1_000_000, "keep"), (20, "replace")])
+def test_merge_by_id_never_gives_two_rows_one_external_id(spark, hot_rows, overlay):
+    rng = random.Random(hot_rows)
+    names = [f"e{i}" for i in range(12)]
+    table = [{"id": f"i{k}", "external_id": names[k] if k < 8 else None, "name": f"old {k}", "amount": 1.0} for k in range(10)]
+    changes = []
+    for n in range(1, 201):
+        taken = names[0] if rng.random() < 0.33 else rng.choice([*names, None, ""])  # one value is claimed by a third of all rows
+        who = "i0" if rng.random() < 0.3 else rng.choice([f"i{k}" for k in range(14)])
+        changes.append({"row": n, "_action": rng.choice("CUUXD"), "id": who, "external_id": taken, "name": rng.choice(["", f"n{n}", f"n{n}"]),
+                        "amount": rng.choice([None, str(n), "bad"])})
+    stored = [(r["id"], "T", r["external_id"], r["name"], r["amount"], OLD, OLD) for r in table]
+    stored += [("i5", "S", "e11", "other tenant", 7.0, OLD, OLD)]
+    target = spark.createDataFrame(stored, THING_SCHEMA)
+    columns = ["row", "_action", "id", "external_id", "name", "amount"]
+    rows = spark.createDataFrame([tuple(c[k] for k in columns) for c in changes], "row long, _action string, id string, external_id string, name string, amount string")
+    merged = M.merge(target, rows.repartition(3), thing(overlay), AS_OF, tenant="T", match_key="id", hot_rows=hot_rows, hold=keep)
+    want_outcomes, want_rows = sequential(table, changes, "id", overlay)
+    outcomes = merged.outcomes.collect()
+    assert {r.row: r.outcome for r in outcomes} == want_outcomes
+    assert any(r.field == "external_id" and r.message.startswith("Record with external_id='e") for r in outcomes)
+    got = [r for r in merged.table.collect() if r.client_id == "T"]
+    assert sorted((r.external_id or "", r.name, r.amount or 0) for r in got) == sorted((r["external_id"] or "", r["name"], r["amount"] or 0) for r in want_rows)
+    held = [r.external_id for r in got if r.external_id]
+    assert len(held) == len(set(held))
+
+
+def test_claims_that_depend_on_refused_claims(spark):
+    # 1 is refused (b holds y), so a keeps x, so 2 is refused, so c keeps z, so 3 is refused; 4 takes what 5 could not
+    rows = [(0, "a", "x", False), (0, "b", "y", False), (0, "c", "z", False), (0, "d", "y", False), (1, "a", "y", True), (2, "c", "x", True),
+            (3, "e", "z", True), (4, "b", None, False), (5, "e", "y", True), (6, "d", None, False), (7, "e", "y", True), (8, "f", "y", True), (9, "e", "y", True)]
+    events = spark.createDataFrame(rows, "at long, who string, value string, claims boolean")
+    assert sorted(r["at"] for r in refused_claims(events, 2).collect()) == [1, 2, 3, 5, 8]
+    assert refused_claims(events.where("at = 0")).count() == 0 and refused_claims(events.limit(0)).count() == 0
+
+
+def test_unreadable_values_fail_their_row(spark):
+    rows = numbered(spark, ["external_id", "name", "is_supplier"], [("a", "A", "yes"), ("b", "B", "perhaps"), ("c", "C", None)])
+    merged = M.merge(empty(spark, VENDOR), rows, VENDOR, AS_OF, tenant="T")
+    assert {r.row: (r.outcome, r.field) for r in merged.outcomes.collect()} == {1: ("created", None), 2: ("failed", "is_supplier"), 3: ("created", None)}
+
+
 def test_hot_keys_are_cut_by_rank_not_by_distance(spark):
     rng = random.Random(8)
     at = [*range(1, 1001), 10**12]  # one row far away
     rows = [("hot", r, rng.choice([True, False, None]), False) for r in at] + [("warm", 2 * r, True, False) for r in range(600)]
     signals = spark.createDataFrame(rows, "__key string, __row long, __signal boolean, __base boolean").repartition(3)
-    scanned = M._exists_in_chunks(M._by_rank(signals, 100)).collect()
-    sizes = Counter((r["__key"], r["__chunk"]) for r in scanned)
+    chunks = numbering.in_chunks(signals, "__key", "__row", 100)
+    scanned = numbering.last_before(chunks, "__key", "__row", "__signal", "__exists").collect()
+    sizes = Counter((r["__key"], r["__chunk"]) for r in chunks.collect())
     assert max(sizes.values()) == 100 and len(sizes) == 11 + 6
-    before, now = {}, {}
+    before, now, total, sums = {}, {}, Counter(), {}
     for key, row, signal, _ in sorted(rows, key=lambda r: r[:2]):
-        before[key, row] = now.get(key, False)
-        now[key] = now.get(key, False) if signal is None else signal
+        before[key, row], sums[key, row] = now.get(key), total[key]
+        now[key] = now.get(key) if signal is None else signal
+        total[key] += row % 5
+    added = numbering.sum_before(chunks.selectExpr("*", "__row % 5 AS v"), "__key", "__row", "v", "s").collect()
+    assert {(r["__key"], r["__row"]): r.s for r in added} == sums
     assert {(r["__key"], r["__row"]): r["__exists"] for r in scanned} == before
 
 
