@@ -200,6 +200,12 @@ def merge_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, "create", action=False, outcomes_only=True).outcomes
 
 
+@register("merge_unique_by_id", _sql("create") + 'SELECT "row", outcome FROM outcomes')
+def merge_unique_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders create rows with ids of their own; whoever would take a held or already taken external id fails."""
+    return run(spark, sf_dir, "create", action=False, match_key="id", outcomes_only=True).outcomes.select("row", "outcome")
+
+
 @register("merge_update", _sql("update") + _MERGED)
 def merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2."""
