@@ -24,8 +24,8 @@ def batch_id(row: Column, size: int) -> Column:
     return F.floor((row - 1) / F.lit(size)).cast("long")
 
 
-def ordered(df: DataFrame, order: Sequence[str], hold: Hold = keep) -> DataFrame:
-    """Adds `__part` (range partition by `order`, ascending) and `__place` (from 0 inside it).
+def ordered(df: DataFrame, order: Sequence[str | Column], hold: Hold = keep) -> DataFrame:
+    """Adds `__part` (range partition by `order`, ascending where it does not say otherwise) and `__place` (from 0 inside it).
 
     `order` should be unique: rows that agree in it share a partition and have no defined places among them. `hold` writes
     the rows down, so that every later pass sees the same partitions.

@@ -8,17 +8,18 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyferry.functions.numbers import ceil_div
-from tallyferry.session import keep
+from tallyferry.operators import numbering
 
 SortKeys = Sequence[tuple[str, str]]
 
-# Beyond this many skipped rows, keeping the first rows of every task costs more than sorting the keys.
-SHALLOW_OFFSET = 100_000
+# The first rows of a sort that one task may keep; slices that reach further are cut out of sorted ranges.
+TOP_ROWS = 10_000
 
 
 def sort_columns(sort: SortKeys, unique: Iterable[str] = ()) -> list[Column]:
@@ -41,7 +42,10 @@ def known_sort(sort: SortKeys, columns: Iterable[str]) -> list[tuple[str, str]]:
 
 
 def page_rows(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """H6, H7: sorted slice; Spark keeps only the first offset + limit rows of each task."""
+    """H6, H7: a small sorted slice, as previews and pages are; Spark keeps the first offset + limit rows of each task.
+
+    `slice_rows` is for slices of any size.
+    """
     ordered = df.orderBy(*order)
     return ordered.offset(offset).limit(limit) if offset else ordered.limit(limit)
 
@@ -51,6 +55,10 @@ def after_row(df: DataFrame, sort: SortKeys, last: Sequence[object]) -> DataFram
 
     This is a filter, so page n costs the same as page 1; `sort` must end in unique columns.
     """
+    return df.filter(_beyond(df, sort, last))
+
+
+def _beyond(df: DataFrame, sort: SortKeys, last: Sequence[object]) -> Column:
     past: list[Column] = []
     same: list[Column] = []
     for (name, direction), value in zip(sort, last):
@@ -65,48 +73,67 @@ def after_row(df: DataFrame, sort: SortKeys, last: Sequence[object]) -> DataFram
             equal = column == target
         past.append(reduce(lambda a, b: a & b, same + [beyond]))
         same.append(equal)
-    return df.filter(reduce(lambda a, b: a | b, past))
+    return F.coalesce(reduce(lambda a, b: a | b, past), F.lit(False))
+
 
+@dataclass(frozen=True)
+class _Edge:
+    """A row's sort values, how many rows have the same ones, and how many of these come up to it."""
 
-def skip_rows(df: DataFrame, sort: SortKeys, offset: int, shallow: int = SHALLOW_OFFSET) -> DataFrame:
-    """H6 for an offset without a limit, or a deep one.
+    values: tuple
+    ties: int
+    up_to: int
 
-    A bare offset would send the whole result through one task. The last skipped row is looked up
-    first (one row comes back) and what follows it is kept by a filter. `sort` ends in unique columns.
+    def same(self, sort: SortKeys) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for (n, _), v in zip(sort, self.values)])
+
+
+def slice_rows(df: DataFrame, sort: SortKeys, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """H6 for offsets and limits of any size: rows offset + 1 to offset + limit, sorted by range partitions.
+
+    The sort keys alone are dealt into sorted ranges and written once; the counts of the ranges say where the slice begins
+    and ends, and both rows are looked up there by their places. The slice is then a filter between them. No task keeps
+    the first n rows. Rows that agree in all sort columns have no order among them, but as many come as the slice holds.
     """
     order = sort_columns(sort)
-    if offset == 0:
+    if offset == 0 and limit is None:
         return df.orderBy(*order)
-    edge = _row_at(df.select(*[F.col(f"`{name}`") for name, _ in sort]), order, offset, shallow)
-    if edge is None:
+    if limit == 0:
         return df.filter(F.lit(False))
-    beyond = after_row(df, sort, list(edge))
-    # Rows that tie with the edge row: as many stay as are not skipped.
-    same = df.filter(reduce(lambda a, b: a & b, [F.col(f"`{n}`").eqNullSafe(F.lit(v)) for (n, _), v in zip(sort, edge)]))
-    ties = same.count()
-    if ties > 1:
-        left = df.count() - beyond.count() - offset
-        beyond = beyond.unionByName(same.limit(left)) if left else beyond
-    return beyond.orderBy(*order)
-
-
-def _row_at(keys: DataFrame, order: list[Column], n: int, shallow: int) -> Row | None:
-    """The n-th row (from 1) of the sorted keys.
-
-    Up to `shallow` Spark keeps the first n rows of each task. Beyond that the keys are written in
-    range-partitioned order, one file per range in file-name order; the row counts of the files say
-    which file holds the row, and only that file is searched.
-    """
-    if n <= shallow:
-        return keys.orderBy(*order).offset(n - 1).limit(1).head()
-    ranges = keep(keys.repartitionByRange(*order), "sorted-keys")
-    sizes = ranges.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
-    for part in sizes.orderBy("file").collect():
-        if n <= part.n:
-            inside = ranges.filter(F.col("_metadata.file_path") == part.file)
-            return inside.orderBy(*order).offset(n - 1).limit(1).head()
-        n -= part.n
-    return None
+    keys = numbering.ordered(df.select(*[F.col(f"`{name}`") for name, _ in sort]), order)
+    sizes = sorted(map(tuple, keys.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()))  # one line per range
+    total = sum(n for _, n in sizes)
+    if offset >= total:
+        return df.filter(F.lit(False))
+    first = _edge_at(keys, sort, sizes, offset) if offset else None
+    last = _edge_at(keys, sort, sizes, offset + limit) if limit is not None and offset + limit < total else None
+    inside, loose = F.lit(True), []
+    if first is not None and last is not None and first.values == last.values:
+        return df.filter(first.same(sort)).limit(last.up_to - first.up_to)
+    if first is not None:
+        inside = inside & _beyond(df, sort, first.values)
+        if first.up_to < first.ties:
+            loose.append(df.filter(first.same(sort)).limit(first.ties - first.up_to))
+    if last is not None:
+        inside = inside & ~_beyond(df, sort, last.values)
+        if last.up_to < last.ties:
+            inside = inside & ~last.same(sort)
+            loose.append(df.filter(last.same(sort)).limit(last.up_to))
+    return reduce(DataFrame.unionByName, [df.filter(inside), *loose]).orderBy(*order)
+
+
+def _edge_at(keys: DataFrame, sort: SortKeys, sizes: list[tuple[int, int]], n: int) -> _Edge:
+    """The n-th row (from 1) of `keys`: its range follows from the sizes, its place there from what comes before."""
+    for part, size in sizes:
+        if n <= size:
+            break
+        n -= size
+    here = keys.filter(F.col("__part") == part)
+    row = here.filter(F.col("__place") == n - 1).select(*[F.col(f"`{name}`") for name, _ in sort]).head()
+    found = _Edge(tuple(row), 1, 1)
+    # Rows that agree in all sort columns share a range.
+    same = here.filter(found.same(sort)).agg(F.count(F.lit(1)).alias("ties"), F.count_if(F.col("__place") < n).alias("up_to")).head()
+    return _Edge(tuple(row), same.ties, same.up_to)
 
 
 def page_number(df: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:

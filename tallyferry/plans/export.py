@@ -66,10 +66,8 @@ def export(
     if sliced or (sort and sorted_output):
         named = [name for name, _ in sort]
         full = sort + [(name, "asc") for name in entity.unique_sort if name not in named]
-        if spec.limit is None:
-            rows = paging.skip_rows(matching, full, spec.offset)
-        elif spec.offset > paging.SHALLOW_OFFSET:
-            rows = paging.skip_rows(matching, full, spec.offset).limit(spec.limit)
+        if spec.limit is None or spec.offset + spec.limit > paging.TOP_ROWS:
+            rows = paging.slice_rows(matching, full, spec.offset, spec.limit)
         else:
             rows = paging.page_rows(matching, paging.sort_columns(full), spec.limit, spec.offset)
     projected = rows.select(*[F.col(f"`{f.field}`").alias(f.output) for f in spec.fields])

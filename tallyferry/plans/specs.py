@@ -199,12 +199,17 @@ class ImportSpec:
         )
 
 
+# What is said when a job lacks its config.
+NO_EXPORT_CONFIG = "Export jobs require export_config"
+NO_IMPORT_CONFIG = "Import jobs require import_config"
+
+
 def check_job(job_type: str, export_config: Any, import_config: Any) -> None:
     """The config must fit the job type."""
     if job_type == "export" and not export_config:
-        raise ValueError("Export jobs require export_config")
+        raise ValueError(NO_EXPORT_CONFIG)
     if job_type == "import" and not import_config:
-        raise ValueError("Import jobs require import_config")
+        raise ValueError(NO_IMPORT_CONFIG)
 
 
 def auto_map(columns: Sequence[str], entity: EntityDef) -> dict[str, str]:

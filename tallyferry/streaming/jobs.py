@@ -20,8 +20,8 @@ from tallyferry.operators.history import combined_state, partial_state, state_of
 from tallyferry.operators.rates import RATE_LIMITS
 from tallyferry.plans.registry import EntityDef, Registry
 from tallyferry.session import keep
-from tallyferry.sources.buckets import BucketedTable
 from tallyferry.sources.files import ROW, rename
+from tallyferry.sources.snapshots import PartitionedTable
 from tallyferry.streaming.sources import with_event_time
 
 
@@ -68,7 +68,7 @@ def stream_validation(df: DataFrame, entity: EntityDef, good: str, errors: str,
 def stream_import(
     df: DataFrame,
     entity: EntityDef,
-    table: BucketedTable,
+    table: PartitionedTable,
     sink: str,
     checkpoint: str,
     as_of: datetime,
@@ -80,11 +80,10 @@ def stream_import(
     row: str = ROW,
     trigger: Mapping = AVAILABLE_NOW,
 ) -> StreamingQuery:
-    """Validate arriving rows, log broken ones, merge the others into the bucketed table.
+    """Validate arriving rows, log broken ones, merge the others into the table.
 
-    `row` is a unique order column of the files. Batch n turns version n of the table into version n + 1
-    and reads and rewrites only the buckets its keys fall into. Running a batch again starts from version
-    n once more, so nothing is applied twice.
+    `row` is a unique order column of the files. A batch reads and rewrites only the buckets its keys fall into. Running a
+    batch again applies nothing twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -93,12 +92,13 @@ def stream_import(
         validation.error_rows(checked).write.mode("overwrite").json(f"{sink}/errors/batch={number}")
         good = checked.filter("is_valid").drop(validation.ERRORS, validation.VALID)
         touched = table.touched(good.select(F.col(entity.match_key).alias(table.key)))
-        merged = merging.merge(
-            table.read(number, touched), good, entity, as_of, tenant, mode, None, tables, registry,
-            f"batch-{number}", row, hold=keep,
-        )
-        merged.outcomes.write.mode("overwrite").parquet(f"{sink}/outcomes/batch={number}")
-        table.commit(merged.table, number + 1, touched, table.live(number))
+
+        def merged(rows: DataFrame) -> DataFrame:
+            done = merging.merge(rows, good, entity, as_of, tenant, mode, None, tables, registry, f"batch-{number}", row, hold=keep)
+            done.outcomes.write.mode("overwrite").parquet(f"{sink}/outcomes/batch={number}")
+            return done.table
+
+        table.change(number + 1, touched, merged)
 
     return start(df, checkpoint, "append", write, trigger)
 

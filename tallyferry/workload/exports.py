@@ -418,6 +418,20 @@ _sliced(
 )
 
 
+@register(
+    "page_large_slice",
+    """WITH s AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER
+         (ORDER BY l_shipdate DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS n FROM lineitem)
+       SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_extendedprice AS amount FROM s WHERE n > 3000 AND n <= 3000 + 30000""",
+)
+def page_large_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H6 with a limit that no task should hold."""
+    line = REGISTRY.get("line")
+    rows = scan_entity(Tables(spark, sf_dir)["line"], line)
+    sort = [("date", "desc"), *[(name, "asc") for name in line.unique_sort if name != "date"]]
+    return paging.slice_rows(rows, sort, 3_000, 30_000).select("order_id", "line_no", "amount")
+
+
 @register(
     "page_deep_offset",
     """WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, row_number() OVER
@@ -425,11 +439,11 @@ _sliced(
        SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_extendedprice AS amount FROM s WHERE n > 40000""",
 )
 def page_deep_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """H6 beyond the shallow limit: the edge row is found in the sorted keys, file by file."""
+    """H6: the edge row is found by its place in the sorted ranges of the keys."""
     line = REGISTRY.get("line")
     rows = scan_entity(Tables(spark, sf_dir)["line"], line)
     sort = [("flag", "desc"), *[(name, "asc") for name in line.unique_sort]]
-    return paging.skip_rows(rows, sort, 40_000, shallow=1_000).select("order_id", "line_no", "amount")
+    return paging.slice_rows(rows, sort, 40_000).select("order_id", "line_no", "amount")
 
 
 @register(

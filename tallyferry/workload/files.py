@@ -10,7 +10,7 @@ from tallyferry.plans.imports import import_folder
 from tallyferry.plans.specs import ImportSpec
 from tallyferry.session import scratch_dir
 from tallyferry.sources import files, inbox, sinks
-from tallyferry.sources.buckets import BucketedTable
+from tallyferry.sources.snapshots import PartitionedTable
 from tallyferry.streaming import jobs
 from tallyferry.streaming.sources import stream_csv, stream_parquet
 from tallyferry.workload import ORACLES, Tables, exports, histories, merges, register
@@ -212,18 +212,20 @@ def export_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snapshot_rewrite", merges._sql() + "SELECT external_id, client_id, name, amount, status, nation_id FROM merged")
 def snapshot_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The merged table as a new version in key buckets, of which only the touched ones are rewritten."""
+    """A merge that reads and rewrites only the key buckets its rows fall into."""
     base = merges.accounts(spark, sf_dir)
-    table = BucketedTable(spark, scratch_dir(spark, "buckets"), base.schema, buckets=16)
+    table = PartitionedTable(spark, scratch_dir(spark, "snapshot"), base.schema, buckets=16)
     table.create(base)
     change = merges.changes(spark, sf_dir)
-    touched = table.touched(change.select("external_id"))
-    merged = merges.M.merge(
-        table.read(0, touched), change, merges.account(), merges.AS_OF, tenant=1, registry=merges.Registry((merges.NATION,)),
-        tables={"nation": Tables(spark, sf_dir)["nation"]}, run_id="r1", hold=merges.keep,
-    )
-    table.commit(merged.table, 1, touched, table.live(0))
-    return table.read(1).select("external_id", "client_id", "name", "amount", "status", "nation_id")
+
+    def merged(rows: DataFrame) -> DataFrame:
+        return merges.M.merge(
+            rows, change, merges.account(), merges.AS_OF, tenant=1, registry=merges.Registry((merges.NATION,)),
+            tables={"nation": Tables(spark, sf_dir)["nation"]}, run_id="r1", hold=merges.keep,
+        ).table
+
+    table.change(1, table.touched(change.select("external_id")), merged)
+    return table.read().select("external_id", "client_id", "name", "amount", "status", "nation_id")
 
 
 # -- streams ------------------------------------------------------------------------------------------
@@ -252,43 +254,46 @@ def stream_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return errors.select(F.lit("error").alias("kind"), "row", "field").unionByName(good, allowMissingColumns=True)
 
 
-def _clean_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merges.changes(spark, sf_dir, action=False).filter("trim(name) <> '' AND coalesce(amount, '') <> 'n/a'").select(
-        "row", "external_id", "name", "amount", "status"
-    )
-
-
 @register(
     "stream_ingest_merge",
     """WITH target AS (SELECT CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE 'C' || c_custkey END AS external_id,
                               CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 1 END AS client_id, c_name AS name, c_acctbal AS amount, c_mktsegment AS status
                        FROM customer WHERE c_custkey % 3 <> 0),
-       ch AS (SELECT o_orderkey AS r, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'C' || o_custkey END AS external_id, 'name ' || o_orderkey AS name,
-                     CASE WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS DOUBLE) END AS amount,
-                     CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS status
-              FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0),
+       all_rows AS (SELECT o_orderkey AS r, CASE WHEN o_orderkey % 23 = 0 THEN NULL ELSE 'C' || o_custkey END AS external_id,
+                     CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'name ' || o_orderkey END AS name,
+                     CASE WHEN o_orderkey % 13 = 0 THEN 'n/a' WHEN o_orderkey % 4 <> 0 THEN CAST(CAST(o_totalprice AS DECIMAL(15,2)) AS VARCHAR) END AS given,
+                     CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders),
+       ch AS (SELECT r, external_id, name, TRY_CAST(given AS DOUBLE) AS amount, status FROM all_rows WHERE trim(name) <> '' AND given IS DISTINCT FROM 'n/a'),
        lives AS (SELECT external_id, -1 AS r, name, amount, status FROM target WHERE client_id = 1 AND external_id IS NOT NULL
                  UNION ALL SELECT external_id, r, name, amount, status FROM ch WHERE external_id IS NOT NULL)
-       SELECT external_id, arg_max(name, r) AS name, arg_max(amount, r) FILTER (amount IS NOT NULL) AS amount,
-              arg_max(status, r) FILTER (status IS NOT NULL) AS status FROM lives GROUP BY external_id
-       UNION ALL SELECT external_id, name, amount, status FROM target WHERE client_id <> 1 OR external_id IS NULL
-       UNION ALL SELECT external_id, name, amount, status FROM ch WHERE external_id IS NULL""",
+       SELECT 'row' AS kind, external_id, arg_max(name, r) AS name, arg_max(amount, r) FILTER (amount IS NOT NULL) AS amount,
+              arg_max(status, r) FILTER (status IS NOT NULL) AS status, NULL AS "row", NULL AS message FROM lives GROUP BY external_id
+       UNION ALL SELECT 'row', external_id, name, amount, status, NULL, NULL FROM target WHERE client_id <> 1 OR external_id IS NULL
+       UNION ALL SELECT 'row', external_id, name, amount, status, NULL, NULL FROM ch WHERE external_id IS NULL
+       UNION ALL SELECT 'refused', NULL, NULL, NULL, NULL, r + 1, 'Required field ''name'' is missing or empty' FROM all_rows WHERE trim(name) = ''
+       UNION ALL SELECT 'refused', NULL, NULL, NULL, NULL, r + 1, 'Field ''amount'' must be a number' FROM all_rows WHERE given = 'n/a'""",
 )
 def stream_ingest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three waves of files. After each the stream is started again from its checkpoint."""
+    """All orders in three waves of files, with the rows that validation refuses. After each wave the stream is
+    started again from its checkpoint."""
     root = scratch_dir(spark, "stream-import")
     base = merges.accounts(spark, sf_dir)
-    table = BucketedTable(spark, f"{root}/table", base.schema, buckets=8)
+    table = PartitionedTable(spark, f"{root}/table", base.schema, buckets=8)
     table.create(base)
-    change = _clean_changes(spark, sf_dir)
+    change = merges.changes(spark, sf_dir, action=False).select("row", "external_id", "name", "amount", "status")
     last = change.agg(F.max("row")).head()[0] or 0
     edges = [last * i // 3 for i in range(4)]
     for low, high in zip(edges, edges[1:]):
         wave = change.filter((F.col("row") > low) & (F.col("row") <= high))
-        wave.write.mode("append").option("header", True).csv(f"{root}/in")
+        wave.write.mode("append").option("header", True).option("ignoreTrailingWhiteSpace", False).option(
+            "ignoreLeadingWhiteSpace", False
+        ).csv(f"{root}/in")
         arriving = stream_csv(spark, f"{root}/in", change.columns)
         _finish(jobs.stream_import(arriving, merges.account(), table, f"{root}/log", f"{root}/checkpoint", merges.AS_OF, 1, "upsert"))
-    return table.read(3).select("external_id", "name", "amount", "status")
+    refused = spark.read.schema("row long, field string, message string").json(f"{root}/log/errors")
+    return table.read().select(F.lit("row").alias("kind"), "external_id", "name", "amount", "status").unionByName(
+        refused.select(F.lit("refused").alias("kind"), "row", "message"), allowMissingColumns=True
+    )
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -264,9 +264,10 @@ def rate_trailing_1h(spark: SparkSession, sf_dir: str) -> DataFrame:
        SELECT * FROM n WHERE last_60s >= 1 OR last_3600s >= 4""",
 )
 def rate_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both spans at once, with a third of all events on one key; over-limit requests only."""
+    """Both spans at once, with a third of all events on one key, which goes by range partitions; over-limit
+    requests only."""
     events = Tables(spark, sf_dir)["event"].selectExpr(
         "event_id", "CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS k", "ts"
     )
-    counts = rates.trailing_counts(events, "k", "ts", [60, 3600])
+    counts = rates.trailing_counts(events, "k", "ts", [60, 3600], hot_rows=10)
     return rates.over_limit(counts, (1, 4)).select("event_id", "last_60s", "last_3600s")

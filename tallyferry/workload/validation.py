@@ -129,7 +129,7 @@ _ACTION_WITH = (
 
 
 def _validated(spark: SparkSession, sf_dir: str, action: bool = False) -> DataFrame:
-    """As an import does it: checked once, written once, then read by whatever needs it."""
+    """Bills with their errors, checked row by row as an import does it."""
     return validation.validate(dirty_bills(spark, sf_dir, action), BILL)
 
 

@@ -15,7 +15,7 @@ from tallyferry.plans.catalog import PROJECT, standard_registry
 from tallyferry.plans.imports import import_folder
 from tallyferry.plans.specs import ImportSpec
 from tallyferry.sources import files, inbox, sinks
-from tallyferry.sources.buckets import BucketedTable
+from tallyferry.sources.snapshots import PartitionedTable
 from tallyferry.sources.tables import serialise
 from test_merge import empty
 
@@ -101,19 +101,37 @@ def test_rename_keeps_the_later_of_two(spark):
     assert files.rename(df, {"a": "z", "c": "z"}).head().asDict() == {"z": 3, "b": 2}
 
 
-def test_buckets(spark, tmp_path):
+def test_partitions_are_replaced_once(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), f"k{i}" if i % 5 else None) for i in range(50)], "id string, external_id string")
-    table = BucketedTable(spark, str(tmp_path), rows.schema, buckets=8)
+    table = PartitionedTable(spark, str(tmp_path), rows.schema, buckets=8)
     table.create(rows)
+    assert sorted(map(tuple, table.read().collect())) == sorted(map(tuple, rows.collect()))
     touched = table.touched(spark.createDataFrame([("k1",), (None,)], "external_id string"))
     assert len(touched) == 1
-    part = table.read(0, touched)
-    gone = part.filter("external_id <> 'k1' OR external_id IS NULL")
-    new = spark.createDataFrame([(f"n{i}", None) for i in range(9)], rows.schema)
-    for _ in range(2):  # a version that is written again replaces itself
-        table.commit(gone.unionByName(new), 1, touched, table.live(0))
-    assert table.read(0).count() == 50
-    assert sorted(r.id for r in table.read(1).collect()) == sorted([str(i) for i in range(50) if i != 1] + [f"n{i}" for i in range(9)])
+    calls = []
+
+    def made(part):
+        calls.append(1)
+        gone = part.filter("external_id <> 'k1'")
+        return gone.unionByName(spark.createDataFrame([(f"n{i}", None) for i in range(9)], rows.schema))
+
+    for _ in range(3):  # a batch that runs again is not applied again
+        table.change(1, touched, made)
+    assert len(calls) == 1
+    left = sorted([str(i) for i in range(50) if i != 1] + [f"n{i}" for i in range(9)])
+    assert sorted(r.id for r in table.read().collect()) == left
+    plan = table.read(touched)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [" in plan and "PartitionFilters: []" not in plan
+
+
+def test_a_bucket_that_lost_its_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "a"), ("2", "b"), ("3", None)], "id string, external_id string")
+    table = PartitionedTable(spark, str(tmp_path), rows.schema, buckets=64)
+    table.create(rows)
+    table.change(1, table.touched(rows.limit(1)), lambda part: part.limit(0))
+    assert sorted(r.id for r in table.read().collect()) == ["2", "3"]
+    table.change(2, [], lambda part: part.unionByName(spark.createDataFrame([("4", None)], rows.schema)))
+    assert sorted(r.id for r in table.read().collect()) == ["2", "3", "4"]
 
 
 def test_numbers_and_dates(spark):
@@ -157,7 +175,8 @@ def test_row_numbers_by_text_and_by_two_keys(spark):
     assert got == {(None, 1): 1, (None, 2): 2, ("", 5): 3, ("ab", 9): 4, ("b", 0): 5, ("b", 1): 6}
 
 
-def test_trailing_counts_with_a_hot_key_and_ties(spark):
+@pytest.mark.parametrize("hot_rows", [1_000_000, 200, 1])
+def test_trailing_counts_with_a_hot_key_and_ties(spark, hot_rows):
     rng = random.Random(3)
     start = datetime(2024, 1, 1)
     events = []
@@ -166,7 +185,9 @@ def test_trailing_counts_with_a_hot_key_and_ties(spark):
         events.append((i, key, start + timedelta(microseconds=rng.choice([0, 1, 500_000]) + 1_000_000 * rng.randrange(0, 900))))
     events += [(1000 + i, "hot", start + timedelta(seconds=60 * i)) for i in range(5)]
     df = spark.createDataFrame(events, "id int, k string, ts timestamp_ntz").repartition(4)
-    got = {r.id: (r.last_60s, r.last_200s) for r in rates.trailing_counts(df, "k", "ts", [60, 200]).collect()}
+    found = rates.trailing_counts(df, "k", "ts", [60, 200], hot_rows=hot_rows)
+    got = {r.id: (r.last_60s, r.last_200s) for r in found.collect()}
+    assert found.columns == [*df.columns, "last_60s", "last_200s"]
     by_key = defaultdict(list)
     for i, k, t in events:
         by_key[k].append(t)
