@@ -25,8 +25,8 @@ def test_oracle(spark, name):
     assert ok, note
 
 
-def test_ten_operators():
-    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 11))
+def test_thirteen_operators():
+    assert {int(n[2:].split("_")[0]) for n in queries.QUERIES} == set(range(1, 14))
 
 
 def test_stages(spark):
