@@ -199,8 +199,8 @@ def test_deep_offset_uses_the_sorted_keys(bills):
     want = [r.id for r in df.orderBy(*paging.sort_columns(sort)).collect()]
     for n in range(7):
         assert [r.id for r in paging.slice_rows(df, sort, n).collect()] == want[n:]
-        for m in (0, 1, 3, 9):
-            assert [r.id for r in paging.slice_rows(df, sort, n, m).collect()] == want[n : n + m]
+    for n, m in ((0, 3), (2, 0), (2, 1), (3, 9)):
+        assert [r.id for r in paging.slice_rows(df, sort, n, m).collect()] == want[n : n + m]
 
 
 def test_fields_without_a_stored_column_are_typed_nulls(spark):
@@ -215,9 +215,8 @@ def test_an_offset_keeps_rows_that_tie_with_the_edge(spark):
     for sort, want in (([("x", "asc")], [1, 2, 2, 2, 3, None, None]), ([("x", "desc")], [None, None, 3, 2, 2, 2, 1])):
         for n in range(8):
             assert [r.x for r in paging.slice_rows(df, sort, n).collect()] == want[n:]
-        for n in (0, 2, 5):
-            for m in (1, 2, 4):
-                assert [r.x for r in paging.slice_rows(df, sort, n, m).collect()] == want[n : n + m]
+        for n, m in ((0, 2), (2, 1), (2, 4), (5, 1)):
+            assert [r.x for r in paging.slice_rows(df, sort, n, m).collect()] == want[n : n + m]
 
 
 def test_exports_come_back_as_they_went_out(spark, tmp_path):
