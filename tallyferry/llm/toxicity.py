@@ -1,18 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of the same vocabulary, one of toxic and one of ordinary documents. Each backs off from bigrams (order 2) to
-the class's continuation counts (the number of different words before a word), and from there to the continuation counts
-of all documents. The discount takes the same share of either class's mass, so an expression that neither class has seen
-often is left to the shared counts and speaks for neither. The difference of the log-likelihoods, divided by the number
-of words, and the part of it that words with a difference of more than STRONG make, become a probability by a logistic
-fit on one fold that the counts leave out; order and discount are those that fit this fold best.
+Two bigram models of the same vocabulary, one of toxic and one of ordinary documents. Each backs off from its bigrams to its
+own continuation counts (the number of different words before a word), and from there to the continuation counts both
+classes share. Discounts come from counts of counts, n1 / (n1 + 2 * n2), and a bigram that a class has seen once goes to the
+backoff as a whole; continuation counts are discounted alike, ones included. As the classes differ much in size, the backoff
+also gets a strength in proportion to the class (the concentration of a Pitman-Yor process, whose predictions Kneser-Ney's
+are without it), so an expression rare in both speaks for neither. The difference of the log-likelihoods, divided by the
+number of words, and the part of it that words with a difference of more than STRONG make, become a probability by a logistic
+fit on one fold that the counts leave out; the strengths are those of CANDIDATES that fit this fold best. Every candidate is
+of order 2.
 
 Counts cover all words and bigrams of all labelled rows outside the held-out and the tuning fold, and stay Spark tables
-of any size, known by 64-bit hashes; bigrams so rare that each discount takes all of them are kept as sums by word only, as
-the models ask for no more. Only the fit of the three weights sees at most labels.MAX_LABELLED rows. Scores of the
-most frequent words and bigrams, and a bitmap of all that the tables hold, are broadcast with a fixed size: what is
-frequent, or certainly in no table, is scored where documents are read. All else is counted per document and joined with
-the tables, so results do not depend on these sizes.
+of any size, known by 64-bit hashes. Texts without a label train nothing and are only scored. Only the fit of the three
+weights sees at most labels.MAX_LABELLED rows. A document's sums are sums over entries of one table: each word as itself and
+as the word before another, and a correction for each bigram that a class has seen twice. The most frequent entries, and a
+bitmap of all keys, are broadcast with a fixed size: what is frequent, or certainly in no table, is scored where documents
+are read. All else is counted per document and joined with the table, so results do not depend on these sizes.
+
+Null and empty texts have no words and get the probability of no difference. Repeated rows are all kept and get equal scores;
+if labelled, each counts. Rows without an id train nothing. An empty table gives an empty result. Columns of the caller are
+kept whatever their names are, but for `_score`, which is replaced.
 """
 
 from __future__ import annotations
@@ -27,18 +34,19 @@ from pyspark.sql import functions as F
 
 from tallyferry.llm.arrays import BASE, Words, mixed, pieces
 from tallyferry.llm.labels import MAX_LABELLED, learnable, to_learn_from
-from tallyferry.llm.store import stored
+from tallyferry.llm.store import stored, without
 
-CACHED_WORDS = 1 << 16
-CACHED_BIGRAMS = 1 << 19
-LOG2_BITS = 25
+CACHED = 1 << 20
+CACHED_TUNING = 1 << 18
+LOG2_BITS = 26
 BROADCAST_LABELS = 1_000_000  # of at most 32 bytes each; more are joined without a hint
 TUNE_FOLD = 4
 THRESHOLD = 0.5
 STRONG = 1.0  # in nats
-CANDIDATES = ((1, 1.0), (1, 2.0), (1, 5.0), (1, 10.0), (1, 20.0), (2, 2.0), (2, 10.0))  # order, discount
+CANDIDATES = ((0.1, 0.1), (0.1, 1.0), (1.0, 1.0))  # strengths of words and bigrams, in shares of a class
 RIDGE = 1e-3
 _START = np.uint64(0x5EED5EED5EED5EED)  # the word before a text
+_HELD = 1 << 20  # bigrams that a task holds before it sends them on
 
 
 def bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -59,18 +67,43 @@ def _before(keys: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (x - second) * np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-_OF_WORD = ["s", "b0", "b1", "n0", "n1", "t0", "t1"]
+def _summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, and the sums of the rows of values by them."""
+    own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    rows = np.concatenate(values)
+    return own, np.stack([np.bincount(inverse, rows[:, k], len(own)) for k in range(rows.shape[1])], 1).astype(np.int64)
 
 
-def _counts(rows: DataFrame, few: int) -> DataFrame:
-    """Bigrams of rows (label, or 2 for none, and text) as (key, first, second, n0, n1: occurrences in either class), but
-    those of at most `few` in both; and over all bigrams partial sums by word, with key null: s different words before it,
-    b0, b1 the same in either class, n0, n1 occurrences, t0, t1 how often a word follows it.
+def _batch(names: list[str], *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
+
+
+_OF_WORD = ["s", "b0", "b1", "w0", "w1", "t0", "t1", "x0", "x1", "y0", "y1"]
+_FIRST = ["t0", "t1", "x0", "x1", "y0", "y1"]
+_SECOND = ["s", "b0", "b1"]
 
-    What has at most `few` occurrences falls to the backoff in every model, so only these sums of it are ever asked for.
-    """
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """Bigrams of rows (label, text) that a class has twice or more, as (key, first, second, n0, n1: occurrences in either
+    class); and over all bigrams partial sums by word, with key null: s different words before it, b0, b1 the same in
+    either class, w0, w1 its occurrences, t0, t1 how often a
+    word follows it, x0, x1 and y0, y1 occurrences and number of the bigrams it begins that the class has twice or more."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "second", "n0", "n1"]
+        keys: list[np.ndarray] = []
+        values: list[np.ndarray] = []
+
+        def held() -> pa.RecordBatch:
+            key, n = _summed(keys, [v[:, :2] for v in values])
+            # the second word of a bigram is the same wherever it stands
+            second = np.empty(len(key), np.int64)
+            for k, v in zip(keys, values, strict=True):
+                second[np.searchsorted(key, k)] = v[:, 2]
+            keys.clear()
+            values.clear()
+            return _batch(names, key.view(np.int64), second, n[:, 0], n[:, 1])
+
         for batch in batches:
             label = batch.column(0).to_numpy()
             for at, to, data, bounds in pieces(batch.column(1)):
@@ -78,42 +111,48 @@ def _counts(rows: DataFrame, few: int) -> DataFrame:
                 own, where, inverse = np.unique(bigrams(words)[1], return_index=True, return_inverse=True)
                 of = label[at:to][words.owner()]
                 n = [np.bincount(inverse, of == c, len(own)).astype(np.int64) for c in (0, 1)]
-                columns = [own.view(np.int64), words.hash[where].view(np.int64), *n]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "second", "n0", "n1"])
+                keys.append(own)
+                values.append(np.stack([*n, words.hash[where].view(np.int64)], 1))
+                if sum(map(len, keys)) > _HELD:
+                    yield held()
+        if keys:
+            yield held()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "first", "second", *_OF_WORD]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        names = ["key", "first", "second", "n0", "n1", *_OF_WORD]
+        words: list[np.ndarray] = []
+        values: list[np.ndarray] = []
 
-        def folded() -> tuple[np.ndarray, np.ndarray]:
-            word, inverse = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            values = np.concatenate([v for _, v in held])
-            return word, np.stack([np.bincount(inverse, values[:, k], len(word)) for k in range(len(_OF_WORD))], 1).astype(np.int64)
+        def of_words() -> pa.RecordBatch:
+            word, v = words[0], values[0]
+            none = pa.nulls(len(word), pa.int64())
+            words.clear()
+            return _batch(names, none, none, word, none, none, *values.pop().T) if len(v) else _batch(names, *[pa.nulls(0, pa.int64())] * len(names))
 
         for batch in batches:
             key, second, n0, n1 = (batch.column(k).to_numpy() for k in range(4))
             first = _before(key.view(np.uint64), second.view(np.uint64)).view(np.int64)
-            kept = np.flatnonzero((n0 > few) | (n1 > few))
+            kept = np.flatnonzero((n0 > 1) | (n1 > 1))
             if len(kept):
-                none = [pa.nulls(len(kept), pa.int64())]
-                yield pa.RecordBatch.from_arrays([*[pa.array(x[kept]) for x in (key, first, second)], *none * 3, pa.array(n0[kept]), pa.array(n1[kept]), *none * 2], names=names)
+                none = [pa.nulls(len(kept), pa.int64())] * len(_OF_WORD)
+                yield _batch(names, *(x[kept] for x in (key, first, second, n0, n1)), *none)
             zero, one = np.zeros(len(key), np.int64), np.ones(len(key), np.int64)
-            held.append((second, np.stack([one, n0 > 0, n1 > 0, n0, n1, zero, zero], 1)))
-            held.append((first, np.stack([zero, zero, zero, zero, zero, n0, n1], 1)))
-            if sum(len(w) for w, _ in held) > 1 << 20:
-                held = [folded()]
-                if len(held[0][0]) > 1 << 19:
-                    yield of_words(*held.pop(), names)
-        if held:
-            yield of_words(*folded(), names)
-
-    def of_words(word: np.ndarray, values: np.ndarray, names: list[str]) -> pa.RecordBatch:
-        none = pa.nulls(len(word), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.array(word), *[pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(_OF_WORD))]], names=names)
+            words += [second, first]
+            values.append(np.stack([one, n0 > 0, n1 > 0, n0, n1, *[zero] * 6], 1))
+            values.append(np.stack([*[zero] * 5, n0, n1, n0 * (n0 > 1), n1 * (n1 > 1), n0 > 1, n1 > 1], 1))
+            if sum(map(len, words)) > _HELD:
+                word, v = _summed(words, values)
+                words[:], values[:] = [word], [v]
+                if len(word) > _HELD // 2:
+                    yield of_words()
+        if words:
+            word, v = _summed(words, values)
+            words[:], values[:] = [word], [v]
+            yield of_words()
 
     found = rows.select("label", "text").mapInArrow(read, "key long, second long, n0 long, n1 long")
     found = found.groupBy("key", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    return found.mapInArrow(fold, ", ".join(f"{c} long" for c in ("key", "first", "second", *_OF_WORD)))
+    return found.mapInArrow(fold, ", ".join(f"{c} long" for c in ("key", "first", "second", "n0", "n1", *_OF_WORD)))
 
 
 def _frequent(counts: DataFrame, most: int) -> DataFrame:
@@ -138,16 +177,107 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
+@dataclass
+class Model:
+    """entries: key, n (occurrences), word (whether a word or a bigram), and the counts that `terms` makes scores of.
+
+    size, mass: different words and bigrams of both classes; by class (ordinary, toxic) tokens, total of continuation
+    counts, share of it left to the backoff, and discounts of continuation counts and bigrams. bits: bitmap of all keys."""
+
+    entries: DataFrame
+    size: int
+    mass: int
+    tokens: list[int]
+    total: list[int]
+    rest: list[float]
+    lower: list[float]
+    upper: list[float]
+    bits: np.ndarray
+
+    def _word(self, k: int, c: int, s: Column, b: Column) -> Column:
+        """Probability of a word by its continuation counts."""
+        strength = CANDIDATES[k][0]
+        base = (s + 1) / float(self.mass + self.size)
+        own = F.greatest(b - self.lower[c], F.lit(0.0)) / float(self.total[c])
+        return (own + (strength + self.rest[c]) * base) / (1 + strength)
+
+    def unseen(self, k: int) -> float:
+        strength = CANDIDATES[k][0]
+        return float(np.log(strength + self.rest[1]) - np.log(strength + self.rest[0]))
+
+    def terms(self, k: int) -> list[Column]:
+        """What an entry adds to a document's difference and its strong part for each time it stands there, and to the
+        difference for each word that it stands before."""
+        p = [self._word(k, c, F.col("s"), F.col(f"b{c}")) for c in (0, 1)]
+        weight = [F.col(f"t{c}") + CANDIDATES[k][1] * self.tokens[c] for c in (0, 1)]
+        left = [1 - (F.col(f"x{c}") - self.upper[c] * F.col(f"y{c}")) / weight[c] for c in (0, 1)]
+        both = [left[c] * p[c] + F.when(F.col(f"n{c}") > 1, F.col(f"n{c}") - self.upper[c]).otherwise(0.0) / weight[c] for c in (0, 1)]
+        word, behind, pair = (F.log(x[1]) - F.log(x[0]) for x in (p, left, both))
+        strong, none = [F.greatest(x - STRONG, F.lit(0.0)) for x in (word, pair)], F.lit(0.0)
+        return [
+            F.when(F.col("word"), word).otherwise(pair - word - behind),
+            F.when(F.col("word"), strong[0]).otherwise(strong[1] - strong[0]),
+            F.when(F.col("word"), behind).otherwise(none),
+        ]
+
+
+def _discount(ones: int, twos: int) -> float:
+    return ones / max(ones + 2 * twos, 1)
+
+
+def count(docs: DataFrame, known: DataFrame) -> Model:
+    """Counts of the texts of `docs` that `known` (doc_id, label) has, by class."""
+    labels = known.select("doc_id", "label")
+    if labels.count() <= BROADCAST_LABELS:  # else Spark chooses, and texts may be shuffled
+        labels = F.broadcast(labels)
+    rows = docs.select("doc_id", "text").join(labels, "doc_id").select(F.col("label").cast("long").alias("label"), "text")
+    found = stored(_counts(rows), "bigrams")
+    pairs = found.where("key IS NOT NULL").select("key", "first", "second", "n0", "n1")
+    words = stored(
+        found.where("key IS NULL").groupBy(F.col("second").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD]), "words"
+    )
+
+    def of(value: str) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0))
+
+    def number(test: str) -> Column:
+        return F.count(F.when(F.expr(test), 1))
+
+    one = words.agg(
+        number("s > 0").alias("size"), of("s").alias("mass"),
+        *[x for c in (0, 1) for x in (of(f"b{c}").alias(f"b{c}"), of(f"t{c}").alias(f"t{c}"), of(f"y{c}").alias(f"y{c}"),
+          number(f"b{c} > 0").alias(f"k{c}"), number(f"b{c} = 1").alias(f"one{c}"), number(f"b{c} = 2").alias(f"two{c}"))],
+    ).first()
+    two = pairs.agg(*[number(f"n{c} = 2").alias(f"two{c}") for c in (0, 1)]).first()
+    total = [max(one[f"b{c}"], 1) for c in (0, 1)]
+    lower = [_discount(one[f"one{c}"], one[f"two{c}"]) for c in (0, 1)]
+    upper = [_discount(one[f"b{c}"] - one[f"y{c}"], two[f"two{c}"]) for c in (0, 1)]
+    rest = [1 - (one[f"b{c}"] - lower[c] * one[f"k{c}"]) / total[c] for c in (0, 1)]
+    columns = ["n0", "n1", *_SECOND, *_FIRST]
+    zero = F.lit(0).cast("long")
+    alone = words.select(
+        "key", F.greatest(F.col("w0") + F.col("w1"), F.col("t0") + F.col("t1")).alias("n"), F.lit(True).alias("word"),
+        zero.alias("n0"), zero.alias("n1"), *_SECOND, *_FIRST,
+    )
+    joined = (
+        pairs.join(words.select(F.col("key").alias("first"), *_FIRST), "first")
+        .join(words.select(F.col("key").alias("second"), *_SECOND), "second")
+        .select("key", (F.col("n0") + F.col("n1")).alias("n"), F.lit(False).alias("word"), *columns)
+    )
+    entries = stored(alone.unionByName(joined), "entries")
+    return Model(entries, one["size"] + 1, one["mass"], [max(one[f"t{c}"], 1) for c in (0, 1)], total, rest, lower, upper, _bitmap(entries))
+
+
 @dataclass
 class Cache:
-    """Scores of the frequent keys (sorted) of a table, one column a candidate, and the bitmap of all its keys."""
+    """Terms of the frequent keys (sorted), three columns a candidate, and the bitmap of all keys."""
 
     keys: np.ndarray
-    scores: np.ndarray
+    terms: np.ndarray
     bits: np.ndarray
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in `scores`; whether they are the keys'; whether the key may be in the table only."""
+        """Places in `terms`; whether they are the keys'; whether the key may be in the table only."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         slot = keys & np.uint64((1 << LOG2_BITS) - 1)
@@ -155,156 +285,73 @@ class Cache:
         return at, known, ~known & there
 
 
-def _cache(table: DataFrame, columns: list[str], most: int, bits: np.ndarray) -> Cache:
-    got = _frequent(table, most).select("key", *columns).toArrow()
-    keys = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    scores = np.stack([got[c].to_numpy() for c in columns], 1) if columns else np.zeros((len(keys), 0))
-    return Cache(keys[order], scores[order], bits)
+def row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"], docs["text"])
 
 
-@dataclass
-class Tables:
-    """words: key, n and for candidate k u_k (toxic minus ordinary log-probability, of continuation counts) and, of order
-    2, f_k (the same of the mass left to the backoff behind the word). pairs: key, n and s_k of each bigram. unseen: u_k
-    of a word in no table; its f_k is 0."""
-
-    words: DataFrame
-    pairs: DataFrame
-    unseen: list[float]
-    word_bits: np.ndarray
-    pair_bits: np.ndarray
-
-
-def count(docs: DataFrame, known: DataFrame) -> Tables:
-    """Counts of all texts of `docs`, and by class of those that `known` (doc_id, label) has, as scores."""
-    second = [(k, d) for k, (order, d) in enumerate(CANDIDATES) if order == 2]
-    labels = known.select("doc_id", "label")
-    if labels.count() <= BROADCAST_LABELS:  # else Spark chooses, and texts may be shuffled
-        labels = F.broadcast(labels)
-    rows = docs.select("doc_id", "text").join(labels, "doc_id", "left")
-    rows = rows.select(F.coalesce(F.col("label").cast("long"), F.lit(2).cast("long")).alias("label"), "text")
-    found = stored(_counts(rows, int(min(d for _, d in second))), "bigrams")
-    counts = found.where("key IS NOT NULL").select("key", "first", "second", "n0", "n1")
-    by_word = stored(found.where("key IS NULL").groupBy(F.col("second").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD]), "words")
-    sums = by_word.agg(F.count(F.when(F.col("s") > 0, 1)) + 1, *[F.coalesce(F.sum(c), F.lit(0)) for c in ("s", "b0", "b1", "t0", "t1")]).first()
-    size, mass, total, tokens = sums[0], sums[1], np.maximum(sums[2:4], 1).tolist(), np.maximum(sums[4:], 1).tolist()
-
-    def less(value: Column, discount: float, c: int, of: list[int]) -> Column:
-        """`discount` is in counts of the smaller class; the other's is larger by the ratio of their sizes."""
-        return F.greatest(value - discount * of[c] / min(of), F.lit(0.0))
-
-    behind = counts.groupBy(F.col("first").alias("key")).agg(
-        *[F.sum(less(F.col(f"n{c}"), d, c, tokens)).alias(f"g{c}_{k}") for k, d in second for c in (0, 1)]
-    )
-    plain = stored(by_word.where("n0 + n1 + t0 + t1 > 0").join(behind, "key", "left").na.fill(0), "words")
-    kept = plain.agg(
-        *[F.coalesce(F.sum(less(F.col(f"b{c}"), d, c, total) / total[c]), F.lit(0.0)) for _, d in CANDIDATES for c in (0, 1)]
-    ).first()
-    rest = [[max(1 - kept[2 * k + c], 1e-9) for c in (0, 1)] for k in range(len(CANDIDATES))]
-    base = (F.col("s") + 1) / float(mass + size)
-    one = {
-        (k, c): less(F.col(f"b{c}"), d, c, total) / total[c] + rest[k][c] * base for k, (_, d) in enumerate(CANDIDATES) for c in (0, 1)
-    }
-    left = {(k, c): F.greatest(1 - F.col(f"g{c}_{k}") / F.greatest(F.col(f"t{c}"), F.lit(1)), F.lit(1e-9)) for k, _ in second for c in (0, 1)}
-    words = stored(
-        plain.select(
-            "key", F.greatest(F.col("n0") + F.col("n1"), F.col("t0") + F.col("t1")).alias("n"),
-            *[(F.log(one[k, 1]) - F.log(one[k, 0])).alias(f"u_{k}") for k in range(len(CANDIDATES))],
-            *[(F.log(left[k, 1]) - F.log(left[k, 0])).alias(f"f_{k}") for k, _ in second],
-            *[one[k, c].alias(f"p{c}_{k}") for k, _ in second for c in (0, 1)],
-            *[left[k, c].alias(f"l{c}_{k}") for k, _ in second for c in (0, 1)],
-            *[F.greatest(F.col(f"t{c}"), F.lit(1)).alias(f"t{c}") for c in (0, 1)],
-        ),
-        "word-scores",
-    )
-    firsts = words.select(F.col("key").alias("first"), "t0", "t1", *[f"l{c}_{k}" for k, _ in second for c in (0, 1)])
-    seconds = words.select(F.col("key").alias("second"), *[f"p{c}_{k}" for k, _ in second for c in (0, 1)])
-    joint = {
-        (k, c): F.col(f"l{c}_{k}") * F.col(f"p{c}_{k}") + less(F.col(f"n{c}"), d, c, tokens) / F.col(f"t{c}") for k, d in second for c in (0, 1)
-    }
-    pairs = stored(
-        counts.join(firsts, "first").join(seconds, "second").select(
-            "key", (F.col("n0") + F.col("n1")).alias("n"), *[(F.log(joint[k, 1]) - F.log(joint[k, 0])).alias(f"s_{k}") for k, _ in second]
-        ),
-        "bigram-scores",
-    )
-    return Tables(words, pairs, [float(np.log(r[1]) - np.log(r[0])) for r in rest], _bitmap(words), _bitmap(pairs))
-
-
-def ratios(docs: DataFrame, tables: Tables, chosen: list[int]) -> DataFrame:
-    """All columns of `docs`, and for the chosen candidate at place j: _all_j, toxic minus ordinary log-likelihood a word, and
-    _strong_j, the part of it above STRONG of each word; both 0 without words."""
-    deep = [k for k in chosen if CANDIDATES[k][0] == 2]
-    places = [chosen.index(k) for k in deep]
-    words = _cache(tables.words, [f"u_{k}" for k in chosen] + [f"f_{k}" for k in deep], CACHED_WORDS, tables.word_bits)
-    pairs = _cache(tables.pairs, [f"s_{k}" for k in deep], CACHED_BIGRAMS, tables.pair_bits) if deep else None
-    cache = docs.sparkSession.sparkContext.broadcast((words, pairs))
-    unseen, size = np.array([tables.unseen[k] for k in chosen]), len(chosen)
-    sums = [f"{kind}_{j}" for j in range(size) for kind in ("all", "strong")]
-    names = ["row", "key", "first", "second", "n", *sums]
+def ratios(docs: DataFrame, model: Model, chosen: list[int], most: int) -> DataFrame:
+    """One row per different (doc_id, text) of `docs`: row, its hash, and for the chosen candidate at place j all_j, toxic minus
+    ordinary log-likelihood a word, and strong_j, the part of it above STRONG of each word; both 0 without words. A word's
+    part is that of its bigram if a class has it twice, else that of its continuation counts."""
+    named = [t.alias(f"{kind}_{j}") for j, k in enumerate(chosen) for t, kind in zip(model.terms(k), ("a", "h", "f"), strict=True)]
+    got = _frequent(model.entries, most).select("key", *named).toArrow()
+    keys = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    terms = np.stack([got[c].to_numpy()[order] for c in got.column_names[1:]], 1)
+    cache = docs.sparkSession.sparkContext.broadcast(Cache(keys[order], terms, model.bits))
+    unseen = [model.unseen(k) for k in chosen]
+    extra = [max(u - STRONG, 0.0) for u in unseen]
+    sums = [f"{kind}_{j}" for j in range(len(chosen)) for kind in ("all", "strong")]
+    names = ["row", "key", "n", "m", *sums]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        single, double = cache.value
+        held = cache.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for at, to, data, bounds in pieces(batch.column(1)):
                 words = Words(data, bounds)
-                before, keys = bigrams(words)
                 owner = words.owner()
-                where, known, unsure = single.find(words.hash)
-                score = np.tile(unseen, (len(keys), 1))
-                score[known] = single.scores[where[known], :size]
-                if deep:
-                    where, known, doubt = single.find(before)
-                    behind = np.zeros((len(keys), len(deep)))
-                    behind[known] = single.scores[where[known], size:]
-                    score[:, places] += behind
-                    where, held, open_pair = double.find(keys)
-                    for i, j in enumerate(places):
-                        score[held, j] = double.scores[where[held], i]
-                    alone = len(deep) == size  # else other candidates need the word in any case
-                    unsure = open_pair | ((unsure | doubt) & ~held) | (unsure & (not alone))
-                done = ~unsure
-                local = []
-                for j in range(size):
-                    local.append(np.bincount(owner[done], score[done, j], to - at).astype(float))
-                    local.append(np.bincount(owner[done], np.maximum(score[done, j] - STRONG, 0), to - at).astype(float))
+                before, pairs = bigrams(words)
+                local = np.zeros((to - at, len(sums)))
+                due: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # owner, key, n, m
+                for kind, key in enumerate((words.hash, before, pairs)):
+                    where, known, unsure = held.find(key)
+                    absent = ~known & ~unsure
+                    for j in range(len(chosen)):
+                        for part in (0, 1):
+                            column = 3 * j + (2 if kind == 1 else part)
+                            if kind == 1 and part:
+                                continue
+                            local[:, 2 * j + part] += np.bincount(owner[known], held.terms[where[known], column], to - at)
+                            if kind == 0:
+                                local[:, 2 * j + part] += np.bincount(owner[absent], minlength=to - at) * (extra if part else unseen)[j]
+                    due.append((owner[unsure], key[unsure], int(kind != 1), (0, 1, -1)[kind]))
                 none = pa.nulls(to - at, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), none, none, none, pa.array(words.count.astype(np.int64)), *map(pa.array, local)], names=names)
-                if unsure.any():
-                    due = np.flatnonzero(unsure)
-                    by = keys[due] if deep else words.hash[due]
-                    order = np.lexsort((by, owner[due]))
-                    due, by = due[order], by[order]
-                    head = np.flatnonzero(np.concatenate([[True], (by[1:] != by[:-1]) | (owner[due][1:] != owner[due][:-1])]))
-                    n, due = np.diff(np.append(head, len(due))), due[head]
-                    key, first, second = (x[due].view(np.int64) for x in (keys, before, words.hash))
-                    no = pa.nulls(len(due), pa.float64())
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (ids[at:to][owner[due]], key, first, second, n)), *[no] * len(sums)], names=names)
-
-    row = F.xxhash64("doc_id", "text")
+                yield _batch(names, ids[at:to], none, words.count.astype(np.int64), none, *local.T)
+                for group in (due[:2], due[2:]):
+                    whose, key = (np.concatenate([g[i] for g in group]) for i in (0, 1))
+                    if len(key):
+                        n, m = (np.concatenate([np.full(len(g[0]), g[i], np.int64) for g in group]) for i in (2, 3))
+                        order = np.lexsort((key, whose))
+                        whose, key = whose[order], key[order]
+                        head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (whose[1:] != whose[:-1])]))
+                        n, m = np.add.reduceat(n[order], head), np.add.reduceat(m[order], head)
+                        no = [pa.nulls(len(head), pa.float64())] * len(sums)
+                        yield _batch(names, ids[at:to][whose[head]], key[head].view(np.int64), n, np.maximum(m, -1), *no)
+
     found = stored(
-        docs.select(row.alias("row"), "text").mapInArrow(task, ", ".join(["row long, key long, first long, second long, n long", *[f"{c} double" for c in sums]])),
+        docs.select(row_key(docs).alias("row"), "text").mapInArrow(task, ", ".join(["row long, key long, n long, m long", *[f"{c} double" for c in sums]])),
         "words-scored",
     )
-    rest = found.where("key IS NOT NULL").select("row", "key", "first", "second", "n")
-    rest = rest.join(tables.words.select(F.col("key").alias("second"), *[f"u_{k}" for k in chosen]), "second", "left")
-    if deep:
-        rest = rest.join(tables.words.select(F.col("key").alias("first"), *[f"f_{k}" for k in deep]), "first", "left")
-        rest = rest.join(tables.pairs.select("key", *[f"s_{k}" for k in deep]), "key", "left")
-    scores = []
-    for k in chosen:
-        score = F.coalesce(F.col(f"u_{k}"), F.lit(tables.unseen[k]))
-        if k in deep:
-            score = F.coalesce(F.col(f"s_{k}"), F.coalesce(F.col(f"f_{k}"), F.lit(0.0)) + score)
-        scores += [score, F.greatest(score - STRONG, F.lit(0.0))]
-    rest = rest.select("row", F.lit(0).cast("long").alias("n"), *[(F.col("n") * x).alias(c) for x, c in zip(scores, sums, strict=True)])
+    rest = found.where("key IS NOT NULL").select("row", "key", "n", "m").join(model.entries.select("key", *named), "key", "left")
+    word, parts = F.col("m") >= 0, []
+    for j in range(len(chosen)):
+        a, h = (F.coalesce(F.col(f"{x}_{j}"), F.when(word, F.lit(none)).otherwise(0.0)) for x, none in (("a", unseen[j]), ("h", extra[j])))
+        parts += [F.col("n") * a + F.greatest("m", F.lit(0)) * F.coalesce(F.col(f"f_{j}"), F.lit(0.0)), F.col("n") * h]
+    rest = rest.select("row", F.lit(0).cast("long").alias("n"), *[x.alias(c) for x, c in zip(parts, sums, strict=True)])
     # a row given twice adds to sums and numbers of words alike
-    whole = found.where("key IS NULL").select("row", "n", *sums).unionByName(rest).groupBy(F.col("row").alias("_row_hash")).agg(
-        *[(F.sum(c) / F.greatest(F.sum("n"), F.lit(1))).alias(f"_{c}") for c in sums]
-    )
-    return docs.withColumn("_row_hash", row).join(whole, "_row_hash").drop("_row_hash")
+    whole = found.where("key IS NULL").select("row", "n", *sums).unionByName(rest)
+    return whole.groupBy("row").agg(*[(F.sum(c) / F.greatest(F.sum("n"), F.lit(1))).alias(c) for c in sums])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float]:
@@ -320,27 +367,44 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[np.ndarra
     return w / spread, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def scored(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
-    """All columns of `docs` and _score, the probability of label 1, from the text alone.
+def scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
+    """(row, score) per different (doc_id, text) of `docs`: `row_key` and the probability of label 1, from the text alone.
 
-    A text without words gets the probability of no difference. If the labels to learn from are all alike, every score
-    is that label, and 0 if there are none; if only those of the tuning fold are, the difference is taken as it is. At most
-    `most` labelled rows take part in the logistic fit; counts take all.
+    If the labels to learn from are all alike, every score is that label, and 0 if there are none; if only those of the
+    tuning fold are, the difference is taken as it is. At most `most` labelled rows take part in the logistic fit; counts
+    take all.
     """
+    docs = docs.select("doc_id", "text")
     known = stored(learnable(labels, target), "labelled")
     seen = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(seen) < 2:
-        return docs.withColumn("_score", F.lit(float(1 in seen)))
-    tables = count(docs, known.where(F.col("fold") != TUNE_FOLD))
+        return docs.select(row_key(docs).alias("row")).distinct().withColumn("score", F.lit(float(1 in seen)))
+    model = count(docs, known.where(F.col("fold") != TUNE_FOLD))
     every = list(range(len(CANDIDATES)))
     tune = to_learn_from(labels, target, most).where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")
-    tuning = docs.select("doc_id", "text").join(F.broadcast(tune), "doc_id")
-    tuned = ratios(tuning, tables, every).drop("doc_id", "text").toArrow()  # of at most `most` rows
+    tuning = stored(docs.join(F.broadcast(tune), "doc_id").select("doc_id", "text", "label"), "tuning")
+    marks = tuning.select(row_key(tuning).alias("row"), "label").distinct()
+    tuned = ratios(tuning, model, every, CACHED_TUNING).join(marks, "row").toArrow()  # of at most `most` rows
     y = tuned["label"].to_numpy().astype(float)
     best, weights = 0, np.array([1.0, 0.0, np.log(seen[1] / seen[0])])
     if len(set(y.tolist())) == 2:
-        fits = [logistic(np.stack([tuned[f"_all_{k}"].to_numpy(), tuned[f"_strong_{k}"].to_numpy()], 1), y) for k in every]
+        fits = [logistic(np.stack([tuned[f"all_{k}"].to_numpy(), tuned[f"strong_{k}"].to_numpy()], 1), y) for k in every]
         best = min(every, key=lambda k: fits[k][1])
         weights = fits[best][0]
-    total = F.col("_all_0") * float(weights[0]) + F.col("_strong_0") * float(weights[1]) + float(weights[2])
-    return ratios(docs, tables, [best]).withColumn("_score", 1 / (1 + F.exp(-total))).drop("_all_0", "_strong_0")
+    total = F.col("all_0") * float(weights[0]) + F.col("strong_0") * float(weights[1]) + float(weights[2])
+    return ratios(docs, model, [best], CACHED).select("row", (1 / (1 + F.exp(-total))).alias("score"))
+
+
+def scored(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
+    """All columns of `docs` and _score; see `scores`."""
+    docs = docs.drop("_score")
+    found = scores(docs, labels, target, most)
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(docs).alias("row"))
+    return wrapped.join(found, "row").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], F.col("score").alias("_score"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = MAX_LABELLED) -> DataFrame:
+    """The rows of `docs` that score less than THRESHOLD. Only rows whose hash may be that of a rejected one are shuffled."""
+    rejected = stored(scores(docs, labels, target, most).where(F.col("score") >= THRESHOLD).select("row"), "rejected")
+    wrapped = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), row_key(docs).alias("row"))
+    return without(wrapped, "row", rejected).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -171,49 +171,71 @@ def test_classifiers(spark, module, target, threshold):
     assert module.scored(docs.limit(0), labels).count() == 0
 
 
-def brute_ratios(docs, known, order, discount):
-    """Log-likelihood ratios of all docs (id, text), with counts of all words and bigrams and none left out."""
+def brute_ratios(docs, known, strengths, strong=1.0):
+    """Log-likelihood ratios and strong parts of all docs (id, text), with plain counters and none left out."""
     pairs = {i: list(zip([None, *w], w)) for i, w in ((i, brute.words(t)) for i, t in docs)}
     n = [Counter(p for i in pairs if known.get(i) == c for p in pairs[i]) for c in (0, 1)]
-    shared = Counter(b for _, b in {p for own in pairs.values() for p in own})
+    shared = Counter(b for _, b in {*n[0], *n[1]})
     before = [Counter(b for _, b in n[c]) for c in (0, 1)]
     behind = [Counter() for _ in n]
     for c in (0, 1):
         for (a, _), k in n[c].items():
             behind[c][a] += k
-    total, tokens = [sum(x.values()) for x in before], [sum(x.values()) for x in n]
-    cut = [discount * t / min(total) for t in total]
-    kept = [{w: max(k - cut[c], 0) / total[c] for w, k in before[c].items()} for c in (0, 1)]
-    less = [{p: max(k - discount * tokens[c] / min(tokens), 0) / behind[c][p[0]] for p, k in n[c].items()} for c in (0, 1)]
-    left = [Counter() for _ in n]
+
+    def discount(counts):
+        ones, twos = (sum(k == x for k in counts.values()) for x in (1, 2))
+        return ones / max(ones + 2 * twos, 1)
+
+    lower, upper = [discount(x) for x in before], [discount(x) for x in n]
+    total = [sum(x.values()) for x in before]
+    kept = [{w: max(k - lower[c], 0) / total[c] for w, k in before[c].items()} for c in (0, 1)]
+    less = [{p: k - upper[c] if k > 1 else 0 for p, k in n[c].items()} for c in (0, 1)]
+    taken = [Counter() for _ in n]
     for c in (0, 1):
         for (a, _), x in less[c].items():
-            left[c][a] += x
+            taken[c][a] += x
 
     def score(a, b):
         base = (shared[b] + 1) / (sum(shared.values()) + len(shared) + 1)
-        p = [kept[c].get(b, 0) + max(1 - sum(kept[c].values()), 1e-9) * base for c in (0, 1)]
-        if order == 2:
-            p = [max(1 - left[c][a], 1e-9) * p[c] + less[c].get((a, b), 0) for c in (0, 1)]
-        return math.log(p[1]) - math.log(p[0])
+        p = [(kept[c].get(b, 0) + (strengths[0] + 1 - sum(kept[c].values())) * base) / (1 + strengths[0]) for c in (0, 1)]
+        weight = [behind[c][a] + strengths[1] * sum(n[c].values()) for c in (0, 1)]
+        both = [(1 - taken[c][a] / weight[c]) * p[c] + less[c].get((a, b), 0) / weight[c] for c in (0, 1)]
+        whole, alone = (math.log(x[1]) - math.log(x[0]) for x in (both, p))
+        seen = max(n[0][a, b], n[1][a, b]) > 1
+        return whole, max((whole if seen else alone) - strong, 0)
 
-    return {i: sum(score(*p) for p in own) / max(len(own), 1) for i, own in pairs.items()}
+    return {i: [sum(score(*p)[k] for p in own) / max(len(own), 1) for k in (0, 1)] for i, own in pairs.items()}
 
 
 @pytest.mark.parametrize("cached", [0, 40])
 def test_toxicity_counts_have_no_cap(spark, monkeypatch, cached):
-    monkeypatch.setattr(toxicity, "CACHED_WORDS", cached)
-    monkeypatch.setattr(toxicity, "CACHED_BIGRAMS", cached)
+    from pyspark.sql import functions as F
+
     rng = random.Random(8)
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(rng.randint(0, 40)))) for i in range(60)]
-    rows += [(60, None), (61, "never seen")]
+    rows += [(60, None), (61, "never seen"), (62, "w1 w2 " * 3000)]
     known = {i: int(i % 3 == 0) for i in range(45)}
     docs = spark.createDataFrame([*rows, rows[50], rows[50]], SCHEMA)
-    tables = toxicity.count(docs, spark.createDataFrame(list(known.items()), "doc_id long, label int"))
+    model = toxicity.count(docs, spark.createDataFrame(list(known.items()), "doc_id long, label int"))
     chosen = list(range(len(toxicity.CANDIDATES)))
-    for ask in (chosen, [1], [5]):
-        got = toxicity.ratios(docs, tables, ask).collect()
-        assert len(got) == len(rows) + 2
+    ids = docs.select(toxicity.row_key(docs).alias("row"), "doc_id").distinct()
+    for ask in (chosen, [1]):
+        got = toxicity.ratios(docs, model, ask, cached).join(ids, "row").collect()
+        assert len(got) == len(rows)
         for j, k in enumerate(ask):
-            want = brute_ratios(rows, known, *toxicity.CANDIDATES[k])
-            assert all(abs(r[f"_all_{j}"] - want[r.doc_id]) < 1e-9 for r in got)
+            want = brute_ratios(rows, known, toxicity.CANDIDATES[k])
+            assert all(abs(r[f"{kind}_{j}"] - want[r.doc_id][at]) < 1e-9 for r in got for at, kind in enumerate(("all", "strong")))
+    assert model.entries.where(~F.col("word")).count() > 10
+
+
+def test_toxicity_keeps_and_drops(spark):
+    """Rows under the threshold stay as they are, columns of any name and repeated rows included; all others go."""
+    docs, labels = labelled(spark)
+    docs = docs.selectExpr("*", "'a' AS row", "'b' AS score", "'c' AS _row", "'d' AS _may", "'e' AS _slot", "'f' AS key")
+    got = toxicity.scored(docs, labels)
+    assert got.columns == [*docs.columns, "_score"]
+    want = sorted((str(tuple(r)[:-1]) for r in got.collect() if r._score < toxicity.THRESHOLD))
+    left = toxicity.accepted(docs, labels)
+    assert left.columns == docs.columns and sorted(str(tuple(r)) for r in left.collect()) == want
+    assert 0.6 * 904 < len(want) < 0.85 * 904
+    assert toxicity.accepted(docs.limit(0), labels).count() == 0 and toxicity.accepted(docs, labels.limit(0)).count() == 904
