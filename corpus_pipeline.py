@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyferry.llm import decontamination, jaccard_join, piece_sampling, queries
 from tallyferry.llm import exact_dedup as exact
@@ -13,8 +12,7 @@ from tallyferry.llm.store import importable, stored
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity models give less than their threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxic.scored(docs, labels).where(F.col("_score") < toxic.THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return toxic.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
