@@ -78,7 +78,7 @@ def _batch(names: list[str], *columns: np.ndarray | pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in columns], names=names)
 
 
-_OF_WORD = ["s", "b0", "b1", "w0", "w1", "t0", "t1", "x0", "x1", "y0", "y1"]
+_OF_WORD = ["s", "b0", "b1", "w0", "w1", "l0", "l1"]
 _FIRST = ["t0", "t1", "x0", "x1", "y0", "y1"]
 _SECOND = ["s", "b0", "b1"]
 
@@ -86,13 +86,18 @@ _SECOND = ["s", "b0", "b1"]
 def _counts(rows: DataFrame) -> DataFrame:
     """Bigrams of rows (label, text) that a class has twice or more, as (key, first, second, n0, n1: occurrences in either
     class); and over all bigrams partial sums by word, with key null: s different words before it, b0, b1 the same in
-    either class, w0, w1 its occurrences, t0, t1 how often a
-    word follows it, x0, x1 and y0, y1 occurrences and number of the bigrams it begins that the class has twice or more."""
+    either class, w0, w1 its occurrences, l0, l1 how many of them end a text (of the word before a text: as many below zero
+    as there are texts with words).
+
+    Bigrams are dealt out by their second word and an eighth of their hashes, so that most words are summed in one place and
+    a frequent word in eight."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "second", "n0", "n1"]
         keys: list[np.ndarray] = []
         values: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
+        ended: list[np.ndarray] = []
 
         def held() -> pa.RecordBatch:
             key, n = _summed(keys, [v[:, :2] for v in values])
@@ -113,10 +118,20 @@ def _counts(rows: DataFrame) -> DataFrame:
                 n = [np.bincount(inverse, of == c, len(own)).astype(np.int64) for c in (0, 1)]
                 keys.append(own)
                 values.append(np.stack([*n, words.hash[where].view(np.int64)], 1))
+                whole = words.count > 0
+                by_class = np.stack([label[at:to][whole] == c for c in (0, 1)], 1).astype(np.int64)
+                ends += [words.hash[words.first[1:][whole] - 1], np.full(1, _START)]
+                ended += [by_class, -by_class.sum(0, keepdims=True)]
+                if sum(map(len, ends)) > _HELD:
+                    word, n_ends = _summed(ends, ended)
+                    ends[:], ended[:] = [word], [n_ends]
                 if sum(map(len, keys)) > _HELD:
                     yield held()
         if keys:
             yield held()
+        if ends:
+            word, n_ends = _summed(ends, ended)
+            yield _batch(names, pa.nulls(len(word), pa.int64()), word.view(np.int64), n_ends[:, 0], n_ends[:, 1])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "first", "second", "n0", "n1", *_OF_WORD]
@@ -130,16 +145,15 @@ def _counts(rows: DataFrame) -> DataFrame:
             return _batch(names, none, none, word, none, none, *values.pop().T) if len(v) else _batch(names, *[pa.nulls(0, pa.int64())] * len(names))
 
         for batch in batches:
-            key, second, n0, n1 = (batch.column(k).to_numpy() for k in range(4))
+            alone = batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            key, second, n0, n1 = (batch.column(k).fill_null(0).to_numpy() for k in range(4))
             first = _before(key.view(np.uint64), second.view(np.uint64)).view(np.int64)
-            kept = np.flatnonzero((n0 > 1) | (n1 > 1))
+            kept = np.flatnonzero(((n0 > 1) | (n1 > 1)) & ~alone)
             if len(kept):
                 none = [pa.nulls(len(kept), pa.int64())] * len(_OF_WORD)
                 yield _batch(names, *(x[kept] for x in (key, first, second, n0, n1)), *none)
-            zero, one = np.zeros(len(key), np.int64), np.ones(len(key), np.int64)
-            words += [second, first]
-            values.append(np.stack([one, n0 > 0, n1 > 0, n0, n1, *[zero] * 6], 1))
-            values.append(np.stack([*[zero] * 5, n0, n1, n0 * (n0 > 1), n1 * (n1 > 1), n0 > 1, n1 > 1], 1))
+            words.append(second)
+            values.append(np.where(alone, [*[np.zeros_like(n0)] * 5, n0, n1], [np.ones_like(n0), n0 > 0, n1 > 0, n0, n1, *[np.zeros_like(n0)] * 2]).T)
             if sum(map(len, words)) > _HELD:
                 word, v = _summed(words, values)
                 words[:], values[:] = [word], [v]
@@ -151,7 +165,9 @@ def _counts(rows: DataFrame) -> DataFrame:
             yield of_words()
 
     found = rows.select("label", "text").mapInArrow(read, "key long, second long, n0 long, n1 long")
-    found = found.groupBy("key", "second").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # tasks have added up what they met, so nothing more is added before the shuffle
+    found = found.withColumn("part", F.coalesce(F.pmod("key", F.lit(8)), F.lit(0))).repartition("second", "part")
+    found = found.groupBy("key", "second", "part").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).drop("part")
     return found.mapInArrow(fold, ", ".join(f"{c} long" for c in ("key", "first", "second", "n0", "n1", *_OF_WORD)))
 
 
@@ -233,8 +249,15 @@ def count(docs: DataFrame, known: DataFrame) -> Model:
     rows = docs.select("doc_id", "text").join(labels, "doc_id").select(F.col("label").cast("long").alias("label"), "text")
     found = stored(_counts(rows), "bigrams")
     pairs = found.where("key IS NOT NULL").select("key", "first", "second", "n0", "n1")
+    begun = pairs.groupBy(F.col("first").alias("key")).agg(
+        *[F.sum(F.when(F.col(f"n{c}") > 1, F.col(f"n{c}")).otherwise(0)).alias(f"x{c}") for c in (0, 1)],
+        *[F.count(F.when(F.col(f"n{c}") > 1, 1)).alias(f"y{c}") for c in (0, 1)],
+    )
+    words = found.where("key IS NULL").groupBy(F.col("second").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD])
     words = stored(
-        found.where("key IS NULL").groupBy(F.col("second").alias("key")).agg(*[F.sum(c).alias(c) for c in _OF_WORD]), "words"
+        words.join(begun, "key", "left").na.fill(0)
+        .select("key", *_SECOND, *[(F.col(f"w{c}") - F.col(f"l{c}")).alias(f"t{c}") for c in (0, 1)], *_FIRST[2:], "w0", "w1"),
+        "words",
     )
 
     def of(value: str) -> Column:
@@ -268,21 +291,33 @@ def count(docs: DataFrame, known: DataFrame) -> Model:
     return Model(entries, one["size"] + 1, one["mass"], [max(one[f"t{c}"], 1) for c in (0, 1)], total, rest, lower, upper, _bitmap(entries))
 
 
-@dataclass
 class Cache:
-    """Terms of the frequent keys (sorted), three columns a candidate, and the bitmap of all keys."""
+    """Terms of the frequent keys (sorted), three columns a candidate, and the bitmap of all keys.
 
-    keys: np.ndarray
-    terms: np.ndarray
-    bits: np.ndarray
+    As keys are hashes, their first bits tell about where a key is; the last entry stands for none."""
+
+    def __init__(self, keys: np.ndarray, terms: np.ndarray, bits: np.ndarray) -> None:
+        self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
+        self.terms, self.bits = terms, bits
+        self.shift = np.uint64(64 - max(len(keys).bit_length(), 1))
+        self.begin = np.searchsorted(keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in `terms`; whether they are the keys'; whether the key may be in the table only."""
-        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         slot = keys & np.uint64((1 << LOG2_BITS) - 1)
         there = (self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-        return at, known, ~known & there
+        at = np.zeros(len(keys), np.int64)
+        known = np.zeros(len(keys), bool)
+        due = np.flatnonzero(there)
+        wanted = keys[due]
+        place = self.begin[(wanted >> self.shift).astype(np.int64)]
+        low = np.flatnonzero(self.keys[place] < wanted)
+        while len(low):
+            place[low] += 1
+            low = low[self.keys[place[low]] < wanted[low]]
+        at[due] = place
+        known[due] = (self.keys[place] == wanted) & (place < len(self.keys) - 1)
+        return at, known, there & ~known
 
 
 def row_key(docs: DataFrame) -> Column:
@@ -314,8 +349,13 @@ def ratios(docs: DataFrame, model: Model, chosen: list[int], most: int) -> DataF
                 before, pairs = bigrams(words)
                 local = np.zeros((to - at, len(sums)))
                 due: list[tuple[np.ndarray, np.ndarray, int, int]] = []  # owner, key, n, m
+                # a word is found once, for itself and as the one before the next
+                single = held.find(np.append(words.hash, _START))
+                last = np.empty(len(before), np.int64)
+                last[1:] = np.arange(len(before) - 1)
+                last[before == _START] = len(before)
                 for kind, key in enumerate((words.hash, before, pairs)):
-                    where, known, unsure = held.find(key)
+                    where, known, unsure = held.find(pairs) if kind == 2 else [x[:-1] if kind == 0 else x[last] for x in single]
                     absent = ~known & ~unsure
                     for j in range(len(chosen)):
                         for part in (0, 1):
@@ -327,7 +367,7 @@ def ratios(docs: DataFrame, model: Model, chosen: list[int], most: int) -> DataF
                                 local[:, 2 * j + part] += np.bincount(owner[absent], minlength=to - at) * (extra if part else unseen)[j]
                     due.append((owner[unsure], key[unsure], int(kind != 1), (0, 1, -1)[kind]))
                 none = pa.nulls(to - at, pa.int64())
-                yield _batch(names, ids[at:to], none, words.count.astype(np.int64), none, *local.T)
+                yield _batch(names, ids[at:to], ids[at:to], words.count.astype(np.int64), none, *local.T)
                 for group in (due[:2], due[2:]):
                     whose, key = (np.concatenate([g[i] for g in group]) for i in (0, 1))
                     if len(key):
@@ -339,18 +379,15 @@ def ratios(docs: DataFrame, model: Model, chosen: list[int], most: int) -> DataF
                         no = [pa.nulls(len(head), pa.float64())] * len(sums)
                         yield _batch(names, ids[at:to][whose[head]], key[head].view(np.int64), n, np.maximum(m, -1), *no)
 
-    found = stored(
-        docs.select(row_key(docs).alias("row"), "text").mapInArrow(task, ", ".join(["row long, key long, n long, m long", *[f"{c} double" for c in sums]])),
-        "words-scored",
-    )
-    rest = found.where("key IS NOT NULL").select("row", "key", "n", "m").join(model.entries.select("key", *named), "key", "left")
-    word, parts = F.col("m") >= 0, []
+    # a document's own line has m null and its row hash as a key, which only spreads these lines
+    found = docs.select(row_key(docs).alias("row"), "text").mapInArrow(task, ", ".join(["row long, key long, n long, m long", *[f"{c} double" for c in sums]]))
+    found = found.join(model.entries.select("key", *named), "key", "left")
+    own, word, parts = F.col("m").isNull(), F.col("m") >= 0, []
     for j in range(len(chosen)):
         a, h = (F.coalesce(F.col(f"{x}_{j}"), F.when(word, F.lit(none)).otherwise(0.0)) for x, none in (("a", unseen[j]), ("h", extra[j])))
         parts += [F.col("n") * a + F.greatest("m", F.lit(0)) * F.coalesce(F.col(f"f_{j}"), F.lit(0.0)), F.col("n") * h]
-    rest = rest.select("row", F.lit(0).cast("long").alias("n"), *[x.alias(c) for x, c in zip(parts, sums, strict=True)])
+    whole = found.select("row", F.when(own, F.col("n")).otherwise(0).alias("n"), *[F.when(own, F.col(c)).otherwise(x).alias(c) for x, c in zip(parts, sums, strict=True)])
     # a row given twice adds to sums and numbers of words alike
-    whole = found.where("key IS NULL").select("row", "n", *sums).unionByName(rest)
     return whole.groupBy("row").agg(*[(F.sum(c) / F.greatest(F.sum("n"), F.lit(1))).alias(c) for c in sums])
 
 
