@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def importable(spark: SparkSession) -> None:
     """Let Python workers find this package where this process found it; elsewhere it must be installed or shipped."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -29,10 +32,19 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """The rows of `df`, written once to the shared folder: lineage ends there, and lost executors cost no rows."""
-    path = shared_path(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """The rows of `df`, written once to the shared folder: lineage ends there, and lost executors cost no rows.
+
+    What was shuffled for them is removed once they are written, as nothing reads it again.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, purpose)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def marked(rows: DataFrame, name: str, key: Column, wanted: DataFrame, log2_bits: int = 22) -> DataFrame:

@@ -36,7 +36,7 @@ from tallyferry.llm.arrays import BASE, Words, mixed, pieces
 from tallyferry.llm.labels import MAX_LABELLED, learnable, to_learn_from
 from tallyferry.llm.store import stored, without
 
-CACHED = 1 << 20
+CACHED = 1 << 21
 CACHED_TUNING = 1 << 18
 LOG2_BITS = 26
 BROADCAST_LABELS = 1_000_000  # of at most 32 bytes each; more are joined without a hint
@@ -421,7 +421,7 @@ def scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int
     tune = to_learn_from(labels, target, most).where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")
     tuning = stored(docs.join(F.broadcast(tune), "doc_id").select("doc_id", "text", "label"), "tuning")
     marks = tuning.select(row_key(tuning).alias("row"), "label").distinct()
-    tuned = ratios(tuning, model, every, CACHED_TUNING).join(marks, "row").toArrow()  # of at most `most` rows
+    tuned = stored(ratios(tuning, model, every, CACHED_TUNING).join(marks, "row"), "tuned").toArrow()  # of at most `most` rows
     y = tuned["label"].to_numpy().astype(float)
     best, weights = 0, np.array([1.0, 0.0, np.log(seen[1] / seen[0])])
     if len(set(y.tolist())) == 2:
