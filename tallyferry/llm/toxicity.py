@@ -36,8 +36,8 @@ from tallyferry.llm.arrays import BASE, Words, mixed, pieces
 from tallyferry.llm.labels import MAX_LABELLED, learnable, to_learn_from
 from tallyferry.llm.store import stored, without
 
-CACHED = 1 << 21
-CACHED_TUNING = 1 << 18
+CACHED = 1 << 20
+CACHED_TUNING = 1 << 16
 LOG2_BITS = 26
 BROADCAST_LABELS = 1_000_000  # of at most 32 bytes each; more are joined without a hint
 TUNE_FOLD = 4
