@@ -46,7 +46,7 @@ STRONG = 1.0  # in nats
 CANDIDATES = ((0.1, 0.1), (0.1, 1.0), (1.0, 1.0))  # strengths of words and bigrams, in shares of a class
 RIDGE = 1e-3
 _START = np.uint64(0x5EED5EED5EED5EED)  # the word before a text
-_HELD = 1 << 20  # bigrams that a task holds before it sends them on
+_HELD = 1 << 19  # bigrams that a task holds before it sends them on
 
 
 def bigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
