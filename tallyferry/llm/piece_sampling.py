@@ -26,8 +26,10 @@ from tallyferry.llm.arrays import mixed, pieces
 MODEL = "piece_bpe_32k.model"
 RANK_SHIFT = 10.0
 SHARPNESS = 1.0
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 1 << 20
 RESIDENT_PARTS = 100_000
+LEARNT_GROUPS = 16
+SLICE_CHARS = 1 << 17  # of the parts whose forward sums are taken at once; a longer part alone
 _SPACE = 0x2581
 _PART = re.compile(" *[^ ]+| +")
 _CLASSES = 1 << 12  # characters of pieces have smaller class numbers; 0 is every other character
@@ -197,14 +199,28 @@ class Lattice:
         place[order] = np.arange(len(order))
         self.start, self.end = node[place], (node + length)[place]
 
-    def followed_by(self, other: Lattice) -> Lattice:
-        """One lattice of the parts of both."""
-        out = object.__new__(Lattice)
-        nodes = len(self.head) - 1
-        out.head = np.concatenate([self.head[:-1], other.head + self.head[-1]])
+    @classmethod
+    def of(cls, trie: Trie, parts: list[str]) -> Lattice:
+        """The lattice of any number of parts, whose tables of nodes by size are held for SLICE_CHARS characters at a time."""
+        upto = np.cumsum([len(p) for p in parts])
+        made, at = [], 0
+        while at < len(parts):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_CHARS, "right")))
+            made.append(cls(trie, parts[at:to]))
+            at = to
+        return cls.joined(made) if len(made) != 1 else made[0]
+
+    @classmethod
+    def joined(cls, lattices: list[Lattice]) -> Lattice:
+        """One lattice of the parts of all."""
+        out = object.__new__(cls)
+        edges = np.cumsum([0, *(x.head[-1] for x in lattices)])
+        nodes = np.cumsum([0, *(len(x.head) - 1 for x in lattices)])
+        out.head = np.concatenate([*(x.head[:-1] + e for x, e in zip(lattices, edges, strict=False)), edges[-1:]])
         for name in ("until", "size", "code"):
-            setattr(out, name, np.concatenate([getattr(self, name), getattr(other, name)]))
-        out.start, out.end = np.concatenate([self.start, other.start + nodes]), np.concatenate([self.end, other.end + nodes])
+            setattr(out, name, np.concatenate([getattr(x, name) for x in lattices]))
+        for name in ("start", "end"):
+            setattr(out, name, np.concatenate([getattr(x, name) + n for x, n in zip(lattices, nodes, strict=False)]))
         return out
 
     def sample(self, part: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +250,7 @@ class Lattice:
 class Encoder:
     """Encodes groups of texts; parts that many groups have stay in a lattice of bounded size."""
 
-    def __init__(self, trie: Trie, resident: int = RESIDENT_PARTS, after: int = 4) -> None:
+    def __init__(self, trie: Trie, resident: int = RESIDENT_PARTS, after: int = LEARNT_GROUPS) -> None:
         self.trie, self.resident, self.after = trie, resident, after
         self.groups_of: dict[str, int] = {}
         self.known: dict[str, int] = {}
@@ -243,7 +259,7 @@ class Encoder:
     def _lattice(self, parts: list[str]) -> tuple[dict[str, int], Lattice]:
         new = [p for p in dict.fromkeys(parts) if p not in self.known]
         index = self.known | {p: k for k, p in enumerate(new, len(self.known))} if new else self.known
-        own = Lattice(self.trie, new) if new or self.lattice is None else None
+        own = Lattice.of(self.trie, new) if new or self.lattice is None else None
         if self.after:
             for p in new:
                 self.groups_of[p] = self.groups_of.get(p, 0) + 1
@@ -252,11 +268,11 @@ class Encoder:
                 often = sorted((p for p, n in self.groups_of.items() if n > 1 and len(p) <= 64), key=lambda p: -self.groups_of[p])
                 often = often[: self.resident]
                 self.known, self.groups_of = {p: k for k, p in enumerate(often)}, {}
-                self.lattice = Lattice(self.trie, often) if often else None
+                self.lattice = Lattice.of(self.trie, often) if often else None
             return index, own
         if self.lattice is None:
             return index, own
-        return index, self.lattice.followed_by(own) if own else self.lattice
+        return index, Lattice.joined([self.lattice, own]) if own else self.lattice
 
     def encode(self, texts: list[str], keys: np.ndarray) -> Iterator[np.ndarray]:
         """The piece ids of each text, sampled by its key."""

@@ -239,3 +239,27 @@ def test_toxicity_keeps_and_drops(spark):
     assert left.columns == docs.columns and sorted(str(tuple(r)) for r in left.collect()) == want
     assert 0.6 * 904 < len(want) < 0.85 * 904
     assert toxicity.accepted(docs.limit(0), labels).count() == 0 and toxicity.accepted(docs, labels.limit(0)).count() == 904
+
+
+def test_lattices_of_many_parts_stay_small(monkeypatch):
+    """Tables of nodes by size are held for a slice of the parts; paths are those of one lattice of all."""
+    import tracemalloc
+
+    import public_tokenizers
+
+    rng = random.Random(11)
+    trie = piece_sampling.load(public_tokenizers.path(piece_sampling.MODEL))
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(4, 12))) for _ in range(60_000)]
+    text = " ".join([*words, "internationalization " * 3])
+    tracemalloc.start()
+    try:
+        got = piece_sampling.encode_group(trie, [text], np.arange(1))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert piece_sampling.decode(trie, got) == text.encode()
+    assert peak < 100e6, peak
+    few = " ".join(words[:300])
+    whole = piece_sampling.encode_group(trie, [few], np.arange(1))[0].tolist()
+    monkeypatch.setattr(piece_sampling, "SLICE_CHARS", 50)
+    assert piece_sampling.encode_group(trie, [few], np.arange(1))[0].tolist() == whole
