@@ -58,6 +58,19 @@ def _set_id(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mixed((total[bounds[1:]] - total[bounds[:-1]]) ^ mixed(size)).view(np.int64)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts as bit planes, compressed: most are 0 or 1, so that all planes but the first are nearly empty."""
+    return zlib.compress(b"".join(np.packbits(counts >> k & 1).tobytes() for k in range(int(counts.max()).bit_length())), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(-1, _CHUNK // 8)
+    out = np.zeros(_CHUNK, np.int64)
+    for k, plane in enumerate(planes):
+        out += np.unpackbits(plane).astype(np.int64) << k
+    return out
+
+
 def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
     """Per document: id, number of distinct shingles, digest of the set (null if empty); and parts of the sketch."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -78,7 +91,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 schema=schema,
             )
         parts = [(k, sketch[k * _CHUNK : (k + 1) * _CHUNK]) for k in range(SKETCH_BUCKETS // _CHUNK)]
-        parts = [(k, zlib.compress(x.tobytes(), 1)) for k, x in parts if x.any()]
+        parts = [(k, _packed(x)) for k, x in parts if x.any()]
         if schema is not None and parts:
             none = len(parts)
             yield pa.RecordBatch.from_arrays(
@@ -105,13 +118,13 @@ def frequent_buckets(parts: DataFrame, shingles: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64)
+                total[k] = total.get(k, 0) + _unpacked(x.as_py())
         bits = [np.packbits(x > limit).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
     folded = parts.select(F.expr(f"chunk % {width // _CHUNK}").alias("chunk"), "counts")
     out = np.zeros(width // 8, np.uint8)
-    for row in folded.repartition("chunk").mapInArrow(task, "chunk int, bits binary").collect():
+    for row in stored(folded.repartition("chunk").mapInArrow(task, "chunk int, bits binary"), "frequent").collect():
         out[row.chunk * _CHUNK // 8 : (row.chunk + 1) * _CHUNK // 8] = np.frombuffer(bytes(row.bits), np.uint8)
     return out
 
@@ -244,10 +257,10 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | No
     yield None
 
 
-def _texts(ends: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(set_id, text) for the sets of `ends`, a text of one document each; other texts are not shuffled."""
-    one = members.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    return wanted_only(docs, "doc_id", one).join(one, "doc_id").select("set_id", "text")
+def _owners(ends: DataFrame, members: DataFrame) -> DataFrame:
+    """(set_id, doc_id) of one document for each set of `ends`. Ids are joined to all else first, so that a text is
+    shuffled once to be found, and not again by its set."""
+    return members.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
 
 
 def _own_sets(texts: pa.Array, ids: np.ndarray, n: int) -> list[np.ndarray | None]:
@@ -300,8 +313,9 @@ def _within(clusters: DataFrame, docs: DataFrame, members: DataFrame, n: int, pe
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .select("set_id", F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("unit"))
     )
+    owned = dealt.join(_owners(dealt.select("set_id").distinct(), members), "set_id")
     rows = (
-        dealt.join(_texts(dealt.select("set_id").distinct(), docs, members), "set_id")
+        wanted_only(docs, "doc_id", owned.select("doc_id")).join(owned, "doc_id")
         .repartition("unit").sortWithinPartitions("unit", "set_id").select("unit", "set_id", "text")
     )
 
@@ -331,13 +345,14 @@ def _within(clusters: DataFrame, docs: DataFrame, members: DataFrame, n: int, pe
 
 def _linked(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int, percent: int) -> DataFrame:
     """Of the pairs (a, b) of sets, those over the threshold."""
-    texts = _texts(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), docs, members)
-    both = (
-        pairs.select("a", "b")
-        .join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
-        .join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .select("a", "b", "text_a", "text_b")
-    )
+    owners = stored(_owners(pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct(), members), "owners")
+    texts = wanted_only(docs, "doc_id", owners.select("doc_id"))
+    named = pairs.select("a", "b")
+    for end in ("a", "b"):
+        named = named.join(owners.select(F.col("set_id").alias(end), F.col("doc_id").alias(f"doc_{end}")), end)
+    for end in ("a", "b"):
+        named = named.join(texts.select(F.col("doc_id").alias(f"doc_{end}"), F.col("text").alias(f"text_{end}")), f"doc_{end}")
+    both = named.select("a", "b", "text_a", "text_b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

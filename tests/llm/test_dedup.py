@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -93,6 +94,28 @@ def test_blocks_of_a_cluster(spark, monkeypatch):
     assert got == brute.jaccard(rows)
 
 
+def test_sketch_is_small_and_exact():
+    rng = jaccard_join.np.random.default_rng(3)
+    for counts in (rng.poisson(0.16, 1 << 14), rng.poisson(40, 1 << 14), jaccard_join.np.eye(1, 1 << 14, 7, dtype=int)[0] * (1 << 20)):
+        packed = jaccard_join._packed(counts.astype(jaccard_join.np.int32))
+        assert (jaccard_join._unpacked(packed) == counts).all()
+    assert len(jaccard_join._packed(rng.poisson(0.16, 1 << 14).astype(jaccard_join.np.int32))) < (1 << 14) / 5
+
+
+def test_near_shuffles_a_text_once_to_find_it(spark):
+    """Texts are shuffled by their ids, and once more to where they are compared."""
+    docs = spark.createDataFrame([(k, f"a b c d e {k % 3}") for k in range(9)], SCHEMA)
+    members = docs.selectExpr("doc_id", "doc_id AS set_id")
+    clusters = docs.selectExpr("doc_id AS set_id", "0L AS cluster", "2L AS n")
+    for found, most in (
+        (jaccard_join._within(clusters, docs, members, 5, 75), 2),
+        (jaccard_join._linked(docs.selectExpr("doc_id AS a", "doc_id + 1 AS b"), docs, members, 5, 75), 3),
+    ):
+        plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        shuffled = re.findall(r"^\(\d+\) Exchange\s*\nInput \[\d+\]: \[[^\]]*\btext", plan, re.M)
+        assert len(shuffled) <= most, plan
+
+
 def test_banded_distance(spark):
     rng, rows = random.Random(3), []
     for _ in range(300):
