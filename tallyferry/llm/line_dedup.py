@@ -56,17 +56,26 @@ def index_keys(line: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
-def probe_keys(line: Column, edits: int) -> Column:
-    """The keys under which a line of at most this length, within the bound, is found; null for places outside."""
-    own, keys = F.length(line), []
-    for less in range(edits + 1):
-        for i in range(edits + 1):
-            begin, size = segment(own - less, i, edits + 1)
-            for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                at = begin + move
-                inside = (at >= 1) & (at + size <= own + 1)
-                keys.append(F.when(inside, _key(own - less, i, F.substring(line, at, size))))
-    return F.array(*keys)
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(b, key): the keys under which a line of at most this length, within the bound, is found.
+
+    The places to look at are rows first, and one short expression makes their keys: an array of all keys' expressions is
+    too much code for the JVM to compile.
+    """
+    places = F.array(*[
+        F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move"))
+        for less in range(edits + 1)
+        for i in range(edits + 1)
+        for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+    ])
+    parts = edits + 1
+    return (
+        lines.select("line_id", "line", F.length("line").alias("own"), F.inline(places))
+        .selectExpr("line_id", "line", "own", "i", "move", "own - less AS n", f"CAST((own - less) DIV {parts} AS INT) AS size", f"{parts} - (own - less) % {parts} AS short")
+        .selectExpr("line_id", "line", "own", "i", "n", "size * i + greatest(0, i - short) + 1 + move AS at", "size + IF(i >= short, 1, 0) AS size")
+        .where("at >= 1 AND at + size <= own + 1")
+        .selectExpr("line_id AS b", "xxhash64(n, i, substring(line, at, size)) AS key")
+    )
 
 
 def _common(a: str, b: str, room: str, from_end: bool) -> str:
@@ -85,6 +94,17 @@ def trimmed(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     return tail.withColumns({s: F.expr(f"left({s}, length({s}) - _n)") for s in (a, b)}).drop("_n")
 
 
+def may_be_near(a: str, b: str, edits: int) -> Column:
+    """False only for trimmed columns that are farther than `edits` apart.
+
+    Where nothing common is left at either end, one edit is at the first and one at the last character; with no more than
+    two, all between stands unchanged in the other. What the trimming had to leave is too short to tell.
+    """
+    if edits > 2:
+        return F.lit(True)
+    return F.expr(f"least(length({a}), length({b})) <= {edits + 1} OR contains({b}, substring({a}, 2, length({a}) - 2))")
+
+
 def banded_distance(a: str, b: str, edits: int) -> Column:
     """Edit distance of columns a and b if it is at most `edits`, else some larger number; lengths differ by at most
     `edits`, and `a` has more than `edits` characters.
@@ -124,9 +144,8 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     distinct = once.unionByName(repeated)
 
     index = distinct.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
-    probes = distinct.select(F.col("line_id").alias("b"), F.explode(probe_keys(F.col("line"), edits)).alias("key")).where("key IS NOT NULL")
     pairs = stored(
-        index.join(probes, "key").where("a <> b")
+        index.join(probes(distinct, edits), "key").where("a <> b")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "line-pairs",
     )
@@ -138,7 +157,7 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     )
     # written, so that the filter is not pushed below the trimming, which would repeat it at every step
     middle = stored(trimmed(both, "x", "y", edits), "line-middles")
-    return middle.where(banded_distance("x", "y", edits) <= edits).select("a", "b")
+    return middle.where(may_be_near("x", "y", edits)).where(banded_distance("x", "y", edits) <= edits).select("a", "b")
 
 
 def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 from tallyferry.llm import exact_dedup, graph, jaccard_join, line_dedup, suffix_dedup  # noqa: E402
+from tallyferry.llm.store import stored  # noqa: E402
 
 SCHEMA = "doc_id long, text string"
 # columns whose names the operators use themselves
@@ -131,6 +132,46 @@ def test_banded_distance(spark):
     assert all(min(r.d, 3) == min(brute.distance(r.a, r.b), 3) for r in got)
 
 
+def test_far_lines_are_not_measured(spark, monkeypatch):
+    """Lines that share a segment, but differ between their trimmed ends, leave before the distance is taken."""
+    rng, measured = random.Random(6), []
+
+    def line(n: int) -> str:
+        return "".join(rng.choice("abcdefgé") for _ in range(n))
+
+    def kept(df, purpose):
+        out = stored(df, purpose)
+        if purpose == "line-middles":
+            measured.extend((r.a, r.b) for r in out.where(line_dedup.may_be_near("x", "y", 2)).collect())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    head, near = line(30), line(60)
+    texts = [head + line(60) for _ in range(12)] + [near, near[:10] + "x" + near[11:50] + "y" + near[51:], "z" + near]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    want = {(a, b) for a in range(15) for b in range(a) if brute.distance(texts[a], texts[b]) <= 2}
+    assert {(max(r.a, r.b), min(r.a, r.b)) for r in line_dedup.near_links(rows).collect()} == want == {(13, 12), (14, 12)}
+    assert len(measured) <= 3, measured  # before: the 66 pairs of one head too
+
+
+def test_probes_meet_the_index(spark):
+    """A line within the bound has a probe among the other's index keys, at any place of its edits."""
+    rng, rows = random.Random(9), []
+    for _ in range(200):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(24, 60)))
+        b = list(a)
+        for _ in range(2):
+            b[rng.randrange(len(b))] = rng.choice(["", "x", "yz"])
+        long, short = sorted([a, "".join(b)], key=len, reverse=True)
+        if brute.distance(long, short) <= 2 and long != short:
+            rows.append((long, short))
+    lines = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k long, x string, y string")
+    index = lines.select("k", line_dedup.F.explode(line_dedup.index_keys(line_dedup.F.col("y"), 2)).alias("key"))
+    probes = line_dedup.probes(lines.selectExpr("k AS line_id", "x AS line"), 2).withColumnRenamed("b", "k")
+    assert probes.groupBy("k").count().agg({"count": "max"}).first()[0] <= 12
+    assert probes.join(index, ["k", "key"]).select("k").distinct().count() == len(rows) > 50
+
+
 def test_lines(spark):
     rng = random.Random(2)
     bases = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 50))) for _ in range(20)]
