@@ -24,6 +24,7 @@ kept whatever their names are, but for `_score`, which is replaced.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from tallyferry.llm.arrays import BASE, Words, mixed, pieces
 from tallyferry.llm.labels import MAX_LABELLED, learnable, to_learn_from
-from tallyferry.llm.store import stored, without
+from tallyferry.llm.store import shuffles_removed, stored, without
 
 CACHED = 1 << 20
 CACHED_TUNING = 1 << 16
@@ -186,8 +187,10 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     slot = F.pmod("key", F.lit(1 << LOG2_BITS))
     got = (
         keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
-        .agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits")).toArrow()
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(slot & 63 AS INT)))").alias("bits"))
     )
+    with shuffles_removed(keys.sparkSession):
+        got = got.select("word", "bits").toArrow()
     out = np.zeros((1 << LOG2_BITS) // 64, np.int64)
     out[got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint64)
@@ -299,9 +302,27 @@ class Cache:
     def __init__(self, keys: np.ndarray, terms: np.ndarray, bits: np.ndarray) -> None:
         self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.terms, self.bits = terms, bits
+        self._places()
+
+    def _places(self) -> None:
+        keys = self.keys[:-1]
         self.shift = np.uint64(64 - max(len(keys).bit_length(), 1))
         self.begin = np.searchsorted(keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
 
+    def __getstate__(self) -> tuple[int, list[bytes]]:
+        """Compressed, without what follows from the keys: every executor writes a broadcast to its disk.
+
+        Numbers are written as all their first bytes, all their second bytes and so on, as first bytes are much alike."""
+        flat = (self.keys, np.ascontiguousarray(self.terms.T).ravel(), self.bits)
+        return self.terms.shape[1], [zlib.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in flat]
+
+    def __setstate__(self, state: tuple[int, list[bytes]]) -> None:
+        columns, sent = state
+        keys, terms, bits = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).ravel() for x in sent)
+        self.keys, self.bits = keys.view(np.uint64), bits.view(np.uint64)
+        self.terms = np.ascontiguousarray(terms.view(np.float64).reshape(columns, len(self.keys) - 1).T)
+        self._places()
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in `terms`; whether they are the keys'; whether the key may be in the table only."""
         slot = keys & np.uint64((1 << LOG2_BITS) - 1)
@@ -419,7 +440,7 @@ def scores(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int
     model = count(docs, known.where(F.col("fold") != TUNE_FOLD))
     every = list(range(len(CANDIDATES)))
     tune = to_learn_from(labels, target, most).where(F.col("fold") == TUNE_FOLD).select("doc_id", "label")
-    tuning = stored(docs.join(F.broadcast(tune), "doc_id").select("doc_id", "text", "label"), "tuning")
+    tuning = docs.join(F.broadcast(tune), "doc_id").select("doc_id", "text", "label")
     marks = tuning.select(row_key(tuning).alias("row"), "label").distinct()
     tuned = stored(ratios(tuning, model, every, CACHED_TUNING).join(marks, "row"), "tuned").toArrow()  # of at most `most` rows
     y = tuned["label"].to_numpy().astype(float)

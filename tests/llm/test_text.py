@@ -263,3 +263,23 @@ def test_lattices_of_many_parts_stay_small(monkeypatch):
     whole = piece_sampling.encode_group(trie, [few], np.arange(1))[0].tolist()
     monkeypatch.setattr(piece_sampling, "SLICE_CHARS", 50)
     assert piece_sampling.encode_group(trie, [few], np.arange(1))[0].tolist() == whole
+
+
+@pytest.mark.parametrize("n", [0, 1, 5000])
+def test_cache_is_sent_small(n):
+    """The broadcast cache finds the same after it is sent, and is sent in less than its arrays hold."""
+    import pickle
+
+    rng = np.random.default_rng(n)
+    keys = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    terms = np.stack([np.round(rng.normal(size=n), 3), rng.normal(size=n).clip(0), np.zeros(n)], 1)
+    bits = np.zeros((1 << toxicity.LOG2_BITS) // 64, np.uint64)
+    slot = keys & np.uint64((1 << toxicity.LOG2_BITS) - 1)
+    np.bitwise_or.at(bits, (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    cache = toxicity.Cache(keys, terms, bits)
+    sent = pickle.dumps(cache)
+    again, asked = pickle.loads(sent), np.concatenate([keys, rng.integers(0, 1 << 63, 1000, dtype=np.uint64)])
+    for x, y in zip(cache.find(asked), again.find(asked), strict=True):
+        assert x.tolist() == y.tolist()
+    assert again.terms.shape == terms.shape and (again.terms == terms).all()
+    assert len(sent) < 0.2 * sum(x.nbytes for x in (cache.keys, cache.terms, cache.bits, cache.begin))
