@@ -9,6 +9,11 @@ around it allow; so a line probes, for each length from its own down to `edits`
 can have moved to. Candidates are verified by the banded bit-parallel distance of Hyyro (2003): 2 * edits + 1 bits hold
 the band of one column, and each character of the other line advances them by a few operations.
 
+A key of more than HOT lines, such as a beginning that many lines share, is not paired as it is. What a line leaves open on
+either side of the segment is split again in the same way, by the number of edits that may stand there, and the parts make
+longer keys; a key that this does not make much smaller holds near copies. Of these, lines are paired whose characters,
+counted by class, differ by no more than the edits can make them differ. Neither step loses a pair within the bound.
+
 Lines shorter than `min_chars` are compared exactly only, since two edits may make any short line another. Blank lines
 are no lines. Null texts have none. A null doc_id comes last in the order of occurrences; rows that repeat doc_id and
 text stay or go together.
@@ -16,6 +21,8 @@ text stay or go together.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +31,9 @@ from tallyferry.llm.store import marked, stored
 
 EDITS = 2
 MIN_CHARS = 24
+HOT = 16  # lines of a key that are paired with all lines that probe it
+ROUNDS = 4  # how often the key of a hot group may grow
+CLASSES = 16  # of characters, whose numbers tell near copies apart
 _LONGEST_POWER = 20  # common ends are measured in steps from 2**20 characters down; longer ones are trimmed by less
 
 
@@ -56,8 +66,12 @@ def index_keys(line: Column, edits: int) -> Column:
     return F.array(*keys)
 
 
-def probes(lines: DataFrame, edits: int) -> DataFrame:
-    """(b, key): the keys under which a line of at most this length, within the bound, is found.
+_LEVEL_KEY = "xxhash64(n, i, substring(line, at, size))"
+
+
+def _places(lines: DataFrame, edits: int) -> DataFrame:
+    """line_id, line, own: its length, and where a segment i of a line of n characters, n at most own, is looked for: `size`
+    characters from `at` on, shifted by `move`.
 
     The places to look at are rows first, and one short expression makes their keys: an array of all keys' expressions is
     too much code for the JVM to compile.
@@ -72,12 +86,91 @@ def probes(lines: DataFrame, edits: int) -> DataFrame:
     return (
         lines.select("line_id", "line", F.length("line").alias("own"), F.inline(places))
         .selectExpr("line_id", "line", "own", "i", "move", "own - less AS n", f"CAST((own - less) DIV {parts} AS INT) AS size", f"{parts} - (own - less) % {parts} AS short")
-        .selectExpr("line_id", "line", "own", "i", "n", "size * i + greatest(0, i - short) + 1 + move AS at", "size + IF(i >= short, 1, 0) AS size")
+        .selectExpr("line_id", "line", "own", "i", "move", "n", "size * i + greatest(0, i - short) + 1 + move AS at", "size + IF(i >= short, 1, 0) AS size")
         .where("at >= 1 AND at + size <= own + 1")
-        .selectExpr("line_id AS b", "xxhash64(n, i, substring(line, at, size)) AS key")
     )
 
 
+def probes(lines: DataFrame, edits: int) -> DataFrame:
+    """(b, key): the keys under which a line of at most this length, within the bound, is found."""
+    return _places(lines, edits).selectExpr("line_id AS b", f"{_LEVEL_KEY} AS key")
+
+
+def _open(left: tuple[str, str, str, str], right: tuple[str, str, str, str]) -> str:
+    """What is left to compare: intervals (at, size) of a line, n characters in the shorter one, that hold `budget` edits."""
+    both = ", ".join(f"named_struct('at', {at}, 'size', {size}, 'n', {n}, 'budget', {budget})" for at, size, n, budget in (left, right))
+    return f"filter(array({both}), x -> x.budget > 0 AND x.n > x.budget)"
+
+
+def opened(lines: DataFrame, edits: int) -> DataFrame:
+    """(line_id, key, same, open) for all probes; those with `same` are the line's index keys."""
+    left, right = ("1", "at - 1", "at - 1 - move", "i"), ("at + size", "own + 1 - at - size", "n + 1 - at + move - size", f"{edits} - i")
+    return _places(lines, edits).selectExpr("line_id", f"{_LEVEL_KEY} AS key", "own = n AND move = 0 AS same", f"{_open(left, right)} AS open")
+
+
+def narrowed(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(line_id, parent, key, same, open): `rows` of `opened` with longer keys, the old ones as parent.
+
+    The first open interval is split into one part more than it may hold edits. One part j stands unchanged, with at most j
+    edits before it and the others behind, so its shift has the same bounds as that of a segment.
+    """
+    steps = ", ".join(
+        f"named_struct('budget', {budget}, 'j', {j}, 'move', {move})"
+        for budget in range(1, edits + 1) for j in range(budget + 1) for move in range(-j, j + 1)
+    )
+    left, right = ("p.at", "from - p.at", "from - p.at - move", "j"), ("from + part", "p.at + p.size - from - part", "p.n + p.at + move - from - part", "budget - j")
+    return (
+        rows.where("size(open) > 0").join(lines.select("line_id", "line"), "line_id")
+        .selectExpr("line_id", "line", "key AS parent", "same", "open[0] AS p", "slice(open, 2, size(open)) AS later", f"inline(array({steps}))")
+        .where("p.budget = budget AND abs(p.size - p.n - move) <= budget - j")
+        .selectExpr("*", "CAST(p.n DIV (budget + 1) AS INT) AS whole", "budget + 1 - p.n % (budget + 1) AS short")
+        .selectExpr("*", "p.at + whole * j + greatest(0, j - short) + move AS from", "whole + IF(j >= short, 1, 0) AS part")
+        .where("from >= p.at AND from + part <= p.at + p.size")
+        .selectExpr(
+            "line_id", "parent", "xxhash64(parent, j, substring(line, from, part)) AS key", "same AND move = 0 AS same",
+            f"concat(later, {_open(left, right)}) AS open",
+        )
+    )
+
+
+def alike(rows: DataFrame, bags: DataFrame, edits: int) -> DataFrame:
+    """(a, b): different lines of one key, one of them its index line, whose bags may be within `edits` edits."""
+    x = rows.where("same").join(bags, "line_id").selectExpr("key", "line_id AS a", "bag AS x")
+    y = rows.join(bags, "line_id").selectExpr("key", "line_id AS b", "bag AS y")
+    apart = " + ".join(f"abs(x.c{k} - y.c{k})" for k in range(CLASSES))
+    return x.join(y, "key").where(f"a <> b AND {apart} <= {2 * edits}").select("a", "b")
+
+
+def hot_pairs(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+    """(a, b): candidates among `rows` of `opened`, all of hot keys. An edit changes the numbers of two classes by one."""
+    codes = "transform(filter(split(line, ''), c -> c <> ''), c -> ascii(c))"
+    counted = ", ".join(f"'c{k}', size(filter(codes, c -> c % {CLASSES} = {k}))" for k in range(CLASSES))
+    bags = stored(lines.selectExpr("line_id", f"{codes} AS codes").selectExpr("line_id", f"named_struct({counted}) AS bag"), "line-bags")
+    found, number = [], [F.count_if("same").alias("n"), F.count("*").alias("p")]
+    for _ in range(ROUNDS):
+        longer = stored(narrowed(rows, lines, edits), "line-longer-keys")
+        met = stored(
+            longer.groupBy("parent", "key").agg(*number, F.min("line_id").alias("least"), F.max("line_id").alias("most"))
+            .where("n > 0 AND least <> most"), "line-key-sizes",
+        )
+        smaller = (
+            rows.where("size(open) > 0").groupBy("key").agg(*number)
+            .join(met.groupBy(F.col("parent").alias("key")).agg(F.sum(F.col("n") * F.col("p")).alias("after")), "key", "left")
+            .where("2 * coalesce(after, 0) <= n * p").select("key")
+        )
+        smaller = stored(smaller, "line-keys-narrowed")
+        found.append(alike(rows.join(smaller, "key", "left_anti"), bags, edits))
+        kept = met.join(smaller.withColumnRenamed("key", "parent"), "parent", "left_semi").select("key", "n")
+        rows = stored(longer.drop("parent").join(kept, "key"), "line-hot-keys")
+        found.append(alike(rows.where(f"n <= {HOT}"), bags, edits))
+        rows = rows.where(f"n > {HOT}").drop("n")
+        if rows.isEmpty():
+            break
+    else:
+        found.append(alike(rows, bags, edits))
+    return reduce(DataFrame.unionByName, found)
+
+
 def _common(a: str, b: str, room: str, from_end: bool) -> str:
     """Length of the common beginning or end, at most `room`, in halving steps."""
     x, y = (f"substring({s}, length({s}) - n - p + 1, p)" if from_end else f"substring({s}, n + 1, p)" for s in (a, b))
@@ -134,6 +227,26 @@ def banded_distance(a: str, b: str, edits: int) -> Column:
     return F.expr(f"aggregate({bits}, {start}, (s, x) -> {step}, s -> s.dist)")
 
 
+def candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """(a, b) out of `met`: keys with n, the number of their index lines, a, the least of these, and b, a line that probes it.
+
+    The index lines of a key probe it as well, so all of them are among b."""
+
+    def lines_of_keys(test: str) -> DataFrame:
+        return texts.join(met.where(test).select(F.col("b").alias("line_id")).distinct(), "line_id", "left_semi")
+
+    some = lines_of_keys(f"n BETWEEN 2 AND {HOT}").select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    pairs = met.where("n = 1").select("a", "b").unionByName(
+        met.where(f"n BETWEEN 2 AND {HOT}").select("key", "b").join(some, "key").where("a <> b").select("a", "b")
+    )
+    hot = met.where(f"n > {HOT}").select("key")
+    if hot.isEmpty():
+        return pairs
+    lines = stored(lines_of_keys(f"n > {HOT}"), "line-hot-texts")
+    rows = stored(opened(lines, edits).join(hot.distinct(), "key", "left_semi"), "line-hot-keys")
+    return pairs.unionByName(hot_pairs(rows, lines, edits))
+
+
 def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(a, b): line_id of every two different lines of at least `min_chars` characters within `edits` edits."""
     long_lines = lines.where(F.length("line") >= min_chars).select("line_id", "line")
@@ -144,13 +257,14 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     distinct = once.unionByName(repeated)
 
     index = distinct.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("a"))
+    # one row per probe at most, however many lines a key has
+    met = stored(probes(distinct, edits).join(keys, "key").where("n > 1 OR a <> b").select("key", "n", "a", "b"), "line-keys")
+    ends = met.select(F.col("a").alias("line_id")).union(met.select("b")).distinct()
+    texts = stored(marked(distinct, "_may", F.col("line_id"), ends).where("_may").drop("_may").join(ends, "line_id", "left_semi"), "line-texts")
     pairs = stored(
-        index.join(probes(distinct, edits), "key").where("a <> b")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        "line-pairs",
+        candidates(met, texts, edits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"
     )
-    ends = pairs.select(F.col("a").alias("line_id")).union(pairs.select("b")).distinct()
-    texts = marked(distinct, "_may", F.col("line_id"), ends).where("_may").drop("_may").join(ends, "line_id", "left_semi")
     both = (
         pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")

@@ -172,6 +172,57 @@ def test_probes_meet_the_index(spark):
     assert probes.join(index, ["k", "key"]).select("k").distinct().count() == len(rows) > 50
 
 
+def test_hot_keys_lose_no_link(spark, monkeypatch):
+    """Every shared key counts as hot, and however long keys grow, links are those of brute force."""
+    rng, texts = random.Random(12), set()
+    for _ in range(12):
+        base = [rng.choice("abcdé ") for _ in range(rng.randint(22, 70))]
+        for _ in range(9):
+            line = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2, 2, 3])):
+                line[rng.randrange(len(line))] = rng.choice(["", "x", "yz", "aé"])
+            texts.add("".join(line))
+    # blanks at an end would be lines as well; equal characters give shifted matches
+    texts |= {"a" * n for n in range(24, 30)} | {"a" * 12 + "b" + "a" * n for n in range(12, 16)}
+    texts = sorted(x for x in texts if len(x) >= 24)
+    want = {(b, a) for a in range(len(texts)) for b in range(a) if brute.distance(texts[a], texts[b]) <= 2}
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    for rounds in (1, 4):
+        monkeypatch.setattr(line_dedup, "ROUNDS", rounds)
+        got = [(r.a, r.b) for r in line_dedup.near_links(rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) > 50
+
+
+@pytest.mark.parametrize("near", [False, True])
+def test_hot_keys_are_not_paired_as_they_are(spark, monkeypatch, near):
+    """Lines with one beginning, and near copies with other words here and there, make few candidates."""
+    rng, made = random.Random(13), {}
+
+    def kept(df, purpose):
+        out = stored(df, purpose)
+        made[purpose] = out.count()
+        return out
+
+    def word() -> str:
+        return "".join(rng.choice("abcdefghijklmnopé") for _ in range(7))
+
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    base, texts = [word() for _ in range(30)], []
+    for _ in range(90):
+        words = list(base)
+        for at in rng.sample(range(11, 30), 2) if near else range(11, 30):
+            words[at] = word()
+        texts.append(" ".join(words))
+    texts += [texts[0] + "x", texts[1][:200] + texts[1][201:]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    links = {(r.a, r.b) for r in line_dedup.near_links(rows).collect()}
+    assert links == {(0, 90), (1, 91)}
+    assert made["line-pairs"] <= 2 * len(texts), made  # one line has a key of its own that all probe; before: all 4186 pairs
+    assert max(made.values()) < 4186, made
+
+
 def test_lines(spark):
     rng = random.Random(2)
     bases = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(20, 50))) for _ in range(20)]
