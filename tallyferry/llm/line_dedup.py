@@ -265,8 +265,10 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     pairs = stored(
         candidates(met, texts, edits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"
     )
+    # pairs are short rows, few files hold many of them: they are dealt to all cores before they get their texts
     both = (
-        pairs.join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
+        pairs.repartition(pairs.sparkSession.sparkContext.defaultParallelism, "a", "b")
+        .join(texts.select(F.col("line_id").alias("a"), F.col("line").alias("x")), "a")
         .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
     )
     # written, so that the filter is not pushed below the trimming, which would repeat it at every step
