@@ -43,8 +43,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _stars(both, True)
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        down = _stars(both, True)  # different pairs with u > v, as the least is below every v that is above u
         now = stored(_stars(down, False), "edges")
         last, mark = mark, _mark(now)
         if mark == last:

@@ -47,6 +47,7 @@ STRONG = 1.0  # in nats
 CANDIDATES = ((0.1, 0.1), (0.1, 1.0), (1.0, 1.0))  # strengths of words and bigrams, in shares of a class
 RIDGE = 1e-3
 _START = np.uint64(0x5EED5EED5EED5EED)  # the word before a text
+_PACKED = 1 << 16  # entries that a task packs at a time for a broadcast
 _HELD = 1 << 19  # bigrams that a task holds before it sends them on
 
 
@@ -192,7 +193,8 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     with shuffles_removed(keys.sparkSession):
         got = got.select("word", "bits").toArrow()
     out = np.zeros((1 << LOG2_BITS) // 64, np.int64)
-    out[got["word"].to_numpy()] = got["bits"].to_numpy()
+    for batch in got.to_batches():
+        out[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
     return out.view(np.uint64)
 
 
@@ -294,6 +296,15 @@ def count(docs: DataFrame, known: DataFrame) -> Model:
     return Model(entries, one["size"] + 1, one["mass"], [max(one[f"t{c}"], 1) for c in (0, 1)], total, rest, lower, upper, _bitmap(entries))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed numbers of 8 bytes: all their first bytes, all their second bytes and so on, as first bytes are much alike."""
+    return zlib.compress(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(sent: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(sent), np.uint8).reshape(8, -1).T).ravel().view(kind)
+
+
 class Cache:
     """Terms of the frequent keys (sorted), three columns a candidate, and the bitmap of all keys.
 
@@ -302,26 +313,29 @@ class Cache:
     def __init__(self, keys: np.ndarray, terms: np.ndarray, bits: np.ndarray) -> None:
         self.keys = np.append(keys, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.terms, self.bits = terms, bits
-        self._places()
-
-    def _places(self) -> None:
         keys = self.keys[:-1]
         self.shift = np.uint64(64 - max(len(keys).bit_length(), 1))
         self.begin = np.searchsorted(keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
 
-    def __getstate__(self) -> tuple[int, list[bytes]]:
-        """Compressed, without what follows from the keys: every executor writes a broadcast to its disk.
-
-        Numbers are written as all their first bytes, all their second bytes and so on, as first bytes are much alike."""
-        flat = (self.keys, np.ascontiguousarray(self.terms.T).ravel(), self.bits)
-        return self.terms.shape[1], [zlib.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for x in flat]
-
-    def __setstate__(self, state: tuple[int, list[bytes]]) -> None:
-        columns, sent = state
-        keys, terms, bits = (np.ascontiguousarray(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T).ravel() for x in sent)
-        self.keys, self.bits = keys.view(np.uint64), bits.view(np.uint64)
-        self.terms = np.ascontiguousarray(terms.view(np.float64).reshape(columns, len(self.keys) - 1).T)
-        self._places()
+    @classmethod
+    def of(cls, parts: list[tuple[bytes, bytes]], columns: int, bits: bytes) -> Cache:
+        """From packed parts (keys, terms by column), each of any keys."""
+        keys = np.concatenate([np.empty(0, np.uint64), *[_unpacked(k, np.uint64) for k, _ in parts]])
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.arange(len(keys))
+        keys = keys[order]
+        terms, at = np.empty((len(keys), columns)), 0
+        for _, sent in parts:
+            part = _unpacked(sent, np.float64).reshape(columns, -1).T
+            terms[place[at : at + len(part)]] = part
+            at += len(part)
+        return cls(keys, terms, _unpacked(bits, np.uint64))
+
+    def __reduce__(self) -> tuple:
+        """Compressed, without what follows from the keys: every executor writes a broadcast to its disk."""
+        columns = self.terms.shape[1]
+        return Cache.of, ([(_packed(self.keys[:-1]), _packed(self.terms.T))], columns, _packed(self.bits))
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in `terms`; whether they are the keys'; whether the key may be in the table only."""
@@ -341,6 +355,45 @@ class Cache:
         return at, known, there & ~known
 
 
+@dataclass
+class Gathered:
+    """A cache as it is sent, in parts that tasks have packed; a task that reads the broadcast gets the cache itself.
+
+    The driver holds the packed parts only, not the arrays."""
+
+    parts: list[tuple[bytes, bytes]]
+    columns: int
+    bits: bytes
+
+    def __reduce__(self) -> tuple:
+        return Cache.of, (self.parts, self.columns, self.bits)
+
+
+def _gathered(entries: DataFrame, terms: list[Column], bits: np.ndarray) -> Gathered:
+    """The terms of all entries, which are few enough for a broadcast."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def packed() -> pa.RecordBatch:
+            keys, *rest = (np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for batch in held]) for i in range(held[0].num_columns))
+            held.clear()
+            order = np.argsort(keys.view(np.uint64))
+            sent = [_packed(keys[order]), _packed(np.stack([x[order] for x in rest]))]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in sent], names=["keys", "terms"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= _PACKED:
+                yield packed()
+        if held:
+            yield packed()
+
+    got = entries.select("key", *terms).mapInArrow(task, "keys binary, terms binary").toArrow()
+    parts = [(k.as_py(), x.as_py()) for batch in got.to_batches() for k, x in zip(*batch.columns, strict=True)]
+    return Gathered(parts, len(terms), _packed(bits))
+
+
 def row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"], docs["text"])
 
@@ -350,11 +403,7 @@ def ratios(docs: DataFrame, model: Model, chosen: list[int], most: int) -> DataF
     ordinary log-likelihood a word, and strong_j, the part of it above STRONG of each word; both 0 without words. A word's
     part is that of its bigram if a class has it twice, else that of its continuation counts."""
     named = [t.alias(f"{kind}_{j}") for j, k in enumerate(chosen) for t, kind in zip(model.terms(k), ("a", "h", "f"), strict=True)]
-    got = _frequent(model.entries, most).select("key", *named).toArrow()
-    keys = got["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    terms = np.stack([got[c].to_numpy()[order] for c in got.column_names[1:]], 1)
-    cache = docs.sparkSession.sparkContext.broadcast(Cache(keys[order], terms, model.bits))
+    cache = docs.sparkSession.sparkContext.broadcast(_gathered(_frequent(model.entries, most), named, model.bits))
     unseen = [model.unseen(k) for k in chosen]
     extra = [max(u - STRONG, 0.0) for u in unseen]
     sums = [f"{kind}_{j}" for j in range(len(chosen)) for kind in ("all", "strong")]

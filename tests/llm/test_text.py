@@ -283,3 +283,26 @@ def test_cache_is_sent_small(n):
         assert x.tolist() == y.tolist()
     assert again.terms.shape == terms.shape and (again.terms == terms).all()
     assert len(sent) < 0.2 * sum(x.nbytes for x in (cache.keys, cache.terms, cache.bits, cache.begin))
+
+
+def test_frequent_entries_stay_packed_on_the_driver(spark):
+    """What is broadcast reaches the driver packed by tasks; the driver never holds the entries as arrays."""
+    import tracemalloc
+
+    n, columns = 300_000, ["s", "b0", "b1", "t0", "t1", "x0", "x1", "y0", "y1"]
+    entries = spark.range(0, n, 1, 4).selectExpr(
+        "xxhash64(id) AS key", "id % 50 AS n", "id % 3 = 0 AS word", "2 + id % 5 AS n0", "id % 4 AS n1", *[f"id % {7 + k} AS {c}" for k, c in enumerate(columns)]
+    )
+    bits = np.full((1 << toxicity.LOG2_BITS) // 64, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    model = toxicity.Model(entries, n, n, [n, n], [n, n], [0.5, 0.5], [0.5, 0.5], [0.5, 0.5], bits)
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], SCHEMA)
+    toxicity.ratios(docs, model, [1], 10).count()
+    tracemalloc.start()
+    try:
+        got = toxicity.ratios(docs, model, [1], n)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6, peak
+    want = toxicity.ratios(docs, model, [1], 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
