@@ -50,6 +50,27 @@ def test_spliced_chunks():
             assert [t for _, _, ids in token_counts.spliced(encoder, text, chunk, overlap) for t in ids] == due
 
 
+def test_chunks_are_encoded_and_wide_enough():
+    """Chunks get the library's own tokens and offsets, and an overlap whose tokens differ is widened until they agree."""
+    path, rng, asked = queries.vocabulary(token_counts.MODEL), random.Random(2), []
+
+    class LateEncoder(token_counts.WordEncoder):
+        def encode(self, text, begin, end):
+            asked.append((begin, end))
+            got = super().encode(text, begin, end)
+            if begin:  # what stands near the left cut is wrong
+                got.ids = [0 if s < 90 else token for (s, _), token in zip(got.offsets, got.ids, strict=True)]
+            return got
+
+    encoder = LateEncoder(path)
+    text = " ".join(rng.choice(["some", "don't", "漢字", "of", "unbelievably", "12"]) for _ in range(700))
+    due = encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    parts = list(token_counts.spliced(encoder, text, 400, 20))
+    assert [t for _, _, ids in parts for t in ids] == due and not encoder.kept
+    assert [s for s, _, _ in parts] == [0, *[e for _, e, _ in parts[:-1]]] and parts[-1][1] == len(text) and len(parts) > 5
+    assert max(e - b for b, e in asked) <= 400 + 160
+
+
 def test_pieces_decode_and_repeat(spark):
     path = queries.vocabulary(piece_sampling.MODEL)
     first = {(r.doc_id, r.text): r for r in piece_sampling.sampled_pieces(odd_docs(spark), path).collect()}
