@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import sys
+import weakref
 from collections import Counter
 from pathlib import Path
 
@@ -133,6 +134,29 @@ def test_decontamination(spark, block_bytes):
     assert decontamination.matches(docs.limit(0), benchmark).count() == 0
 
 
+def test_benchmark_reaches_the_driver_in_blocks(spark, monkeypatch):
+    """Copies of a text are one text with many ids, an id list has a bound too, and blocks are not held together."""
+    rng, made, alive = random.Random(5), [], []
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(12)) for _ in range(30)]
+    items = [*enumerate(texts), *((k, texts[0]) for k in range(100, 400)), (400, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {texts[0]} {texts[1]} y"), (2, "x")], SCHEMA)
+    blocks = decontamination.benchmark_blocks
+
+    def watched(*args):
+        for block in blocks(*args):
+            made.append(sum(len(i) + 1 for ids in block.ids for i in ids) + len(block.word) * 3)
+            alive.append(weakref.ref(block))
+            yield block
+            del block
+            assert sum(ref() is not None for ref in alive) <= 1
+
+    monkeypatch.setattr(decontamination, "benchmark_blocks", watched)
+    found = {r.doc_id: r._items for r in decontamination.matches(docs, benchmark, block_bytes=800).collect()}
+    assert found == {1: sorted(map(str, [0, 1, *range(100, 400)])), 2: []}
+    assert max(made) <= 800 and len(made) > 3, made  # before: 300 copies of a text in one block
+
+
 def test_licenses(spark):
     rows = [
         (1, "Released under the MIT License."), (2, "see the mit  license, the MIT license"), (3, None), (4, ""),
