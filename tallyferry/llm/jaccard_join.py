@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyferry.llm.arrays import SOLID, Words, mixed, pieces
@@ -408,14 +408,15 @@ def set_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> D
     placed = clusters.select("set_id", "cluster").join(
         components(inside, "a", "b").withColumnRenamed("node", "set_id"), "set_id", "full"
     )
-    beside = Window.partitionBy("sig")
-    open_groups = stored(
-        keys.select("sig", "set_id", "info", "n", "role").join(placed, "set_id", "left")
-        .withColumns({"cluster": F.coalesce("cluster", "set_id"), "component": F.coalesce("component", "set_id")})
-        .withColumns({"low": F.min("cluster").over(beside), "high": F.max("cluster").over(beside)})
-        .where("low <> high").drop("low", "high", "info"),
-        "open-groups",
+    placed_keys = stored(
+        keys.select("sig", "set_id", "n", "role").join(placed, "set_id", "left")
+        .withColumns({"cluster": F.coalesce("cluster", "set_id"), "component": F.coalesce("component", "set_id")}),
+        "placed-keys",
     )
+    # a plain aggregate, joined back: however many sets have a key, they are never gathered in one task
+    ends = placed_keys.groupBy("sig").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low <> high").select("sig")
+    ends = stored(ends, "open-sigs")
+    open_groups = stored(wanted_only(placed_keys, "sig", ends).join(ends, "sig", "left_semi"), "open-groups")
     fits = f"({_fits('x.n', 'y.n', percent)})"
     roles = "IF(x.n < y.n OR (x.n = y.n AND x.set_id < y.set_id), (x.role & 2) > 0 AND (y.role & 1) > 0, (y.role & 2) > 0 AND (x.role & 1) > 0)"
     more = (

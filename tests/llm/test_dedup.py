@@ -117,6 +117,22 @@ def test_near_shuffles_a_text_once_to_find_it(spark):
         assert len(shuffled) <= most, plan
 
 
+def test_keys_of_many_sets_are_not_gathered_in_a_window(spark, monkeypatch):
+    """Sets in two clusters that share a key are found by an aggregate and a join back, not by a window over the key."""
+    plans = {}
+
+    def kept(df, purpose):
+        plans[purpose] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, purpose)
+
+    monkeypatch.setattr(jaccard_join, "stored", kept)
+    rows = corpus(8, 12)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similarity_components(docs).collect()}
+    assert got == brute.jaccard(rows)
+    assert "open-groups" in plans and not [p for p, plan in plans.items() if "Window [" in plan]
+
+
 def test_banded_distance(spark):
     rng, rows = random.Random(3), []
     for _ in range(300):
