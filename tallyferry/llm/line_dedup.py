@@ -14,8 +14,9 @@ either side of the segment is split again in the same way, by the number of edit
 longer keys; a key that this does not make much smaller holds near copies. Of these, lines are paired whose characters,
 counted by class, differ by no more than the edits can make them differ. Neither step loses a pair within the bound.
 
-Lines shorter than `min_chars` are compared exactly only, since two edits may make any short line another. Blank lines
-are no lines. Null texts have none. A null doc_id comes last in the order of occurrences; rows that repeat doc_id and
+Two edits may make any short line another. Lines shorter than `min_chars` are compared exactly only, or, with `short` =
+(chars, fewer), from that many characters on by so many edits: each bound is a grade with an index and probes of its own, and
+two lines are held to that of the shorter one. Blank lines are no lines. Null texts have none. A null doc_id comes last in the order of occurrences; rows that repeat doc_id and
 text stay or go together.
 """
 
@@ -31,6 +32,7 @@ from tallyferry.llm.store import marked, stored
 
 EDITS = 2
 MIN_CHARS = 24
+SHORT = (12, 1)  # characters and edits of lines below MIN_CHARS
 HOT = 16  # lines of a key that are paired with all lines that probe it
 ROUNDS = 4  # how often the key of a hot group may grow
 CLASSES = 16  # of characters, whose numbers tell near copies apart
@@ -53,47 +55,71 @@ def segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     return size * i + F.greatest(F.lit(0), i - short) + 1, size + F.when(F.lit(i) >= short, 1).otherwise(0)
 
 
+Grades = list[tuple[int, int, int | None]]  # edits, and the lengths of the lines that are indexed and probed with them
+
+
+def grades_of(edits: int, min_chars: int, short: tuple[int, int] | None) -> Grades:
+    """A line of `min_chars` or little more may be linked with a shorter one, so it is of the lower grade as well."""
+    return [(edits, min_chars, None), *([(short[1], short[0], min_chars - 1 + short[1])] if short else [])]
+
+
+def _of_grades(line: Column, grades: Grades, arrays: list[Column]) -> Column:
+    """One array, of those of the line's grades."""
+    own = F.length(line)
+    due = [own >= low if high is None else own.between(low, high) for _, low, high in grades]
+    return F.concat(*[F.when(test, x).otherwise(F.array()) for test, x in zip(due, arrays, strict=True)])
+
+
 def _key(length: Column, i: int, text: Column) -> Column:
     return F.xxhash64(length, F.lit(i), text)
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def index_keys(line: Column, edits: int, grade: int = 0) -> Column:
     own = F.length(line)
     keys = []
     for i in range(edits + 1):
         begin, size = segment(own, i, edits + 1)
-        keys.append(_key(own, i, F.substring(line, begin, size)))
+        keys.append(_key(own, i + _APART * grade, F.substring(line, begin, size)))
     return F.array(*keys)
 
 
-_LEVEL_KEY = "xxhash64(n, i, substring(line, at, size))"
+def _indexed(line: str, grades: Grades) -> Column:
+    """All index keys of a line."""
+    return _of_grades(F.col(line), grades, [index_keys(F.col(line), edits, g) for g, (edits, _, _) in enumerate(grades)])
+
+
+_APART = 100  # keeps the keys of grades apart
+_LEVEL_KEY = f"xxhash64(n, i + {_APART} * grade, substring(line, at, size))"
 
 
-def _places(lines: DataFrame, edits: int) -> DataFrame:
+def _places(lines: DataFrame, grades: Grades) -> DataFrame:
     """line_id, line, own: its length, and where a segment i of a line of n characters, n at most own, is looked for: `size`
-    characters from `at` on, shifted by `move`.
+    characters from `at` on, shifted by `move`; `grade` and its `edits`.
 
     The places to look at are rows first, and one short expression makes their keys: an array of all keys' expressions is
     too much code for the JVM to compile.
     """
-    places = F.array(*[
-        F.struct(F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move"))
-        for less in range(edits + 1)
-        for i in range(edits + 1)
-        for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
-    ])
-    parts = edits + 1
+    places = [
+        F.array(*[
+            F.struct(F.lit(grade).alias("grade"), F.lit(edits).alias("edits"), F.lit(less).alias("less"), F.lit(i).alias("i"), F.lit(move).alias("move"))
+            for less in range(edits + 1)
+            for i in range(edits + 1)
+            for move in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1)
+        ])
+        for grade, (edits, _, _) in enumerate(grades)
+    ]
+    kept = ("line_id", "line", "own", "grade", "edits", "i", "move")
     return (
-        lines.select("line_id", "line", F.length("line").alias("own"), F.inline(places))
-        .selectExpr("line_id", "line", "own", "i", "move", "own - less AS n", f"CAST((own - less) DIV {parts} AS INT) AS size", f"{parts} - (own - less) % {parts} AS short")
-        .selectExpr("line_id", "line", "own", "i", "move", "n", "size * i + greatest(0, i - short) + 1 + move AS at", "size + IF(i >= short, 1, 0) AS size")
+        lines.select("line_id", "line", F.length("line").alias("own"), F.inline(_of_grades(F.col("line"), grades, places)))
+        .selectExpr(*kept, "own - less AS n", "CAST((own - less) DIV (edits + 1) AS INT) AS size", "edits + 1 - (own - less) % (edits + 1) AS short")
+        .selectExpr(*kept, "n", "size * i + greatest(0, i - short) + 1 + move AS at", "size + IF(i >= short, 1, 0) AS size")
         .where("at >= 1 AND at + size <= own + 1")
     )
 
 
-def probes(lines: DataFrame, edits: int) -> DataFrame:
+def probes(lines: DataFrame, edits: int, grades: Grades | None = None) -> DataFrame:
     """(b, key): the keys under which a line of at most this length, within the bound, is found."""
-    return _places(lines, edits).selectExpr("line_id AS b", f"{_LEVEL_KEY} AS key")
+    return _places(lines, grades or [(edits, 0, None)]).selectExpr("line_id AS b", f"{_LEVEL_KEY} AS key")
 
 
 def _open(left: tuple[str, str, str, str], right: tuple[str, str, str, str]) -> str:
@@ -102,10 +128,10 @@ def _open(left: tuple[str, str, str, str], right: tuple[str, str, str, str]) ->
     return f"filter(array({both}), x -> x.budget > 0 AND x.n > x.budget)"
 
 
-def opened(lines: DataFrame, edits: int) -> DataFrame:
+def opened(lines: DataFrame, grades: Grades) -> DataFrame:
     """(line_id, key, same, open) for all probes; those with `same` are the line's index keys."""
-    left, right = ("1", "at - 1", "at - 1 - move", "i"), ("at + size", "own + 1 - at - size", "n + 1 - at + move - size", f"{edits} - i")
-    return _places(lines, edits).selectExpr("line_id", f"{_LEVEL_KEY} AS key", "own = n AND move = 0 AS same", f"{_open(left, right)} AS open")
+    left, right = ("1", "at - 1", "at - 1 - move", "i"), ("at + size", "own + 1 - at - size", "n + 1 - at + move - size", "edits - i")
+    return _places(lines, grades).selectExpr("line_id", f"{_LEVEL_KEY} AS key", "own = n AND move = 0 AS same", f"{_open(left, right)} AS open")
 
 
 def narrowed(rows: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
@@ -227,7 +253,7 @@ def banded_distance(a: str, b: str, edits: int) -> Column:
     return F.expr(f"aggregate({bits}, {start}, (s, x) -> {step}, s -> s.dist)")
 
 
-def candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def candidates(met: DataFrame, texts: DataFrame, grades: Grades) -> DataFrame:
     """(a, b) out of `met`: keys with n, the number of their index lines, a, the least of these, and b, a line that probes it.
 
     The index lines of a key probe it as well, so all of them are among b."""
@@ -235,7 +261,7 @@ def candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     def lines_of_keys(test: str) -> DataFrame:
         return texts.join(met.where(test).select(F.col("b").alias("line_id")).distinct(), "line_id", "left_semi")
 
-    some = lines_of_keys(f"n BETWEEN 2 AND {HOT}").select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    some = lines_of_keys(f"n BETWEEN 2 AND {HOT}").select(F.col("line_id").alias("a"), F.explode(_indexed("line", grades)).alias("key"))
     pairs = met.where("n = 1").select("a", "b").unionByName(
         met.where(f"n BETWEEN 2 AND {HOT}").select("key", "b").join(some, "key").where("a <> b").select("a", "b")
     )
@@ -243,27 +269,29 @@ def candidates(met: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     if hot.isEmpty():
         return pairs
     lines = stored(lines_of_keys(f"n > {HOT}"), "line-hot-texts")
-    rows = stored(opened(lines, edits).join(hot.distinct(), "key", "left_semi"), "line-hot-keys")
-    return pairs.unionByName(hot_pairs(rows, lines, edits))
+    rows = stored(opened(lines, grades).join(hot.distinct(), "key", "left_semi"), "line-hot-keys")
+    return pairs.unionByName(hot_pairs(rows, lines, max(edits for edits, _, _ in grades)))
 
 
-def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(a, b): line_id of every two different lines of at least `min_chars` characters within `edits` edits."""
-    long_lines = lines.where(F.length("line") >= min_chars).select("line_id", "line")
+def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, short: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b): line_id of every two different lines of at least `min_chars` characters within `edits` edits; with `short` =
+    (chars, fewer) also of those whose shorter one has at least `chars` characters within `fewer` edits, no more than `edits`."""
+    grades = grades_of(edits, min_chars, short)
+    long_lines = lines.where(F.length("line") >= min(low for _, low, _ in grades)).select("line_id", "line")
     again = long_lines.groupBy("line_id").agg(F.count("*").alias("n")).where("n > 1").select("line_id")
     seen = marked(long_lines, "_again", F.col("line_id"), stored(again, "repeated-ids"))
     once = seen.where("NOT _again").select("line_id", "line")
     repeated = stored(seen.where("_again").groupBy("line_id").agg(F.min("line").alias("line")), "repeated-lines")
     distinct = once.unionByName(repeated)
 
-    index = distinct.select(F.col("line_id").alias("a"), F.explode(index_keys(F.col("line"), edits)).alias("key"))
+    index = distinct.select(F.col("line_id").alias("a"), F.explode(_indexed("line", grades)).alias("key"))
     keys = index.groupBy("key").agg(F.count("*").alias("n"), F.min("a").alias("a"))
     # one row per probe at most, however many lines a key has
-    met = stored(probes(distinct, edits).join(keys, "key").where("n > 1 OR a <> b").select("key", "n", "a", "b"), "line-keys")
+    met = stored(probes(distinct, edits, grades).join(keys, "key").where("n > 1 OR a <> b").select("key", "n", "a", "b"), "line-keys")
     ends = met.select(F.col("a").alias("line_id")).union(met.select("b")).distinct()
     texts = stored(marked(distinct, "_may", F.col("line_id"), ends).where("_may").drop("_may").join(ends, "line_id", "left_semi"), "line-texts")
     pairs = stored(
-        candidates(met, texts, edits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"
+        candidates(met, texts, grades).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs"
     )
     # pairs are short rows, few files hold many of them: they are dealt to all cores before they get their texts
     both = (
@@ -272,15 +300,19 @@ def near_links(lines: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
         .join(texts.select(F.col("line_id").alias("b"), F.col("line").alias("y")), "b")
     )
     # written, so that the filter is not pushed below the trimming, which would repeat it at every step
-    middle = stored(trimmed(both, "x", "y", edits), "line-middles")
-    return middle.where(may_be_near("x", "y", edits)).where(banded_distance("x", "y", edits) <= edits).select("a", "b")
+    bound = F.when(F.least(F.length("x"), F.length("y")) >= min_chars, edits).otherwise(short[1] if short else edits)
+    middle = stored(trimmed(both.withColumn("bound", bound), "x", "y", edits), "line-middles")
+    return middle.where(may_be_near("x", "y", edits)).where(banded_distance("x", "y", edits) <= F.col("bound")).select("a", "b")
 
 
-def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS,
+    short: tuple[int, int] | None = None,
+) -> DataFrame:
     """One row per line that is not blank: doc_id, line_no, class_doc and class_line (the first occurrence of its class),
     n_links (different lines within the bound), kept."""
     lines = lines_of(docs, id_col, text_col)
-    links = stored(near_links(lines, edits, min_chars), "line-links")
+    links = stored(near_links(lines, edits, min_chars, short), "line-links")
     degree = (
         links.select(F.col("a").alias("line_id")).unionByName(links.select(F.col("b").alias("line_id")))
         .groupBy("line_id").agg(F.count("*").alias("n_links"))
@@ -299,14 +331,17 @@ def line_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS,
+    short: tuple[int, int] | None = None,
+) -> DataFrame:
     """The documents without the lines that do not stay; blank lines and the order of lines are kept.
 
     The ids of the lines to leave out travel by document, so a document's list is no longer than the document. Rows that
     share a doc_id lose the lines that fall in any of them.
     """
     gone = (
-        line_classes(docs, id_col, text_col, edits, min_chars).where("NOT kept AND doc_id IS NOT NULL")
+        line_classes(docs, id_col, text_col, edits, min_chars, short).where("NOT kept AND doc_id IS NOT NULL")
         .groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     )
     left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> NOT array_contains(coalesce(_gone, array()), CAST(i AS LONG))), '\\n')")

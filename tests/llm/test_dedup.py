@@ -211,6 +211,31 @@ def test_hot_keys_lose_no_link(spark, monkeypatch):
     assert len(want) > 50
 
 
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 1])
+def test_short_lines_have_a_bound_of_their_own(spark, monkeypatch, hot):
+    """The shorter of two lines gives the bound: two edits from 24 characters on, one from 12, none below."""
+    rng, texts = random.Random(14), set()
+    for size in [*range(9, 27)] * 2:
+        base = [rng.choice("abcdefghé ") for _ in range(size)]
+        for _ in range(6):
+            line = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                line[rng.randrange(len(line))] = rng.choice(["", "x", "yz"])
+            texts.add("".join(line))
+    texts = sorted(texts | {"a" * n for n in range(9, 28)})
+    rows = spark.createDataFrame(list(enumerate(texts)), "line_id long, line string")
+    want = set()
+    for a in range(len(texts)):
+        for b in range(a):
+            size = min(len(texts[a]), len(texts[b]))
+            if abs(len(texts[a]) - len(texts[b])) <= 2 and brute.distance(texts[a], texts[b]) <= (2 if size >= 24 else 1 if size >= 12 else 0):
+                want.add((b, a))
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    got = [(r.a, r.b) for r in line_dedup.near_links(rows, short=line_dedup.SHORT).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert sum(len(texts[b]) < 24 for b, _ in want) > 50
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_hot_keys_are_not_paired_as_they_are(spark, monkeypatch, near):
     """Lines with one beginning, and near copies with other words here and there, make few candidates."""
