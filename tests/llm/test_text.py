@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import sys
+import tracemalloc
 import weakref
 from collections import Counter
 from pathlib import Path
@@ -157,6 +158,21 @@ def test_benchmark_reaches_the_driver_in_blocks(spark, monkeypatch):
     assert max(made) <= 800 and len(made) > 3, made  # before: 300 copies of a text in one block
 
 
+def test_shards_stay_small():
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(2000)) for _ in range(400)]
+    items = decontamination.Items.of([([str(k)], text[:300]) for k, text in enumerate(texts[:20])])
+    column, n = decontamination.pa.array(texts), len(texts)
+    spans, hits, longest = [np.zeros((0, 2), np.int64)] * n, [set() for _ in texts], [0] * n
+    tracemalloc.start()
+    counts = decontamination._step(items, decontamination.WINDOW, column, spans, hits, longest)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(counts) == {2000} and [k for k in range(n) if str(k) in hits[k]] == list(range(20))
+    assert peak < 60 << 20, peak  # before: shards of 4 MB
+
+
 def test_licenses(spark):
     rows = [
         (1, "Released under the MIT License."), (2, "see the mit  license, the MIT license"), (3, None), (4, ""),
